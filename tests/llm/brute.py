@@ -97,7 +97,7 @@ def simhash(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(grams))
 
 
-def simhash_components(rows: list[tuple], most=4) -> dict:
+def simhash_components(rows: list[tuple], most=4) -> tuple[dict, int]:
     prints = {}
     for d, t in rows:
         prints.setdefault(simhash(t), set()).add(d)
@@ -119,4 +119,4 @@ def simhash_components(rows: list[tuple], most=4) -> dict:
         r = find(f)
         ids = [d for d in prints[f] if d is not None]
         least[r] = min([*ids, *([least[r]] if r in least else [])], default=None)
-    return {f: least[find(f)] for f in fps}
+    return {f: least[find(f)] for f in fps}, len({find(f) for f in fps})
