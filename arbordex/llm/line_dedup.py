@@ -52,17 +52,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     drops = dropped_positions(docs.select("doc_id", "text"), min_docs, min_chars)
-    drops = drops.select(F.col("doc_id").alias("d_doc_id"), F.col("blob").alias("d_blob"), "drops")
-    rows = docs.withColumn("d_key", F.xxhash64(text_or_empty()))
-    rows = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & (F.col("d_key") == F.col("d_blob")), "left")
+    drops = drops.select(F.col("doc_id").alias("__line_doc_id"), F.col("blob").alias("__line_blob"), F.col("drops").alias("__line_drops"))
+    rows = docs.withColumn("__line_key", F.xxhash64(text_or_empty()))
+    rows = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("__line_doc_id")) & (F.col("__line_key") == F.col("__line_blob")), "left")
     lines = F.split(text_or_empty(), "\n", -1)
     # a mask as long as the last dropped position needs; array_join leaves out what it nulls
-    last = F.concat(F.array(F.lit(-1)), F.col("drops"))
-    mask = F.flatten(F.zip_with(F.col("drops"), F.slice(last, F.lit(1), F.size("drops")), lambda d, p: F.concat(F.array_repeat(F.lit(False), d - p - 1), F.array(F.lit(True)))))
+    last = F.concat(F.array(F.lit(-1)), F.col("__line_drops"))
+    mask = F.flatten(F.zip_with(F.col("__line_drops"), F.slice(last, F.lit(1), F.size("__line_drops")), lambda d, p: F.concat(F.array_repeat(F.lit(False), d - p - 1), F.array(F.lit(True)))))
     joined = F.array_join(F.zip_with(lines, mask, lambda x, gone: F.when(~F.coalesce(gone, F.lit(False)), x)), "\n")
     return (
         rows.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("drops"), F.lit(0)).cast("long"))
-        .withColumn("kept_text", F.when(F.col("drops").isNull(), text_or_empty()).otherwise(joined))
-        .drop("d_key", "d_doc_id", "d_blob", "drops")
+        .withColumn("n_dropped", F.coalesce(F.size("__line_drops"), F.lit(0)).cast("long"))
+        .withColumn("kept_text", F.when(F.col("__line_drops").isNull(), text_or_empty()).otherwise(joined))
+        .drop("__line_key", "__line_doc_id", "__line_blob", "__line_drops")
     )

@@ -165,11 +165,13 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     The sample takes documents by a hash of their text and stops at sample_rows; it decides only
     the order. With no sample (an empty table) the given order stays.
     """
-    picked = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).limit(sample_rows).coalesce(1)
-    rows = picked.mapInPandas(lambda it: _measure(it, rules), "rule string, seconds double, rejected long, n long").collect()
-    n = max((r["n"] for r in rows), default=0)
-    if not n:
+    # take() reads partitions until it has enough; at most sample_rows texts come to the driver
+    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).take(sample_rows)
+    if not texts:
         return list(rules)
+    sample = docs.sparkSession.createDataFrame([(r["text"],) for r in texts], "text string").coalesce(1)
+    rows = sample.mapInPandas(lambda it: _measure(it, rules), "rule string, seconds double, rejected long, n long").collect()
+    n = max((r["n"] for r in rows), default=0)
     # one is added to the rejections, so that rules which reject nothing here still go by their cost
     gain = {r["rule"]: (r["rejected"] + 1) / (n + 1) / max(r["seconds"] / n, 1e-9) for r in rows}
     return sorted(rules, key=lambda r: -gain.get(r.name, 0.0))

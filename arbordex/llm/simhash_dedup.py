@@ -171,6 +171,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs of which each component keeps one: that with the least doc_id (and then row key)."""
     prints = document_fingerprints(docs)
-    keepers = fingerprint_components(prints).select(F.col("keeper.row").alias("k_row")).distinct()
-    rows = docs.withColumn("k_row", row_key())
-    return rows.join(keepers, "k_row", "left_semi").dropDuplicates(["k_row"]).select(*docs.columns)
+    keepers = fingerprint_components(prints).select(F.col("keeper.row").alias("__sim_row")).distinct()
+    rows = docs.withColumn("__sim_row", row_key())
+    return rows.join(keepers, "__sim_row", "left_semi").dropDuplicates(["__sim_row"]).select(*docs.columns)

@@ -107,16 +107,16 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[float, .
         return F.xxhash64(doc_id, source, size)
 
     parts = mixed.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("epochs", "cut"))).alias("plans"))
-    parts = parts.select(key("doc_id", "source", "size").alias("m_key"), F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "plans")
+    parts = parts.select(key("doc_id", "source", "size").alias("__mix_key"), F.col("doc_id").alias("__mix_doc_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("plans").alias("__mix_plans"))
     # repeated rows share a key: each takes its own element of the plans
-    copy = Window.partitionBy("m_key", "doc_id", "source", "m_n").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("m_n", word_count()).where("m_n > 0").withColumn("m_key", key("doc_id", "source", "m_n")).repartition("m_key")
-    rows = rows.withColumn("m_row", F.row_number().over(copy))
-    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_n") == F.col("m_size"))
-    rows = rows.join(parts, "m_key").where(same).withColumn("m_plan", F.get(F.col("plans"), F.col("m_row") - 1)).where("m_plan is not null")
-    takes = F.concat(F.array_repeat(F.col("m_n"), F.col("m_plan.epochs").cast("int")), F.when(F.col("m_plan.cut") > 0, F.array(F.col("m_plan.cut"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("m_take", F.explode(takes))
-    text = F.when(F.col("m_take") == F.col("m_n"), F.col("text")).otherwise(first_words(F.col("text"), F.col("m_take")))
+    copy = Window.partitionBy("__mix_key", "doc_id", "source", "__mix_n").orderBy(F.xxhash64("text"))
+    rows = docs.withColumn("__mix_n", word_count()).where("__mix_n > 0").withColumn("__mix_key", key("doc_id", "source", "__mix_n")).repartition("__mix_key")
+    rows = rows.withColumn("__mix_row", F.row_number().over(copy))
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_doc_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_n") == F.col("__mix_size"))
+    rows = rows.join(parts, "__mix_key").where(same).withColumn("__mix_plan", F.get(F.col("__mix_plans"), F.col("__mix_row") - 1)).where("__mix_plan is not null")
+    takes = F.concat(F.array_repeat(F.col("__mix_n"), F.col("__mix_plan.epochs").cast("int")), F.when(F.col("__mix_plan.cut") > 0, F.array(F.col("__mix_plan.cut"))).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("__mix_take", F.explode(takes))
+    text = F.when(F.col("__mix_take") == F.col("__mix_n"), F.col("text")).otherwise(first_words(F.col("text"), F.col("__mix_take")))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
