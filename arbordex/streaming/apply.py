@@ -86,7 +86,7 @@ def _wanted_links(rows: DataFrame) -> DataFrame:
     """The links that should exist afterwards, of objects whose links or names change."""
     one = F.array(F.struct(F.col("last.parent_frn").alias("parent_frn"), F.col("last.name").alias("name")))
     target = F.when(F.col("action") == "links", F.col("desired")).when(F.col("action").isin("upsert", "move_dir"), one)
-    return rows.withColumn("wanted", target).where("wanted is not null").select("frn", "action", "is_dir", "first_usn", F.explode("wanted").alias("link")).select("frn", "action", "is_dir", "first_usn", "link.*")
+    return rows.withColumn("wanted", target).where("wanted is not null").select("frn", "is_dir", F.explode("wanted").alias("link")).select("frn", "is_dir", "link.*")
 
 
 def _rejected(entries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     attributes = F.col("last.attributes")
     facts = F.coalesce("fetched", "carried", F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_secs")))
     change = rows.select(
-        F.col("frn").alias("c_frn"), "action", "first_usn", "fetched", "old", "old_stands", "n_links", "was_dir", "last",
+        F.col("frn").alias("c_frn"), "action", F.col("first_usn").alias("c_first"), "fetched", "old", "old_stands", "n_links", "was_dir", "last",
         F.when(F.col("action") == "links", F.col("desired")).alias("desired"), F.col("is_dir").alias("c_dir"), facts.alias("facts"), "reasons",
         has_attribute(attributes, "HIDDEN").alias("c_hidden"), has_attribute(attributes, "SYSTEM").alias("c_system"), has_attribute(attributes, "REPARSE_POINT").alias("c_reparse"),
     )
@@ -157,17 +157,17 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     )
     kept = materialize(kept, "kept")
     standing = live(kept).select("frn", "parent_frn", "name")
-    new = _wanted_links(rows.where("action in ('links', 'upsert')")).join(standing, ["frn", "parent_frn", "name"], "left_anti")
+    new = _wanted_links(rows.where("action in ('links', 'upsert')")).drop("is_dir").join(standing, ["frn", "parent_frn", "name"], "left_anti")
     new = new.join(change, F.col("frn") == F.col("c_frn"))
     place = F.row_number().over(Window.orderBy("new_first", "frn", "parent_frn", "name"))  # the batch's new links, in journal order
     last_id = kept.agg(F.max("entry_id").alias("last_id"), F.first("volume").alias("volume"), F.first("volume_ord").alias("volume_ord"))
-    new = new.select("frn", "parent_frn", "name", F.col("c_dir").alias("is_dir"), F.col("c_hidden").alias("hidden"), F.col("c_system").alias("system"), F.col("c_reparse").alias("reparse"), F.col("facts.size").alias("size"), F.col("facts.mtime_secs").alias("mtime_secs"), change["first_usn"].alias("new_first"))
+    new = new.select("frn", "parent_frn", "name", F.col("c_dir").alias("is_dir"), F.col("c_hidden").alias("hidden"), F.col("c_system").alias("system"), F.col("c_reparse").alias("reparse"), F.col("facts.size").alias("size"), F.col("facts.mtime_secs").alias("mtime_secs"), F.col("c_first").alias("new_first"))
     # one row is broadcast
     fresh = new.withColumn("__k", F.lit(1)).join(F.broadcast(last_id.withColumn("__k", F.lit(1))), "__k").withColumn("entry_id", F.coalesce("last_id", F.lit(0)) + place).withColumn("tombstone", F.lit(False))
     fresh = materialize(fresh.select(*names()), "fresh")
     after = kept.select(*names()).unionByName(fresh)
 
-    counts = rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if("fetched is null").alias("blind"), F.count_if("n_links = 0").alias("absent")).collect()
+    counts = rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fetched").isNull()).alias("blind"), F.count_if(F.col("n_links") == 0).alias("absent")).collect()
     by = {r["action"]: r for r in counts}
     died = kept.where("died").join(change.where("action in ('delete', 'links')").select(F.col("c_frn").alias("frn")), "frn", "left_semi").count()
     linked = fresh.join(change.where("action = 'links'").select(F.col("c_frn").alias("frn")), "frn", "left_semi").count()
