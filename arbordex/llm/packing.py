@@ -3,57 +3,57 @@
 Documents are cut into full windows, which need no packing, and a rest. Rests come in random order
 to the packers of bounded shards; each goes to the fill level that minimises the sum of the squared
 numbers of partially filled windows per level (Csirik et al., On the Sum-of-Squares Algorithm for
-Bin Packing, 2006). The numbers are one array with an element for each level.
+Bin Packing, 2006). The numbers are one array with an element for each level. When a shard has no
+more rests, the pieces of its emptiest windows are cut to fill the others, so that one window of the
+shard at most has padding.
 """
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize
 
-#: Rests that one packer gets, about. More waste less at a shard's end and take longer.
+#: Rests that one packer gets, about.
 SHARD_ROWS = 6000
-_CACHE = 300_000
-#: Where byte-level pre-tokens can be cut without a change: a run without white space keeps one
-#: space before it, and of white space before a run the last character stands alone.
-_SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
-_CHUNKS = regex.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: What both libraries are sure to class alike: Latin letters and general punctuation.
+_OTHER_SCRIPT = re.compile("[^\\x00-\\u024f\\u2000-\\u206f]")
 
 
 class TokenIds:
-    """Token ids of whole texts by the library, with a memory for chunks that it has encoded."""
+    """Token ids of whole texts, as the tokenizers library gives them.
 
-    def __init__(self, path: str):
+    ranks: the same vocabulary as a rank file, if there is one. Its library is several times faster
+    and gives equal ids for texts of Latin script without special strings; all others take the
+    tokenizers library.
+    """
+
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.fast = None
+        if ranks:
+            import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        chunks = [None if any(s in t for s in self.specials) else _CHUNKS.findall(t) for t in texts]
-        unseen = set().union(*(c for c in chunks if c is not None)) - self.known.keys()
-        if unseen:
-            unseen = list(unseen)
-            self.known.update(zip(unseen, self._encode(unseen), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for c, t in zip(chunks, texts, strict=True)]
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast and not _OTHER_SCRIPT.search(text) and not any(s in text for s in self.specials):
+            return np.array(self.fast.encode_ordinary(text), np.uint32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class SumOfSquares:
@@ -87,37 +87,80 @@ class SumOfSquares:
         return at, level
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int = 0) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, salt; written once."""
+def fill_up(windows: dict[int, list[list[int]]], window: int) -> None:
+    """Cut pieces [rest, start, length, offset] of the emptiest windows to fill the fullest, in place."""
+    fill = {at: sum(p[2] for p in parts) for at, parts in windows.items()}
+    ordered = sorted((at for at in fill if fill[at] < window), key=lambda at: (-fill[at], at))
+    full, poor = 0, len(ordered) - 1
+    while full < poor:
+        to, donor = ordered[full], ordered[poor]
+        gap = window - fill[to]
+        if not gap:
+            full += 1
+        elif not windows[donor]:
+            del windows[donor]
+            poor -= 1
+        else:
+            rest, start, length, _ = piece = windows[donor][-1]
+            take = min(gap, length)
+            windows[to].append([rest, start + length - take, take, fill[to]])
+            piece[2] -= take
+            fill[to] += take
+            fill[donor] -= take
+            if not piece[2]:
+                windows[donor].pop()
+    for at in [at for at, parts in windows.items() if not parts]:
+        del windows[at]
+
+
+def cut_documents(docs: DataFrame, library_args: tuple, window: int, end_id: int = 0) -> DataFrame:
+    """One row per full window or rest: doc_id, start, length, ids_crc32, doc_tokens, salt, and the ids of rests; written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library, end, seen = TokenIds(vocabulary), np.array([end_id], "<u4").tobytes(), 0
+        library, seen = TokenIds(*library_args), 0
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             for k in range(0, len(texts), 256):
                 out = []
-                for doc_id, raw in zip(ids[k : k + 256], library.encode(texts[k : k + 256]), strict=True):
+                for doc_id, text in zip(ids[k : k + 256], texts[k : k + 256], strict=True):
                     seen += 1
-                    raw, view = raw + end, memoryview(raw + end)
-                    n = len(raw) // 4
-                    for start in range(0, n, window):
-                        part = view[4 * start : 4 * (start + window)]
+                    tokens = np.append(library.encode(text), np.uint32(end_id))
+                    for start in range(0, len(tokens), window):
+                        part = tokens[start : start + window].astype("<u4")
                         crc = zlib.crc32(part)
-                        out.append((doc_id, start, len(part) // 4, crc, n, xxhash.xxh64_intdigest(f"{doc_id}/{start}/{crc}/{seen}") >> 1))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]).astype({"doc_id": "Int64"})
+                        salt = xxhash.xxh64_intdigest(f"{doc_id}/{start}/{crc}/{seen}") >> 1
+                        out.append((doc_id, start, len(part), crc, len(tokens), salt, part.tobytes() if len(part) < window else None))
+                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(rows.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"), "pieces")
-
-
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    return materialize(rows.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long, ids binary"), "pieces")
+
+
+def pack_rests(rests: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Pieces of one shard's rests, with the shard's own window numbers."""
+    rests = rests.sort_values(["salt", "doc_id", "start"], kind="stable").reset_index(drop=True)
+    packer, windows = SumOfSquares(window), {}
+    for n, size in enumerate(rests["length"].tolist()):
+        at, level = packer.place(size)
+        windows.setdefault(at, []).append([n, 0, size, level])
+    fill_up(windows, window)
+    rows = [(n, a, size, at, offset) for at, parts in windows.items() for n, a, size, offset in parts]
+    at = pd.DataFrame(rows, columns=["n", "a", "length", "window", "offset"])
+    out = rests.loc[at["n"], ["doc_id", "start", "ids_crc32", "doc_tokens"]].reset_index(drop=True)
+    out["start"] += at["a"]
+    raw, whole = rests["ids"].tolist(), rests["length"].tolist()
+    out["ids_crc32"] = [c if size == whole[n] else zlib.crc32(raw[n][4 * a : 4 * (a + size)]) for c, (n, a, size, _, _) in zip(out["ids_crc32"], rows, strict=True)]
+    return out.assign(length=at["length"], window=at["window"], offset=at["offset"])
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, window: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece.
 
     A null text is empty and has the end id alone. Each id of a document, its end id included, lies
     in one piece. Full windows are sequences of their own. Repeated rows are separate documents with
     equal ids; an empty table gives an empty result; extra columns are ignored.
     """
-    pieces = cut_documents(docs, vocabulary, window)
+    pieces = cut_documents(docs, (vocabulary, ranks, pattern), window)
     full = F.col("length") == window
     shards = max(1, -(-pieces.where(~full).count() // shard_rows))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -125,13 +168,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, shard_r
     own = pieces.where(full).select(*columns, F.col("salt").bitwiseAND(F.lit(~1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["salt", "doc_id", "start"], kind="stable")
-        packer = SumOfSquares(window)
-        places = [packer.place(size) for size in pdf["length"].tolist()]
-        pdf["sequence_id"] = [((int(shard) << 24 | at) << 1) | 1 for shard, (at, _) in zip(pdf["shard"], places, strict=True)]
-        pdf["offset"] = [level for _, level in places]
-        return pdf[[*columns, "sequence_id", "offset"]]
-
-    shard = F.pmod(F.col("salt"), F.lit(shards))
-    rest = pieces.where(~full).withColumn("shard", shard).groupBy("shard").applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return own.unionByName(rest)
+        shard, done = int(pdf["shard"].iloc[0]), pack_rests(pdf, window)
+        done["sequence_id"] = 2 * ((shard << 24) + done["window"]) + 1
+        return done[[*columns, "sequence_id", "offset"]].astype({"doc_id": "Int64"})
+
+    rest = pieces.where(~full).withColumn("shard", F.pmod(F.col("salt"), F.lit(shards)))
+    packed = rest.groupBy("shard").applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return own.unionByName(packed)
