@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_topk_search, op5_chat_format, op6_source_mixing, op7_simhash_dedup, op8_quality_classifier, op9_packing, op10_line_dedup)
 }
-SQL: dict[str, str] = {}
