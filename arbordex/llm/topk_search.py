@@ -20,11 +20,11 @@ from pyspark.sql.window import Window
 
 from ._shared import materialize
 
-BLOCK_VECTORS = 8192
-BLOCK_QUERIES = 512
-LEVELS = 12
-#: Bounds are tested after each such part of the segments.
-_STEPS = 16
+BLOCK_VECTORS = 4096
+BLOCK_QUERIES = 256
+LEVELS = 24
+#: Shares of the segments after which the bounds are tested; earlier no proof is to be expected.
+_TESTS = (0.6, 0.7, 0.85, 1.0)
 #: A search ends when at most this part of a block is possible; those are scored exactly.
 _RESCORE = 4
 #: Components beyond it are held at it, so that a score fits a long.
@@ -40,53 +40,79 @@ def quantised_rows(table: DataFrame, scale: float = 256.0) -> DataFrame:
 
 
 class ImpactIndex:
-    """Posting segments of one block of vectors."""
+    """Posting segments of one block of vectors.
+
+    Segments are the columns of an incidence matrix, so that a round of segments is scored for many
+    queries by one matrix product.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
-        self.ids, self.vectors = ids, vectors
-        self.postings, dims, low, high = [], [], [], []
-        for d in range(vectors.shape[1]):
+        self.ids, self.vectors, self.exact = ids, vectors, vectors.astype(np.float64)
+        n, n_dims = vectors.shape
+        members, dims, low, high = [], [], [], []
+        for d in range(n_dims):
             column = vectors[:, d]
-            order = np.argsort(column, kind="stable")
-            for rows in np.array_split(order, levels):
+            for rows in np.array_split(np.argsort(column, kind="stable"), levels):
                 if len(rows):
-                    self.postings.append(np.sort(rows))
+                    members.append(rows)
                     dims.append(d)
                     low.append(column[rows[0]])
                     high.append(column[rows[-1]])
         self.dims, self.low, self.high = np.array(dims, np.int64), np.array(low, np.int64), np.array(high, np.int64)
+        self.incidence = np.zeros((n, len(members)))
+        for s, rows in enumerate(members):
+            self.incidence[rows, s] = 1
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact scores of the k best vectors but the query's own, ties to the smaller id."""
+    def _best(self, possible: np.ndarray, q: np.ndarray, k: int, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the possible rows by exact scores, ties to the smaller id."""
+        scores = np.rint(self.exact[possible] @ q).astype(np.int64) if safe else self.vectors[possible] @ q
+        best = np.lexsort((self.ids[possible], -scores))[:k]
+        return self.ids[possible[best]], scores[best]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and scores of its k best vectors but its own."""
         n, n_dims = self.vectors.shape
-        own = self.ids == query_id
-        weight = q[self.dims]
-        impact = np.maximum(weight * self.low, weight * self.high)
-        order = np.argsort(-impact, kind="stable")
-        # one array holds both the number of processed dimensions (times unit) and the sum so far
-        unit = 1 << (62 - int(n_dims).bit_length())
-        gathered = np.zeros(n, np.int64)
-        possible = np.flatnonzero(~own)
-        if 4 * int(np.abs(weight).max(initial=0)) * int(np.abs(self.vectors).max(initial=0)) * n_dims >= unit:
-            order = order[:0]  # the sums don't fit beside the numbers: nothing is proven, all are scored
-        step = max(1, -(-len(order) // _STEPS))
-        for begin in range(0, len(order), step):
-            for s in order[begin : begin + step]:
-                gathered[self.postings[s]] += impact[s] + unit
-            rest = order[begin + step :]
-            if len(rest) == 0 or len(possible) <= 4 * k:
+        others = self.ids[:, None] != query_ids[None, :]
+        most = int(np.abs(queries).max(initial=0)) * int(np.abs(self.vectors).max(initial=0)) * max(1, n_dims)
+        unit = float(1 << (4 * most).bit_length())
+        safe = most < 1 << 53
+        if not len(self.dims) or unit * n_dims >= 1 << 52 or n <= 4 * k:  # nothing to gain, or no room beside the sums
+            return [self._best(np.flatnonzero(others[:, c]), q, k, safe) for c, q in enumerate(queries)]
+        weight = queries.T[self.dims]  # segments x queries
+        impact = np.maximum(weight * self.low[:, None], weight * self.high[:, None])
+        order = np.argsort(-impact, axis=0, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(order))[:, None], axis=0)
+        ranked = np.take_along_axis(impact, order, axis=0)
+        out: list = [None] * len(queries)
+        left = np.arange(len(queries))
+        # one number holds both the processed dimensions (times unit) and the sum so far
+        gathered = np.zeros((n, len(queries)))
+        proven = np.full(len(queries), -np.inf)
+        begin = 0
+        for share in _TESTS:
+            stop = int(share * len(order))
+            now = (place[:, left] >= begin) & (place[:, left] < stop)
+            gathered += self.incidence @ np.where(now, impact[:, left] + unit, 0.0)
+            begin = stop
+            if stop == len(order):
                 break
+            processed = np.rint(gathered / unit)
+            bound = np.where(others[:, left], gathered - processed * unit + (n_dims - processed) * ranked[stop, left], -np.inf)
             # what the leaders score exactly, against what the others can still reach
-            processed = (gathered[possible] + unit // 2) // unit
-            bound = gathered[possible] - processed * unit + (n_dims - processed) * impact[rest[0]]
-            lead = possible[np.argpartition(-bound, k)[:k]]
-            proven = (self.vectors[lead] @ q).min()
-            possible = possible[bound >= proven]
-            if len(possible) <= max(4 * k, n // _RESCORE):
+            lead = np.argpartition(-bound, k, axis=0)[:k]
+            score = np.where(np.take_along_axis(others[:, left], lead, 0), np.einsum("kmd,md->km", self.exact[lead], queries[left].astype(np.float64)), -np.inf)
+            proven = np.maximum(proven, score.min(0))
+            possible = bound >= proven
+            ready = possible.sum(0) <= max(4 * k, n // _RESCORE)
+            for c in np.flatnonzero(ready):
+                out[left[c]] = self._best(np.flatnonzero(possible[:, c]), queries[left[c]], k, safe)
+            left, gathered, proven = left[~ready], gathered[:, ~ready], proven[~ready]
+            if not len(left):
                 break
-        scores = self.vectors[possible] @ q
-        best = np.lexsort((self.ids[possible], -scores))[:k]
-        return possible[best], scores[best]
+        for c in left:  # no proof leaves few enough
+            out[c] = self._best(np.flatnonzero(others[:, c]), queries[c], k, safe)
+        return out
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -114,9 +140,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_vector
             rows, asked = rows.sort_values("vec_id", kind="stable"), asked.sort_values("vec_id", kind="stable")
             width = int(max(rows["v"].map(len).max(), asked["v"].map(len).max(), 1))
             index = ImpactIndex(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], width))
-            for query_id, q in zip(asked["vec_id"].tolist(), _matrix(asked["v"], width), strict=True):
-                at, scores = index.search(query_id, q, k)
-                out += zip([query_id] * len(at), index.ids[at].tolist(), scores.tolist(), strict=True)
+            query_ids = asked["vec_id"].to_numpy(np.int64)
+            for query_id, (ids, scores) in zip(query_ids.tolist(), index.search(query_ids, _matrix(asked["v"], width), k), strict=True):
+                out += zip([query_id] * len(ids), ids.tolist(), scores.tolist(), strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     best = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score long")
