@@ -43,3 +43,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is read in fewer parts than there are (one small file, say); else df."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, spread
 
 #: Rests that one packer gets, about.
-SHARD_ROWS = 6000
+SHARD_ROWS = 4096
 #: What both libraries are sure to class alike: Latin letters and general punctuation.
 _OTHER_SCRIPT = re.compile("[^\\x00-\\u024f\\u2000-\\u206f]")
 
@@ -132,7 +132,7 @@ def cut_documents(docs: DataFrame, library_args: tuple, window: int, end_id: int
                         out.append((doc_id, start, len(part), crc, len(tokens), salt, part.tobytes() if len(part) < window else None))
                 yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]).astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     return materialize(rows.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long, ids binary"), "pieces")
 
 

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import spread
+
 BITS = 18
 #: So many labelled rows at most are fitted, those with the least hash of doc_id.
 TRAIN_ROWS = 6000
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~in_held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # train_rows rows at most
+    texts = spread(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # train_rows rows at most
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = NgramIndex()
@@ -188,6 +190,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
             yield pd.Series([model.score(index.features(t)) for t in part], dtype="float64")
 
     score = F.pandas_udf(run, "double")
-    docs = docs.drop("held_out", "score", "predicted")
+    docs = spread(docs.drop("held_out", "score", "predicted"))
     scored = docs.withColumn("held_out", F.coalesce(in_held_out(), F.lit(False))).withColumn("score", score(F.col("text")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import spread
+
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: The sample for the plan: so many documents at most, picked by a hash of their text.
@@ -111,6 +113,12 @@ class Features:
     def n_distinct(self) -> int:
         return len(set(self.words))
 
+    @cached_property
+    def n_again(self) -> int:
+        """Words that equal the word before."""
+        w = self.words
+        return sum(map(bytes.__eq__, w[1:], w[:-1]))
+
     @cached_property
     def letters(self) -> tuple[int, int]:
         """Letters with a case, and those in upper case."""
@@ -137,6 +145,7 @@ RULES = (
     Rule("word_length", lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words),
     Rule("symbols", lambda d: 10 * d.n_symbols > 3 * d.n_words),
     Rule("shouted_words", lambda d: 10 * d.n_shouted > 3 * d.n_words),
+    Rule("words_in_a_row", lambda d: 10 * d.n_again > 3 * d.n_words),
     Rule("duplicate_lines", lambda d: len(d.lines) >= 4 and 2 * d.n_dup_lines > len(d.lines)),
     Rule("upper_case", lambda d: 2 * d.letters[1] > d.letters[0] > 0),
     Rule("few_letters", lambda d: 2 * d.letters[0] < d.word_chars),
@@ -199,4 +208,4 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words:
             yield res
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(judge, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(judge, schema)

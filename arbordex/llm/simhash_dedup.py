@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import star_components
-from ._shared import materialize
+from ._shared import materialize, spread
 
 SHINGLE = 4
 SEED = 42
@@ -67,7 +67,7 @@ def row_key() -> Column:
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, row, fp) of each row, written once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
-    return materialize(rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long"), "prints")
+    return materialize(spread(rows).mapInArrow(_fingerprints, "doc_id long, row long, fp long"), "prints")
 
 
 def table_keys(fp: Column) -> Column:

@@ -19,12 +19,12 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 8) y(k) GROUP BY r),
 tops AS (SELECT r, max(c) AS top, count(*) AS n_distinct FROM (SELECT r, x, count(*) AS c FROM (SELECT r, unnest(w) AS x FROM base) GROUP BY r, x) GROUP BY r),
 f AS (SELECT base.*, coalesce(wc, 0) AS word_chars, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(top, 0) AS top, coalesce(n_distinct, 0) AS n_distinct,
- len(list_filter(w, lambda x: ends_with(x, '!!') OR ends_with(x, '??'))) AS shouted,
+ len(list_filter(w, lambda x: ends_with(x, '!!') OR ends_with(x, '??'))) AS shouted, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS again,
  len(list_filter(string_split(t, ''), lambda x: x <> lower(x))) AS up, len(list_filter(string_split(t, ''), lambda x: x <> lower(x) OR x <> upper(x) OR x = 'ß')) AS letters
  FROM base LEFT JOIN rep USING (r) LEFT JOIN tops USING (r)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
- NOT base_failed AND NOT (n_words > 200000 OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * shouted > 3 * n_words OR len(ls) >= 4 AND 2 * n_dup_lines > len(ls)
+ NOT base_failed AND NOT (n_words > 200000 OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * shouted > 3 * n_words OR 10 * again > 3 * n_words OR len(ls) >= 4 AND 2 * n_dup_lines > len(ls)
  OR 2 * up > letters AND letters > 0 OR 2 * letters < word_chars OR n_words >= 40 AND 4 * top > n_words OR n_words >= 60 AND n_distinct * n_distinct < 4 * n_words) AS kept FROM v
 """
 

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import spread
+
 #: White space of the vocabulary's patterns: Unicode White_Space, which lacks the four separators
 #: U+001C to U+001F that Python's str.split() takes.
 _SPLIT = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
@@ -169,4 +171,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return spread(rows).mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
