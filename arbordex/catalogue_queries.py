@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalogue_sql as sql
-from .functions import fold, highlight, literals, scalars
+from .functions import fold, highlight, literals, scalars, wtf8
 from .operators import checks, search, statistics, tree
 from .operators.search import Catalogue
 from .plans.compiler import Options, compile_query, validate
 from .plans.focus import focused
 from .plans.implication import subsumes
+from .metrics import Metrics
+from .plans import regexes
 from .plans.query_text import parse
-from .sources import journal, tables
-from .sources.snapshots import names
+from .sources import journal, records, tables
+from .sources.snapshots import SnapshotStore, names
 from .streaming import apply, decisions
-from .workspace import materialize
+from .workspace import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -607,3 +610,148 @@ def _restore(spark, sf_dir):
 def _tail(spark, sf_dir):
     d = decisions.tail_decision
     return spark.createDataFrame([("records", d()), ("truncated", d(truncated=True)), ("gone", d(gone=True)), ("error", d(failed=True))], "given string, decision string")
+
+
+# --- decoded file records
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Orders as file records: every fifth has its names in an extension, every seventh is not in use."""
+    o = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    long_name = F.concat(F.lit("Order_"), F.col("o_orderkey").cast("string"), F.lit(".txt"))
+    short_name = F.concat(F.lit("ORDER~"), F.col("o_orderkey").cast("string"))
+    parent = F.lit(1 << 48).bitwiseOR(F.col("o_custkey"))
+
+    def name(space: int, text):
+        return F.struct(F.lit(space).alias("namespace"), parent.alias("parent_frn"), text.alias("name"))
+
+    both = F.array(name(1, long_name), name(2, short_name))
+    none = F.array().cast("array<struct<namespace:int,parent_frn:long,name:string>>")
+    away = F.col("o_orderkey") % 5 == 0
+    record = F.col("o_orderkey") * 2 + 100
+    size = F.round(F.col("o_totalprice") * 100).cast("long")
+    streams = F.array(F.struct(F.lit("zone").alias("name"), F.lit(7).cast("long").alias("size")), F.struct(F.lit("").alias("name"), size.alias("size")))
+    common = [F.lit(3).alias("sequence"), (F.col("o_orderkey") % 7 != 0).alias("in_use"), (F.col("o_orderstatus") == "P").alias("is_dir")]
+    base = o.select(record.alias("record"), *common, F.lit(0).cast("long").alias("base"), F.when(away, none).otherwise(both).alias("names"), streams.alias("streams"), F.lit(0).cast("long").alias("mtime_secs"), F.lit(0).cast("long").alias("attributes"))
+    more = o.where(away).select((record + 1).alias("record"), *common, record.alias("base"), both.alias("names"), F.array().cast("array<struct<name:string,size:long>>").alias("streams"), F.lit(0).cast("long").alias("mtime_secs"), F.lit(0).cast("long").alias("attributes"))
+    own = spark.createDataFrame([(0, 1, True, False, 0, [(3, 5, "$own")], [], 0, 0)], records.RECORDS)
+    return base.unionByName(more).unionByName(own)
+
+
+@register("src_record_parse", "SELECT o_orderkey * 2 + 100 AS record, 'Order_' || o_orderkey || '.txt' AS name, o_orderstatus = 'P' AS is_dir FROM orders WHERE o_orderkey % 7 <> 0")
+def _record_parse(spark, sf_dir):
+    return records.link_rows(_records(spark, sf_dir)).select("record", "name", "is_dir")
+
+
+@register("src_attr_extract", "SELECT o_orderkey * 2 + 100 AS record, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS size FROM orders")
+def _attr_extract(spark, sf_dir):
+    return _records(spark, sf_dir).where("base = 0 and record >= 100").select("record", records.content_size().alias("size"))
+
+
+@register("src_searchable_names", "SELECT o_orderkey * 2 + 100 AS record, 281474976710656 + o_custkey AS parent_frn, 844424930131968 + o_orderkey * 2 + 100 AS frn FROM orders WHERE o_orderkey % 7 <> 0")
+def _searchable(spark, sf_dir):
+    return records.link_rows(_records(spark, sf_dir)).select("record", "parent_frn", "frn")
+
+
+@register("src_deferred_join", "SELECT o_orderkey * 2 + 100 AS record, 2 AS n_names FROM orders WHERE o_orderkey % 7 <> 0")
+def _deferred(spark, sf_dir):
+    return records.deferred_names(_records(spark, sf_dir)).where("record >= 100").select("record", F.size("names").alias("n_names"))
+
+
+# --- names outside Unicode
+
+
+@register("fn_wtf8_encode", "SELECT doc_id, hex(encode(lang || '_é𝄞_' || source)) AS wtf8 FROM documents UNION ALL SELECT -1, '41EDA08042' UNION ALL SELECT -2, 'F09F8E89'")
+def _wtf8_encode(spark, sf_dir):
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat("lang", F.lit("_é𝄞_"), "source"), "UTF-16LE").alias("u"))
+    odd = spark.createDataFrame([(-1, bytearray(b"A\x00\x00\xd8B\x00")), (-2, bytearray("🎉".encode("utf-16-le")))], "doc_id long, u binary")
+    return d.unionByName(odd).select("doc_id", F.hex(wtf8.encode("u")).alias("wtf8"))
+
+
+@register("fn_wtf8_decode", "SELECT doc_id, length(lang || source) * 2 + 8 AS n_bytes, true AS same FROM documents")
+def _wtf8_decode(spark, sf_dir):
+    """Round trips, with a lone surrogate in every name."""
+    u = F.concat(F.encode(F.concat("lang", "source"), "UTF-16LE"), F.unhex(F.lit("00D841003CD889DF")))
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", u.alias("u"))
+    back = d.withColumn("b", wtf8.decode(wtf8.encode("u")))
+    return back.select("doc_id", F.length("b").alias("n_bytes"), (F.col("b") == F.col("u")).alias("same"))
+
+
+_ODD_NAMES = [(1, "41EDA08042"), (2, "41C3A942"), (3, "4142"), (4, "41EDA0804142"), (5, "61EDB08062")]
+
+
+@register("flt_regex_wtf8", _values([("^A.B$", 1), ("^A.B$", 2), ("^a.*b$", 1), ("^a.*b$", 2), ("^a.*b$", 3), ("^a.*b$", 4), ("^a.*b$", 5)], "pattern, id"))
+def _regex_wtf8(spark, sf_dir):
+    rows = spark.createDataFrame(_ODD_NAMES, "id int, h string").withColumn("b", F.unhex("h"))
+    parts = [rows.where(wtf8.matches(F.col("b"), regexes.to_java(p, i))).select(F.lit(p).alias("pattern"), "id") for p, i in (("^A.B$", False), ("^a.*b$", True))]
+    return parts[0].unionByName(parts[1])
+
+
+# --- snapshots, the stream, the driver's own figures
+
+
+@register("sink_snapshot_save", f"{sql.BASE}SELECT volume, entry_id, frn, parent_frn, name, size, mtime_secs FROM e")
+def _snapshot(spark, sf_dir):
+    """Saved, committed, loaded again with all checks."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/arbordex-store-{uuid.uuid4().hex}")
+    store.save(tables.entries(spark, sf_dir), 1, 1)
+    return store.load().select("volume", "entry_id", "frn", "parent_frn", "name", "size", "mtime_secs")
+
+
+@register("src_snapshot_load", f"{sql.BASE}SELECT count(*) AS n_rows, 2 AS version FROM e WHERE volume = 'C:'")
+def _snapshot_load(spark, sf_dir):
+    """The later of two committed versions."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/arbordex-store-{uuid.uuid4().hex}")
+    store.save(tables.entries(spark, sf_dir, ("D:",)), 1, 1)
+    meta = store.save(tables.entries(spark, sf_dir, ("C:",)), 1, 2)
+    return store.load(meta).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("version", F.lit(meta.version))
+
+
+@register("st_checkpoint", f"WITH {sql.JOURNAL} SELECT entry_id, name, tombstone, size FROM done")
+def _stream(spark, sf_dir):
+    """The journal through a stream; its second start finds nothing new and changes nothing."""
+    at = f"{shared_dir(spark)}/arbordex-stream-{uuid.uuid4().hex}"
+    store = SnapshotStore(spark, f"{at}/store")
+    store.save(_before(spark, sf_dir), 1, 0)
+    batch = _events(spark, sf_dir).drop("k")
+    batch.write.parquet(f"{at}/in")
+    for _ in range(2):
+        stream = spark.readStream.schema(batch.schema).parquet(f"{at}/in")
+        apply.start(stream, store, f"{at}/checkpoint", _looked_up(spark, sf_dir)).awaitTermination()
+    return store.load(sound=False).where("not is_dir").select("entry_id", "name", "tombstone", "size")
+
+
+@register("st_queue_drop", _values([(256, 44, 44)], "kept, dropped, first_kept"))
+def _queue(spark, sf_dir):
+    q = decisions.EventQueue()
+    for n in range(300):
+        q.push(("index_changed", n))
+    return spark.createDataFrame([(len(q.events), q.dropped, q.events[0][1])], "kept int, dropped int, first_kept int")
+
+
+@register("st_debounce", "WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY event_id) AS i, event_id * 70 AS ms FROM events), d AS (SELECT i, ms, ms AS last, true AS passes FROM e WHERE i = 1 UNION ALL SELECT e.i, e.ms, CASE WHEN e.ms - d.last >= 200 THEN e.ms ELSE d.last END, e.ms - d.last >= 200 FROM d JOIN e ON e.i = d.i + 1 WHERE e.i <= 50) SELECT i, passes FROM d")
+def _debounce(spark, sf_dir):
+    d = decisions.Debounce(200)
+    return spark.createDataFrame([(i, d.passes((i - 1) * 70)) for i in range(1, 51)], "i int, passes boolean")
+
+
+@register("st_volume_state", _values([("scanning", "volume_ready", "ready"), ("ready", "rescan_started", "rescanning"), ("rescanning", "volume_ready", "ready"), ("ready", "volume_failed", "failed"), ("scanning", "progress", "scanning")], "state, event, after"))
+def _volume_state(spark, sf_dir):
+    moves = [("scanning", "volume_ready"), ("ready", "rescan_started"), ("rescanning", "volume_ready"), ("ready", "volume_failed"), ("scanning", "progress")]
+    return spark.createDataFrame([(s, e, decisions.next_state(s, e)) for s, e in moves], "state string, event string, after string")
+
+
+@register("agg_counters", _values([(300, 100, 256, 64)], "queries, refined, traced, shown"))
+def _counters(spark, sf_dir):
+    m = Metrics()
+    for n in range(300):
+        m.query(f"q{n}", n, n + 1, n % 3 == 0, False)
+    return spark.createDataFrame([(m.counters["queries"], m.counters["refined"], len(m.rings["query"]), m.queries(spark).count())], "queries int, refined int, traced int, shown int")
+
+
+@register("agg_metrics_snapshot", _values([("p50", 256), ("p90", 512), ("p99", 512), ("p999", 512)], "share, micros"))
+def _metrics_snapshot(spark, sf_dir):
+    m = Metrics()
+    for n in range(300):
+        m.query(f"q{n}", n, n + 1, False, False)
+    return spark.createDataFrame(list(m.snapshot(spark)["latency_us"].items()), "share string, micros long")
