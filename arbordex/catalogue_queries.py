@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import catalogue_sql as sql
 from .functions import fold, highlight, literals, scalars, wtf8
 from .operators import checks, search, statistics, tree
+from .operators.ranks import number
 from .operators.search import Catalogue
 from .plans.compiler import Options, compile_query, validate
 from .plans.focus import focused
@@ -353,8 +354,7 @@ def _dedup_links(spark, sf_dir):
 def _rank(spark, sf_dir):
     """The rank of a name among distinct folded names, numbered by range partitions."""
     entries = tables.catalogue(spark, sf_dir).entries
-    distinct = entries.select("folded").distinct().select("folded", F.lit(0).alias("volume_ord"), F.lit(0).alias("entry_id"))
-    ranks = search.positions(distinct).select("folded", F.col("pos").alias("name_rank"))
+    ranks = number(entries.select("folded").distinct(), [F.col("folded")], "name_rank")
     return entries.join(ranks, "folded").select("volume", "entry_id", "name_rank")
 
 

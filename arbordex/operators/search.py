@@ -14,6 +14,7 @@ from ..functions import scalars
 from ..functions.fold import fold, nfc, nfc_folded
 from ..plans.compiler import Options, Plan, compile_query
 from . import tree
+from .ranks import number
 
 _KEYS = {"name": "folded", "size": "size", "mtime": "mtime_secs"}
 
@@ -68,19 +69,8 @@ def top(catalogue: Catalogue, text: str, n: int = limits.MAX_PAGE_ROWS, options:
 
 
 def positions(rows: DataFrame, options: Options = Options()) -> DataFrame:
-    """rows with pos, their place in the order, from 0.
-
-    Range partitions are numbered one by one: counts per partition (a row each) give the offsets, so
-    no task sees more than its own range.
-    """
-    sorted_rows = rows.orderBy(*order(options)).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    from ..workspace import materialize
-
-    fixed = materialize(sorted_rows, "ordered")
-    counts = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return fixed.join(F.broadcast(offsets), "__part").withColumn("pos", (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__n", "__before")
+    """rows with pos, their place in the order, from 0."""
+    return number(rows, order(options))
 
 
 def projected(rows: DataFrame, paths: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import number
+
 GIB4 = (1 << 32) - 1
 
 
@@ -110,12 +112,8 @@ def histogram_percentile(histogram: DataFrame, share: float) -> DataFrame:
 def name_ids(entries: DataFrame) -> DataFrame:
     """folded, first_id, name_id: distinct folded names numbered from 0 by the entry that shows them first."""
     firsts = live(entries).groupBy("folded").agg(F.min(F.struct("volume_ord", "entry_id")).alias("first"))
-    from .search import Options, positions
-
-    keyed = firsts.select("folded", F.col("first.volume_ord").alias("volume_ord"), F.col("first.entry_id").alias("entry_id"))
-    # numbered by range partitions: first by volume, then by entry
-    ordered = positions(keyed.withColumn("size", F.col("volume_ord").cast("long") * (1 << 50) + F.col("entry_id")), Options(sort="size"))
-    return ordered.select("folded", F.col("entry_id").alias("first_id"), F.col("pos").alias("name_id"))
+    ordered = number(firsts, [F.col("first.volume_ord"), F.col("first.entry_id")], "name_id")
+    return ordered.select("folded", F.col("first.entry_id").alias("first_id"), "name_id")
 
 
 def first_links(entries: DataFrame) -> DataFrame:

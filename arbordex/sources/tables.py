@@ -10,11 +10,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.fold import fold
 from ..functions.scalars import make_frn
 from ..operators import tree
+from ..operators.ranks import number
 from ..operators.search import Catalogue
 from ..workspace import materialize
 
@@ -57,8 +57,8 @@ def _root(spark: SparkSession, volume: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame, *columns: str) -> DataFrame:
-    """Distinct values with n, their rank; as many rows as there are directories of that kind."""
-    return df.select(*columns).distinct().withColumn("n", F.row_number().over(Window.orderBy(*columns)))
+    """Distinct values with n, their rank from 1."""
+    return number(df.select(*columns).distinct(), [F.col(c) for c in columns], "n").withColumn("n", F.col("n") + 1)
 
 
 def volume_c(spark: SparkSession, sf_dir: str) -> DataFrame:

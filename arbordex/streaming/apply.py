@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import TopologyError
 from ..functions.scalars import REASONS, has_attribute, record
 from ..operators import tree
+from ..operators.ranks import number
 from ..operators.statistics import live
 from ..sources.snapshots import COLUMNS, Meta, SnapshotStore, names
 from ..workspace import materialize
@@ -159,11 +159,11 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     standing = live(kept).select("frn", "parent_frn", "name")
     new = _wanted_links(rows.where("action in ('links', 'upsert')")).drop("is_dir").join(standing, ["frn", "parent_frn", "name"], "left_anti")
     new = new.join(change, F.col("frn") == F.col("c_frn"))
-    place = F.row_number().over(Window.orderBy("new_first", "frn", "parent_frn", "name"))  # the batch's new links, in journal order
     last_id = kept.agg(F.max("entry_id").alias("last_id"), F.first("volume").alias("volume"), F.first("volume_ord").alias("volume_ord"))
     new = new.select("frn", "parent_frn", "name", F.col("c_dir").alias("is_dir"), F.col("c_hidden").alias("hidden"), F.col("c_system").alias("system"), F.col("c_reparse").alias("reparse"), F.col("facts.size").alias("size"), F.col("facts.mtime_secs").alias("mtime_secs"), F.col("c_first").alias("new_first"))
-    # one row is broadcast
-    fresh = new.withColumn("__k", F.lit(1)).join(F.broadcast(last_id.withColumn("__k", F.lit(1))), "__k").withColumn("entry_id", F.coalesce("last_id", F.lit(0)) + place).withColumn("tombstone", F.lit(False))
+    # new links are numbered in journal order; one row is broadcast
+    new = number(new, [F.col(c) for c in ("new_first", "frn", "parent_frn", "name")], "place")
+    fresh = new.withColumn("__k", F.lit(1)).join(F.broadcast(last_id.withColumn("__k", F.lit(1))), "__k").withColumn("entry_id", F.coalesce("last_id", F.lit(0)) + F.col("place") + 1).withColumn("tombstone", F.lit(False))
     fresh = materialize(fresh.select(*names()), "fresh")
     after = kept.select(*names()).unionByName(fresh)
 
@@ -192,14 +192,11 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
 
 def compact(entries: DataFrame) -> DataFrame:
     """Live rows renumbered from 0 in their order per volume; rows whose parent is gone hang at the root."""
-    from ..operators.search import Options, positions
-
     rows = tree.resolve_or_root(live(entries))
-    keyed = rows.withColumn("__size", F.col("size")).withColumn("size", F.col("volume_ord").cast("long") * (1 << 55) + F.col("entry_id"))
-    numbered = positions(keyed, Options(sort="size"))
+    numbered = number(rows, [F.col("volume_ord"), F.col("entry_id")])
     firsts = numbered.groupBy("volume").agg(F.min("pos").alias("__first"))
     done = numbered.join(F.broadcast(firsts), "volume")  # one row per volume
-    return done.withColumn("entry_id", F.col("pos") - F.col("__first")).withColumn("size", F.col("__size")).select(*names())
+    return done.withColumn("entry_id", F.col("pos") - F.col("__first")).select(*names())
 
 
 def compaction_due(n_rows: int, tombstones: int, dead_name_bytes: int = 0, appended_names: int = 0, least_rows: int = 100_000) -> bool:
