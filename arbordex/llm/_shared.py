@@ -2,50 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import materialize, shared_dir
+
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "WORD_REGEX", "materialize", "shared_dir", "spread", "text_or_empty"]
+
 #: ASCII white space, as a regular-expression class body and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A word is a longest run of anything else.
 WORD_REGEX = rf"[^{SPACE_CLASS}]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (local tests), a temporary folder of this process is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="arbordex-")
-    return _own_dirs[app]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read of this table, not a recomputation of df.
-    """
-    path = f"{shared_dir(df.sparkSession)}/arbordex-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if it is read in fewer parts than there are (one small file, say); else df."""
+    """A table as read, dealt over all cores if it has fewer parts than there are (one small file, say); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

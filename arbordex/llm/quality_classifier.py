@@ -18,11 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import spread
-
 BITS = 18
 #: So many labelled rows at most are fitted, those with the least hash of doc_id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 THRESHOLD = 0.3
 _CACHE = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -99,18 +97,21 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: n
     n = len(rows)
     share = {y: max(1, int((labels == y).sum())) for y in (-1, 1)}
     upper = np.array([c * n / (2 * share[int(y)]) for y in labels])
-    vectors = [ratio[i] / np.sqrt(max(len(i), 1)) for i in rows]
-    diagonal = np.array([float(v @ v) + 1 for v in vectors])
+
+    def vector(k: int) -> np.ndarray:
+        return ratio[rows[k]] / np.sqrt(max(len(rows[k]), 1))
+
+    diagonal = np.array([float((v := vector(k)) @ v) + 1 for k in range(n)])
     w, bias, dual, rng = np.zeros(1 << BITS), 0.0, np.zeros(n), np.random.default_rng(seed)
     for _ in range(epochs):
         for k in rng.permutation(n):
-            y = labels[k]
-            gradient = y * (w[rows[k]] @ vectors[k] + bias) - 1
+            y, v = labels[k], vector(k)
+            gradient = y * (w[rows[k]] @ v + bias) - 1
             new = min(max(dual[k] - gradient / diagonal[k], 0.0), upper[k])
             step = (new - dual[k]) * y
             if step:
                 dual[k] = new
-                w[rows[k]] += step * vectors[k]
+                w[rows[k]] += step * v
                 bias += step
     return w, bias
 
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~in_held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = spread(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # train_rows rows at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # train_rows rows at most
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = NgramIndex()
@@ -190,6 +191,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
             yield pd.Series([model.score(index.features(t)) for t in part], dtype="float64")
 
     score = F.pandas_udf(run, "double")
-    docs = spread(docs.drop("held_out", "score", "predicted"))
+    docs = docs.drop("held_out", "score", "predicted")
     scored = docs.withColumn("held_out", F.coalesce(in_held_out(), F.lit(False))).withColumn("score", score(F.col("text")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search
+from ._shared import spread
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -17,14 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work in Python workers, over all cores also where they are one small file."""
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_cascade(_table(spark, sf_dir, "documents"))
+    return quality_rules.quality_cascade(_documents(spark, sf_dir))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +61,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return quality_classifier.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
@@ -67,7 +73,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     names = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), *names)
+    return packing.pack_documents(_documents(spark, sf_dir), *names)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
