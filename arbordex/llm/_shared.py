@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import materialize, shared_dir
+from ..workspace import materialize
 
-__all__ = ["SPACE_CHARS", "SPACE_CLASS", "WORD_REGEX", "materialize", "shared_dir", "spread", "text_or_empty"]
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "WORD_REGEX", "materialize", "spread", "text_or_empty"]
 
 #: ASCII white space, as a regular-expression class body and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"

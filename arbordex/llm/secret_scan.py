@@ -11,14 +11,13 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import materialize, shared_dir
+from ..workspace import drop_at_end, materialize, temporary_path
 
 
 @dataclass(frozen=True)
@@ -89,13 +88,16 @@ def _scan(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
 class BlobLedger:
     """A folder of Parquet batches: findings per (blob, kind, version), and the scanned blobs per rule set.
 
+    Without a path the ledger lasts as long as the application.
+
     Batches are only added. A batch written twice after a failure holds equal rows, which reading
     removes; findings are written before the blobs are marked as scanned, so a lost run is redone.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/arbordex-ledger-{uuid.uuid4().hex}"
+        self.path = path or temporary_path(spark, "ledger")
+        self._temporary = path is None
         self._has = path is not None and self._exists()
 
     def _exists(self) -> bool:
@@ -122,6 +124,8 @@ class BlobLedger:
                 seen = known.where((F.col("kind") == rule.kind) & (F.col("version") == rule.version)).select("blob")
                 unseen = versions.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
                 self._add(_scan(unseen, (rule,)), keys.join(seen, "blob", "left_anti"), (rule,))
+        if self._temporary:
+            drop_at_end(self.spark, self.path)
         self._has = True
 
     def _add(self, found: DataFrame, blobs: DataFrame, rules: tuple[SecretRule, ...]) -> None:
