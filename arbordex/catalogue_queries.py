@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from .plans.query_text import parse
 from .sources import journal, records, tables
 from .sources.snapshots import SnapshotStore, names
 from .streaming import apply, decisions
-from .workspace import materialize, shared_dir
+from .workspace import drop_at_end, materialize, temporary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -693,24 +692,26 @@ def _regex_wtf8(spark, sf_dir):
 @register("sink_snapshot_save", f"{sql.BASE}SELECT volume, entry_id, frn, parent_frn, name, size, mtime_secs FROM e")
 def _snapshot(spark, sf_dir):
     """Saved, committed, loaded again with all checks."""
-    store = SnapshotStore(spark, f"{shared_dir(spark)}/arbordex-store-{uuid.uuid4().hex}")
+    store = SnapshotStore(spark, temporary_path(spark, "store"))
     store.save(tables.entries(spark, sf_dir), 1, 1)
+    drop_at_end(spark, store.path)
     return store.load().select("volume", "entry_id", "frn", "parent_frn", "name", "size", "mtime_secs")
 
 
 @register("src_snapshot_load", f"{sql.BASE}SELECT count(*) AS n_rows, 2 AS version FROM e WHERE volume = 'C:'")
 def _snapshot_load(spark, sf_dir):
     """The later of two committed versions."""
-    store = SnapshotStore(spark, f"{shared_dir(spark)}/arbordex-store-{uuid.uuid4().hex}")
+    store = SnapshotStore(spark, temporary_path(spark, "store"))
     store.save(tables.entries(spark, sf_dir, ("D:",)), 1, 1)
     meta = store.save(tables.entries(spark, sf_dir, ("C:",)), 1, 2)
+    drop_at_end(spark, store.path)
     return store.load(meta).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("version", F.lit(meta.version))
 
 
 @register("st_checkpoint", f"WITH {sql.JOURNAL} SELECT entry_id, name, tombstone, size FROM done")
 def _stream(spark, sf_dir):
     """The journal through a stream; its second start finds nothing new and changes nothing."""
-    at = f"{shared_dir(spark)}/arbordex-stream-{uuid.uuid4().hex}"
+    at = temporary_path(spark, "stream")
     store = SnapshotStore(spark, f"{at}/store")
     store.save(_before(spark, sf_dir), 1, 0)
     batch = _events(spark, sf_dir).drop("k")
@@ -718,6 +719,7 @@ def _stream(spark, sf_dir):
     for _ in range(2):
         stream = spark.readStream.schema(batch.schema).parquet(f"{at}/in")
         apply.start(stream, store, f"{at}/checkpoint", _looked_up(spark, sf_dir)).awaitTermination()
+    drop_at_end(spark, at)
     return store.load(sound=False).where("not is_dir").select("entry_id", "name", "tombstone", "size")
 
 

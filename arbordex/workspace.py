@@ -21,8 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def drop_at_end(spark: SparkSession, path: str) -> str:
+    """path, which the driver's JVM deletes when it ends; what a killed driver leaves is the folder's owner's to clean."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def temporary_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for the time of this application."""
+    return f"{shared_dir(spark)}/arbordex-{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read back; cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/arbordex-{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = temporary_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(drop_at_end(spark, path))
