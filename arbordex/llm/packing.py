@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,10 +115,14 @@ def fill_up(windows: dict[int, list[list[int]]], window: int) -> None:
 
 
 def cut_documents(docs: DataFrame, library_args: tuple, window: int, end_id: int = 0) -> DataFrame:
-    """One row per full window or rest: doc_id, start, length, ids_crc32, doc_tokens, salt, and the ids of rests; written once."""
+    """One row per full window or rest: doc_id, start, length, ids_crc32, doc_tokens, salt, and the ids of rests; written once.
+
+    The salt of a rest is a hash, that of a full window a number that no other has: its task and its
+    place there.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library, seen = TokenIds(*library_args), 0
+        library, seen, windows = TokenIds(*library_args), 0, TaskContext.get().partitionId() << 40
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             for k in range(0, len(texts), 256):
@@ -128,8 +133,12 @@ def cut_documents(docs: DataFrame, library_args: tuple, window: int, end_id: int
                     for start in range(0, len(tokens), window):
                         part = tokens[start : start + window].astype("<u4")
                         crc = zlib.crc32(part)
-                        salt = xxhash.xxh64_intdigest(f"{doc_id}/{start}/{crc}/{seen}") >> 1
-                        out.append((doc_id, start, len(part), crc, len(tokens), salt, part.tobytes() if len(part) < window else None))
+                        if len(part) == window:
+                            windows += 1
+                            out.append((doc_id, start, window, crc, len(tokens), windows, None))
+                        else:
+                            salt = xxhash.xxh64_intdigest(f"{doc_id}/{start}/{crc}/{seen}") >> 1
+                            out.append((doc_id, start, len(part), crc, len(tokens), salt, part.tobytes()))
                 yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -164,8 +173,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, p
     full = F.col("length") == window
     shards = max(1, -(-pieces.where(~full).count() // shard_rows))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    # full windows take even numbers from their own salt, packed ones odd numbers by shard
-    own = pieces.where(full).select(*columns, F.col("salt").bitwiseAND(F.lit(~1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # full windows take even numbers by task, packed ones odd numbers by shard
+    own = pieces.where(full).select(*columns, (2 * F.col("salt")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, done = int(pdf["shard"].iloc[0]), pack_rests(pdf, window)

@@ -329,6 +329,9 @@ def test_packing(docs, odd, none):
     assert n == -(-tokens // 1024)
     tokens, n = check_pieces(packing.pack_documents(docs, path, *fast, shard_rows=30).collect(), pairs(docs), library)
     assert n <= tokens // 1024 + 1 + 200 // 30 + 1
+    # equal rows at equal places of two tasks have windows of their own
+    twice = docs.where("n_chars > 6000").coalesce(1)
+    check_pieces(packing.pack_documents(twice.unionByName(twice), path, *fast).collect(), pairs(twice) * 2, library)
     assert packing.pack_documents(none, path).count() == 0
 
 
