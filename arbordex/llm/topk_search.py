@@ -27,15 +27,15 @@ LEVELS = 24
 _TESTS = (0.6, 0.7, 0.85, 1.0)
 #: A search ends when at most this part of a block is possible; those are scored exactly.
 _RESCORE = 4
-#: Components beyond it are held at it, so that a score fits a long.
-_LARGEST = float(1 << 22)
+#: Components beyond it are held at it; no score with one fits a long, but by a component of zero.
+_LARGEST = float(1 << 62)
 
 
 def quantised_rows(table: DataFrame, scale: float = 256.0) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component; rows that are null or hold null or non-finite components are left out."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    held = F.transform(x, lambda e: F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), e * scale))))).cast("int"))
+    held = F.transform(x, lambda e: F.floor(F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), e * scale))))
     return table.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), held.alias("v"))
 
 
@@ -127,7 +127,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_vector
 
     vectors and queries hold (vec_id, v). A query's own row, that with its vec_id, is no candidate.
     Vectors of fewer components count as filled up with zeros. Equal vectors tie by vec_id; repeated
-    rows are separate candidates. Empty tables give an empty result.
+    rows are separate candidates. Empty tables give an empty result. Scores are longs: sums that fit
+    a long are exact, whatever the components.
     """
     n_blocks = max(1, -(-vectors.count() // block_vectors))
     q_blocks = max(1, -(-queries.count() // block_queries))

@@ -161,6 +161,14 @@ def test_topk_search(spark, sf_dir):
     asked = vectors.where("vec_id % 50 = 0")
     assert sorted(map(tuple, topk_search.exact_top_k(vectors, asked, 5, block_vectors=100, block_queries=4).collect())) == sorted(want)
     assert topk_search.search_table(table.where("false")).count() == 0
+    large = [(0, [40000.0, -3e7, 2.0, 0.1]), (1, [5e6, 1.5, 1e6, 0.0]), (2, [-7e8, 20000.0, 0.0, 9.0]), *[(i, [1e5 * i, -1e6 / i, 3.0 * i, 1e-7]) for i in range(3, 51)]]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in large}
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    large = spark.createDataFrame(large, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk_search.search_table(large).collect())) == want
     tiny = spark.createDataFrame([(0, [1.0]), (1, [0.5, 1.0]), (2, [])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk_search.search_table(tiny).collect())) == [(0, 1, 1, 256 * 128), (0, 2, 2, 0)]
 
