@@ -21,10 +21,13 @@ from .plans.query_text import parse
 from .sources import journal, records, tables
 from .sources.snapshots import SnapshotStore, names
 from .streaming import apply, decisions
+from .streaming.debounce import debounced
 from .workspace import drop_at_end, materialize, temporary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Queries over all rows without SQL; the tests check them by brute force.
+BY_TEST: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ALL = Options(include_hidden_system=True)
 
 
@@ -731,10 +734,13 @@ def _queue(spark, sf_dir):
     return spark.createDataFrame([(len(q.events), q.dropped, q.events[0][1])], "kept int, dropped int, first_kept int")
 
 
-@register("st_debounce", "WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY event_id) AS i, event_id * 70 AS ms FROM events), d AS (SELECT i, ms, ms AS last, true AS passes FROM e WHERE i = 1 UNION ALL SELECT e.i, e.ms, CASE WHEN e.ms - d.last >= 200 THEN e.ms ELSE d.last END, e.ms - d.last >= 200 FROM d JOIN e ON e.i = d.i + 1 WHERE e.i <= 50) SELECT i, passes FROM d")
 def _debounce(spark, sf_dir):
-    d = decisions.Debounce(200)
-    return spark.createDataFrame([(i, d.passes((i - 1) * 70)) for i in range(1, 51)], "i int, passes boolean")
+    """All events as one sequence, 70 ms from one id to the next."""
+    events = tables.read(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 70).alias("ms"))
+    return debounced(events, "ms", ["event_id"], 200).select((F.col("pos") + 1).alias("i"), "passes")
+
+
+BY_TEST["st_debounce"] = _debounce
 
 
 @register("st_volume_state", _values([("scanning", "volume_ready", "ready"), ("ready", "rescan_started", "rescanning"), ("rescanning", "volume_ready", "ready"), ("ready", "volume_failed", "failed"), ("scanning", "progress", "scanning")], "state, event, after"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalogue_queries import QUERIES, SQL
+from .catalogue_queries import BY_TEST, QUERIES, SQL
 from .operators import search
 from .plans.compiler import Options
 from .sources import tables
 
-__all__ = ["QUERIES", "SQL", "flagship"]
+__all__ = ["BY_TEST", "QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
