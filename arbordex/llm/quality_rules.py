@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -24,14 +25,18 @@ WINDOW = 8
 #: The sample for the plan: so many documents at most, picked by a hash of their text.
 SAMPLE_ROWS = 400
 
-#: Code points from here on count as letters without a case.
-_CASED = 0x3000
+#: The planes that hold letters and marks.
+_ASSIGNED = ((0, 0x40000), (0xE0000, 0xE1000))
 
 
 @lru_cache(1)
-def _case_table() -> np.ndarray:
-    """For each code point: 1 for lower case, 2 for upper case."""
-    return np.array([chr(c).islower() + 2 * chr(c).isupper() for c in range(_CASED)], np.uint8)
+def _letter_table() -> np.ndarray:
+    """For each code point: 1 for lower case, 2 for upper case, 3 for other letters and for combining marks."""
+    table = np.zeros(0x110000, np.uint8)
+    for start, stop in _ASSIGNED:
+        chars = map(chr, range(start, stop))
+        table[start:stop] = [1 if c.islower() else 2 if c.isupper() else 3 * (category(c)[0] in "LM") for c in chars]
+    return table
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,11 +123,11 @@ class Features:
         return sum(map(bytes.__eq__, w[1:], w[:-1]))
 
     @cached_property
-    def letters(self) -> tuple[int, int]:
-        """Letters with a case, and those in upper case."""
+    def letters(self) -> tuple[int, int, int]:
+        """Letters of all scripts with their combining marks, those with a case, and those in upper case."""
         points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        _, low, up = np.bincount(_case_table()[np.minimum(points, _CASED - 1)], minlength=3).tolist()
-        return low + up, up
+        _, low, up, other = np.bincount(_letter_table()[points], minlength=4).tolist()
+        return low + up + other, low + up, up
 
     @cached_property
     def n_shouted(self) -> int:
@@ -145,7 +150,7 @@ RULES = (
     Rule("shouted_words", lambda d: 10 * d.n_shouted > 3 * d.n_words),
     Rule("words_in_a_row", lambda d: 10 * d.n_again > 3 * d.n_words),
     Rule("duplicate_lines", lambda d: len(d.lines) >= 4 and 2 * d.n_dup_lines > len(d.lines)),
-    Rule("upper_case", lambda d: 2 * d.letters[1] > d.letters[0] > 0),
+    Rule("upper_case", lambda d: 2 * d.letters[2] > d.letters[1] > 0),
     Rule("few_letters", lambda d: 2 * d.letters[0] < d.word_chars),
     Rule("frequent_word", lambda d: d.n_words >= 40 and 4 * d.top_word > d.n_words),
     Rule("few_distinct_words", lambda d: d.n_words >= 60 and d.n_distinct**2 < 4 * d.n_words),
