@@ -158,11 +158,16 @@ def in_held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> LinearModel:
     """Fit on at most train_rows labelled rows that are not held out.
 
-    The sample is bounded by train_rows; what comes to the driver is its hashed indicators.
+    A doc_id counts once, however many rows docs has of it: by the text with the least hash. So the
+    hashed indicators of train_rows texts at most come to the driver, of 2^BITS numbers each at most.
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~in_held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # train_rows rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # each task keeps one row of a doc_id before the shuffle, so a frequent one is spread like the rest
+    least = found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    # the sample is small; dealt anew, its extraction is not left to one task
+    texts = least.select("doc_id", "y", "least.text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = NgramIndex()
