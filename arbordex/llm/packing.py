@@ -10,10 +10,10 @@ shard at most has padding.
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,39 +22,89 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import blocks, materialize
 
 #: Rests that one packer gets, about.
 SHARD_ROWS = 4096
-#: What both libraries are sure to class alike: Latin letters and general punctuation.
-_OTHER_SCRIPT = re.compile("[^\\x00-\\u024f\\u2000-\\u206f]")
+#: A worker remembers the ids of pieces up to this length, and of this many characters in all.
+PIECE_CHARS, MEMO_CHARS = 64, 16_000_000
+#: Pieces that the library gets in one call.
+_CALL_PIECES = 512
+#: A word with the blank before it, or white space: what byte-level patterns never join.
+_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: White space of Python's patterns, but not of the library's.
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_NEWLINE = "\n"
+#: Characters of texts that are encoded together.
+BLOCK_CHARS = 1_000_000
+#: A blank that white space (or nothing) follows; where there is none, every blank begins a chunk.
+_BLANK_RUN = re.compile(r" (?=\s|\Z)")
+_CUT = re.compile(r" (?=\S)")
+_NEWLINE = "\n"
 
 
 class TokenIds:
     """Token ids of whole texts, as the tokenizers library gives them.
 
-    ranks: the same vocabulary as a rank file, if there is one. Its library is several times faster
-    and gives equal ids for texts of Latin script without special strings; all others take the
-    tokenizers library.
+    No id of a byte-level vocabulary reaches over the end of a word, so the ids of a text are those
+    of its words and of the white space between them. They are looked up in a memory that the library
+    fills; it gets many words in a call, with newlines between them, whose id no word can give. Texts
+    with special strings, which are matched before words are, go to the library whole.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.fast = None
-        if ranks:
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.fast and not _OTHER_SCRIPT.search(text) and not any(s in text for s in self.specials):
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        between = self._ids(_NEWLINE).tolist()
+        # the newline has to be one id, and a piece of its own
+        probe = self._ids(f" a{_NEWLINE} b{_NEWLINE}c").tolist()
+        self.between = between[0] if len(between) == 1 and probe.count(between[0]) == 2 else None
+        self.known: dict[str, bytes] = {}
+        self.chars = 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        words = [p for p in pieces if len(p) <= PIECE_CHARS and not p.isspace()] if self.between is not None else []
+        out = {}
+        for k in range(0, len(words), _CALL_PIECES):
+            part = words[k : k + _CALL_PIECES]
+            ids = self._ids(_NEWLINE.join(part))
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(part, [*np.flatnonzero(ids == self.between).tolist(), len(ids)], strict=True):
+                out[word] = raw[4 * start : 4 * end]
+                start = end + 1
+        for p in pieces - out.keys():
+            out[p] = self._ids(p).tobytes()
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [None if _ODD_SPACE.search(t) or any(s in t for s in self.specials) else _PIECE.findall(t) for t in texts]
+        if self.chars > MEMO_CHARS:
+            self.known, self.chars = {}, 0
+        wanted: set[str] = set()
+        for pieces in cut:
+            wanted.update(pieces or ())
+        fresh = self._learn(wanted.difference(self.known))
+        self.known.update(fresh)
+        get = self.known.__getitem__
+        out = [self._ids(t) if pieces is None else np.frombuffer(b"".join(map(get, pieces)), "<u4") for t, pieces in zip(texts, cut, strict=True)]
+        for p in fresh:
+            if len(p) > PIECE_CHARS:
+                del self.known[p]
+            else:
+                self.chars += len(p) + 8
+        return out
+
+
+@lru_cache(2)
+def token_ids(path: str) -> TokenIds:
+    """One for all tasks of a worker."""
+    return TokenIds(path)
 
 
 class SumOfSquares:
@@ -114,7 +164,7 @@ def fill_up(windows: dict[int, list[list[int]]], window: int) -> None:
         del windows[at]
 
 
-def cut_documents(docs: DataFrame, library_args: tuple, window: int, end_id: int = 0) -> DataFrame:
+def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int = 0) -> DataFrame:
     """One row per full window or rest: doc_id, start, length, ids_crc32, doc_tokens, salt, and the ids of rests; written once.
 
     The salt of a rest is a hash, that of a full window a number that no other has: its task and its
@@ -122,23 +172,23 @@ def cut_documents(docs: DataFrame, library_args: tuple, window: int, end_id: int
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library, seen, windows = TokenIds(*library_args), 0, TaskContext.get().partitionId() << 40
+        library, seen, windows = token_ids(vocabulary), 0, TaskContext.get().partitionId() << 40
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-            for k in range(0, len(texts), 256):
+            for part in blocks(texts, BLOCK_CHARS):
                 out = []
-                for doc_id, text in zip(ids[k : k + 256], texts[k : k + 256], strict=True):
+                for doc_id, found in zip(ids[part], library.encode_all(texts[part]), strict=True):
                     seen += 1
-                    tokens = np.append(library.encode(text), np.uint32(end_id))
+                    tokens = np.append(found, np.uint32(end_id))
                     for start in range(0, len(tokens), window):
-                        part = tokens[start : start + window].astype("<u4")
-                        crc = zlib.crc32(part)
-                        if len(part) == window:
+                        piece = tokens[start : start + window].astype("<u4")
+                        crc = zlib.crc32(piece)
+                        if len(piece) == window:
                             windows += 1
                             out.append((doc_id, start, window, crc, len(tokens), windows, None))
                         else:
                             salt = xxhash.xxh64_intdigest(f"{doc_id}/{start}/{crc}/{seen}") >> 1
-                            out.append((doc_id, start, len(part), crc, len(tokens), salt, part.tobytes()))
+                            out.append((doc_id, start, len(piece), crc, len(tokens), salt, piece.tobytes()))
                 yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -162,14 +212,16 @@ def pack_rests(rests: pd.DataFrame, window: int) -> pd.DataFrame:
     return out.assign(length=at["length"], window=at["window"], offset=at["offset"])
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, window: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece.
 
-    A null text is empty and has the end id alone. Each id of a document, its end id included, lies
+    vocabulary is the path of the file on the executors. A null text is empty and has the end id
+    alone. Texts of any length are encoded whole, also without a blank or of blanks alone; a row
+    without doc_id is packed like any other. Each id of a document, its end id included, lies
     in one piece. Full windows are sequences of their own. Repeated rows are separate documents with
     equal ids; an empty table gives an empty result; extra columns are ignored.
     """
-    pieces = cut_documents(docs, (vocabulary, ranks, pattern), window)
+    pieces = cut_documents(docs, vocabulary, window)
     full = F.col("length") == window
     shards = max(1, -(-pieces.where(~full).count() // shard_rows))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

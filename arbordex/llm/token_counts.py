@@ -17,12 +17,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import blocks
+
 #: White space of the vocabulary's patterns: Unicode White_Space, which lacks the four separators
 #: U+001C to U+001F that Python's str.split() takes.
 _SPLIT = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: A chunk is looked up whole; so many are remembered by a worker.
 CACHE_ENTRIES = 400_000
+#: Characters of texts that are counted together.
+BLOCK_CHARS = 4_000_000
 _NO_RANK = np.int64(1 << 40)
 
 
@@ -139,18 +143,6 @@ class TokenCounter:
         return [sum(map(get, chunks)) + found for chunks, found in split]
 
 
-def blocks(texts: list[str], chars: int = 4_000_000) -> Iterator[slice]:
-    """Slices of about so many characters, so that a block's arrays stay small."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > chars:
-            yield slice(start, i)
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row; a null text counts as empty.
 
@@ -163,7 +155,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
         for pdf in batches:
             texts = pdf["text"].tolist()
             counts: list[int] = []
-            for part in blocks(texts):
+            for part in blocks(texts, BLOCK_CHARS):
                 counts += counter.count(texts[part])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": pdf["n_bytes"], "n_tokens": counts, "over_limit": [c > limit for c in counts]})
 

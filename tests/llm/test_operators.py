@@ -329,33 +329,48 @@ def test_packing(docs, odd, none):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    fast = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     library = Tokenizer.from_file(path)
     for table in both(docs, odd):
         check_pieces(packing.pack_documents(table, path).collect(), pairs(table), library)
-    tokens, n = check_pieces(packing.pack_documents(docs, path, *fast).collect(), pairs(docs), library)
+    tokens, n = check_pieces(packing.pack_documents(docs, path).collect(), pairs(docs), library)
     assert n == -(-tokens // 1024)
-    tokens, n = check_pieces(packing.pack_documents(docs, path, *fast, shard_rows=30).collect(), pairs(docs), library)
+    tokens, n = check_pieces(packing.pack_documents(docs, path, shard_rows=30).collect(), pairs(docs), library)
     assert n <= tokens // 1024 + 1 + 200 // 30 + 1
     # equal rows at equal places of two tasks have windows of their own
     twice = docs.where("n_chars > 6000").coalesce(1)
-    check_pieces(packing.pack_documents(twice.unionByName(twice), path, *fast).collect(), pairs(twice) * 2, library)
+    check_pieces(packing.pack_documents(twice.unionByName(twice), path).collect(), pairs(twice) * 2, library)
     assert packing.pack_documents(none, path).count() == 0
 
 
-def test_token_ids_equal_the_library():
+def test_token_ids_equal_the_library(monkeypatch):
     import random
 
-    from tokenizers import Tokenizer
-
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library = Tokenizer.from_file(path)
-    own = packing.TokenIds(path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    own = packing.TokenIds(path)
     rng = random.Random(3)
-    texts = ["".join(rng.choice("aé's1! \n\t \x1c　<|>_日") for _ in range(40)) for _ in range(500)] + ["a  b   c\n\n d ", " x<|endoftext|> y", "\x85 z"]
+    texts = ["".join(rng.choice("aé's1! \n\t \x1c　<|>_日") for _ in range(40)) for _ in range(500)] + ["a  b   c\n\n d ", " x<|endoftext|> y", "x\n <|endoftext|>", "\x85 z", "", " ", "\n a"]
     texts += ["".join(rng.choice("aéßŒ's1!²½ \n\t\x1c\x85\xa0\u2009\u2028<|>_“—") for _ in range(40)) for _ in range(2000)]
-    for t in texts:
-        assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    monkeypatch.setattr(packing, "MEMO_CHARS", 3000)  # the memory is emptied now and then
+    for k in range(0, len(texts), 100):
+        for t, ids in zip(texts[k : k + 100], own.encode_all(texts[k : k + 100]), strict=True):
+            assert ids.tolist() == own.library.encode(t, add_special_tokens=False).ids, t
+    assert own.chars <= 3000 + 100 * 48 * 8
+
+
+LONG = {
+    "blanks": " " * 2_000_000 + "x",
+    "newlines": "\n" * 1_000_000,
+    "one word": "".join(chr(97 + n * n % 26) for n in range(1_000_000)),
+    "one letter": "a" * 1_000_000,
+    "one line": "some words of a line " * 50_000,
+    "names": "acgt" * 250_000 + "://x",
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_token_ids_of_very_long_texts(kind):
+    own = packing.token_ids(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.encode_all([LONG[kind]])[0].tolist() == own.library.encode(LONG[kind], add_special_tokens=False).ids
 
 
 def test_sum_of_squares_takes_the_least_sum():
