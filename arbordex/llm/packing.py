@@ -30,8 +30,9 @@ SHARD_ROWS = 4096
 PIECE_CHARS, MEMO_CHARS = 64, 16_000_000
 #: Pieces that the library gets in one call.
 _CALL_PIECES = 512
-#: A word with the blank before it, or white space: what byte-level patterns never join.
-_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: A word with the blank before it, or white space: what byte-level patterns never join. They part a
+#: letter from a mark behind it as well, so plain words are the same with and without a comma.
+_PIECE = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\s.,;:!?]|\Z)| ?\S+|\s+(?!\S)|\s+")
 #: White space of Python's patterns, but not of the library's.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _NEWLINE = "\n"
@@ -65,7 +66,7 @@ class TokenIds:
         self.chars = 0
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         words = [p for p in pieces if len(p) <= PIECE_CHARS and not p.isspace()] if self.between is not None else []
