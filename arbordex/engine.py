@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from . import limits
 from .errors import Cancelled, InvalidArgument, QuerySyntaxError, StaleResult, VolumeUnavailable
-from .functions.fold import fold
 from .metrics import Metrics
 from .operators import search, statistics, tree
 from .operators.search import Catalogue
@@ -22,7 +21,7 @@ from .plans.compiler import Options, Plan, compile_query
 from .plans.implication import subsumes
 from .sources.snapshots import Meta, SnapshotStore
 from .streaming.decisions import EventQueue, next_state
-from .workspace import materialize
+from .workspace import drop_now, materialize, owned
 
 
 @dataclass
@@ -36,6 +35,7 @@ class Volume:
     content: int = 0
     structural: int = 0
     dirty: bool = False
+    tables: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -48,6 +48,7 @@ class Result:
     hits: int
     generations: dict[str, tuple[int, int]]
     trace: dict = field(default_factory=dict)
+    tables: list[str] = field(default_factory=list)
 
 
 class Engine:
@@ -58,6 +59,7 @@ class Engine:
         self._results: OrderedDict[int, Result] = OrderedDict()
         self._ids = itertools.count(1)
         self._catalogue: Catalogue | None = None
+        self._catalogue_tables: list[str] = []
 
     # volumes
 
@@ -79,7 +81,9 @@ class Engine:
             volume = self.volumes[label] = Volume(label, len(self.volumes))
             self._emit("progress", label)
             try:
-                self._install(volume, tree.resolve_parents(entries))
+                with owned() as made:
+                    self._install(volume, tree.resolve_parents(entries))
+                drop_now(self.spark, made)
             except Exception:
                 volume.state = next_state(volume.state, "volume_failed")
                 self._emit("volume_failed", label)
@@ -90,7 +94,10 @@ class Engine:
 
     def _install(self, volume: Volume, entries: DataFrame) -> None:
         rows = entries.withColumn("volume", F.lit(volume.label)).withColumn("volume_ord", F.lit(volume.ord))
-        volume.entries = materialize(rows, "volume")
+        with owned() as made:
+            volume.entries = materialize(rows, "volume")
+        drop_now(self.spark, volume.tables)
+        volume.tables = made
         volume.content += 1
         volume.dirty = True
 
@@ -136,9 +143,10 @@ class Engine:
             ready = [v.entries for v in self.volumes.values() if v.state == "ready"]
             if not ready:
                 raise VolumeUnavailable("no volume is ready")
-            raw = reduce(DataFrame.unionByName, ready).withColumn("folded", fold(F.col("name")))
-            paths = tree.close_directories(raw)
-            self._catalogue = Catalogue(materialize(tree.with_excluded(raw, paths), "entries"), paths)
+            drop_now(self.spark, self._catalogue_tables)
+            with owned() as made:
+                self._catalogue = search.build(reduce(DataFrame.unionByName, ready))
+            self._catalogue_tables = made
         return self._catalogue
 
     def _generations(self) -> dict[str, tuple[int, int]]:
@@ -165,7 +173,8 @@ class Engine:
         if tag:
             self.spark.addTag(tag)
         try:
-            rows = search.positions(search.filtered(source, plan), options)
+            with owned() as tables:
+                rows = search.positions(search.filtered(source, plan), options)
             hits = rows.count()
         except Exception as e:
             if tag and "cancel" in str(e).lower():
@@ -177,10 +186,10 @@ class Engine:
                 self.spark.removeTag(tag)
         same = bool(basis and basis.generations == now and basis.hits == hits and search.unchanged(basis.rows, rows))
         micros = int(1e6 * (time.perf_counter() - began))
-        result = Result(next(self._ids), plan, rows, hits, now, {"hits": hits, "micros": micros, "refined": base is not None, "unchanged": same})
+        result = Result(next(self._ids), plan, rows, hits, now, {"hits": hits, "micros": micros, "refined": base is not None, "unchanged": same}, tables)
         self._results[result.id] = result
         while len(self._results) > limits.MAX_LIVE_RESULTS:
-            self._results.popitem(last=False)
+            drop_now(self.spark, self._results.popitem(last=False)[1].tables)
             self.metrics.counters["evicted_results"] += 1
         self.metrics.query(text, hits, micros, base is not None, same)
         return result
@@ -207,4 +216,7 @@ class Engine:
         return search.page(result.rows, self.catalogue().paths, offset, n).orderBy("pos")
 
     def free(self, result_id: int) -> None:
-        self._results.pop(result_id, None)
+        """Forget a result and delete its table."""
+        result = self._results.pop(result_id, None)
+        if result:
+            drop_now(self.spark, result.tables)

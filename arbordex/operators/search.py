@@ -13,6 +13,7 @@ from ..errors import InvalidArgument
 from ..functions import scalars
 from ..functions.fold import fold, nfc, nfc_folded
 from ..plans.compiler import Options, Plan, compile_query
+from ..workspace import materialize
 from . import tree
 from .ranks import number
 
@@ -22,24 +23,45 @@ _KEYS = {"name": "folded", "size": "size", "mtime": "mtime_secs"}
 @dataclass(frozen=True)
 class Catalogue:
     """entries: volume, volume_ord, entry_id, frn, parent_frn, name, folded, is_dir, hidden, system,
-    tombstone, size, mtime_secs, is_excluded. paths: volume, frn, path, excluded of directories."""
+    tombstone, size, mtime_secs, is_excluded, nfc_name, nfc_folded. paths: volume, frn, path, excluded
+    of directories, with folded, nfc and nfc_folded paths. Canonical spellings are null where they are
+    the plain one, as nearly all are."""
 
     entries: DataFrame
     paths: DataFrame
 
 
+def _if_other(spelling: Column, plain: str) -> Column:
+    return F.when(spelling != F.col(plain), spelling)
+
+
+def build(raw: DataFrame, strict: bool = False) -> Catalogue:
+    """Fold the names, close the directories, inherit visibility, spell canonically; written once, searched often."""
+    raw = materialize(raw.withColumn("folded", fold(F.col("name"))), "raw")
+    closed = tree.close_directories(raw, strict)
+    path, name = F.col("path"), F.col("name")
+    paths = closed.withColumn("folded", fold(path)).withColumn("nfc", _if_other(nfc(path), "path")).withColumn("nfc_folded", _if_other(nfc_folded(path), "folded"))
+    entries = tree.with_excluded(raw, closed).withColumn("nfc_name", _if_other(nfc(name), "name")).withColumn("nfc_folded", _if_other(nfc_folded(name), "folded"))
+    return Catalogue(materialize(entries, "entries"), materialize(paths, "paths"))
+
+
 def filtered(catalogue: Catalogue, plan: Plan) -> DataFrame:
     """The entries that match; paths and canonical names are made only for plans that ask for them."""
     rows = catalogue.entries.where(~F.col("tombstone"))
     if not plan.options.include_hidden_system:
         rows = rows.where(~F.col("is_excluded"))
-    if plan.needs_canonical:
-        rows = rows.withColumn("nfc_name", nfc(F.col("name"))).withColumn("nfc_folded", nfc_folded(F.col("name")))
     if plan.needs_paths:
-        rows = tree.with_paths(rows, catalogue.paths).withColumn("folded_path", fold(F.col("path")))
+        # a separator is a barrier to folding and composition alike, so paths are spelled part by part
+        rows = tree.with_paths(rows, catalogue.paths, "folded", "nfc", "nfc_folded").withColumn("folded_path", tree.below("w_folded", F.col("folded")))
         if plan.needs_canonical:
-            rows = rows.withColumn("nfc_path", nfc(F.col("path"))).withColumn("nfc_folded_path", nfc_folded(F.col("path")))
-    return rows.where(plan.condition()).select(*catalogue.entries.columns)
+            rows = rows.withColumn("nfc_path", tree.below(F.coalesce("w_nfc", "w_path"), F.coalesce("nfc_name", "name")))
+            rows = rows.withColumn("nfc_folded_path", tree.below(F.coalesce("w_nfc_folded", "w_folded"), F.coalesce("nfc_folded", "folded")))
+    if plan.needs_canonical:
+        rows = rows.withColumn("nfc_name", F.coalesce("nfc_name", "name")).withColumn("nfc_folded", F.coalesce("nfc_folded", "folded"))
+    kept = rows.where(plan.condition()).select(*catalogue.entries.columns)
+    if plan.needs_canonical:  # as they are stored
+        kept = kept.withColumn("nfc_name", _if_other(F.col("nfc_name"), "name")).withColumn("nfc_folded", _if_other(F.col("nfc_folded"), "folded"))
+    return kept
 
 
 def order(options: Options) -> list[Column]:

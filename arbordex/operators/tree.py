@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TopologyError
@@ -120,9 +120,19 @@ def with_excluded(entries: DataFrame, closed: DataFrame) -> DataFrame:
     return rows.withColumn("is_excluded", own | F.coalesce("x_excluded", F.lit(False))).select(*[c for c in entries.columns if c != "is_excluded"], "is_excluded")
 
 
-def with_paths(entries: DataFrame, closed: DataFrame) -> DataFrame:
-    """entries with parent_path (it ends with a backslash, and is empty for a root) and path."""
-    above = closed.select(F.col("volume").alias("w_volume"), F.col("frn").alias("w_frn"), F.col("path").alias("w_path"))
+def below(parent: Column | str, name: Column) -> Column:
+    """The path of a name below a parent's path; that of a root, which has no parent, is its name."""
+    parent = F.col(parent) if isinstance(parent, str) else parent
+    return F.when(parent.isNull(), name).otherwise(F.concat(parent, F.lit("\\"), name))
+
+
+def with_paths(entries: DataFrame, closed: DataFrame, *spellings: str) -> DataFrame:
+    """entries with parent_path (it ends with a backslash, and is empty for a root) and path.
+
+    spellings: columns of closed that come along, as w_ and their names, beside w_path.
+    """
+    above = closed.select(F.col("volume").alias("w_volume"), F.col("frn").alias("w_frn"), *[F.col(c).alias(f"w_{c}") for c in ("path", *spellings)])
     rows = entries.join(above, (F.col("volume") == F.col("w_volume")) & (F.col("parent_frn") == F.col("w_frn")), "left")
     parent = F.when(F.col("w_path").isNull(), "").otherwise(F.concat(F.col("w_path"), F.lit("\\")))
-    return rows.withColumn("parent_path", parent).withColumn("path", F.concat("parent_path", "name")).drop("w_volume", "w_frn", "w_path")
+    rows = rows.withColumn("parent_path", parent).withColumn("path", F.concat("parent_path", "name")).drop("w_volume", "w_frn")
+    return rows if spellings else rows.drop("w_path")

@@ -11,12 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fold import fold
 from ..functions.scalars import make_frn
-from ..operators import tree
+from ..operators import search, tree
 from ..operators.ranks import number
 from ..operators.search import Catalogue
-from ..workspace import materialize
 
 #: The label and order of each volume.
 VOLUMES = {"C:": 0, "D:": 1, "E:": 2, "F:": 3}
@@ -127,10 +125,7 @@ def entries(spark: SparkSession, sf_dir: str, volumes: tuple[str, ...] = ("C:",
 
 
 def build(raw: DataFrame, strict: bool = True) -> Catalogue:
-    """Fold the names, close the directories and inherit visibility; written once, searched often."""
-    raw = materialize(raw.withColumn("folded", fold(F.col("name"))), "raw")
-    paths = tree.close_directories(raw, strict)
-    return Catalogue(materialize(tree.with_excluded(raw, paths), "entries"), paths)
+    return search.build(raw, strict)
 
 
 _built: dict[tuple, Catalogue] = {}
