@@ -1,19 +1,23 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint of 64 bits falls into three segments of 22, 21 and 21 bits. If two fingerprints differ
-in at most 4 bits, then they differ in at most one bit in the first or in the second segment, or not
-at all in the third (else they differ in 2 + 2 + 1). Each fingerprint is therefore filed under its
-three segment values and looks up the Hamming ball of radius one around the first two. Of a pair that
-differs in one bit of a segment, the side with the zero bit looks up the other, so only zero bits are
-turned. Every match is verified on all 64 bits.
-
-Distinct fingerprints take part once, whatever the number of their documents. Within a table entry
-linked fingerprints are found by a traversal that emits a spanning forest, never all pairs.
+A fingerprint of 64 bits falls into segments. A pair that differs in at most 4 bits agrees, in some
+segment, up to that segment's radius, if the radii plus one add up to more than 4: five segments need
+no radius, four need radius 1 in one of them, three in two, two need radii 2 and 1. Each fingerprint
+is filed under its segment values and looks up the Hamming ball of the radius around them. Long
+segments have larger balls but fewer fingerprints in an entry, so the layout is chosen by the number
+of fingerprints. Of a pair that differs within a ball the side with the zero bits looks up the other,
+so only zero bits are turned. Every match is verified on all 64 bits.
+
+Entries with more than LARGE fingerprints are divided by a second table over the bits outside their
+segment, in the same manner. Distinct fingerprints take part once, whatever the number of their
+documents. Within an entry linked fingerprints give a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,34 @@ from ._shared import materialize
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
-#: (lowest bit, width, radius) of each segment, for MOST_BITS differing bits
-SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
-#: Entries up to this size are compared by shifts of the sorted rows, larger ones by a traversal.
-_SMALL = 12
+#: Radii of the segments of each layout: MOST_BITS differing bits cannot exceed all of them.
+LAYOUTS = ((0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1))
+#: Microseconds, about, to file one row and to compare one pair.
+_ROW_COST, _PAIR_COST = 1.0, 0.003
+#: An entry with more fingerprints is divided.
+LARGE = 4096
+#: Entries up to this size are compared by shifts of the sorted rows, those up to the next in one matrix, larger ones by a traversal.
+_SMALL, _MATRIX = 12, 256
+
+#: Large entries are broadcast up to this number, else joined by a shuffle.
+BROADCAST_ENTRIES = 500_000
+
+Segments = tuple[tuple[int, int, int], ...]
+
+
+def layout(n_prints: int, bits: int = 64) -> Segments:
+    """(lowest bit, width, radius) of each segment: the layout with the least cost for so many fingerprints."""
+
+    def made(radii: tuple[int, ...]) -> Segments:
+        widths = [bits // len(radii) + (i < bits % len(radii)) for i in range(len(radii))]
+        return tuple((sum(widths[:i]), w, r) for i, (w, r) in enumerate(zip(widths, radii, strict=True)))
+
+    def cost(segments: Segments) -> float:
+        rows = sum(sum(comb(w, k) / 2**k for k in range(r + 1)) for _, w, r in segments)
+        pairs = sum(n_prints * sum(comb(w, k) for k in range(r + 1)) / 2**w / 2 for _, w, r in segments)
+        return rows * _ROW_COST + pairs * _PAIR_COST
+
+    return min(map(made, LAYOUTS), key=cost)
 
 
 def fingerprint(text: str | None) -> int:
@@ -60,28 +88,42 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def row_key() -> Column:
-    """Identifies a document row; equal rows share it."""
-    return F.xxhash64("doc_id", "text")
+    """Identifies a document row by 128 bits; equal rows share it."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(SEED), "text", "doc_id").alias("b"))
+
+
+_ROW = "row struct<a:long,b:long>"
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, row, fp) of each row, written once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
-    return materialize(rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long"), "prints")
+    return materialize(rows.mapInArrow(_fingerprints, f"doc_id long, {_ROW}, fp long"), "prints")
 
 
-def table_keys(fp: Column) -> Column:
-    """All table entries of a fingerprint: its own, and those in the balls that it looks up."""
+def table_keys(fp: Column, segments: Segments) -> Column:
+    """All table entries (number of the segment, value) of a fingerprint: its own, and those in the balls that it looks up."""
     keys = []
-    for n, (low, width, radius) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-        own = value.bitwiseOR(F.lit(n << 22)).cast("int")
-        keys.append(own)
-        if radius:
-            keys += [F.when(value.bitwiseAND(F.lit(1 << b)) == 0, own.bitwiseOR(F.lit(1 << b))) for b in range(width)]
+    for n, (low, width, radius) in enumerate(segments):
+        value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        keys.append(F.struct(F.lit(n).cast("byte").alias("segment"), value.alias("value")))
+        for k in range(1, radius + 1):
+            for turned in combinations(range(width), k):
+                mask = F.lit(sum(1 << b for b in turned)).cast("long")
+                keys.append(F.when(value.bitwiseAND(mask) == 0, F.struct(F.lit(n).cast("byte").alias("segment"), value.bitwiseOR(mask).alias("value"))))
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
+def other_bits(fp: Column, segment: Column, segments: Segments) -> Column:
+    """A fingerprint without the bits of a segment, the rest moved together."""
+    found = F.lit(None).cast("long")
+    for n, (low, width, _) in enumerate(segments):
+        below = fp.bitwiseAND(F.lit((1 << low) - 1).cast("long"))
+        above = F.shiftleft(F.shiftrightunsigned(fp, low + width), low) if low + width < 64 else F.lit(0).cast("long")
+        found = F.when(segment == n, above.bitwiseOR(below)).otherwise(found)
+    return found
+
+
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= MOST_BITS
 
@@ -101,13 +143,27 @@ def _forest(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _star(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each print of an entry to the first that it is connected with."""
+    near = _near(prints[:, None], prints[None, :])
+    first = np.arange(len(prints))
+    while True:
+        now = np.where(near, first[None, :], len(prints)).min(1)
+        now = now[now]
+        if (now == first).all():
+            break
+        first = now
+    own = np.flatnonzero(first != np.arange(len(prints)))
+    return prints[own], prints[first[own]]
+
+
 def _links_of(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows with the same key; keys are sorted."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     found = []
-    for s, n in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-        found += _forest(prints[s : s + n])
+    for s, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+        found += [_star(prints[s : s + n])] if n <= _MATRIX else _forest(prints[s : s + n])
     few = np.repeat((sizes <= _SMALL) & (sizes > 1), sizes)
     k, p = keys[few], prints[few]
     for lag in range(1, _SMALL):
@@ -122,19 +178,27 @@ def _links_of(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _link_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key; an entry may reach over several batches."""
+    """Rows sorted by entry (segment, value, segment2, value2); an entry may reach over several batches."""
 
     def made(keys, prints):
         a, b = _links_of(keys, prints)
         for k in range(0, len(a), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000].view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    held_k, held_p = [], []
+    held_k, held_p, last, number = [], [], None, 0
     for batch in batches:
-        keys = batch.column("key").to_numpy(zero_copy_only=False)
-        prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        if not len(keys):
+        if not batch.num_rows:
             continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("segment", "value", "segment2", "value2")]
+        prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        # entries are numbered in the order in which they come
+        changes = np.zeros(len(prints), bool)
+        for c in columns:
+            changes[1:] |= c[1:] != c[:-1]
+        first, end = tuple(c[0] for c in columns), tuple(c[-1] for c in columns)
+        number += first != last
+        keys = number + np.cumsum(changes)
+        number, last = int(keys[-1]), end
         cut = int(np.searchsorted(keys, keys[-1]))  # where the last entry of the batch begins
         if cut or (held_k and held_k[0][0] != keys[-1]):
             yield from made(np.concatenate([*held_k, keys[:cut]]), np.concatenate([*held_p, prints[:cut]]))
@@ -145,11 +209,31 @@ def _link_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from made(np.concatenate(held_k), np.concatenate(held_p))
 
 
-def fingerprint_components(prints: DataFrame) -> DataFrame:
+def table_entries(prints: DataFrame, n_prints: int, large: int = LARGE) -> DataFrame:
+    """(segment, value, segment2, value2, fp): the rows of all entries, large ones divided by a second table."""
+    segments = layout(n_prints)
+    rows = prints.select(F.explode(table_keys(F.col("fp"), segments)).alias("key"), "fp").select("key.segment", "key.value", "fp")
+    none = F.lit(-1).cast("byte").alias("segment2"), F.lit(0).cast("long").alias("value2")
+    sizes = materialize(rows.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large), "large")
+    n_large, most = sizes.agg(F.count(F.lit(1)), F.max("size")).first()
+    if not n_large:
+        return rows.select("segment", "value", *none, "fp")
+    sizes = sizes.drop("size")
+    sizes = F.broadcast(sizes) if n_large <= BROADCAST_ENTRIES else sizes
+    bits = 64 - min(width for _, width, _ in segments)
+    hot = rows.join(sizes, ["segment", "value"], "left_semi")
+    keys = table_keys(other_bits(F.col("fp"), F.col("segment"), segments), layout(most, bits))
+    hot = hot.select("segment", "value", F.explode(keys).alias("key"), "fp")
+    hot = hot.select("segment", "value", F.col("key.segment").alias("segment2"), F.col("key.value").alias("value2"), "fp")
+    return rows.join(sizes, ["segment", "value"], "left_anti").select("segment", "value", *none, "fp").unionByName(hot)
+
+
+def fingerprint_components(prints: DataFrame, large: int = LARGE) -> DataFrame:
     """(fp, component_id, keeper): for each distinct fingerprint the least doc_id, and the first (doc_id, row), null ids last, of its component."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("keeper")), "distinct")
-    entries = distinct.select(F.explode(table_keys(F.col("fp"))).alias("key"), "fp")
-    links = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_link_entries, "a long, b long")
+    entries = table_entries(distinct.select("fp"), distinct.count(), large)
+    entry = "segment", "value", "segment2", "value2"
+    links = entries.repartition(*entry).sortWithinPartitions(*entry).mapInArrow(_link_entries, "a long, b long")
     stars = star_components(links)
     rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "keeper")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keeper").alias("keeper"))
@@ -159,7 +243,7 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row.
 
-    Null, empty and blank texts have fingerprint zero and are linked like any other. Rows without
+    Texts are read whole, whatever their length. Null, empty and blank texts have fingerprint zero and are linked like any other. Rows without
     doc_id take part; a component of such rows alone has a null id. Repeated rows stay; extra columns
     are ignored; an empty table gives an empty result.
     """

@@ -245,9 +245,11 @@ def test_simhash(docs, odd, none):
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
-def test_simhash_links_near_fingerprints(spark):
+def test_simhash_links_near_fingerprints(spark, monkeypatch):
     import numpy as np
 
+    layout = simhash_dedup.layout
+
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     prints = set(base.tolist())
@@ -258,7 +260,7 @@ def test_simhash_links_near_fingerprints(spark):
                 g ^= 1 << int(b)
             prints.add(g)
     rows = sorted(prints)
-    table = spark.createDataFrame([(i, i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(rows)], "doc_id long, row long, fp long")
+    table = spark.createDataFrame([(i, (i, i), f - (1 << 64) if f >> 63 else f) for i, f in enumerate(rows)], "doc_id long, row struct<a:long,b:long>, fp long")
     parent = list(range(len(rows)))
 
     def find(x):
@@ -271,8 +273,22 @@ def test_simhash_links_near_fingerprints(spark):
             if (rows[i] ^ rows[j]).bit_count() <= 4:
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    got = {r["fp"] % (1 << 64): r["component_id"] for r in simhash_dedup.fingerprint_components(table).collect()}
-    assert got == {f: find(i) for i, f in enumerate(rows)}
+    want = {f: find(i) for i, f in enumerate(rows)}
+    # as for few fingerprints, for so many that segments are long, and with all entries divided
+    for n, large in ((len(rows), 4096), (2 * 10**7, 4096), (10**8, 4096), (10**12, 4096), (len(rows), 1)):
+        monkeypatch.setattr(simhash_dedup, "layout", lambda prints, bits=64, n=n: layout(n if bits == 64 else prints, bits))
+        got = {r["fp"] % (1 << 64): r["component_id"] for r in simhash_dedup.fingerprint_components(table, large).collect()}
+        assert got == want
+
+
+def test_simhash_layouts_cover_four_bits():
+    for bits in (64, 51, 42, 32):
+        chosen = [simhash_dedup.layout(10**k, bits) for k in range(14)]
+        for segments in chosen:
+            assert sum(r + 1 for _, _, r in segments) > 4
+            assert [low for low, _, _ in segments] == [sum(w for _, w, _ in segments[:i]) for i in range(len(segments))]
+            assert sum(w for _, w, _ in segments) == bits
+        assert len(chosen[5]) == 5 and len(chosen[-1]) == 2
 
 
 def test_quality_classifier(spark, odd, none):
