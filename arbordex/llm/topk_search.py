@@ -1,34 +1,38 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
 The components of a block of vectors are quantised by dimension; the vectors that share a dimension
-and a level form a posting segment, which knows its least and greatest component. For a query, a
-segment's impact is the most that it can add to a score. Segments of all dimensions are processed by
-descending impact. At any time no unprocessed dimension of a vector can add more than the next
-impact, nor more than its dimension's own next impact, so each vector has an upper bound. The search
-stops only when these bounds prove that all but a few vectors are out; those few are scored exactly.
-
-Queries and vectors meet block by block; a block pair is one bounded task.
+and a level form a posting segment. For a query, a segment's impact is the most that a member can get
+from it. Segments of all dimensions are processed by descending impact, in rounds: each posting adds
+what its vector scores in that dimension. What a vector has not got yet is at most the next impact for
+each dimension that is left, so every vector has an upper bound. After each round the vectors with the
+best bounds are scored exactly; the search stops only when their scores prove that all but a few
+vectors are out, and those few are scored exactly. After the last segment every sum is exact itself.
+
+A block's index is built once, in one task, and the queries come to it in batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import materialize
 
-BLOCK_VECTORS = 4096
-BLOCK_QUERIES = 256
-LEVELS = 24
-#: Shares of the segments after which the bounds are tested; earlier no proof is to be expected.
-_TESTS = (0.6, 0.7, 0.85, 1.0)
+BLOCK_VECTORS = 8192
+#: Levels of a dimension, at most.
+LEVELS = 256
+#: Shares of the postings after which the bounds are tested.
+ROUNDS = (0.38, 0.5, 0.7, 1.0)
 #: A search ends when at most this part of a block is possible; those are scored exactly.
-_RESCORE = 4
+_RESCORE = 5
 #: Components beyond it are held at it; no score with one fits a long, but by a component of zero.
 _LARGEST = float(1 << 62)
+_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
 
 
 def quantised_rows(table: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -42,116 +46,167 @@ def quantised_rows(table: DataFrame, scale: float = 256.0) -> DataFrame:
 class ImpactIndex:
     """Posting segments of one block of vectors.
 
-    Segments are the columns of an incidence matrix, so that a round of segments is scored for many
-    queries by one matrix product.
+    The postings of a dimension lie by descending component, so those of a level lie together and
+    all segments above an impact are one stretch of each dimension. proven counts the searches that
+    ended before the last segment, rescored the vectors that they then scored exactly.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
         self.ids, self.vectors, self.exact = ids, vectors, vectors.astype(np.float64)
-        n, n_dims = vectors.shape
-        members, dims, low, high = [], [], [], []
-        for d in range(n_dims):
-            column = vectors[:, d]
-            for rows in np.array_split(np.argsort(column, kind="stable"), levels):
-                if len(rows):
-                    members.append(rows)
-                    dims.append(d)
-                    low.append(column[rows[0]])
-                    high.append(column[rows[-1]])
-        self.dims, self.low, self.high = np.array(dims, np.int64), np.array(low, np.int64), np.array(high, np.int64)
-        self.incidence = np.zeros((n, len(members)))
-        for s, rows in enumerate(members):
-            self.incidence[rows, s] = 1
-
-    def _best(self, possible: np.ndarray, q: np.ndarray, k: int, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+        self.searched = self.proven = self.rescored = 0
+        self.largest = int(np.abs(self.exact).max(initial=0))
+        n, self.n_dims = vectors.shape
+        order = np.argsort(-self.exact, axis=0, kind="stable").T
+        self.postings = np.ascontiguousarray(order)
+        self.parts = np.take_along_axis(self.exact.T, order, 1)
+        # the bounds of the levels: a level has equal components, or many where they are too many
+        low, high = self.parts[:, -1:], self.parts[:, :1]
+        self.step = np.maximum(1.0, np.ceil((high - low + 1) / levels))
+        self.level = ((self.parts - low) // self.step).astype(np.int64)
+        self.low = low
+
+    def _best(self, possible: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of the possible rows by exact scores, ties to the smaller id."""
-        scores = np.rint(self.exact[possible] @ q).astype(np.int64) if safe else self.vectors[possible] @ q
-        best = np.lexsort((self.ids[possible], -scores))[:k]
+        if self._safe(q):
+            scores = np.rint(self.exact[possible] @ q).astype(np.int64)
+        else:
+            whole = (self.vectors[possible].astype(object) @ q.astype(object)).tolist()
+            scores = np.array([max(_LEAST, min(_MOST, x)) for x in whole], np.int64)
+        # the order is that of (-score, id), without the negative of the least long
+        best = np.lexsort((self.ids[possible], ~scores))[:k]
         return self.ids[possible[best]], scores[best]
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query, ids and scores of its k best vectors but its own."""
-        n, n_dims = self.vectors.shape
-        others = self.ids[:, None] != query_ids[None, :]
-        most = int(np.abs(queries).max(initial=0)) * int(np.abs(self.vectors).max(initial=0)) * max(1, n_dims)
-        unit = float(1 << (4 * most).bit_length())
-        safe = most < 1 << 53
-        if not len(self.dims) or unit * n_dims >= 1 << 52 or n <= 4 * k:  # nothing to gain, or no room beside the sums
-            return [self._best(np.flatnonzero(others[:, c]), q, k, safe) for c, q in enumerate(queries)]
-        weight = queries.T[self.dims]  # segments x queries
-        impact = np.maximum(weight * self.low[:, None], weight * self.high[:, None])
-        order = np.argsort(-impact, axis=0, kind="stable")
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(len(order))[:, None], axis=0)
-        ranked = np.take_along_axis(impact, order, axis=0)
-        out: list = [None] * len(queries)
-        left = np.arange(len(queries))
-        # one number holds both the processed dimensions (times unit) and the sum so far
-        gathered = np.zeros((n, len(queries)))
-        proven = np.full(len(queries), -np.inf)
-        begin = 0
-        for share in _TESTS:
-            stop = int(share * len(order))
-            now = (place[:, left] >= begin) & (place[:, left] < stop)
-            gathered += self.incidence @ np.where(now, impact[:, left] + unit, 0.0)
-            begin = stop
-            if stop == len(order):
-                break
-            processed = np.rint(gathered / unit)
-            bound = np.where(others[:, left], gathered - processed * unit + (n_dims - processed) * ranked[stop, left], -np.inf)
-            # what the leaders score exactly, against what the others can still reach
-            lead = np.argpartition(-bound, k, axis=0)[:k]
-            score = np.where(np.take_along_axis(others[:, left], lead, 0), np.einsum("kmd,md->km", self.exact[lead], queries[left].astype(np.float64)), -np.inf)
-            proven = np.maximum(proven, score.min(0))
-            possible = bound >= proven
-            ready = possible.sum(0) <= max(4 * k, n // _RESCORE)
-            for c in np.flatnonzero(ready):
-                out[left[c]] = self._best(np.flatnonzero(possible[:, c]), queries[left[c]], k, safe)
-            left, gathered, proven = left[~ready], gathered[:, ~ready], proven[~ready]
-            if not len(left):
+    def _safe(self, q: np.ndarray) -> bool:
+        """Whether all sums are exact in doubles."""
+        return int(np.abs(q).max(initial=0)) * self.largest * max(1, self.n_dims) < 1 << 46
+
+    def _starts(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each round, how many postings of each dimension it and those before have, from the end with the greatest impacts."""
+        n = len(self.ids)
+        up = q >= 0
+        # impacts of the postings at evenly spaced places of each dimension, best first
+        at = np.unique(np.linspace(0, n - 1, 33).astype(np.int64))
+        level = np.where(up[:, None], self.level[:, at], self.level[:, n - 1 - at])
+        most = self.low + (level + up[:, None]) * self.step - up[:, None]
+        impact = np.minimum(q[:, None] * most, q[:, None] * np.where(up[:, None], self.parts[:, :1], self.parts[:, -1:]))
+        spread = np.sort(impact.ravel())[::-1]
+        out = []
+        for share in ROUNDS[:-1]:
+            least = spread[min(len(spread) - 1, int(share * len(spread)))]
+            above = (impact > least).sum(1)
+            out.append(np.where(above == len(at), n, at[np.minimum(above, len(at) - 1)]))
+        return [*out, np.full(self.n_dims, n)]
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best vectors but those with the query's own id."""
+        n, d = len(self.ids), self.n_dims
+        self.searched += 1
+        others = self.ids != query_id
+        if not d or not self._safe(query) or n <= 4 * k:  # no room beside the sums, or nothing to gain
+            return self._best(np.flatnonzero(others), query, k)
+        q = query.astype(np.float64)
+        up, weights = (q >= 0).tolist(), q.tolist()
+        unit = float(1 << 47)  # one number holds the sum so far and, times unit, the dimensions it is of
+        gathered, done, proven = np.zeros(n), np.zeros(d, np.int64), -np.inf
+        for stop in self._starts(q):
+            stop = np.maximum(stop, done)
+            for j, (a, b) in enumerate(zip(done.tolist(), stop.tolist(), strict=True)):
+                if b > a:
+                    part = slice(a, b) if up[j] else slice(n - b, n - a)
+                    gathered[self.postings[j, part]] += self.parts[j, part] * weights[j] + unit  # a dimension has a vector once
+            done = stop
+            if (done == n).all():
                 break
-        for c in left:  # no proof leaves few enough
-            out[c] = self._best(np.flatnonzero(others[:, c]), queries[c], k, safe)
-        return out
-
-
-def _matrix(rows: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
-    for i, v in enumerate(rows):
-        out[i, : len(v)] = v
+            # the next impact of each dimension; none that is left can add more
+            ahead = np.minimum(done, n - 1)
+            edge = self.parts[np.arange(d), np.where(q >= 0, ahead, n - 1 - ahead)]
+            after = float((edge * q)[done < n].max())
+            dims = np.rint(gathered / unit)
+            bound = np.where(others, gathered - dims * unit + (d - dims) * after, -np.inf)
+            lead = np.argpartition(-bound, k)[:k]
+            lead = lead[others[lead]]
+            if len(lead) == k:
+                proven = max(proven, float((self.exact[lead] @ q).min()))
+            possible = np.flatnonzero((bound >= proven) & others)
+            if len(possible) <= max(4 * k, n // _RESCORE):
+                self.proven += 1
+                self.rescored += len(possible)
+                return self._best(possible, query, k)
+        # every sum is a score
+        scores = np.where(others, gathered - d * unit, -np.inf)
+        possible = np.flatnonzero(others)
+        if len(possible) > k:
+            possible = np.flatnonzero(scores >= -np.partition(-scores, k - 1)[k - 1])
+        return self._best(possible, query, k)
+
+
+def _matrix(rows: list[pa.Array], width: int) -> np.ndarray:
+    """Rows of longs of any length, filled up with zeros."""
+    parts = [np.pad(r[:, :width] if r.shape[1] > width else r, ((0, 0), (0, width - min(r.shape[1], width)))) for r in rows]
+    return np.concatenate(parts) if parts else np.zeros((0, width), np.int64)
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    lists = batch.column("v")
+    lens = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lens), int(lens.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1])[None, :] < lens[:, None]] = flat
     return out
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, a block's vectors before its queries; only one block is held."""
+    block, ids, rows, index = None, [], [], None
+    for batch in batches:
+        blocks, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asks"))
+        edges = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])]).tolist() if len(blocks) else []
+        for a, b in zip(edges, [*edges[1:], len(blocks)], strict=True):
+            part = batch.slice(a, b - a)
+            vec_ids, vectors = part.column("vec_id").to_numpy(zero_copy_only=False), _rows(part)
+            if blocks[a] != block:
+                block, ids, rows, index = blocks[a], [], [], None
+            if not asks[a]:
+                ids.append(vec_ids)
+                rows.append(vectors)
+                continue
+            if not ids:
+                continue  # queries of a block without vectors
+            width = max(1, vectors.shape[1], *[r.shape[1] for r in rows]) if index is None else max(index.n_dims, vectors.shape[1])
+            if index is None or index.n_dims < width:
+                index = ImpactIndex(np.concatenate(ids), _matrix(rows, width))
+            found = [(q, *index.search(q, v, k)) for q, v in zip(vec_ids.tolist(), _matrix([vectors], width), strict=True)]
+            columns = [np.repeat([f[0] for f in found], [len(f[1]) for f in found]), *[np.concatenate([f[c] for f in found]) for c in (1, 2)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], ["query_id", "vec_id", "score"])
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest integer inner products of each query.
 
-    vectors and queries hold (vec_id, v). A query's own row, that with its vec_id, is no candidate.
-    Vectors of fewer components count as filled up with zeros. Equal vectors tie by vec_id; repeated
-    rows are separate candidates. Empty tables give an empty result. Scores are longs: sums that fit
-    a long are exact, whatever the components.
+    vectors and queries hold (vec_id, v). No row with a query's vec_id is a candidate for it. Vectors
+    of fewer components count as filled up with zeros. Equal scores tie by vec_id; repeated rows are
+    separate candidates. Empty tables give an empty result. A score beyond the range of a long is
+    held at its end.
+
+    Each vector goes to one block, each query to all blocks: that is the least for a search that
+    compares all of them, and the rows that move are vectors + queries * vectors / block_vectors.
     """
     n_blocks = max(1, -(-vectors.count() // block_vectors))
-    q_blocks = max(1, -(-queries.count() // block_queries))
-    left = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), "vec_id", "v")
-    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("vb"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("qb"), "vec_id", "v")
-
-    def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(asked):
-            rows, asked = rows.sort_values("vec_id", kind="stable"), asked.sort_values("vec_id", kind="stable")
-            width = int(max(rows["v"].map(len).max(), asked["v"].map(len).max(), 1))
-            index = ImpactIndex(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], width))
-            query_ids = asked["vec_id"].to_numpy(np.int64)
-            for query_id, (ids, scores) in zip(query_ids.tolist(), index.search(query_ids, _matrix(asked["v"], width), k), strict=True):
-                out += zip([query_id] * len(ids), ids.tolist(), scores.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    best = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    own = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("long").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")
+    asked = queries.select(every, F.lit(True).alias("asks"), "vec_id", "v")
+    met = own.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")
+    best = met.mapInArrow(lambda it: _answers(it, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_table(table: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """The rows whose vec_id is divisible by every, each once, against all rows."""
+    """The vec_ids divisible by every against all rows.
+
+    A vec_id that stands in several rows asks once, with the least of its vectors in array order.
+    Rows without vec_id take no part; columns other than vec_id and embedding are ignored.
+    """
     rows = materialize(quantised_rows(table), "vectors")
-    return exact_top_k(rows, rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), k)
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return exact_top_k(rows, asked, k)

@@ -159,7 +159,7 @@ def test_topk_search(spark, sf_dir):
     assert sorted(map(tuple, topk_search.search_table(table).collect())) == sorted(want)
     vectors = topk_search.quantised_rows(table)
     asked = vectors.where("vec_id % 50 = 0")
-    assert sorted(map(tuple, topk_search.exact_top_k(vectors, asked, 5, block_vectors=100, block_queries=4).collect())) == sorted(want)
+    assert sorted(map(tuple, topk_search.exact_top_k(vectors, asked, 5, block_vectors=100).collect())) == sorted(want)
     assert topk_search.search_table(table.where("false")).count() == 0
     large = [(0, [40000.0, -3e7, 2.0, 0.1]), (1, [5e6, 1.5, 1e6, 0.0]), (2, [-7e8, 20000.0, 0.0, 9.0]), *[(i, [1e5 * i, -1e6 / i, 3.0 * i, 1e-7]) for i in range(3, 51)]]
     whole = {i: [math.floor(256 * x) for x in v] for i, v in large}
@@ -173,6 +173,31 @@ def test_topk_search(spark, sf_dir):
     assert sorted(map(tuple, topk_search.search_table(tiny).collect())) == [(0, 1, 1, 256 * 128), (0, 2, 2, 0)]
 
 
+def test_topk_search_proves_and_holds(spark, sf_dir):
+    import numpy as np
+
+    vectors = topk_search.quantised_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).collect()
+    rng = np.random.default_rng(4)
+    rows = np.array([r["v"] for r in vectors])
+    rows = np.concatenate([rows, rng.integers(-160, 160, (4000, rows.shape[1]))])
+    index = topk_search.ImpactIndex(np.arange(len(rows)), rows)
+    for q in range(0, len(rows), 100):
+        ids, scores = index.search(q, rows[q], 5)
+        all_scores = rows @ rows[q]
+        all_scores[q] = -(1 << 62)
+        best = np.lexsort((np.arange(len(rows)), -all_scores))[:5]
+        assert ids.tolist() == best.tolist() and scores.tolist() == all_scores[best].tolist()
+    assert index.proven > 0.8 * index.searched and index.rescored < 0.25 * len(rows) * index.proven
+    # repeated ids ask once, with the least vector, and never find themselves; null ids take no part
+    table = spark.createDataFrame([(50, [2.0, 0.0]), (50, [1.0, 5.0]), (None, [9.0, 9.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    extra = table.selectExpr("*", "1 as rank", "2 as block", "3 as query_id", "true as asks", "'x' as v")
+    unit = 256 * 256
+    for t in (table, extra):
+        assert sorted(map(tuple, topk_search.search_table(t).collect())) == [(50, 1, 2, 5 * unit), (50, 2, 1, unit)]
+    huge = spark.createDataFrame([(0, [1e17, 1e17]), (1, [1e17, 1e17]), (2, [-1e17, -1e17])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk_search.search_table(huge).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
+
+
 def test_chat_format(spark, sf_dir):
     odd = [(-1, 0, "assistant", None), (-1, 0, "assistant", None), (-1, None, None, 'a "b" <turn role="x">\\'), (-2, 1, "assistant", "x\r\n\\<é"), (-2, 0, "assistant", "</turn>\n"), (None, 0, "user", "hi")]
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
