@@ -42,13 +42,16 @@ BASE_RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 18, "AKIA"),
     SecretRule("hex", r"[0-9a-f]+", 0, 16),
 )
+#: Every run that a failing match may read again has a bound, so the time grows with the text alone.
 EXTRA_RULES = (
     SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 60, "PRIVATE KEY-----"),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, "eyJ"),
+    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{1,900}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, "eyJ"),
     SecretRule("prefixed", r"(?:ghp_|gho_|ghs_|glpat-|xoxb-|xoxp-|sk_live_|AIza)[A-Za-z0-9_-]+", 0, 24),
-    SecretRule("url_login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:([^\x00-\x20/@]+)@", 1, 4, "://"),
+    SecretRule("url_login", r"[a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,200}:([^\x00-\x20/@]{1,200})@", 1, 4, "://"),
 )
 
+#: Blobs with unseen pairs are broadcast up to this number (a hash and the rules' names each), else joined by a shuffle.
+BROADCAST_BLOBS = 200_000
 _LEDGER = "blob string, kind string, version int, spans array<struct<start:long,stop:long>>"
 
 
@@ -74,8 +77,12 @@ def _pieces(text: Column, rule: SecretRule) -> Column:
 
 
 def _scan(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
-    """(blob, kind, version, spans) with the rules' findings, for pairs with findings only."""
-    kinds = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), _pieces(F.col("text"), r).alias("found")) for r in rules])
+    """(blob, kind, version, spans) with findings of the rules that each blob's kinds name (null: all), for pairs with findings only."""
+
+    def asked(rule: SecretRule) -> Column:
+        return F.col("kinds").isNull() | F.array_contains("kinds", rule.kind)
+
+    kinds = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), F.when(asked(r), _pieces(F.col("text"), r)).alias("found")) for r in rules])
     hits = blobs.select("blob", F.explode(F.filter(kinds, lambda x: x["found"].isNotNull())).alias("k")).select("blob", "k.kind", "k.version", "k.least", F.posexplode("k.found").alias("i", "m"))
     # places are running sums of gaps and matches, within one blob and kind
     before = Window.partitionBy("blob", "kind", "version").orderBy("i")
@@ -113,31 +120,33 @@ class BlobLedger:
         return self.spark.read.schema(_LEDGER).parquet(f"{self.path}/findings").dropDuplicates(["blob", "kind", "version"])
 
     def update(self, versions: DataFrame, rules: tuple[SecretRule, ...]) -> None:
-        """Scan what versions (blob, text) holds beyond the ledger."""
-        blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
-        keys = versions.select("blob").distinct()
-        known = self.scanned()
+        """Scan what versions (blob, text) holds beyond the ledger.
+
+        What is unseen is found over keys alone; then the texts of blobs with an unseen pair move
+        once, whatever the number of rules.
+        """
+        known, every = self.scanned(), F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
         if known is None:
-            self._add(_scan(blobs, rules), keys, rules)
+            blobs = versions.groupBy("blob").agg(F.first("text").alias("text")).withColumn("kinds", F.lit(None).cast("array<string>"))
+            pairs = versions.select("blob").distinct().select("blob", F.explode(every).alias("p")).select("blob", "p.*")
         else:
-            for rule in rules:  # a rule's unseen blobs; the ledger side is keys only
-                seen = known.where((F.col("kind") == rule.kind) & (F.col("version") == rule.version)).select("blob")
-                unseen = versions.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-                self._add(_scan(unseen, (rule,)), keys.join(seen, "blob", "left_anti"), (rule,))
+            pairs = versions.select("blob").distinct().select("blob", F.explode(every).alias("p")).select("blob", "p.*")
+            pairs = materialize(pairs.join(known, ["blob", "kind", "version"], "left_anti"), "unseen")
+            todo = materialize(pairs.groupBy("blob").agg(F.sort_array(F.collect_set("kind")).alias("kinds")), "todo")
+            todo = F.broadcast(todo) if todo.count() <= BROADCAST_BLOBS else todo
+            blobs = versions.join(todo, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("kinds").alias("kinds"))
+        _scan(blobs, rules).write.mode("append").parquet(f"{self.path}/findings")
+        pairs.write.mode("append").parquet(f"{self.path}/scanned")
         if self._temporary:
             drop_at_end(self.spark, self.path)
         self._has = True
 
-    def _add(self, found: DataFrame, blobs: DataFrame, rules: tuple[SecretRule, ...]) -> None:
-        found.write.mode("append").parquet(f"{self.path}/findings")
-        pairs = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]))
-        blobs.select("blob", pairs.alias("p")).select("blob", "p.*").write.mode("append").parquet(f"{self.path}/scanned")
-
 
 def scan_versions(docs: DataFrame, rules: tuple[SecretRule, ...] = (*BASE_RULES, *EXTRA_RULES), ledger: BlobLedger | None = None) -> DataFrame:
     """docs (any columns, with text) plus blob and findings: array of (start, stop, kind), by start and rule order.
 
-    A null text is empty and has no findings. Equal texts share one scan whatever their number;
+    A null text is empty and has no findings. Texts are scanned whole, whatever their length; a row
+    without doc_id is scanned like any other, and an empty table gives an empty result. Equal texts share one scan whatever their number;
     repeated rows each come back. Columns named blob or findings in docs are replaced.
     """
     spark = docs.sparkSession

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ from ._shared import blocks
 #: U+001C to U+001F that Python's str.split() takes.
 _SPLIT = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: A chunk is looked up whole; so many are remembered by a worker.
-CACHE_ENTRIES = 400_000
+#: A chunk is looked up whole; a worker remembers those up to this length, and so many characters in all.
+CHUNK_CHARS, CACHE_CHARS = 64, 12_000_000
+#: Pre-tokens beyond so many bytes are cut into stretches; a cut is patched with so many symbols of either side.
+STRETCH, PATCH = 128, 8
 #: Characters of texts that are counted together.
 BLOCK_CHARS = 4_000_000
 _NO_RANK = np.int64(1 << 40)
@@ -56,21 +59,24 @@ class RankMerger:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
+        self.width = np.zeros(self.size, np.int64)  # bytes of each symbol
+        for name, i in vocab.items():
+            self.width[i] = len(name.removesuffix(end) if end else name)
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
 
     def _ranks_of(self, pair_keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, pair_keys), len(self.keys) - 1)
         return np.where(self.keys[at] == pair_keys, self.ranks[at], _NO_RANK)
 
-    def count(self, tokens: list[bytes]) -> np.ndarray:
-        """Surviving symbols of each pre-token (none may be empty)."""
+    def merge(self, tokens: list[bytes], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all sequences (none may be empty), and of which each is; ends tells where a word ends with its sequence."""
         n = len(tokens)
-        done = np.ones(n, np.int64)
         lens = np.fromiter(map(len, tokens), np.int64, n)
         raw = np.frombuffer(b"".join(tokens), np.uint8)
-        ids, ends = self.inner[raw], np.cumsum(lens)
-        ids[ends - 1] = self.last[raw[ends - 1]]
+        ids, last = self.inner[raw], np.cumsum(lens)[ends] - 1
+        ids[last] = self.last[raw[last]]
         seq = np.repeat(np.arange(n), lens)
+        done_ids, done_seq = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while len(ids):
             inside = seq[1:] == seq[:-1]
             rank = np.full(len(ids), _NO_RANK)
@@ -78,8 +84,9 @@ class RankMerger:
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             best = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.r_[starts, len(ids)])
-            idle = best == _NO_RANK
-            done[seq[starts[idle]]] = sizes[idle]
+            idle = np.repeat(best == _NO_RANK, sizes)
+            done_ids.append(ids[idle])
+            done_seq.append(seq[idle])
             hit = (rank == np.repeat(best, sizes)) & (rank != _NO_RANK)
             # in a run of overlapping places (x x x) every second one is merged, from the left
             if (hit[1:] & hit[:-1]).any():
@@ -89,19 +96,64 @@ class RankMerger:
                 hit &= (place - first) % 2 == 0
             ids = ids.copy()
             ids[hit] = self.made[rank[hit]]
-            keep = ~np.r_[False, hit[:-1]] & np.repeat(~idle, sizes)
+            keep = ~np.r_[False, hit[:-1]] & ~idle
             ids, seq = ids[keep], seq[keep]
-        return done
+        ids, seq = np.concatenate(done_ids), np.concatenate(done_seq)
+        order = np.argsort(seq, kind="stable")
+        return ids[order], seq[order]
+
+    def count(self, tokens: list[bytes]) -> np.ndarray:
+        """Surviving symbols of each pre-token (none may be empty)."""
+        whole = [t for t in tokens if len(t) <= STRETCH]
+        each = iter(np.bincount(self.merge(whole, np.ones(len(whole), bool))[1], minlength=len(whole)).tolist())
+        return np.array([next(each) if len(t) <= STRETCH else self.count_long(t) for t in tokens], np.int64)
+
+    def count_long(self, token: bytes) -> int:
+        """Surviving symbols of one long pre-token."""
+        cuts = [*range(0, len(token), STRETCH)]
+        parts: dict[int, np.ndarray] = {}  # by where a stretch begins
+        while True:
+            ends = [*cuts[1:], len(token)]
+            fresh = [(a, b) for a, b in zip(cuts, ends, strict=True) if a not in parts]
+            ids, seq = self.merge([token[a:b] for a, b in fresh], np.array([b == len(token) for _, b in fresh]))
+            for (a, _), part in zip(fresh, np.split(ids, np.flatnonzero(np.diff(seq)) + 1), strict=True):
+                parts[a] = part
+            # the symbols beside each cut that a patch takes: never more than half of a stretch
+            takes = [(parts[a][-min(PATCH, len(parts[a]) // 2) :], parts[b][: min(PATCH, len(parts[b]) // 2)]) if min(len(parts[a]), len(parts[b])) > 1 else None for a, b in zip(cuts, cuts[1:], strict=False)]
+            spans = [(b - int(self.width[t[0]].sum()), b + int(self.width[t[1]].sum())) for b, t in zip(cuts[1:], takes, strict=True) if t]
+            ids, seq = self.merge([token[a:b] for a, b in spans], np.array([b == len(token) for _, b in spans], bool)) if spans else (np.empty(0, np.int64), np.empty(0, np.int64))
+            patches = iter(np.split(ids, np.flatnonzero(np.diff(seq)) + 1)) if spans else iter(())
+            total, bad = sum(map(len, parts.values())), []
+            for cut, take in zip(cuts[1:], takes, strict=True):
+                patch = next(patches) if take else None
+                if take and patch[0] == take[0][0] and patch[-1] == take[1][-1]:
+                    total += len(patch) - len(take[0]) - len(take[1])
+                else:
+                    bad.append(cut)
+            if not bad:
+                return total
+            # of neighbouring bad cuts all go at once; stretches grow, so this ends
+            for cut in bad:
+                before = cuts[cuts.index(cut) - 1]
+                parts.pop(before, None)
+                parts.pop(cut, None)
+                cuts.remove(cut)
+
+
+@lru_cache(2)
+def rank_merger(path: str) -> RankMerger:
+    """One for all tasks of a worker."""
+    return RankMerger(path)
 
 
 class TokenCounter:
     """Token counts of whole texts, as the vocabulary's library gives them without added begin or end."""
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
-        self.merger = RankMerger(path)
+    def __init__(self, path: str, cache_chars: int = CACHE_CHARS):
+        self.merger = rank_merger(path)
         self.special = regex.compile("|".join(map(regex.escape, self.merger.specials)))
         self.cache: dict[str, int] = {}
-        self.cache_entries = cache_entries
+        self.chars, self.cache_chars = 0, cache_chars
 
     def _chunks(self, text: str) -> tuple[list[str], int]:
         """Pieces between white space, and the special strings found in the raw text."""
@@ -131,8 +183,9 @@ class TokenCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self._chunks(t) for t in texts]
-        if len(self.cache) > self.cache_entries:
+        if self.chars > self.cache_chars:
             self.cache.clear()
+            self.chars = 0
         unseen: set[str] = set()
         for chunks, _ in split:
             unseen.update(chunks)
@@ -140,14 +193,21 @@ class TokenCounter:
         if unseen:
             self._learn(unseen)
         get = self.cache.__getitem__
-        return [sum(map(get, chunks)) + found for chunks, found in split]
+        out = [sum(map(get, chunks)) + found for chunks, found in split]
+        for chunk in unseen:
+            if len(chunk) > CHUNK_CHARS:
+                del self.cache[chunk]
+            else:
+                self.chars += len(chunk) + 8
+        return out
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row; a null text counts as empty.
 
     No shuffle: each row is counted where it is read. vocabulary is the path of the file on the
-    executors. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
+    executors. Texts of any length are counted whole, in time that grows with it also where they have
+    no blank. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
