@@ -21,3 +21,16 @@ def number(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFrame
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     return fixed.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before")
+
+
+def running_sums(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with, for each name, the sum of its column over the rows before, in the order."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    fixed = materialize(rows.orderBy(*order).withColumns(sums).withColumn("__part", F.spark_partition_id()).withColumn("__at", inside), "ordered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    parts = fixed.groupBy("__part").agg(*[F.sum(c).alias(c) for c in sums])
+    offsets = parts.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = fixed.join(F.broadcast(offsets), "__part")
+    whole = {c: F.col(f"__{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}
+    return placed.withColumns(whole).drop("__part", "__at", *[f"__{c}" for c in sums])
