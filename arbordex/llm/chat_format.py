@@ -44,7 +44,9 @@ FILTERS: dict[str, Callable[[str], str]] = {
 
 # --- syntax tree: nested tuples ("kind", ...)
 
-_TAGS = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.S)
+#: A tag ends at the first closing braces outside quotes.
+_QUOTED = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
+_TAGS = re.compile(rf"""(\{{\{{(?:{_QUOTED}|(?!\}}\}})[^"'])*\}}\}}|\{{%(?:{_QUOTED}|(?!%\}})[^"'])*%\}})""", re.S)
 _TOKEN = re.compile(r"""\s*(?:(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[().|~\[\]]))""")
 _END = ("end", "")
 
@@ -138,7 +140,9 @@ def parse(source: str) -> tuple:
         nonlocal at
         nodes = []
         while at < len(parts):
-            part, at = parts[at], at + 1
+            part, is_tag, at = parts[at], at % 2, at + 1
+            if not is_tag and ("{{" in part or "{%" in part):
+                raise TemplateError("a tag is not closed")
             if part.startswith("{{"):
                 nodes.append(("out", _Expression(part[2:-2]).parse()))
             elif part.startswith("{%"):
@@ -223,7 +227,15 @@ def _expression(tree: tuple) -> Callable[[dict], object]:
         return name
     if kind == "filter":
         apply, inner = FILTERS[args[0]], _expression(args[1])
-        return lambda scope: apply(inner(scope))
+
+        def filtered(scope: dict) -> object:
+            value = inner(scope)
+            try:
+                return apply(value)
+            except TypeError as e:
+                raise TemplateError(f"filter {args[0]!r} cannot take {value!r}") from e
+
+        return filtered
     if kind == "not":
         inner = _expression(args[0])
         return lambda scope: not inner(scope)
@@ -340,11 +352,13 @@ def format_conversations(turns: DataFrame, template: str = CHAT_TEMPLATE) -> Dat
     """conv_id, formatted, loss_spans (array of begin and end, in code points) of each conversation.
 
     turns: (conv_id, turn, role, text). A null text or role is empty. Turns are ordered by turn (null
-    first), then role and text; repeated turns all stay. Rows without conv_id are one conversation.
+    first), then role and text; repeated turns all stay. Each row without conv_id is a conversation of
+    its own, so rows that lack it are never gathered. Columns other than the four are ignored.
     A conversation is one output row, so its turns meet in one task; conversations are independent.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = turns.withColumn("__alone", alone).groupBy("conv_id", "__alone").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         render = compile_template(template)

@@ -32,9 +32,10 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 def dropped_positions(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     """(doc_id, blob, drops): per text with such lines, the sorted positions of its frequent lines."""
-    hashed = materialize(docs.select("doc_id", F.xxhash64(text_or_empty()).alias("blob"), line_hashes(text_or_empty(), min_chars).alias("lines")), "lines")
-    lines = hashed.select("doc_id", "blob", F.posexplode("lines").alias("pos", "line")).where("line is not null")
-    documents = lines.groupBy("line", "doc_id").agg(F.lit(1).alias("one"))  # a document counts once
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row")
+    hashed = materialize(docs.select("doc_id", nameless, F.xxhash64(text_or_empty()).alias("blob"), line_hashes(text_or_empty(), min_chars).alias("lines")), "lines")
+    lines = hashed.select("doc_id", "row", "blob", F.posexplode("lines").alias("pos", "line")).where("line is not null")
+    documents = lines.groupBy("line", "doc_id", "row").agg(F.lit(1).alias("one"))  # a document counts once
     frequent = materialize(documents.groupBy("line").count().where(F.col("count") >= min_docs).select("line"), "frequent")
     small = frequent.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
     hits = lines.join(F.broadcast(frequent) if small else frequent, "line", "left_semi")
@@ -45,8 +46,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     """docs with n_lines, n_dropped and kept_text.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at
-    least min_chars code points in at least min_docs documents (distinct doc_id; all rows without a
-    doc_id are one document) lose all their lines everywhere. A null or empty text is one empty
+    least min_chars code points in at least min_docs documents (distinct doc_id; each row without
+    one is a document of its own) lose all their lines everywhere. A null or empty text is one empty
     line, which has no key. Repeated rows are treated alike and all stay; a document may lose all
     its lines and keep an empty text. Columns with the names of the results are replaced.
     """

@@ -17,10 +17,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ._shared import materialize
 
 BITS = 18
 #: So many labelled rows at most are fitted, those with the least hash of doc_id.
 TRAIN_ROWS = 4000
+#: And so many indicators in all (four bytes each).
+TRAIN_INDICATORS = 30_000_000
 THRESHOLD = 0.3
 _CACHE = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -155,11 +160,12 @@ def in_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> LinearModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, train_indicators: int = TRAIN_INDICATORS) -> LinearModel:
     """Fit on at most train_rows labelled rows that are not held out.
 
     A doc_id counts once, however many rows docs has of it: by the text with the least hash. So the
-    hashed indicators of train_rows texts at most come to the driver, of 2^BITS numbers each at most.
+    hashed indicators of train_rows texts at most come to the driver, and of those only so many, by
+    the hash of doc_id, as hold TRAIN_INDICATORS together.
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~in_held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -174,7 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [index.features(t) for t in pdf["text"]]})
 
-    rows = texts.mapInPandas(extract, "doc_id long, y int, x array<int>").toArrow()
+    found = materialize(texts.mapInPandas(extract, "doc_id long, y int, x array<int>"), "sample")
+    # train_rows rows at most, so their sizes may be summed in one task
+    upto = F.sum(F.size("x")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fitting = found.select("doc_id", upto.alias("upto")).where(F.col("upto") <= train_indicators).select("doc_id")
+    rows = found.join(F.broadcast(fitting), "doc_id", "left_semi").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     x = [np.asarray(v.values.to_numpy(zero_copy_only=False), np.int32) for v in rows["x"]]
     y = rows["y"].to_numpy()

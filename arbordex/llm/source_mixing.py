@@ -3,8 +3,9 @@
 Every document gets a hash-random key. Within a source the keys are range-partitioned into about
 sqrt(n) buckets, so a source of any size, also one that holds a third of all rows, is spread over
 many tasks. Prefix sums of the sizes are taken in two levels: over the buckets of a source, and over
-the documents of a bucket. Each source is cut at its exact budget; budgets beyond the source repeat
-it for whole epochs first.
+the documents of the bucket in which its budget ends. That gives the cut: documents before it are
+taken, that at the cut in part. Budgets beyond the source repeat it for whole epochs first. The cuts,
+one row per source, then go back to the documents, whose texts never move.
 
 DataFrame functions only.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranks import number, running_sums
 from ._shared import WORD_REGEX, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -36,46 +38,92 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, .
     target = min(cap, weight * L); it is found by running sums over the sources alone.
     """
     each = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
-    ranked = each.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = number(each, [F.col("source").asc_nulls_last()], "rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
     caps = ranked.withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size"))
-    up = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    level = (F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
+    sums = running_sums(caps, [F.col("cap") / F.col("weight"), F.col("rank")], cap_before=F.col("cap"), weight_before=F.col("weight"))
+    whole = caps.agg((F.lit(share) * F.sum("source_size")).alias("words"), F.sum("weight").alias("weights"))
+    level = (F.col("words") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))
     # the first source, in this order, whose cap is not below the level that remains sets the level
-    levels = caps.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole))
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("level")))
-    return levels.select("source", "n", "source_size", target.alias("target"))
+    levels = _beside(sums, whole).withColumn("level", level)
+    top = levels.agg(F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).alias("top"))
+    target = F.when(F.col("top").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("top")))
+    return _beside(sums, top).select("source", "n", "source_size", target.alias("target"))
 
 
-def mix_sizes(sizes: DataFrame, **how) -> DataFrame:
-    """From rows (doc_id, source, key, size): the same rows with source_size, target and taken."""
+def _beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of a table of a single row."""
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
+def _order() -> Column:
+    """What the documents of a source are ordered by; only repeated rows are equal in it."""
+    return F.struct("key", F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "size")
+
+
+def source_cuts(sizes: DataFrame, **how) -> DataFrame:
+    """From rows (doc_id, source, key, size), one row per source.
+
+    source, source_size, target, epochs; cut: the order of the document at the cut, null where there
+    is none; cut_rows: how many rows are equal in it, cut_full: how many of those are taken whole, and
+    cut_words: the words of the next one.
+    """
     targets = materialize(source_targets(sizes, **how), "targets")
-    few = targets.count() <= BROADCAST_SOURCES
-    small = targets.withColumnRenamed("source", "s_source").withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.sqrt("n"))).cast("long"))
-    joined = sizes.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    budget = F.round("target").cast("long")
-    part = F.floor(F.shiftrightunsigned("key", 1) / F.lit(2.0**63) * F.col("n_buckets")).cast("long")
-    rows = joined.withColumn("bucket", F.least(part, F.col("n_buckets") - 1)).withColumn("budget", budget)
-    # level 1: sums per bucket, and their running sum within the source
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("offset"))
-    # level 2: running sums within a bucket
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("within", F.sum("size").over(inside) - F.col("size"))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long")
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least("size", rest - F.col("offset") - F.col("within")))
-    return placed.withColumn("epochs", epochs).withColumn("cut", cut.cast("long")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("cut"))
+    plan = targets.withColumn("budget", F.round("target").cast("long")).withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
+    plan = plan.withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.sqrt("n"))).cast("long"))
+    few = targets.count() <= BROADCAST_SOURCES
+    rows = with_source(sizes, plan.select("source", "n_buckets", "rest"), few)
+    part = F.floor(F.col("key") / F.lit(2.0**63) * F.col("n_buckets")).cast("long")
+    rows = rows.withColumn("bucket", F.least(part, F.col("n_buckets") - 1))
+    # level 1: sums per bucket, and the bucket of each source in which the rest ends
+    sums = rows.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("bucket_size"))
+    upto = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
+    ends = ends.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("bucket_size")).alias("offset")), "bucket").alias("end"))
+    # level 2: running sums within that bucket
+    inside = with_source(rows, materialize(ends, "ends"), few).where(F.col("bucket") == F.col("end.bucket")).withColumn("o", _order())
+    upto = F.col("end.offset") + F.sum("size").over(Window.partitionBy("source").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = inside.withColumn("upto", upto)
+    same = Window.partitionBy("source", "o")
+    placed = placed.withColumn("base", F.min(F.col("upto") - F.col("size")).over(same)).withColumn("rows", F.count(F.lit(1)).over(same))
+    # a document without words ends nothing
+    cut = placed.where((F.col("upto") > F.col("rest")) & (F.col("size") > 0)).groupBy("source").agg(F.min_by(F.struct("o", "rows", "base", "rest"), "upto").alias("c"))
+    words, size = F.col("c.rest") - F.col("c.base"), F.col("c.o.size")
+    cut = cut.select(F.col("source").alias("c_source"), F.col("c.o").alias("cut"), F.col("c.rows").alias("cut_rows"), F.floor(words / size).cast("long").alias("cut_full"), (words % size).alias("cut_words"))
+    return plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select("source", "source_size", "target", "epochs", "cut", "cut_rows", "cut_full", "cut_words")
+
+
+def with_source(rows: DataFrame, facts: DataFrame, few: bool) -> DataFrame:
+    """rows with the facts of their source; few facts are broadcast."""
+    facts = facts.withColumnRenamed("source", "__s_source")
+    return rows.join(F.broadcast(facts) if few else facts, F.col("source").eqNullSafe(F.col("__s_source"))).drop("__s_source")
+
+
+def with_taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows (with doc_id, source, key, size) with source_size, target, epochs and last: the words taken after the epochs."""
+    cuts = materialize(cuts, "cuts")
+    n, ties = cuts.agg(F.count(F.lit(1)), F.coalesce(F.count_if(F.col("cut_rows") > 1), F.lit(0))).first()
+    placed = with_source(rows, cuts, n <= BROADCAST_SOURCES).withColumn("__o", _order())
+    at_cut = F.coalesce(F.col("__o") == F.col("cut"), F.lit(False))
+    before = F.when(F.col("__o") < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long"))
+    if not ties:
+        return placed.withColumn("last", F.when(at_cut, F.col("cut_words")).otherwise(before)).drop("__o", "cut", "cut_rows", "cut_full", "cut_words")
+    # rows equal to the one at the cut are told apart by a number; all others need none
+    place = F.row_number().over(Window.partitionBy("source").orderBy("__o")) - 1
+    last = F.when(place < F.col("cut_full"), F.col("size")).when(place == F.col("cut_full"), F.col("cut_words")).otherwise(F.lit(0).cast("long"))
+    both = placed.where(~at_cut).withColumn("last", before).unionByName(placed.where(at_cut).withColumn("last", last))
+    return both.drop("__o", "cut", "cut_rows", "cut_full", "cut_words")
 
 
 def keyed_sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, key, size of each row, written once so that the text is read once."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return materialize(docs.select("doc_id", "source", key.alias("key"), word_count().alias("size")), "sizes")
+    return materialize(docs.select("doc_id", "source", row_key(seed).alias("key"), word_count().alias("size")), "sizes")
+
+
+def row_key(seed: int) -> Column:
+    """The hash-random key of a document, of 63 bits; rows that share a doc_id, or have none, differ by their texts."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = WEIGHTS, most: float = 2.0, seed: int = 7) -> DataFrame:
@@ -84,11 +132,13 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
     The words taken from a source add up to its rounded target exactly: one document of it is cut.
     Null texts have size 0 and nothing is taken from them; a null source is a source of its own.
     Repeated rows are separate rows with equal keys, and which of them is taken first makes no
-    difference. The keys depend on doc_id and seed alone, so reruns agree. An empty table gives an
-    empty result; extra columns are ignored.
+    difference. The keys depend on doc_id, text and seed alone, so reruns agree. An empty table gives
+    an empty result; extra columns are ignored.
     """
-    mixed = mix_sizes(keyed_sizes(docs.select("doc_id", "source", "text"), seed), share=share, weights=weights, most=most)
-    return mixed.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken")
+    sizes = keyed_sizes(docs.select("doc_id", "source", "text"), seed)
+    mixed = with_taken(sizes, source_cuts(sizes, share=share, weights=weights, most=most))
+    taken = F.col("epochs") * F.col("size") + F.col("last")
+    return mixed.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -102,22 +152,13 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[float, .
 
     Only documents with words can be part of it. n_chars, where present, follows the text.
     """
-    mixed = mix_sizes(keyed_sizes(docs.select("doc_id", "source", "text"), seed), share=share, weights=weights, most=most)
-    def key(doc_id: str, source: str, size: str) -> Column:
-        return F.xxhash64(doc_id, source, size)
-
-    parts = mixed.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("epochs", "cut"))).alias("plans"))
-    parts = parts.select(key("doc_id", "source", "size").alias("__mix_key"), F.col("doc_id").alias("__mix_doc_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("plans").alias("__mix_plans"))
-    # repeated rows share a key: each takes its own element of the plans
-    copy = Window.partitionBy("__mix_key", "doc_id", "source", "__mix_n").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("__mix_n", word_count()).where("__mix_n > 0").withColumn("__mix_key", key("doc_id", "source", "__mix_n")).repartition("__mix_key")
-    rows = rows.withColumn("__mix_row", F.row_number().over(copy))
-    same = F.col("doc_id").eqNullSafe(F.col("__mix_doc_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_n") == F.col("__mix_size"))
-    rows = rows.join(parts, "__mix_key").where(same).withColumn("__mix_plan", F.get(F.col("__mix_plans"), F.col("__mix_row") - 1)).where("__mix_plan is not null")
-    takes = F.concat(F.array_repeat(F.col("__mix_n"), F.col("__mix_plan.epochs").cast("int")), F.when(F.col("__mix_plan.cut") > 0, F.array(F.col("__mix_plan.cut"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("__mix_take", F.explode(takes))
-    text = F.when(F.col("__mix_take") == F.col("__mix_n"), F.col("text")).otherwise(first_words(F.col("text"), F.col("__mix_take")))
-    rows = rows.withColumn("text", text)
+    cuts = source_cuts(keyed_sizes(docs.select("doc_id", "source", "text"), seed), share=share, weights=weights, most=most)
+    own = docs.select("doc_id", "source", row_key(seed).alias("key"), word_count().alias("size"), F.struct(*docs.columns).alias("doc"))
+    rows = with_taken(own.where("size > 0"), cuts)
+    takes = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("last") > 0, F.array("last")).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("take", F.explode(takes))
+    text = F.when(F.col("take") == F.col("size"), F.col("doc.text")).otherwise(first_words(F.col("doc.text"), F.col("take")))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ from __future__ import annotations
 from .secret_scan import BASE_RULES, EXTRA_RULES, SecretRule
 
 _WS = r"\x20\x09-\x0D"
+_LETTERS = r"\p{L}\p{M}"
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '[^{_WS}]+')"
 
 OP1 = f"""
@@ -20,12 +21,13 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 8) y(k) GROUP
 tops AS (SELECT r, max(c) AS top, count(*) AS n_distinct FROM (SELECT r, x, count(*) AS c FROM (SELECT r, unnest(w) AS x FROM base) GROUP BY r, x) GROUP BY r),
 f AS (SELECT base.*, coalesce(wc, 0) AS word_chars, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(top, 0) AS top, coalesce(n_distinct, 0) AS n_distinct,
  len(list_filter(w, lambda x: ends_with(x, '!!') OR ends_with(x, '??'))) AS shouted, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS again,
- len(list_filter(string_split(t, ''), lambda x: x <> lower(x))) AS up, len(list_filter(string_split(t, ''), lambda x: x <> lower(x) OR x <> upper(x) OR x = 'ß')) AS letters
+ len(list_filter(string_split(t, ''), lambda x: x <> lower(x))) AS up, len(list_filter(string_split(t, ''), lambda x: x <> lower(x) OR x <> upper(x) OR x = 'ß')) AS cased,
+ length(t) - length(regexp_replace(t, '[{_LETTERS}]', '', 'g')) AS letters
  FROM base LEFT JOIN rep USING (r) LEFT JOIN tops USING (r)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
- NOT base_failed AND NOT (n_words > 200000 OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * shouted > 3 * n_words OR 10 * again > 3 * n_words OR len(ls) >= 4 AND 2 * n_dup_lines > len(ls)
- OR 2 * up > letters AND letters > 0 OR 2 * letters < word_chars OR n_words >= 40 AND 4 * top > n_words OR n_words >= 60 AND n_distinct * n_distinct < 4 * n_words) AS kept FROM v
+ NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * shouted > 3 * n_words OR 10 * again > 3 * n_words OR len(ls) >= 4 AND 2 * n_dup_lines > len(ls)
+ OR 2 * up > cased AND cased > 0 OR 2 * letters < word_chars OR n_words >= 40 AND 4 * top > n_words OR n_words >= 60 AND n_distinct * n_distinct < 4 * n_words) AS kept FROM v
 """
 
 
@@ -48,7 +50,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 OP4 = """
 WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0),
+q AS (SELECT id, min(e) AS e FROM v WHERE id % 50 = 0 GROUP BY id),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM q JOIN v c ON q.id <> c.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5
 """
@@ -56,16 +59,16 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank
 OP5 = r"""
 WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-n AS (SELECT *, length(role) + length(regexp_replace(role, '[^\\<"]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<"]', '', 'g')) + length('<turn role=""></turn>') + 1 AS chars FROM c)
+n AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, length(role) + length(regexp_replace(role, '[^\\<"]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<"]', '', 'g')) + length('<turn role=""></turn>') + 1 AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
- CAST(sum(chars) AS BIGINT) AS formatted_chars FROM n GROUP BY conv_id
+ CAST(sum(chars) AS BIGINT) AS formatted_chars FROM n GROUP BY conv_id, alone
 """
 
 OP10 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, i, ls[i] AS line, translate(regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d, range(1, len(ls) + 1) x(i)),
-f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT coalesce('d' || doc_id, 'r' || r)) >= 10)
 SELECT l.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256 FROM l LEFT JOIN f ON l.key = f.key GROUP BY l.r, l.doc_id
 """
 

@@ -1,7 +1,9 @@
 """Five stages from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on everything that its predecessor kept, and returns
-a DataFrame; all but the last return the columns of documents. run() writes each stage's rows as
+a DataFrame; all but the last return the columns of documents. Nulls in any column, empty and very
+long texts, repeated rows and columns beyond those of documents are what they are to the operator
+that the stage calls (see there); an empty table gives an empty result at each stage. run() writes each stage's rows as
 Parquet into the shared folder and reads them again for the next.
 """
 

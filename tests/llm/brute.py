@@ -71,10 +71,10 @@ def line_dedup(rows: list[tuple], min_docs=10) -> list[tuple]:
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low)
     found = defaultdict(set)
-    for d, t in rows:
+    for n, (d, t) in enumerate(rows):  # a row without an id is a document of its own
         for x in (t or "").split("\n"):
             if key(x):
-                found[key(x)].add(d)
+                found[key(x)].add(("row", n) if d is None else d)
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")

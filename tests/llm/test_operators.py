@@ -11,6 +11,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
@@ -38,6 +39,16 @@ ODD = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+LONG = {
+    "blanks": " " * 2_000_000 + "x",
+    "newlines": "\n" * 1_000_000,
+    "one word": "".join(chr(97 + n * n % 26) for n in range(1_000_000)),
+    "one letter": "a" * 1_000_000,
+    "one line": "some words of a line " * 50_000,
+    "names": "acgt" * 250_000 + "://x",
+}
+
+
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -85,7 +96,16 @@ def test_quality_rules(docs, odd, none):
 def test_cascade_order_by_gain(docs):
     order = [r.name for r in quality_rules.plan_cascade(docs)]
     assert sorted(order) == sorted(r.name for r in quality_rules.RULES)
-    assert order.index("symbols") < order.index("repeated_windows")
+
+
+def test_cascade_measures_what_is_left():
+    import numpy as np
+
+    # the second rule rejects most, the first the same documents and fewer: it has nothing left and goes last
+    rejected = np.array([[i < 4, i < 5, 5 <= i < 7] for i in range(10)])
+    seconds = np.full((10, 3), 1.0)
+    assert quality_rules.order_by_gain(seconds, rejected) == [1, 2, 0]
+    assert quality_rules.order_by_gain(seconds * [1, 100, 1], rejected) == [0, 2, 1]
 
 
 def test_token_counts(docs, odd, none):
@@ -108,12 +128,46 @@ def test_token_counts_of_odd_strings():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    library, own = Tokenizer.from_file(path), token_counts.TokenCounter(path, cache_entries=5)
+    library, own = Tokenizer.from_file(path), token_counts.TokenCounter(path, cache_chars=50)
     texts = ["", "aaaaaaaaa aaaa", "<|endoftext|>x<|startoftext|> <|endoftext", "ΑΣ ΣΑΣ K İ ǅ", "é à́ 가", "it's we'll 'S ½\x1c\x1d y", "日本語 🎉🎉", "a b c​d ́e"]
     for t in texts * 2:
         assert own.count([t]) == [len(library.encode(t, add_special_tokens=False).ids)]
 
 
+def test_token_counts_of_long_runs(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), token_counts.TokenCounter(path)
+    rng = random.Random(1)
+    long = [*LONG.values(), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "".join(rng.choice("aéßñü日本") for _ in range(50_000))]
+    assert own.count(long) == [len(library.encode(t, add_special_tokens=False).ids) for t in long]
+    assert not any(len(c) > token_counts.CHUNK_CHARS for c in own.cache)
+    monkeypatch.setattr(token_counts, "STRETCH", 8)
+    for _ in range(1500):
+        monkeypatch.setattr(token_counts, "PATCH", rng.choice([1, 2, 3, 12]))
+        text = "".join(rng.choice(["a", "b", "the", "ing", "aa", "é", "x", "xx", ".", "..", "ation"]) for _ in range(rng.randint(3, 30)))
+        own.cache.clear()
+        assert own.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)], text
+
+
+def test_long_texts_take_bounded_time(spark):
+    """A megabyte without a blank, of blanks, of one line, and what patterns could read again and again."""
+    hard = {**LONG, "keys": "eyJ" * 100_000, "words": "password " * 50_000, "begins": "-----BEGIN A PRIVATE KEY-----" * 10_000, "logins": "ab://cd:ef" * 50_000}
+    table = spark.createDataFrame([(n, t, "en", "a", len(t)) for n, t in enumerate(hard.values())], SCHEMA).repartition(4)
+    for r in secret_scan.scan_versions(table).collect():
+        base = [(a, b, k) for a, _, b, k in brute.base_spans(r["text"])]
+        assert listed(r["findings"], {"assign", "access", "hex"}) == base
+    rows = {r["doc_id"]: r for r in quality_rules.quality_cascade(table).collect()}
+    assert all(rows[n]["n_words"] == len(t.split()) for n, t in enumerate(hard.values()))
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash_dedup.near_duplicates(table).collect()}
+    assert all(prints[n] == f"{brute.simhash(t):016x}" for n, t in enumerate(hard.values()) if len(t.split()) < 60_000)
+    lines = {r["doc_id"]: r["n_lines"] for r in line_dedup.dedup_lines(table).collect()}
+    assert all(lines[n] == t.count("\n") + 1 for n, t in enumerate(hard.values()))
+
+
 def listed(findings, kinds=None):
     return [(f["start"], f["stop"], f["kind"]) for f in findings if kinds is None or f["kind"] in kinds]
 
@@ -199,17 +253,19 @@ def test_topk_search_proves_and_holds(spark, sf_dir):
 
 
 def test_chat_format(spark, sf_dir):
-    odd = [(-1, 0, "assistant", None), (-1, 0, "assistant", None), (-1, None, None, 'a "b" <turn role="x">\\'), (-2, 1, "assistant", "x\r\n\\<é"), (-2, 0, "assistant", "</turn>\n"), (None, 0, "user", "hi")]
+    odd = [(-1, 0, "assistant", None), (-1, 0, "assistant", None), (-1, None, None, 'a "b" <turn role="x">\\'), (-2, 1, "assistant", "x\r\n\\<é"), (-2, 0, "assistant", "</turn>\n"), (None, 0, "user", "hi"), (None, 0, "user", "hi"), (None, 1, "assistant", "")]
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     table = table.unionByName(spark.createDataFrame(odd, table.schema)).unionByName(chat_format.planted_conversation(spark))
     turns = defaultdict(list)
     for r in table.collect():
-        turns[r["conv_id"]].append((-1 if r["turn"] is None else r["turn"], r["role"] or "", r["text"] or ""))
+        # each row without conv_id is a conversation of its own
+        key = r["conv_id"] if r["conv_id"] is not None else ("alone", len(turns))
+        turns[key].append((-1 if r["turn"] is None else r["turn"], r["role"] or "", r["text"] or ""))
     want = []
     for c, rows in turns.items():
         rows.sort()
         loss = "".join(t for _, r, t in rows if r == "assistant")
-        want.append((c, len(rows), brute.sha("".join(f"{r}\n{t}\n" for _, r, t in rows)), len(loss), brute.sha(loss)))
+        want.append((None if isinstance(c, tuple) else c, len(rows), brute.sha("".join(f"{r}\n{t}\n" for _, r, t in rows)), len(loss), brute.sha(loss)))
     got = chat_format.digest(chat_format.format_conversations(table)).collect()
     assert by_id(tuple(r)[:5] for r in got) == by_id(want)
     assert chat_format.format_conversations(table.where("false")).count() == 0
@@ -225,6 +281,12 @@ def test_template_language():
             chat_format.compile_template(bad)
     with pytest.raises(chat_format.TemplateError):
         chat_format.compile_template("{{ a.__class__ }}")(a="x")
+    for bad in ("{{ 1 | length }}", "{{ 'open }}", "{{ a", "x {% if a"):
+        with pytest.raises(chat_format.TemplateError):
+            chat_format.compile_template(bad)
+    with pytest.raises(chat_format.TemplateError):
+        chat_format.compile_template("{{ a | length }}")(a=1)
+    assert chat_format.compile_template("{{ 'a}}b' }}{% set x = '%}' %}{{ x }}")().text == "a}}b%}"
 
 
 def test_source_mixing(docs, odd, none):
@@ -256,6 +318,16 @@ def test_mixed_documents_hold_what_is_taken(docs, odd):
         mixed = source_mixing.mixed_documents(table)
         assert mixed.columns == table.columns
         assert sum(len(brute.WORD.findall(r["text"])) for r in mixed.collect()) == taken
+    # rows equal in everything: one of them is cut, the others are whole or left out
+    same = docs.limit(1).selectExpr("*", "explode(sequence(1, 7))").drop("col").withColumn("source", F.lit("x"))
+    other = docs.where("source is not null").limit(20).withColumn("source", F.lit("y"))
+    table = same.unionByName(other)
+    rows = source_mixing.mix_sources(table, weights=(1.0, 40.0)).collect()
+    taken = sum(r["taken"] for r in rows)
+    assert len(rows) == 27 and len({r["taken"] for r in rows if r["source_size"] == 7 * rows[0]["size"]}) <= 3
+    mixed = source_mixing.mixed_documents(table, weights=(1.0, 40.0)).collect()
+    assert sum(len(brute.WORD.findall(r["text"])) for r in mixed) == taken
+    assert source_mixing.mixed_documents(docs.where("false")).count() == 0
 
 
 def test_simhash(docs, odd, none):
@@ -398,16 +470,6 @@ def test_token_ids_equal_the_library(monkeypatch):
     assert own.chars <= 3000 + 100 * 48 * 8
 
 
-LONG = {
-    "blanks": " " * 2_000_000 + "x",
-    "newlines": "\n" * 1_000_000,
-    "one word": "".join(chr(97 + n * n % 26) for n in range(1_000_000)),
-    "one letter": "a" * 1_000_000,
-    "one line": "some words of a line " * 50_000,
-    "names": "acgt" * 250_000 + "://x",
-}
-
-
 @pytest.mark.parametrize("kind", LONG)
 def test_token_ids_of_very_long_texts(kind):
     own = packing.token_ids(public_tokenizers.path("byte_bpe_50k.json"))
