@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import catalogue_sql as sql
 from .functions import fold, highlight, literals, scalars, wtf8
-from .operators import checks, search, statistics, tree
+from .operators import checks, lookups, search, statistics, tree
 from .operators.ranks import number
 from .operators.search import Catalogue
 from .plans.compiler import Options, compile_query, validate
@@ -110,12 +110,15 @@ def _values(rows: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({columns})"
 
 
-_VALID = [("a | b", True), ('"open', False), ("regex:[", False), ("regex:(", False), ("regex:a{2,1}", False), ("regex:(a{500}){500}", False), ("size:abc", False), ("size:>", False), ("size:1..x", False), ("dm:notadate", False), ("dm:2026-13-45", False), ("dm:9999", False), ("dm:9999-12-31", True), ("!folder:x", False), ("!folder:", True), ("size:<0", False), ("regex:(a)\\1", False), ("size:5..2", True)]
+#: What a query of each order's figures is, by its key; every second kind is refused.
+_GIVEN = "CASE o_orderkey % 8 WHEN 0 THEN 'size:>' || o_orderkey || 'kb' WHEN 1 THEN 'size:' || o_orderkey || 'pints' WHEN 2 THEN 'dm:' || day WHEN 3 THEN 'dm:' || day || '-00' WHEN 4 THEN '\"' || o_orderpriority || '\" ext:a;b' WHEN 5 THEN '\"' || o_orderpriority WHEN 6 THEN 'regex:^' || o_orderstatus || '[0-9]{2,}' ELSE 'regex:' || o_orderstatus || '[' END"
 
 
-@register("opt_validate", _values(_VALID, "query, valid"))
+@register("opt_validate", f"WITH o AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders) SELECT o_orderkey, {_GIVEN} AS query, o_orderkey % 2 = 0 AS valid FROM o")
 def _validate(spark, sf_dir):
-    return spark.createDataFrame([(t, validate(t)) for t, _ in _VALID], "query string, valid boolean")
+    checked = F.pandas_udf(lambda part: part.map(validate), "boolean")
+    orders = tables.read(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return orders.select("o_orderkey", F.expr(_GIVEN).alias("query")).withColumn("valid", checked("query"))
 
 
 _PARSED = [("foo |", 0, "name", False), ("! foo", 0, "name", False), ("!!x", 0, "name", False), ("!x", 0, "name", True), ("C:\\x", 0, "path", False), ("12:30", 0, "name", False), ("path:f*", 0, "path_wild", False), ("a?b", 0, "wild", False), ("x | regex:a:b", 0, "name", False), ("x | regex:a:b", 1, "regex", False), ("folder:a*", 0, "dir", False), ("folder:a*", 0, "wild", False)]
@@ -245,15 +248,15 @@ def _lookup(spark, sf_dir):
     """Record numbers to all live links of their objects."""
     links = tables.volume_f(spark, sf_dir).where(~F.col("is_dir"))
     want = tables.read(spark, sf_dir, "part").where("p_size < 10").select((F.col("p_partkey") + 5_000_000_000).alias("record"))
-    return links.withColumn("record", scalars.record(F.col("frn"))).join(want, "record").select("frn", "entry_id")
+    return lookups.links_of_records(links, want).select("frn", "entry_id")
 
 
 @register("join_link_identity", f"WITH {sql.LINKS} SELECT entry_id, o % 3 <> 0 AS found FROM links")
 def _identity(spark, sf_dir):
     """Each link by its full identity (object, parent, name), against a table that holds two thirds of them."""
     links = tables.volume_f(spark, sf_dir).where(~F.col("is_dir")).select("entry_id", "frn", "parent_frn", "name")
-    held = links.where(scalars.record(F.col("parent_frn")) % 3 != 1_000_000_000 % 3).select("frn", "parent_frn", "name", F.lit(True).alias("found"))
-    return links.join(held, ["frn", "parent_frn", "name"], "left").select("entry_id", F.coalesce("found", F.lit(False)).alias("found"))
+    held = links.where(scalars.record(F.col("parent_frn")) % 3 != 1_000_000_000 % 3)
+    return lookups.known_links(links, held).select("entry_id", "found")
 
 
 @register("join_name_semi", sql.matching("regexp_matches(low, 'o.*[13579]{2}\\.')"))
@@ -261,8 +264,7 @@ def _semi(spark, sf_dir):
     """The pattern runs over distinct names once, and the entries follow by a semi-join."""
     c = tables.catalogue(spark, sf_dir)
     seen = c.entries.where(~F.col("is_excluded"))
-    hit = seen.select("folded").distinct().where(F.rlike("folded", F.lit("o.*[13579]{2}\\.")))
-    return seen.join(hit, "folded", "left_semi").select(*_LIST)
+    return lookups.with_distinct_names(seen, F.rlike("folded", F.lit("o.*[13579]{2}\\."))).select(*_LIST)
 
 
 _BROKEN = "raw3 AS (SELECT *, volume = 'C:' AND record BETWEEN 1000 AND 1002 AS dead FROM raw)"
@@ -406,12 +408,13 @@ def _bits(spark, sf_dir):
     return _events(spark, sf_dir).select(F.col("usn").alias("event_id"), scalars.has_reason(r, "FILE_CREATE").alias("created"), scalars.has_reason(r, "FILE_DELETE").alias("deleted"), scalars.has_reason(r, "RENAME_NEW_NAME").alias("renamed"))
 
 
-_LABELS = [("c", "C:"), ("d:", "D:"), (" e:\\ ", "E:"), ("cd", None), ("", None), ("1:", None)]
+_CUT = "c_custkey, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE '' END || substr(lower(c_mktsegment), 1, CAST(c_custkey % 3 AS INT)) || CASE WHEN c_custkey % 5 = 0 THEN ':\\' WHEN c_custkey % 5 = 1 THEN ':' ELSE '' END"
 
 
-@register("fn_label", _values(_LABELS, "given, label"))
+@register("fn_label", f"WITH g AS (SELECT {_CUT} AS given FROM customer) SELECT *, CASE WHEN c_custkey % 3 = 1 THEN upper(substr(trim(given), 1, 1)) || ':' END AS label FROM g")
 def _label(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _LABELS], "given string").select("given", scalars.volume_label(F.col("given")).alias("label"))
+    given = tables.read(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_CUT.partition(', ')[2]} AS given".replace("':\\'", "r':\\'"))
+    return given.withColumn("label", scalars.volume_label(F.col("given")))
 
 
 @register("fn_size_format", f"{sql.BASE}SELECT volume, entry_id, CASE WHEN is_dir THEN '' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{{:,.0f}} KB', size / 1024.0) WHEN size < 1073741824 THEN format('{{:,.1f}} MB', size / 1048576.0) ELSE format('{{:,.2f}} GB', size / 1073741824.0) END AS size_text FROM e")
@@ -432,20 +435,20 @@ def _codec(spark, sf_dir):
     return tables.read(spark, sf_dir, "events").select("event_id", scalars.seconds_of(scalars.ticks_of(coded)).alias("secs"))
 
 
-@register("fn_civil", "SELECT d, CAST(epoch(CAST(d AS TIMESTAMP)) AS BIGINT) AS seconds FROM (VALUES ('1601-01-01'), ('1970-01-01'), ('2000-02-29'), ('2024-12-31'), ('9999-12-31')) t(d)")
+@register("fn_civil", "SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 86400 AS seconds, CAST(epoch(date_trunc('day', o_orderdate - INTERVAL 300 YEAR)) AS BIGINT) AS earlier FROM orders")
 def _civil(spark, sf_dir):
-    from datetime import date
+    day = F.col("o_orderdate").cast("date")
+    return tables.read(spark, sf_dir, "orders").select("o_orderkey", scalars.midnight(day).alias("seconds"), scalars.midnight(F.add_months(day, -3600)).alias("earlier"))
 
-    days = ["1601-01-01", "1970-01-01", "2000-02-29", "2024-12-31", "9999-12-31"]
-    return spark.createDataFrame([(d, literals.midnight_seconds(date.fromisoformat(d))) for d in days], "d string, seconds long")
 
+#: Summer time from the last Sunday of March to that of October; a midnight is before the change.
+_SUMMER = "d > make_date(year(d), 3, 31) - CAST(dayofweek(make_date(year(d), 3, 31)) AS INT) AND d <= make_date(year(d), 10, 31) - CAST(dayofweek(make_date(year(d), 10, 31)) AS INT)"
 
-@register("fn_tz_midnight", _values([("2024-07-01", "Asia/Tokyo", 1719759600), ("2024-01-01", "Europe/Berlin", 1704063600), ("2024-07-01", "UTC", 1719792000)], "d, zone, seconds"))
-def _midnight(spark, sf_dir):
-    from datetime import date
 
-    asked = [("2024-07-01", "Asia/Tokyo"), ("2024-01-01", "Europe/Berlin"), ("2024-07-01", "UTC")]
-    return spark.createDataFrame([(d, z, literals.midnight_seconds(date.fromisoformat(d), z)) for d, z in asked], "d string, zone string, seconds long")
+@register("fn_tz_midnight", f"WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 10 YEAR AS t FROM orders), o2 AS (SELECT o_orderkey, CAST(t AS DATE) AS d FROM o) SELECT o_orderkey, date_diff('day', DATE '1970-01-01', d) * 86400 - 32400 AS tokyo, date_diff('day', DATE '1970-01-01', d) * 86400 - CASE WHEN {_SUMMER} THEN 7200 ELSE 3600 END AS berlin FROM o2")
+def _midnight(spark, sf_dir):
+    day = F.add_months(F.col("o_orderdate").cast("date"), 120)
+    return tables.read(spark, sf_dir, "orders").select("o_orderkey", scalars.midnight(day, "Asia/Tokyo").alias("tokyo"), scalars.midnight(day, "Europe/Berlin").alias("berlin"))
 
 
 @register("fn_highlight", f"{sql.BASE}SELECT volume, entry_id, CASE WHEN contains(low, 'order_1') THEN strpos(low, 'order_1') - 1 END AS name_start, CASE WHEN contains(lower(parent_path), 'asia') THEN strpos(lower(path), 'asia') - 1 END AS path_start FROM e WHERE NOT ex AND contains(low, 'order_1') AND contains(lower(path), 'asia')")

@@ -89,3 +89,9 @@ def date_text(seconds: Column) -> Column:
     minute = F.floor(F.pmod(seconds, F.lit(86400)) / 60)
     clock = F.concat(F.lpad(F.floor(minute / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((minute % 60).cast("string"), 2, "0"))
     return F.when(seconds <= 0, "").otherwise(F.concat_ws(" ", F.date_format(day, "yyyy/MM/dd"), clock))
+
+
+def midnight(day: Column, zone: str = "UTC") -> Column:
+    """Unix seconds at which a date begins in a time zone, whatever the session's zone is."""
+    utc = F.timestamp_seconds(F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400)
+    return F.unix_seconds(F.to_utc_timestamp(utc, zone)) if zone != "UTC" else F.unix_seconds(utc)

@@ -26,13 +26,15 @@ def root(volume="C:", ord_=0):
 
 
 def sample():
-    day0 = 100 * DAY
+    """A garden: two levels of directories, spellings in both cases, sizes from bytes to gigabytes."""
     return [
         root(),
-        entry("Docs", 10, 5, True, 0, day0),
-        entry("Report.PDF", 11, 10, False, 2 << 20, 19000 * DAY),
-        entry("notes.txt", 12, 10, False, 512, 19100 * DAY),
-        entry("src", 20, 5, True, 0, day0),
-        entry("main.rs", 21, 20, False, 4096, 19200 * DAY),
-        entry("big.BIN", 30, 5, False, 3 << 30, 19300 * DAY),
+        entry("Garden", 50, 5, True, 0, 900 * DAY),
+        entry("seeds", 51, 50, True, 0, 17000 * DAY),
+        entry("beans_2019.csv", 52, 51, False, 90, 17950 * DAY),
+        entry("beans_2020.csv", 53, 51, False, 1500, 18310 * DAY),
+        entry("Tomato Plan.ods", 54, 51, False, 7 << 20, 18000 * DAY),
+        entry("Pond.JPEG", 55, 50, False, 5 << 30, 18500 * DAY),
+        entry("tools", 70, 5, True, 0, 18600 * DAY),
+        entry("water.py", 71, 70, False, 20_000, 18700 * DAY),
     ]

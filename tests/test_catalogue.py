@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from helpers import entry, f, frame, root, sample
 
-from arbordex.errors import StaleResult, TopologyError, VolumeUnavailable
+from arbordex.errors import QuerySyntaxError, StaleResult, TopologyError, VolumeUnavailable
 from arbordex.functions import highlight
 from arbordex.operators import checks, search, statistics, tree
 from arbordex.plans.compiler import Options, compile_query
 from arbordex.sources import tables
+from arbordex.workspace import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -22,33 +25,46 @@ def found(catalogue, text, **o):
     return [r["name"] for r in search.search(catalogue, text, options).collect()]
 
 
+_ALL = "beans_2019.csv beans_2020.csv C: Garden Pond.JPEG seeds Tomato_Plan.ods tools water.py"
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("report", "Report.PDF"), ("Report", "Report.PDF"), ("REPORT.pdf", ""), ("main rs", "main.rs"), ("pdf | txt", "notes.txt Report.PDF"), (".txt !notes", ""),
-        ("ext:pdf", "Report.PDF"), ("ext:pdf;rs", "main.rs Report.PDF"), ("ext:Report.PDF", ""), ("ext:", ""), ("!ext:pdf file:", "big.BIN main.rs notes.txt"),
-        ("size:>1gb", "big.BIN"), ("size:512", "notes.txt"), ("size:0 folder:", ""), ("!size:>0", "C: Docs src"), ("folder:", "C: Docs src"), ("folder:doc", "Docs"),
-        ("docs\\", "notes.txt Report.PDF"), ("path:src main", "main.rs"), ("*.rs", "main.rs"), ("main.?s", "main.rs"), ("*.r", ""), ("main*", "main.rs"), ("*ain*", "main.rs"), ("ain*", ""), ("*", "big.BIN C: Docs main.rs notes.txt Report.PDF src"),
-        ("regex:^ma.n\\.rs$", "main.rs"), ('""', "big.BIN C: Docs main.rs notes.txt Report.PDF src"), ('!""', ""), ("foo |", "big.BIN C: Docs main.rs notes.txt Report.PDF src"), ("path:c:*rs", "main.rs"), ("dm:2022", "main.rs notes.txt big.BIN Report.PDF"),
+        # a word lies anywhere in a name; a capital in it makes it exact
+        ("beans", "beans_2019.csv beans_2020.csv"), ("pond", "Pond.JPEG"), ("Pond", "Pond.JPEG"), ("POND", ""), ("e", "beans_2019.csv beans_2020.csv Garden Pond.JPEG seeds water.py"), ("E", "Pond.JPEG"),
+        # blanks are and, bars are or, quotes keep a blank
+        ("beans 2020", "beans_2020.csv"), ("garden | water", "Garden water.py"), ("plan tomato", "Tomato_Plan.ods"), ('"tomato plan"', "Tomato_Plan.ods"), ('"plan tomato"', ""), ("beans !2020", "beans_2019.csv"), ("nothing |", _ALL), ('""', _ALL), ('!""', ""),
+        # endings, only of files
+        ("ext:csv", "beans_2019.csv beans_2020.csv"), ("ext:jpeg;py", "Pond.JPEG water.py"), ("ext:", ""), ("!ext:csv file:", "Pond.JPEG Tomato_Plan.ods water.py"), ("ext:beans_2019.csv", ""),
+        # sizes, only of files
+        ("size:90", "beans_2019.csv"), ("size:>4gb", "Pond.JPEG"), ("size:1kb..1mb", "beans_2020.csv water.py"), ("size:<=7mb", "beans_2019.csv beans_2020.csv Tomato_Plan.ods water.py"), ("!size:>=0", "C: Garden seeds tools"), ("size:0", ""),
+        # directories and paths
+        ("folder:", "C: Garden seeds tools"), ("folder:s", "seeds tools"), ("file:s", "beans_2019.csv beans_2020.csv Tomato_Plan.ods"), ("seeds\\", "beans_2019.csv beans_2020.csv Tomato_Plan.ods"), ("path:garden !path:seeds", "Garden Pond.JPEG"), ("path:c:*py", "water.py"),
+        # wildcards hold the whole name
+        ("*.py", "water.py"), ("beans_20??.csv", "beans_2019.csv beans_2020.csv"), ("beans*9*", "beans_2019.csv"), ("eans*", ""), ("*o*", "Pond.JPEG Tomato_Plan.ods tools"), ("*.p", ""), ("*", _ALL),
+        # patterns, times
+        ("regex:^b.*[02]\\.csv$", "beans_2020.csv"), ("regex:o{2}", "tools"), ("dm:2019-04-14", "Tomato_Plan.ods"), ("dm:>=2020 file:", "beans_2020.csv Pond.JPEG water.py"),
     ],
 )
 def test_golden(small, text, want):
-    got = found(small, text)
-    if text.startswith("dm:"):
-        assert set(got) <= set(want.split())
-    else:
-        assert sorted(got) == sorted(want.split())
+    assert sorted(found(small, text)) == sorted(w.replace("_Plan", " Plan") for w in want.split())
 
 
-@pytest.mark.parametrize("text, scope, want", [("\\.rs$", "name", ["main.rs"]), ("^report", "name", ["Report.PDF"]), ("pdf|txt", "name", ["notes.txt", "Report.PDF"]), ("docs.*\\.pdf$", "path", ["Report.PDF"])])
+@pytest.mark.parametrize("text, scope, want", [("\\.csv$", "name", ["beans_2019.csv", "beans_2020.csv"]), ("^w|n$", "name", ["Garden", "water.py"]), ("(o).*\\1", "name", None), ("tools.*y$", "path", ["water.py"])])
 def test_whole_regex(small, text, scope, want):
-    assert found(small, text, whole_regex=scope) == want
+    if want is None:  # a reference to a group is refused
+        with pytest.raises(QuerySyntaxError):
+            found(small, text, whole_regex=scope)
+    else:
+        assert found(small, text, whole_regex=scope) == want
 
 
 def test_orders(small):
-    up = ["notes.txt", "main.rs", "Report.PDF", "big.BIN"]
+    up = ["beans_2019.csv", "beans_2020.csv", "water.py", "Tomato Plan.ods", "Pond.JPEG"]
     assert found(small, "file:", sort="size") == up and found(small, "file:", sort="size", desc=True) == up[::-1]
-    assert found(small, "") == ["big.BIN", "C:", "Docs", "main.rs", "notes.txt", "Report.PDF", "src"]
+    assert found(small, "file:", sort="mtime")[0] == "beans_2019.csv" and found(small, "", sort="mtime", desc=True)[0] == "water.py"
+    assert found(small, "") == ["beans_2019.csv", "beans_2020.csv", "C:", "Garden", "Pond.JPEG", "seeds", "Tomato Plan.ods", "tools", "water.py"]
 
 
 def test_ties_and_volumes(spark):
@@ -114,14 +130,15 @@ def test_checks(spark):
 
 
 def test_statistics(small):
+    names = ["C:", "Garden", "seeds", "beans_2019.csv", "beans_2020.csv", "Tomato Plan.ods", "Pond.JPEG", "tools", "water.py"]
     row = statistics.name_statistics(small.entries).first()
-    lens = sorted(len(n) for n in ("C:", "Docs", "Report.PDF", "notes.txt", "src", "main.rs", "big.BIN"))
-    assert (row["live"], row["fold_identical"], row["p50"], row["p90"], row["p99"], row["max"]) == (7, 3, lens[3], lens[5], lens[5], lens[6])
+    lens = sorted(map(len, names))
+    assert (row["live"], row["fold_identical"], row["p50"], row["p90"], row["p99"], row["max"]) == (9, sum(n == n.lower() for n in names), lens[4], lens[7], lens[7], lens[8])
     empty = statistics.name_statistics(small.entries.where("false")).first()
     assert (empty["live"], empty["p50"], empty["max"], empty["mean"]) == (0, 0, 0, 0.0)
-    grams = {n[i : i + 3] for n in ("c:", "docs", "report.pdf", "notes.txt", "src", "main.rs", "big.bin") for i in range(len(n) - 2)}
+    grams = {n.lower()[i : i + 3] for n in names for i in range(len(n) - 2)}
     assert statistics.trigram_estimate(small.entries).first()["distinct_trigrams"] == len(grams)
-    assert [r["name_id"] for r in statistics.name_ids(small.entries).orderBy("first_id").collect()] == list(range(7))
+    assert [r["name_id"] for r in statistics.name_ids(small.entries).orderBy("first_id").collect()] == list(range(9))
 
 
 def test_histogram(spark):
@@ -133,17 +150,22 @@ def test_histogram(spark):
 
 
 def test_highlight(small):
-    plan = compile_query("report pdf path:docs")
+    plan = compile_query("beans csv path:garden")
     rows = tree.with_paths(search.filtered(small, plan), small.paths)
     got = highlight.highlighted(rows, plan).first()
-    assert [(m["start"], m["len"]) for m in got["name_marks"]] == [(0, 6), (7, 3)]
-    assert [(m["start"], m["len"]) for m in got["path_marks"]] == [(3, 4)]
+    assert [(m["start"], m["len"]) for m in got["name_marks"]] == [(0, 5), (11, 3)]
+    assert [(m["start"], m["len"]) for m in got["path_marks"]] == [(3, 6)]
     assert highlight.merge([(3, 5), (0, 2), (2, 3), (9, 9)]) == [(0, 5)]
-    across = compile_query("path:s\\re")
-    assert highlight.ranges(across, "Report.PDF", "C:\\Docs\\Report.PDF") == ([(0, 2)], [(6, 8)])
+    across = compile_query("path:ds\\be")
+    assert highlight.ranges(across, "beans.csv", "C:\\seeds\\beans.csv") == ([(0, 2)], [(6, 9)])
     assert highlight.ranges(compile_query("b+", Options(whole_regex="name")), "abba", "C:\\abba") == ([(1, 3)], [])
 
 
+def tables_of(spark):
+    at = shared_dir(spark).removeprefix("file://")
+    return os.listdir(at) if os.path.isdir(at) else []
+
+
 def test_engine(spark):
     from arbordex.engine import Engine
 
@@ -154,25 +176,36 @@ def test_engine(spark):
     e.attach({"C:": rows})
     e.attach({"c:": rows})
     assert e.status() == {"C:": "ready"}
-    first = e.search("r")
-    second = e.search("re", basis=first)
-    assert (first.hits, second.hits, second.trace["refined"], second.trace["unchanged"]) == (3, 1, True, False)
-    assert e.search("re", basis=second).trace["unchanged"]
-    assert [r["name"] for r in e.page(first.id, 0, 2).collect()] == ["main.rs", "Report.PDF"]
-    assert {r["name"] for r in second.rows.collect()} == {r["name"] for r in search.search(e.catalogue(), "re").collect()}
+    first = e.search("to")
+    second = e.search("tom", basis=first)
+    assert (first.hits, second.hits, second.trace["refined"], second.trace["unchanged"]) == (2, 1, True, False)
+    third = e.search("tom", basis=second)
+    assert third.trace["unchanged"]
+    assert [r["name"] for r in e.page(first.id, 0, 2).collect()] == ["Tomato Plan.ods", "tools"]
+    assert {r["name"] for r in second.rows.collect()} == {r["name"] for r in search.search(e.catalogue(), "tom").collect()}
     from pyspark.sql import functions as F
 
-    e.replace("C:", rows.withColumn("tombstone", F.col("name") == "main.rs"))
+    e.replace("C:", rows.withColumn("tombstone", F.col("name") == "tools").where("name <> 'water.py'"))
     with pytest.raises(StaleResult):
         e.page(first.id, 0)
-    assert e.page(second.id, 0).count() == 1 and e.search("r").hits == 2
+    assert e.page(second.id, 0).count() == 1 and e.search("to").hits == 1
     e.replace("C:", rows, structural=True)
     with pytest.raises(StaleResult):
         e.page(second.id, 0)
     e.free(first.id)
     with pytest.raises(StaleResult):
         e.page(first.id, 0)
-    assert e.metrics_snapshot()["counters"]["queries"] == 4
+    # a result's table goes with it, a volume's and the catalogue's with their next version
+    assert len(tables_of(spark)) > 0
+    e.free(second.id)
+    e.free(third.id)
+    before = len(tables_of(spark))
+    for _ in range(3):
+        e.replace("C:", rows)
+        e.free(e.search("to").id)
+    assert len(tables_of(spark)) <= before + 1
+    e.free(e.search("to").id)
+    assert e.metrics_snapshot()["counters"]["queries"] == 8
 
 
 def test_refined_equals_fresh(spark, small):
@@ -180,7 +213,7 @@ def test_refined_equals_fresh(spark, small):
 
     e = Engine(spark)
     e.attach({"C:": frame(spark, sample())})
-    for steps in (("", "r", "re", "rep"), ("file:", "file: size:>100", "file: size:1kb..3mb"), ("ext:pdf;rs", "ext:rs"), ("!x", "!x o")):
+    for steps in (("", "t", "to", "too"), ("file:", "file: size:>100", "file: size:1kb..3mb"), ("ext:csv;py", "ext:py"), ("!x", "!x o")):
         for text in steps:
             got = e.search(text)
             assert [r["name"] for r in got.rows.orderBy("pos").collect()] == found(small, text)
