@@ -29,7 +29,7 @@ SHARD_ROWS = 4096
 #: A worker remembers the ids of pieces up to this length, and of this many characters in all.
 PIECE_CHARS, MEMO_CHARS = 64, 16_000_000
 #: Pieces that the library gets in one call.
-_CALL_PIECES = 512
+_CALL_PIECES = 64
 #: A word with the blank before it, or white space: what byte-level patterns never join. They part a
 #: letter from a mark behind it as well, so plain words are the same with and without a comma.
 _PIECE = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\s.,;:!?]|\Z)| ?\S+|\s+(?!\S)|\s+")
@@ -37,7 +37,7 @@ _PIECE = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\s.,
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _NEWLINE = "\n"
 #: Characters of texts that are encoded together.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 150_000
 #: A blank that white space (or nothing) follows; where there is none, every blank begins a chunk.
 _BLANK_RUN = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
