@@ -255,6 +255,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs of which each component keeps one: that with the least doc_id (and then row key)."""
     prints = document_fingerprints(docs)
-    keepers = fingerprint_components(prints).select(F.col("keeper.row").alias("__sim_row")).distinct()
-    rows = docs.withColumn("__sim_row", row_key())
-    return rows.join(keepers, "__sim_row", "left_semi").dropDuplicates(["__sim_row"]).select(*docs.columns)
+    # plain columns: rows that were shuffled by them for the join need no other shuffle for what follows
+    key = ["__sim_a", "__sim_b"]
+    keepers = fingerprint_components(prints).select(F.col("keeper.row.a").alias(key[0]), F.col("keeper.row.b").alias(key[1])).distinct()
+    rows = docs.withColumns({key[0]: row_key()["a"], key[1]: row_key()["b"]})
+    return rows.join(keepers, key, "left_semi").dropDuplicates(key).select(*docs.columns)
