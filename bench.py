@@ -50,6 +50,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from arbordex.operators import search
     from arbordex.operators.search import Catalogue
+    from arbordex.plans.compiler import compile_query
     from arbordex.sources import tables
 
     began = time.perf_counter()
@@ -70,6 +71,11 @@ def main() -> None:
     t = time.perf_counter()
     search.top(warm, "ext:pdf", 64).collect()
     queries["top_page"] = round(time.perf_counter() - t, 4)
+    for name, text in (("ordered_page", "ord"), ("canonical_page", "k")):
+        t = time.perf_counter()
+        numbered = search.positions(search.filtered(warm, compile_query(text)))
+        search.page(numbered, warm.paths, 0).collect()
+        queries[name] = round(time.perf_counter() - t, 4)
     try:
         from arbordex.llm.queries import QUERIES
     except ImportError:
