@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import blocks, materialize
+from .token_counts import byte_symbols
 
 #: Rests that one packer gets, about.
 SHARD_ROWS = 4096
@@ -32,16 +34,16 @@ PIECE_CHARS, MEMO_CHARS = 64, 16_000_000
 _CALL_PIECES = 64
 #: A word with the blank before it, or white space: what byte-level patterns never join. They part a
 #: letter from a mark behind it as well, so plain words are the same with and without a comma.
-_PIECE = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\s.,;:!?]|\Z)| ?\S+|\s+(?!\S)|\s+")
+_PLAIN = r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_PIECE = re.compile(_PLAIN + r"(?=[\s.,;:!?]|\Z)| ?\S+|\s+(?!\S)|\s+")
+_PLAIN_WORD = re.compile(_PLAIN)
 #: White space of Python's patterns, but not of the library's.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _NEWLINE = "\n"
+#: How a byte-level vocabulary writes each byte, as a table for str.translate over bytes read as Latin-1.
+_BYTE_TABLE = dict(enumerate(byte_symbols()))
 #: Characters of texts that are encoded together.
 BLOCK_CHARS = 150_000
-#: A blank that white space (or nothing) follows; where there is none, every blank begins a chunk.
-_BLANK_RUN = re.compile(r" (?=\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
-_NEWLINE = "\n"
 
 
 class TokenIds:
@@ -49,8 +51,10 @@ class TokenIds:
 
     No id of a byte-level vocabulary reaches over the end of a word, so the ids of a text are those
     of its words and of the white space between them. They are looked up in a memory that the library
-    fills; it gets many words in a call, with newlines between them, whose id no word can give. Texts
-    with special strings, which are matched before words are, go to the library whole.
+    fills; it gets many words in a call, with newlines between them, whose id no word can give. A word
+    of letters alone, perhaps with a blank before it, is one pre-token, so it goes to the library's
+    model at once, past the pattern that finds pre-tokens. Texts with special strings, which are
+    matched before words are, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -62,15 +66,27 @@ class TokenIds:
         # the newline has to be one id, and a piece of its own
         probe = self._ids(f" a{_NEWLINE} b{_NEWLINE}c").tolist()
         self.between = between[0] if len(between) == 1 and probe.count(between[0]) == 2 else None
+        self.model = self.library.model
+        words = ["a", " a", " \u00e9t\u00e9", "Stra\u00dfe", " unquestionably"]
+        if self.library.normalizer is not None or any(self._plain_ids([w])[w] != self._ids(w).tobytes() for w in words):
+            self.model = None  # not a plain byte-level vocabulary
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _plain_ids(self, words: list[str]) -> dict[str, bytes]:
+        if not words:
+            return {}
+        written = _NEWLINE.join(words).encode().decode("latin-1").translate(_BYTE_TABLE).split(_BYTE_TABLE[ord(_NEWLINE)])
+        tokenize = self.model.tokenize
+        return {word: array("I", [t.id for t in tokenize(w)]).tobytes() for word, w in zip(words, written, strict=True)}
+
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        words = [p for p in pieces if len(p) <= PIECE_CHARS and not p.isspace()] if self.between is not None else []
-        out = {}
+        plain = _PLAIN_WORD.fullmatch
+        out = self._plain_ids([p for p in pieces if len(p) <= PIECE_CHARS and plain(p)]) if self.model is not None else {}
+        words = [p for p in pieces if p not in out and len(p) <= PIECE_CHARS and not p.isspace()] if self.between is not None else []
         for k in range(0, len(words), _CALL_PIECES):
             part = words[k : k + _CALL_PIECES]
             ids = self._ids(_NEWLINE.join(part))
