@@ -470,6 +470,17 @@ def test_token_ids_equal_the_library(monkeypatch):
     assert own.chars <= 3000 + 100 * 48 * 8
 
 
+@pytest.mark.parametrize("by_model", [True, False])
+def test_token_ids_of_plain_words_with_and_without_the_model(by_model):
+    own = packing.TokenIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.model is not None
+    if not by_model:
+        own.model = None
+    texts = ["Straße, über Ǆungla unquestionably  zwölfte.\nǀ ſ ɏ", "don't re-enter", "ab" * 40 + " word", "x"]
+    for t, ids in zip(texts, own.encode_all(texts), strict=True):
+        assert ids.tolist() == own.library.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("kind", LONG)
 def test_token_ids_of_very_long_texts(kind):
     own = packing.token_ids(public_tokenizers.path("byte_bpe_50k.json"))
