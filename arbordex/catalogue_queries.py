@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from .plans import regexes
 from .plans.query_text import parse
 from .sources import journal, records, tables
 from .sources.snapshots import SnapshotStore, names
-from .streaming import apply, decisions
+from .streaming import apply, decisions, tail
 from .streaming.debounce import debounced
 from .workspace import drop_at_end, materialize, temporary_path
 
@@ -585,36 +586,80 @@ def _compact(spark, sf_dir):
     return apply.compact(_batch(spark, sf_dir).entries).where("not is_dir").select("entry_id", "name")
 
 
-@register("src_usn_parse", "SELECT event_id AS usn, 'f_' || (event_id // 3) || '_' || (event_id % 5) || '.txt' AS name, event_id % 4 = 3 AS truncated FROM events")
-def _parse(spark, sf_dir):
-    """Events as binary buffers of one record, every fourth with a torn tail."""
-    rows = _events(spark, sf_dir)
+def _buffers(spark, sf_dir, n: int = 1, torn: bool = False) -> DataFrame:
+    """Events as binary buffers of n records at most; torn ones have a tail that is no record behind every fourth."""
+    rows = _events(spark, sf_dir).drop("k")
 
     def pack(batches):
         for pdf in batches:
             out = []
-            for r in pdf.itertuples():
-                raw = journal.encode(r.usn + 1, [(r.usn, r.frn, r.parent_frn, r.reason, r.attributes, r.name)])
-                out.append((r.usn, raw + b"x" * (7 if r.usn % 4 == 3 else 0)))
-            yield pdf.assign(buffer_id=[a for a, _ in out], payload=[b for _, b in out])[["buffer_id", "payload"]]
+            for at in range(0, len(pdf), n):
+                part = [(r.usn, r.frn, r.parent_frn, r.reason, r.attributes, r.name) for r in pdf[at : at + n].itertuples()]
+                tail = b"x" * 7 if torn and part[-1][0] % 4 == 3 else b""
+                out.append((part[0][0], journal.encode(part[-1][0] + 1, part) + tail))
+            yield pd.DataFrame(out, columns=["buffer_id", "payload"])
+
+    return rows.mapInPandas(pack, "buffer_id long, payload binary")
+
+
+@register("src_usn_parse", "SELECT event_id AS usn, 'f_' || (event_id // 3) || '_' || (event_id % 5) || '.txt' AS name, event_id % 4 = 3 AS truncated FROM events")
+def _parse(spark, sf_dir):
+    """Events as binary buffers of one record, every fourth with a torn tail."""
+    return journal.records(_buffers(spark, sf_dir, torn=True)).select("usn", "name", "truncated")
 
-    return journal.records(rows.drop("k").mapInPandas(pack, "buffer_id long, payload binary")).select("usn", "name", "truncated")
+
+@register("src_usn_open", "SELECT event_id AS usn, 'f_' || (event_id // 3) || '_' || (event_id % 5) || '.txt' AS name FROM events WHERE event_id >= (SELECT (max(event_id) + 1) // 2 FROM events)")
+def _open(spark, sf_dir):
+    """What follows the cursor of a store that stands at the middle of the journal."""
+    store = SnapshotStore(spark, temporary_path(spark, "store"))
+    end = tables.read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
+    meta = store.save(_before(spark, sf_dir), 7, end // 2)
+    drop_at_end(spark, store.path)
+    opened = tail.open_at(meta, decisions.JournalView(7, 0, end))
+    return journal.records(_buffers(spark, sf_dir, 256)).where(F.col("usn") >= opened.cursor).select("usn", "name")
+
+
+@register("src_usn_tail", f"WITH {sql.JOURNAL} SELECT entry_id, name, tombstone, size FROM done")
+def _follow(spark, sf_dir):
+    """The binary journal through a stream; its second start finds nothing new and changes nothing."""
+    at = temporary_path(spark, "tail")
+    store = SnapshotStore(spark, f"{at}/store")
+    store.save(_before(spark, sf_dir), 7, 0)
+    _buffers(spark, sf_dir, 256).withColumn("condition", F.lit(None).cast("string")).write.parquet(f"{at}/in")
+    for _ in range(2):
+        reads = spark.readStream.schema(tail.READS).parquet(f"{at}/in")
+        tail.follow(reads, store, f"{at}/checkpoint", decisions.JournalView(7, 0), _looked_up(spark, sf_dir)).awaitTermination()
+    drop_at_end(spark, at)
+    return store.load(sound=False).where("not is_dir").select("entry_id", "name", "tombstone", "size")
 
 
-_DECISIONS = [("none", "scan: first run"), ("other format", "scan: snapshot unusable"), ("no journal", "scan: journal query failed"), ("other journal", "scan: checkpoint stale"), ("cursor gone", "scan: checkpoint stale"), ("good", "restore")]
+@register("src_metadata", f"WITH {sql.JOURNAL} SELECT 281474976710656 + 1000 + k AS frn, CASE WHEN k % 3 = 0 THEN 'present' ELSE 'failed' END AS stat_state, CASE k % 4 WHEN 0 THEN 'present' WHEN 1 THEN 'gone' ELSE 'failed' END AS link_state FROM red")
+def _metadata(spark, sf_dir):
+    """Sizes known for every third object; link sets that are present, gone, failed, or were not looked up."""
+    records = _events(spark, sf_dir)
+    state = F.element_at(F.array(F.lit("present"), F.lit("gone"), F.lit("failed")), (F.col("k") % 4 + 1).cast("int"))
+    links = records.where("k % 4 < 3").groupBy("frn", "k").agg(F.max("name").alias("name")).select("frn", F.lit(_ROOT_FRN).alias("parent_frn"), "name", state.alias("state"))
+    return apply.decide(_before(spark, sf_dir), records.drop("k"), _looked_up(spark, sf_dir), links).select("frn", "stat_state", "link_state")
 
 
-@register("st_restore_decide", _values(_DECISIONS, "given, decision"))
+@register("st_restore_decide", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'scan: first run' WHEN event_id % 7 = 1 THEN 'scan: snapshot unusable' WHEN event_id % 7 = 2 THEN 'scan: journal query failed' WHEN event_id % 7 = 3 OR event_id < 500 THEN 'scan: checkpoint stale' ELSE 'restore' END AS decision FROM events")
 def _restore(spark, sf_dir):
-    meta, view = decisions.Meta(1, decisions.FORMAT, 7, 100, -1, 0, 0), decisions.JournalView(7, 50)
-    given = {"none": (None, view), "other format": (decisions.Meta(1, "x", 7, 100, -1, 0, 0), view), "no journal": (meta, None), "other journal": (meta, decisions.JournalView(8, 50)), "cursor gone": (meta, decisions.JournalView(7, 101)), "good": (meta, view)}
-    return spark.createDataFrame([(k, decisions.restore_decision(*v)) for k, v in given.items()], "given string, decision string")
+    """A checkpoint at each event, some of them missing, of another format or journal, or before the journal's first record."""
+    e = F.col("event_id")
+    form = F.when(e % 7 == 1, "other").otherwise(decisions.FORMAT)
+    checkpoint = F.when(e % 7 != 0, F.struct(form.alias("format"), F.when(e % 7 == 3, 8).otherwise(7).alias("journal_id"), e.alias("next_usn")))
+    view = F.when(e % 7 != 2, F.struct(F.lit(7).alias("journal_id"), F.lit(500).alias("first_usn")))
+    rows = tables.read(spark, sf_dir, "events").select("event_id", checkpoint.alias("checkpoint"), view.alias("view"))
+    return rows.select("event_id", decisions.restore_decisions(F.col("checkpoint"), F.col("view")).alias("decision"))
 
 
-@register("st_tail_decide", _values([("records", "apply"), ("truncated", "rescan"), ("gone", "rescan"), ("error", "fail")], "given, decision"))
+@register("st_tail_decide", "SELECT event_id AS buffer_id, CASE WHEN event_id % 11 = 0 THEN 'fail' WHEN event_id % 9 = 0 OR event_id % 4 = 3 THEN 'rescan' ELSE 'apply' END AS decision FROM events")
 def _tail(spark, sf_dir):
-    d = decisions.tail_decision
-    return spark.createDataFrame([("records", d()), ("truncated", d(truncated=True)), ("gone", d(gone=True)), ("error", d(failed=True))], "given string, decision string")
+    """Reads of one event each: every eleventh failed, every ninth says that the journal is gone, every fourth is torn."""
+    b = F.col("buffer_id")
+    gone = F.element_at(F.array(*[F.lit(c) for c in tail.GONE]), (F.floor(b / 9) % len(tail.GONE) + 1).cast("int"))
+    reads = _buffers(spark, sf_dir, torn=True).withColumn("condition", F.when(b % 11 == 0, "read failed").when(b % 9 == 0, gone))
+    return tail.judged(reads).select("buffer_id", "decision")
 
 
 # --- decoded file records

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import limits
-from .errors import Cancelled, InvalidArgument, QuerySyntaxError, StaleResult, VolumeUnavailable
+from .errors import Cancelled, InvalidArgument, QuerySyntaxError, RescanRequired, StaleResult, VolumeUnavailable
+from .functions.scalars import has_attribute
 from .metrics import Metrics
 from .operators import search, statistics, tree
 from .operators.search import Catalogue
 from .plans.compiler import Options, Plan, compile_query
 from .plans.implication import subsumes
 from .sources.snapshots import Meta, SnapshotStore
+from .streaming.apply import apply_batch
 from .streaming.decisions import EventQueue, next_state
 from .workspace import drop_now, materialize, owned
 
@@ -34,6 +36,8 @@ class Volume:
     entries: DataFrame | None = None
     content: int = 0
     structural: int = 0
+    stat: int = 0
+    topology: int = 0
     dirty: bool = False
     tables: list[str] = field(default_factory=list)
 
@@ -46,7 +50,7 @@ class Result:
     plan: Plan
     rows: DataFrame
     hits: int
-    generations: dict[str, tuple[int, int]]
+    generations: dict[str, tuple[int, int, int, int]]
     trace: dict = field(default_factory=dict)
     tables: list[str] = field(default_factory=list)
 
@@ -60,6 +64,9 @@ class Engine:
         self._ids = itertools.count(1)
         self._catalogue: Catalogue | None = None
         self._catalogue_tables: list[str] = []
+        self._emitted = 0
+        self._searches = itertools.count(1)
+        self._running: dict[str, int] = {}
 
     # volumes
 
@@ -98,17 +105,56 @@ class Engine:
             volume.entries = materialize(rows, "volume")
         drop_now(self.spark, volume.tables)
         volume.tables = made
-        volume.content += 1
         volume.dirty = True
 
-    def replace(self, label: str, entries: DataFrame, structural: bool = False) -> None:
-        """Put a volume's next version in place; structural for a compaction or a new scan."""
+    def replace(self, label: str, entries: DataFrame, structural: bool = False, kinds: tuple[str, ...] = ("content", "topology")) -> None:
+        """Put a volume's next version in place; structural for a compaction or a new scan.
+
+        kinds are the generations that move: content (names or rows), stat (sizes and times alone),
+        topology (directories).
+        """
         volume = self._volume(label)
         self._install(volume, entries)
         volume.structural += structural
+        for kind in kinds:
+            setattr(volume, kind, getattr(volume, kind) + 1)
         self._catalogue = None
         self._emit("index_changed", label)
 
+    def apply(self, label: str, records: DataFrame, stats: DataFrame | None = None, links: DataFrame | None = None) -> dict[str, int]:
+        """Apply a batch of change records to a volume; RescanRequired leaves the volume as it was and rescanning."""
+        volume = self._volume(label)
+        with owned() as made:
+            done = apply_batch(volume.entries, records, stats, links)
+            if not done.rescan_required:
+                names = done.stats["created_or_renamed"] + done.stats["deleted"] > 0
+                # a record of a directory may move it or change what is below it
+                topology = names and not records.where(has_attribute(F.col("attributes"), "DIRECTORY")).isEmpty()
+                kinds = [k for k, moved in (("content", names), ("stat", done.stats["stat_updated"] > 0), ("topology", topology)) if moved]
+                if kinds:
+                    self.replace(label, done.entries, kinds=tuple(kinds))
+        drop_now(self.spark, [t for t in made if t not in volume.tables])
+        self.metrics.counters["batches"] += 1
+        if done.rescan_required:
+            self.rescan(label)
+            raise RescanRequired(f"{label} {done.stats}")
+        return done.stats
+
+    def rescan(self, label: str) -> None:
+        """A volume that can no longer be followed: searches leave it out until rescanned()."""
+        volume = self._volume(label)
+        volume.state = next_state(volume.state, "rescan_started")
+        self._catalogue = None
+        self.metrics.counters["rescans"] += 1
+        self._emit("rescan_started", label)
+
+    def rescanned(self, label: str, entries: DataFrame) -> None:
+        """The new scan's entries take the volume's place; results from before it are stale."""
+        self.replace(label, tree.resolve_parents(entries), structural=True)
+        volume = self._volume(label)
+        volume.state = next_state(volume.state, "volume_ready")
+        self._emit("volume_ready", label)
+
     def flush(self, stores: dict[str, SnapshotStore], journal_id: int = 0, next_usn: int = 0) -> dict[str, Meta]:
         """Save the volumes that changed since the last flush."""
         saved = {}
@@ -125,9 +171,14 @@ class Engine:
         return self.volumes[label]
 
     def _emit(self, kind: str, label: str) -> None:
-        self.events.push((kind, label))
+        self._emitted += 1
+        self.events.push((kind, label, self._emitted))
         self.metrics.counters["events_dropped"] = self.events.dropped
 
+    def events_table(self) -> DataFrame:
+        """The events that the queue still holds: number (from 1 over all events), kind, label."""
+        return self.spark.createDataFrame([(n, kind, label) for kind, label, n in self.events.events], "number long, kind string, label string")
+
     def status(self) -> dict[str, str]:
         return {v.label: v.state for v in self.volumes.values()}
 
@@ -149,8 +200,8 @@ class Engine:
             self._catalogue_tables = made
         return self._catalogue
 
-    def _generations(self) -> dict[str, tuple[int, int]]:
-        return {v.label: (v.content, v.structural) for v in self.volumes.values() if v.state == "ready"}
+    def _generations(self) -> dict[str, tuple[int, int, int, int]]:
+        return {v.label: (v.content, v.structural, v.stat, v.topology) for v in self.volumes.values() if v.state == "ready"}
 
     # searches
 
@@ -158,10 +209,11 @@ class Engine:
         """The ordered result of a query.
 
         A live result whose query covers this one is filtered again instead of the catalogue. basis
-        is the result on display: the trace tells whether nothing changed. tag names the search for
-        cancel().
+        is the result on display: the trace tells whether nothing changed. tag names a line of searches,
+        such as a window's: a later one cancels those before it, and so does cancel().
         """
         began = time.perf_counter()
+        turn = self._take_turn(tag) if tag else 0
         try:
             plan = compile_query(text, options)
         except QuerySyntaxError:
@@ -170,20 +222,27 @@ class Engine:
         catalogue, now = self.catalogue(), self._generations()
         base = next((r for r in reversed(self._results.values()) if r.generations == now and subsumes(r.plan, plan)), None)
         source = Catalogue(base.rows.drop("pos"), catalogue.paths) if base else catalogue
+        own, tables = f"{tag}-{turn}", []
         if tag:
-            self.spark.addTag(tag)
+            self.spark.addTag(own)
         try:
-            with owned() as tables:
+            self._check_turn(tag, turn)
+            with owned() as made:
+                tables = made
                 rows = search.positions(search.filtered(source, plan), options)
+            self._check_turn(tag, turn)
             hits = rows.count()
+            self._check_turn(tag, turn)
         except Exception as e:
-            if tag and "cancel" in str(e).lower():
+            if tag and self._running.get(tag) != turn:
+                drop_now(self.spark, tables)
                 self.metrics.counters["cancelled"] += 1
                 raise Cancelled(tag) from e
+            self._emit("engine_error", "")
             raise
         finally:
             if tag:
-                self.spark.removeTag(tag)
+                self.spark.removeTag(own)
         same = bool(basis and basis.generations == now and basis.hits == hits and search.unchanged(basis.rows, rows))
         micros = int(1e6 * (time.perf_counter() - began))
         result = Result(next(self._ids), plan, rows, hits, now, {"hits": hits, "micros": micros, "refined": base is not None, "unchanged": same}, tables)
@@ -194,8 +253,21 @@ class Engine:
         self.metrics.query(text, hits, micros, base is not None, same)
         return result
 
+    def _take_turn(self, tag: str) -> int:
+        """The number of a new search under tag; the one before it is interrupted."""
+        turn = next(self._searches)
+        before, self._running[tag] = self._running.get(tag), turn
+        if before:
+            self.spark.interruptTag(f"{tag}-{before}")
+        return turn
+
+    def _check_turn(self, tag: str | None, turn: int) -> None:
+        if tag and self._running.get(tag) != turn:
+            raise Cancelled(tag)
+
     def cancel(self, tag: str) -> None:
-        self.spark.interruptTag(tag)
+        """Cancel the searches under tag, also those that have not started their work."""
+        self._take_turn(tag)
 
     def page(self, result_id: int, offset: int, n: int = limits.MAX_PAGE_ROWS) -> DataFrame:
         """Rows of a live result; StaleResult if it was released, rebuilt under, or lost a row of the page."""
@@ -205,7 +277,7 @@ class Engine:
             raise StaleResult(str(result_id))
         self._results.move_to_end(result_id)
         now = self._generations()
-        if any(now.get(k, (0, -1))[1] != g[1] for k, g in result.generations.items()):
+        if any(now.get(k, (0, -1, 0, 0))[1] != g[1] for k, g in result.generations.items()):
             raise StaleResult("rebuilt")
         rows = result.rows.where(F.col("pos").between(offset, offset + min(n, limits.MAX_PAGE_ROWS) - 1))
         if now != result.generations:

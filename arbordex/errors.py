@@ -37,3 +37,7 @@ class TopologyError(CatalogueError):
     """A cycle, a missing or non-directory parent, or an object with clashing rows."""
 
     code = 6
+
+
+class RescanRequired(TopologyError):
+    """A batch, or the journal itself, cannot be followed from the store's cursor; the volume must be scanned anew."""

@@ -1,24 +1,28 @@
 """Versioned snapshots of a catalogue's entries.
 
-A version is a Parquet folder; a one-row Parquet of its own commits it, with the journal's identity
-and cursor, the row count and a hash of the rows. Readers pin a version; a version that was not
-committed does not exist for them.
+Rows lie in buckets by their object's record number. A version's manifest names, for each bucket, the
+version that wrote it, with its row count and a hash of its rows; a one-row Parquet of its own commits
+the version with the journal's identity and cursor. A change writes the buckets it touches, and the
+others stay where they are. Readers pin a version; one that was not committed does not exist for them.
+Folders that none of the last versions names are deleted.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..errors import SnapshotInvalid
+from ..functions.scalars import record
 from ..operators import checks
 
 FORMAT = "ARBORDEX01"
 COLUMNS = "volume string, volume_ord int, entry_id long, frn long, parent_frn long, name string, is_dir boolean, hidden boolean, system boolean, reparse boolean, tombstone boolean, size long, mtime_secs long"
-_META = "version long, format string, journal_id long, next_usn long, batch_id long, n_rows long, checksum long"
+_META = "version long, format string, journal_id long, next_usn long, batch_id long, n_rows long, checksum long, last_id long, buckets long"
+_MANIFEST = "bucket int, written long, n_rows long, checksum long, last_id long"
 
 
 @dataclass(frozen=True)
@@ -30,24 +34,37 @@ class Meta:
     batch_id: int
     n_rows: int
     checksum: int
+    #: the largest entry_id that was ever given out
+    last_id: int = 0
+    buckets: int = 1
 
 
 def names() -> list[str]:
     return [c.split()[0] for c in COLUMNS.split(", ")]
 
 
-def checksum(entries: DataFrame) -> tuple[int, int]:
-    row = entries.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*names())), F.lit(0))).first()
-    return row[0], row[1]
+def bucket_of(frn: Column, buckets: int) -> Column:
+    """The bucket of an object; all entries of a record number share one."""
+    return F.pmod(F.xxhash64(record(frn)), F.lit(buckets)).cast("int")
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(F.xxhash64(*names())), F.lit(0)).alias("checksum")]
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    """Versions under path; buckets is for a new store (some 100 MB each), keep the number of versions that stay."""
 
-    def _exists(self, path: str) -> bool:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, keep: int = 8):
+        self.spark, self.path, self.buckets, self.keep = spark, path, buckets, keep
+
+    def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _exists(self, path: str) -> bool:
+        fs, at = self._fs(path)
+        return fs.exists(at)
 
     def latest(self) -> Meta | None:
         """The last committed version; None for a first run."""
@@ -56,19 +73,62 @@ class SnapshotStore:
         row = self.spark.read.schema(_META).parquet(f"{self.path}/meta").orderBy(F.col("version").desc()).first()
         return Meta(**row.asDict()) if row else None
 
-    def save(self, entries: DataFrame, journal_id: int, next_usn: int, batch_id: int = -1) -> Meta:
-        """Rows first, then the row that commits them; the cursor moves with the rows or not at all."""
+    def save(self, entries: DataFrame, journal_id: int, next_usn: int, batch_id: int = -1, only: list[int] | None = None) -> Meta:
+        """Rows first, then the row that commits them; the cursor moves with the rows or not at all.
+
+        With only, entries are all rows of these buckets, and the other buckets stay as they are.
+        """
         before = self.latest()
         version = before.version + 1 if before else 1
-        entries.select(*names()).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        n, total = checksum(self.read(version))
-        meta = Meta(version, FORMAT, journal_id, next_usn, batch_id, n, total)
+        n_buckets = before.buckets if before else self.buckets
+        at = f"{self.path}/v={version}"
+        placed = entries.select(*names(), bucket_of(F.col("frn"), n_buckets).alias("bucket"))
+        if only is not None:
+            placed = placed.where(F.col("bucket").isin(only))
+        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        back = self.spark.read.schema(COLUMNS + ", bucket int").parquet(at)
+        # one row for each bucket
+        parts = [(r["bucket"], version, r["n_rows"], r["checksum"], r["last_id"]) for r in back.groupBy("bucket").agg(*_sums(), F.max("entry_id").alias("last_id")).collect()]
+        if only is not None and before:
+            parts += [tuple(p) for p in self._manifest(before.version) if p["bucket"] not in set(only)]
+        self.spark.createDataFrame(parts, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/m={version}")
+        total = 0
+        for p in parts:
+            total ^= p[3]
+        last = max([p[4] or 0 for p in parts] + [before.last_id if before else 0])
+        meta = Meta(version, FORMAT, journal_id, next_usn, batch_id, sum(p[2] for p in parts), total, last, n_buckets)
         row = self.spark.createDataFrame([tuple(vars(meta).values())], _META).coalesce(1)
         row.write.mode("append").parquet(f"{self.path}/meta")
+        self._drop_old(version)
         return meta
 
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.schema(StructType.fromDDL(COLUMNS)).parquet(f"{self.path}/v={version}")
+    def _manifest(self, version: int) -> list:
+        try:
+            return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/m={version}").collect()
+        except AnalysisException as e:
+            raise SnapshotInvalid(f"version {version} is gone") from e
+
+    def _drop_old(self, version: int) -> None:
+        """Delete the manifest that leaves the kept range, and the buckets that no kept version names."""
+        gone = version - self.keep
+        if gone < 1 or not self._exists(f"{self.path}/m={gone}"):
+            return
+        old = {(p["bucket"], p["written"]) for p in self._manifest(gone)}
+        # a bucket that the next version left is in no later one
+        old -= {(p["bucket"], p["written"]) for p in self._manifest(gone + 1)}
+        for path in [f"v={written}/bucket={b}" for b, written in old] + [f"m={gone}"]:
+            fs, at = self._fs(f"{self.path}/{path}")
+            fs.delete(at, True)
+
+    def read(self, version: int, only: list[int] | None = None) -> DataFrame:
+        """The rows of a version, or of some of its buckets."""
+        paths = [f"{self.path}/v={p['written']}/bucket={p['bucket']}" for p in self._manifest(version) if only is None or p["bucket"] in set(only)]
+        if not paths:
+            return self.spark.createDataFrame([], COLUMNS)
+        try:
+            return self.spark.read.schema(COLUMNS).parquet(*paths)
+        except AnalysisException as e:
+            raise SnapshotInvalid(f"a bucket of version {version} is gone") from e
 
     def load(self, meta: Meta | None = None, sound: bool = True) -> DataFrame:
         """The rows of a version, checked against its row count, hash and, if asked, the catalogue's rules."""
@@ -78,7 +138,7 @@ class SnapshotStore:
         if meta.format != FORMAT:
             raise SnapshotInvalid(f"format {meta.format}")
         rows = self.read(meta.version)
-        if checksum(rows) != (meta.n_rows, meta.checksum):
+        if tuple(rows.agg(*_sums()).first()) != (meta.n_rows, meta.checksum):
             raise SnapshotInvalid("rows differ from what was committed")
         if sound:
             checks.require_sound(rows)

@@ -13,16 +13,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import TopologyError
+from ..errors import RescanRequired, TopologyError
 from ..functions.scalars import REASONS, has_attribute, record
 from ..operators import tree
 from ..operators.ranks import number
 from ..operators.statistics import live
-from ..sources.snapshots import COLUMNS, Meta, SnapshotStore, names
-from ..workspace import materialize
+from ..sources.snapshots import COLUMNS, Meta, SnapshotStore, bucket_of, names
+from ..workspace import drop_now, materialize, owned
 
 STATS = "frn long, size long, mtime_secs long"
-#: state: present or gone; a missing row is a failed look-up
+#: state: present, gone or failed; a missing row is a failed look-up
 LINKS = "frn long, parent_frn long, name string, state string"
 _LINK_REASONS = ("FILE_CREATE", "RENAME_NEW_NAME", "HARD_LINK_CHANGE")
 _STAT_REASONS = ("DATA_OVERWRITE", "DATA_EXTEND", "DATA_TRUNCATION", "BASIC_INFO_CHANGE")
@@ -53,7 +53,10 @@ def reduce_records(records: DataFrame) -> DataFrame:
 
 
 def decide(entries: DataFrame, records: DataFrame, stats: DataFrame, links: DataFrame) -> DataFrame:
-    """The reduced batch with what is known of each object, its action, and whether it fails the whole batch."""
+    """The reduced batch with what is known of each object, its action, and whether it fails the whole batch.
+
+    stat_state and link_state tell what the look-ups gave: present, gone (links only) or failed.
+    """
     now = live(entries)
     objects = now.groupBy("frn").agg(F.count(F.lit(1)).alias("n_links"), F.bool_or("is_dir").alias("was_dir"), F.min_by(F.struct("size", "mtime_secs"), "entry_id").alias("carried"), F.collect_set(F.struct("parent_frn", "name")).alias("link_set"))
     sets = links.groupBy("frn").agg(F.max("state").alias("state"), F.collect_set(F.when(F.col("state") == "present", F.struct("parent_frn", "name"))).alias("desired"))
@@ -64,8 +67,9 @@ def decide(entries: DataFrame, records: DataFrame, stats: DataFrame, links: Data
     r, is_dir = F.col("reasons"), has_attribute(F.col("last.attributes"), "DIRECTORY")
     rows = rows.withColumn("is_dir", is_dir).withColumn("n_links", F.coalesce("n_links", F.lit(0))).withColumn("was_dir", F.coalesce("was_dir", F.lit(False)))
     linking = _any(r, *_LINK_REASONS) & ~is_dir
-    has_links = F.coalesce((F.col("state") == "present") & (F.size("desired") > 0), F.lit(False))
-    gone = F.coalesce(F.col("state") == "gone", F.lit(False))
+    rows = rows.withColumn("stat_state", F.when(F.col("fetched").isNotNull(), "present").otherwise("failed"))
+    rows = rows.withColumn("link_state", F.when((F.col("state") == "present") & (F.size("desired") > 0), "present").when(F.col("state") == "gone", "gone").otherwise("failed"))
+    has_links, gone = F.col("link_state") == "present", F.col("link_state") == "gone"
     old_stands = F.coalesce(F.array_contains("link_set", F.col("old")), F.lit(False))
     unsure = _any(r, "RENAME_NEW_NAME") & (F.col("n_links") > 1) & ~old_stands
     fails = F.when(is_dir, _any(r, "HARD_LINK_CHANGE")).otherwise(linking & ~has_links & ~gone & (_any(r, "HARD_LINK_CHANGE") | unsure))
@@ -106,11 +110,13 @@ def _rejected(entries: DataFrame, rows: DataFrame) -> DataFrame:
         bad = found
 
 
-def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None = None, links: DataFrame | None = None) -> Applied:
+def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None = None, links: DataFrame | None = None, last_id: int | None = None) -> Applied:
     """entries (the snapshot columns) after one batch of records (usn, frn, parent_frn, reason, attributes, name).
 
     stats and links hold what metadata look-ups gave. An object whose link set is needed and missing
     rejects the whole batch; one whose parent is no directory is left out, and both ask for a new scan.
+    entries may be a part of the catalogue that holds all rows of the records concerned and all
+    directories; last_id is then the largest entry_id of the whole.
     """
     spark = entries.sparkSession
     stats = stats if stats is not None else spark.createDataFrame([], STATS)
@@ -159,11 +165,12 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     standing = live(kept).select("frn", "parent_frn", "name")
     new = _wanted_links(rows.where("action in ('links', 'upsert')")).drop("is_dir").join(standing, ["frn", "parent_frn", "name"], "left_anti")
     new = new.join(change, F.col("frn") == F.col("c_frn"))
-    last_id = kept.agg(F.max("entry_id").alias("last_id"), F.first("volume").alias("volume"), F.first("volume_ord").alias("volume_ord"))
+    highest = F.max("entry_id") if last_id is None else F.greatest(F.max("entry_id"), F.lit(last_id))
+    ends = kept.agg(highest.alias("last_id"), F.first("volume").alias("volume"), F.first("volume_ord").alias("volume_ord"))
     new = new.select("frn", "parent_frn", "name", F.col("c_dir").alias("is_dir"), F.col("c_hidden").alias("hidden"), F.col("c_system").alias("system"), F.col("c_reparse").alias("reparse"), F.col("facts.size").alias("size"), F.col("facts.mtime_secs").alias("mtime_secs"), F.col("c_first").alias("new_first"))
     # new links are numbered in journal order; one row is broadcast
     new = number(new, [F.col(c) for c in ("new_first", "frn", "parent_frn", "name")], "place")
-    fresh = new.withColumn("__k", F.lit(1)).join(F.broadcast(last_id.withColumn("__k", F.lit(1))), "__k").withColumn("entry_id", F.coalesce("last_id", F.lit(0)) + F.col("place") + 1).withColumn("tombstone", F.lit(False))
+    fresh = new.withColumn("__k", F.lit(1)).join(F.broadcast(ends.withColumn("__k", F.lit(1))), "__k").withColumn("entry_id", F.coalesce("last_id", F.lit(0)) + F.col("place") + 1).withColumn("tombstone", F.lit(False))
     fresh = materialize(fresh.select(*names()), "fresh")
     after = kept.select(*names()).unionByName(fresh)
 
@@ -204,25 +211,39 @@ def compaction_due(n_rows: int, tombstones: int, dead_name_bytes: int = 0, appen
     return sparse or dead_name_bytes > 32 << 20 or appended_names > (n_rows - tombstones) // 4
 
 
-def apply_to_store(store: SnapshotStore, records: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int) -> Meta:
-    """Apply a micro-batch to the store's last version; a batch that is already in it changes nothing."""
+def apply_to_store(store: SnapshotStore, records: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, next_usn: int | None = None) -> Meta:
+    """Apply a micro-batch to the store's last version; a batch that is already in it changes nothing.
+
+    The buckets of the batch's objects are read and written whole, of the others only directories
+    are read. next_usn is where the journal goes on; without it, behind the last record.
+    """
     meta = store.latest()
     if meta.batch_id >= batch_id:
         return meta
-    if records.isEmpty():
+    # at most a row for each bucket
+    touched = [r[0] for r in records.select(bucket_of(F.col("frn"), meta.buckets)).distinct().collect()]
+    if not touched:
         return meta
-    done = apply_batch(store.read(meta.version), records, stats, links)
+    others = [b for b in range(meta.buckets) if b not in set(touched)]
+    part = store.read(meta.version, touched).unionByName(store.read(meta.version, others).where("is_dir"))
+    with owned() as made:
+        done = apply_batch(part, records, stats, links, meta.last_id)
+        if not done.rescan_required:
+            cursor = next_usn if next_usn is not None else records.agg(F.max("usn")).first()[0] + 1
+            meta = store.save(done.entries, meta.journal_id, cursor, batch_id, touched)
+    drop_now(store.spark, made)
     if done.rescan_required:
-        raise TopologyError(f"batch {batch_id} needs a new scan: {done.stats}")
-    next_usn = records.agg(F.max("usn")).first()[0] + 1
-    return store.save(done.entries, meta.journal_id, next_usn, batch_id)
+        raise RescanRequired(f"batch {batch_id} needs a new scan: {done.stats}")
+    return meta
 
 
 def start(records: DataFrame, store: SnapshotStore, checkpoint: str, stats: DataFrame | None = None, links: DataFrame | None = None, **trigger):
     """A streaming query that keeps the store current; the stream's checkpoint and the store's batch number make replays harmless."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_to_store(store, materialize(batch, "batch"), stats, links, batch_id)
+        with owned() as made:
+            apply_to_store(store, materialize(batch, "batch"), stats, links, batch_id)
+        drop_now(store.spark, made)
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .. import limits
 from ..sources.snapshots import FORMAT, Meta
 
@@ -15,14 +18,30 @@ EVENTS = ("progress", "volume_ready", "index_changed", "rescan_started", "volume
 
 @dataclass(frozen=True)
 class JournalView:
-    """What a journal says of itself; None in its place means that it could not be asked."""
+    """What a journal says of itself: its records have numbers from first_usn up to, not with, next_usn.
+
+    None in its place means that it could not be asked.
+    """
 
     journal_id: int
     first_usn: int
+    next_usn: int = 0
+
+
+def restore_decisions(checkpoint: Column, journal: Column) -> Column:
+    """restore, or the reason of a full scan, for structs checkpoint (format, journal_id, next_usn) and journal (journal_id, first_usn)."""
+    stale = (journal["journal_id"] != checkpoint["journal_id"]) | (checkpoint["next_usn"] < journal["first_usn"])
+    return (
+        F.when(checkpoint.isNull(), "scan: first run")
+        .when(~checkpoint["format"].eqNullSafe(F.lit(FORMAT)), "scan: snapshot unusable")
+        .when(journal.isNull(), "scan: journal query failed")
+        .when(F.coalesce(stale, F.lit(True)), "scan: checkpoint stale")
+        .otherwise("restore")
+    )
 
 
 def restore_decision(meta: Meta | None, journal: JournalView | None) -> str:
-    """restore, or the reason of a full scan."""
+    """The decision for one volume, on the driver."""
     if meta is None:
         return "scan: first run"
     if meta.format != FORMAT:
@@ -34,9 +53,10 @@ def restore_decision(meta: Meta | None, journal: JournalView | None) -> str:
     return "restore"
 
 
-def tail_decision(truncated: bool = False, gone: bool = False, failed: bool = False) -> str:
-    """A malformed batch is thrown away whole."""
-    return "fail" if failed else "rescan" if gone or truncated else "apply"
+def tail_decisions(truncated: Column, gone: Column, failed: Column) -> Column:
+    """What a read of the journal asks for: apply, rescan or fail."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(failed), "fail").when(yes(gone) | yes(truncated), "rescan").otherwise("apply")
 
 
 def next_state(state: str, event: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -48,19 +49,20 @@ def drop_now(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Lists that note the tables written within open scopes, the innermost last.
-_scopes: list[list[str]] = []
+#: Lists that note the tables written within open scopes of a thread, the innermost last.
+_scopes = threading.local()
 
 
 @contextmanager
 def owned() -> Iterator[list[str]]:
     """A scope whose materialized tables are listed, so that their owner can delete them."""
     made: list[str] = []
-    _scopes.append(made)
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append(made)
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        stack.pop()
 
 
 def temporary_path(spark: SparkSession, label: str) -> str:
@@ -72,7 +74,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read back; cuts the lineage."""
     spark = df.sparkSession
     path = temporary_path(spark, label)
-    if _scopes:
-        _scopes[-1].append(path)
+    if getattr(_scopes, "stack", None):
+        _scopes.stack[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(drop_at_end(spark, path))
