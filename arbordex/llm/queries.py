@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search
+from . import byte_pairs, chat_format, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search
 from ._shared import spread
 from .sql import SQL
 
@@ -80,7 +80,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_pairs.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_topk_search, op5_chat_format, op6_source_mixing, op7_simhash_dedup, op8_quality_classifier, op9_packing, op10_line_dedup)
+    for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_topk_search, op5_chat_format, op6_source_mixing, op7_simhash_dedup, op8_quality_classifier, op9_packing, op10_line_dedup, op11_byte_pairs)
 }
