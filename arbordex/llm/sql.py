@@ -72,4 +72,20 @@ f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINC
 SELECT l.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256 FROM l LEFT JOIN f ON l.key = f.key GROUP BY l.r, l.doc_id
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_secret_scan": OP3, "op4_topk_search": OP4, "op5_chat_format": OP5, "op10_line_dedup": OP10}
+OP13 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+j AS (SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS INT)
+ + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(d.doc_id > first_id, false) AS INT) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d JOIN firsts USING (t) LEFT JOIN marks ON d.doc_id = marks.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM j GROUP BY ALL),
+letters AS (SELECT 'ABCDE'[i + 1] AS x, 1 << i AS bit FROM range(0, 5) r(i)),
+o AS (SELECT '' AS filter_order, 0 AS held UNION ALL SELECT filter_order || x, CAST(held + bit AS INT) FROM o, letters WHERE held & bit = 0),
+steps AS (SELECT filter_order, i AS step, (SELECT CAST(coalesce(sum(bit), 0) AS INT) FROM letters WHERE contains(substr(filter_order, 1, i - 1), x)) AS held, 1 << strpos('ABCDE', filter_order[i]) - 1 AS bit FROM o, range(1, 6) r(i) WHERE held = 31),
+s AS (SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE fails & (held | bit) = 0) AS kept, sum(n) FILTER (WHERE fails & held = 0 AND fails & bit > 0) AS removed, sum(n) FILTER (WHERE fails & held > 0 AND fails & bit > 0) AS redundant,
+ sum(n) FILTER (WHERE fails = bit) AS unique_fails, sum(good) FILTER (WHERE fails & held = 0 AND fails & bit > 0) AS good_lost, sum(toxic) FILTER (WHERE fails & held = 0 AND fails & bit > 0) AS toxic_lost FROM c, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+ CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM s
+"""
+
+SQL = {"op1_quality_rules": OP1, "op3_secret_scan": OP3, "op4_topk_search": OP4, "op5_chat_format": OP5, "op10_line_dedup": OP10, "op13_filter_audit": OP13}

@@ -26,6 +26,8 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{at}/documents.parquet")
     spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(f"file://{at}/conversations.parquet")
     spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>").write.parquet(f"file://{at}/embeddings.parquet")
+    labels = [(5, 1, 0), (7, 1, 0), (7, 0, 1), (None, 1, 1), (100, None, 1), (205, 1, None), (9999, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{at}/labels.parquet")
     return at
 
 
@@ -33,7 +35,7 @@ def odd_dir(spark, tmp_path_factory):
 def test_sql_equals_the_query(spark, odd_dir, sf_dir, name):
     for at, pattern in ((odd_dir, "/*.parquet"), (sf_dir, "")):
         con = duckdb.connect()
-        for table in ("documents", "conversations", "embeddings"):
+        for table in ("documents", "conversations", "embeddings", "labels"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{at}/{table}.parquet{pattern}'")
         got = QUERIES[name](spark, at)
         want = con.execute(SQL[name])
