@@ -84,8 +84,8 @@ near AS (SELECT DISTINCT * FROM (SELECT a.word, b.word AS form, b.n AS form_n FR
  UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.k = b.word UNION ALL SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.k = b.word)),
 best AS (SELECT word, count(*) AS n_near, arg_min(form, (-form_n, form)) AS form, max(form_n) AS form_n FROM near GROUP BY word),
 f AS (SELECT v.word, CASE WHEN form_n >= 10 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
-up AS (SELECT word, word AS at FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.at = f.word WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, at AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON f.word = up.word JOIN f e ON up.at = e.word WHERE e.form IS NULL
+up AS (SELECT word, word AS top FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.top = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, top AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON f.word = up.word JOIN f e ON up.top = e.word WHERE e.form IS NULL
 """
 
 OP13 = rf"""
