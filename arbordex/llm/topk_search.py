@@ -2,11 +2,12 @@
 
 The components of a block of vectors are quantised by dimension; the vectors that share a dimension
 and a level form a posting segment. For a query, a segment's impact is the most that a member can get
-from it. Segments of all dimensions are processed by descending impact, in rounds: each posting adds
-what its vector scores in that dimension. What a vector has not got yet is at most the next impact for
-each dimension that is left, so every vector has an upper bound. After each round the vectors with the
-best bounds are scored exactly; the search stops only when their scores prove that all but a few
-vectors are out, and those few are scored exactly. After the last segment every sum is exact itself.
+from it. The segments of all dimensions stand in one order, by descending impact, and are processed in
+it: each posting adds what its vector scores in that dimension. What a vector has not got yet is at most
+the next segment's impact for each dimension that is left, so every vector has an upper bound. After
+certain shares of the postings the vectors with the best bounds are scored exactly; the search stops
+only when their scores prove that all but a few vectors are out, and those few are scored exactly.
+After the last segment every sum is exact itself: with many dimensions of like size that is the rule.
 
 A block's index is built once, in one task, and the queries come to it in batches.
 """
@@ -23,11 +24,12 @@ from pyspark.sql.window import Window
 
 from ._shared import materialize
 
-BLOCK_VECTORS = 8192
+#: Vectors of a block, at most, and their components together.
+BLOCK_VECTORS, BLOCK_COMPONENTS = 8192, 1 << 21
 #: Levels of a dimension, at most.
-LEVELS = 256
+LEVELS = 64
 #: Shares of the postings after which the bounds are tested.
-ROUNDS = (0.38, 0.5, 0.7, 1.0)
+ROUNDS = (0.4, 0.55, 0.75, 1.0)
 #: A search ends when at most this part of a block is possible; those are scored exactly.
 _RESCORE = 5
 #: Components beyond it are held at it; no score with one fits a long, but by a component of zero.
@@ -46,9 +48,9 @@ def quantised_rows(table: DataFrame, scale: float = 256.0) -> DataFrame:
 class ImpactIndex:
     """Posting segments of one block of vectors.
 
-    The postings of a dimension lie by descending component, so those of a level lie together and
-    all segments above an impact are one stretch of each dimension. proven counts the searches that
-    ended before the last segment, rescored the vectors that they then scored exactly.
+    The postings of a dimension lie by descending component, so those of a segment lie together.
+    proven counts the searches that ended before the last segment, rescored the vectors that they then
+    scored exactly.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
@@ -57,13 +59,17 @@ class ImpactIndex:
         self.largest = int(np.abs(self.exact).max(initial=0))
         n, self.n_dims = vectors.shape
         order = np.argsort(-self.exact, axis=0, kind="stable").T
-        self.postings = np.ascontiguousarray(order)
-        self.parts = np.take_along_axis(self.exact.T, order, 1)
-        # the bounds of the levels: a level has equal components, or many where they are too many
-        low, high = self.parts[:, -1:], self.parts[:, :1]
-        self.step = np.maximum(1.0, np.ceil((high - low + 1) / levels))
-        self.level = ((self.parts - low) // self.step).astype(np.int64)
-        self.low = low
+        parts = np.take_along_axis(self.exact.T, order, 1)
+        # a level has equal components, or many where they are too many
+        low, high = parts[:, -1:], parts[:, :1]
+        level = (parts - low) // np.maximum(1.0, np.ceil((high - low + 1) / levels))
+        first = np.ones(parts.shape, bool)
+        first[:, 1:] = level[:, 1:] != level[:, :-1]
+        self.starts = np.flatnonzero(first)
+        self.stops = np.append(self.starts[1:], n * self.n_dims)
+        self.dims = self.starts // max(1, n)
+        self.postings, self.parts = order.ravel().astype(np.int32), parts.ravel()
+        self.most, self.least = self.parts[self.starts], self.parts[self.stops - 1]
 
     def _best(self, possible: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of the possible rows by exact scores, ties to the smaller id."""
@@ -78,51 +84,36 @@ class ImpactIndex:
 
     def _safe(self, q: np.ndarray) -> bool:
         """Whether all sums are exact in doubles."""
-        return int(np.abs(q).max(initial=0)) * self.largest * max(1, self.n_dims) < 1 << 46
-
-    def _starts(self, q: np.ndarray) -> list[np.ndarray]:
-        """For each round, how many postings of each dimension it and those before have, from the end with the greatest impacts."""
-        n = len(self.ids)
-        up = q >= 0
-        # impacts of the postings at evenly spaced places of each dimension, best first
-        at = np.unique(np.linspace(0, n - 1, 33).astype(np.int64))
-        level = np.where(up[:, None], self.level[:, at], self.level[:, n - 1 - at])
-        most = self.low + (level + up[:, None]) * self.step - up[:, None]
-        impact = np.minimum(q[:, None] * most, q[:, None] * np.where(up[:, None], self.parts[:, :1], self.parts[:, -1:]))
-        spread = np.sort(impact.ravel())[::-1]
-        out = []
-        for share in ROUNDS[:-1]:
-            least = spread[min(len(spread) - 1, int(share * len(spread)))]
-            above = (impact > least).sum(1)
-            out.append(np.where(above == len(at), n, at[np.minimum(above, len(at) - 1)]))
-        return [*out, np.full(self.n_dims, n)]
+        return int(np.abs(q).max(initial=0)) * self.largest * max(1, self.n_dims) < 1 << 52
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best vectors but those with the query's own id."""
-        n, d = len(self.ids), self.n_dims
+        n = len(self.ids)
         self.searched += 1
         others = self.ids != query_id
-        if not d or not self._safe(query) or n <= 4 * k:  # no room beside the sums, or nothing to gain
+        if not self.n_dims or not self._safe(query) or n <= 4 * k:  # sums would not be exact, or nothing to gain
             return self._best(np.flatnonzero(others), query, k)
         q = query.astype(np.float64)
-        up, weights = (q >= 0).tolist(), q.tolist()
-        unit = float(1 << 47)  # one number holds the sum so far and, times unit, the dimensions it is of
-        gathered, done, proven = np.zeros(n), np.zeros(d, np.int64), -np.inf
-        for stop in self._starts(q):
-            stop = np.maximum(stop, done)
-            for j, (a, b) in enumerate(zip(done.tolist(), stop.tolist(), strict=True)):
-                if b > a:
-                    part = slice(a, b) if up[j] else slice(n - b, n - a)
-                    gathered[self.postings[j, part]] += self.parts[j, part] * weights[j] + unit  # a dimension has a vector once
-            done = stop
-            if (done == n).all():
+        weight = q[self.dims]
+        impact = weight * np.where(weight >= 0, self.most, self.least)
+        counted = np.flatnonzero(weight)  # what a component of zero gives is known
+        order = counted[np.argsort(-impact[counted], kind="stable")]
+        n_dims, upto = int(np.count_nonzero(q)), np.cumsum(self.stops[order] - self.starts[order])
+        # whole numbers both: sums of what was processed, and of how many dimensions they are
+        sums, seen, proven, done = np.zeros(n), np.zeros(n, np.int64), -np.inf, 0
+        for share in ROUNDS:
+            stop = len(order) if share == 1 else int(np.searchsorted(upto, share * n * n_dims))
+            part, done = order[done:stop], max(done, stop)
+            if len(part):
+                sizes = self.stops[part] - self.starts[part]
+                ends = np.cumsum(sizes)
+                at = np.repeat(self.starts[part] - ends + sizes, sizes) + np.arange(ends[-1])
+                rows = self.postings[at]
+                sums += np.bincount(rows, self.parts[at] * np.repeat(weight[part], sizes), n)
+                seen += np.bincount(rows, minlength=n)
+            if done == len(order):
                 break
-            # the next impact of each dimension; none that is left can add more
-            ahead = np.minimum(done, n - 1)
-            edge = self.parts[np.arange(d), np.where(q >= 0, ahead, n - 1 - ahead)]
-            after = float((edge * q)[done < n].max())
-            dims = np.rint(gathered / unit)
-            bound = np.where(others, gathered - dims * unit + (d - dims) * after, -np.inf)
+            bound = np.where(others, sums + (n_dims - seen) * impact[order[done]], -np.inf)
             lead = np.argpartition(-bound, k)[:k]
             lead = lead[others[lead]]
             if len(lead) == k:
@@ -133,7 +124,7 @@ class ImpactIndex:
                 self.rescored += len(possible)
                 return self._best(possible, query, k)
         # every sum is a score
-        scores = np.where(others, gathered - d * unit, -np.inf)
+        scores = np.where(others, sums, -np.inf)
         possible = np.flatnonzero(others)
         if len(possible) > k:
             possible = np.flatnonzero(scores >= -np.partition(-scores, k - 1)[k - 1])
@@ -186,12 +177,15 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_vector
     vectors and queries hold (vec_id, v). No row with a query's vec_id is a candidate for it. Vectors
     of fewer components count as filled up with zeros. Equal scores tie by vec_id; repeated rows are
     separate candidates. Empty tables give an empty result. A score beyond the range of a long is
-    held at its end.
+    held at its end. Blocks of 4 * k vectors or fewer, and sums that doubles cannot hold, are scored as a
+    whole: with the same results, but without the index.
 
     Each vector goes to one block, each query to all blocks: that is the least for a search that
-    compares all of them, and the rows that move are vectors + queries * vectors / block_vectors.
+    compares all of them, and the rows that move are vectors + queries * vectors / block_vectors. Blocks
+    are smaller where vectors have many components, so that a task's memory is bounded.
     """
-    n_blocks = max(1, -(-vectors.count() // block_vectors))
+    n, n_dims = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n_blocks = max(1, -(-n // max(4, min(block_vectors, BLOCK_COMPONENTS // max(1, n_dims)))))
     own = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("long").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")
     asked = queries.select(every, F.lit(True).alias("asks"), "vec_id", "v")

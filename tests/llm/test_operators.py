@@ -252,6 +252,31 @@ def test_topk_search_proves_and_holds(spark, sf_dir):
     assert [(r["vec_id"], r["score"]) for r in topk_search.search_table(huge).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
 
 
+@pytest.mark.parametrize("width", [1, 65, 128, 768, 1536])
+def test_topk_search_is_exact_at_any_width(spark, width):
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    rows = rng.standard_normal((1500, width))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[::7, : width // 2] = 0
+    whole = np.floor(256 * rows.astype(np.float32).astype(np.float64)).astype(np.int64)
+
+    def best(q):
+        scores = whole @ whole[q]
+        scores[q] = -(1 << 62)
+        at = np.lexsort((np.arange(len(whole)), -scores))[:5]
+        return [(q, n + 1, int(i), int(scores[i])) for n, i in enumerate(at)]
+
+    index = topk_search.ImpactIndex(np.arange(len(whole)), whole)
+    for q in range(0, len(whole), 25):
+        assert list(zip(*(x.tolist() for x in index.search(q, whole[q], 5)), strict=True)) == [b[2:] for b in best(q)]
+    table = spark.createDataFrame([(n, r.tolist()) for n, r in enumerate(rows[:600])], "vec_id long, embedding array<float>")
+    whole = whole[:600]
+    want = [b for q in range(0, 600, 50) for b in best(q)]
+    assert sorted(map(tuple, topk_search.search_table(table).collect())) == want
+
+
 def test_chat_format(spark, sf_dir):
     odd = [(-1, 0, "assistant", None), (-1, 0, "assistant", None), (-1, None, None, 'a "b" <turn role="x">\\'), (-2, 1, "assistant", "x\r\n\\<é"), (-2, 0, "assistant", "</turn>\n"), (None, 0, "user", "hi"), (None, 0, "user", "hi"), (None, 1, "assistant", "")]
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
