@@ -14,7 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -360,33 +360,38 @@ def format_conversations(turns: DataFrame, template: str = CHAT_TEMPLATE) -> Dat
     alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     grouped = turns.withColumn("__alone", alone).groupBy("conv_id", "__alone").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
-        for pdf in batches:
-            done = [render(messages=[{"role": t["role"], "text": t["text"]} for t in row]) for row in pdf["turns"]]
-            yield pd.DataFrame({"conv_id": pdf["conv_id"].astype("Int64"), "formatted": [d.text for d in done], "loss_spans": [[{"begin": a, "end": b} for a, b in d.spans] for d in done]})
+        for batch in batches:
+            done = [render(messages=[{"role": t["role"], "text": t["text"]} for t in row]) for row in batch.column("turns").to_pylist()]
+            columns = [batch.column("conv_id"), pa.array([d.text for d in done], pa.string()), pa.array([[{"begin": a, "end": b} for a, b in d.spans] for d in done], spans)]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "formatted", "loss_spans"])
 
-    return grouped.select(F.col("conv_id").cast("long").alias("conv_id"), "turns").mapInPandas(run, "conv_id long, formatted string, loss_spans array<struct<begin:long,end:long>>")
+    return grouped.select(F.col("conv_id").cast("long").alias("conv_id"), "turns").mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<begin:long,end:long>>")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations say when they are read back."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def sha(text: str) -> str:
-            return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for text, spans in zip(pdf["formatted"], pdf["loss_spans"], strict=True):
+            for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
                 turns = read_back(text)
                 loss = "".join(unescape(text[s["begin"] : s["end"]]) for s in spans)
                 rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            out = pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            out.insert(0, "conv_id", pdf["conv_id"].astype("Int64").to_numpy(dtype=object))
-            yield out
+            figures = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *map(pa.array, figures, types)], names)
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def planted_conversation(spark: SparkSession) -> DataFrame:

@@ -18,6 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -188,10 +190,13 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int = 0
     place there.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]
+    types = [*[pa.int64()] * 6, pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, seen, windows = token_ids(vocabulary), 0, TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for part in blocks(texts, BLOCK_CHARS):
                 out = []
                 for doc_id, found in zip(ids[part], library.encode_all(texts[part]), strict=True):
@@ -206,15 +211,19 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int = 0
                         else:
                             salt = xxhash.xxh64_intdigest(f"{doc_id}/{start}/{crc}/{seen}") >> 1
                             out.append((doc_id, start, len(piece), crc, len(tokens), salt, piece.tobytes()))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*out, strict=True), types)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(rows.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long, ids binary"), "pieces")
+    return materialize(rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long, ids binary"), "pieces")
 
 
 def pack_rests(rests: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Pieces of one shard's rests, with the shard's own window numbers."""
-    rests = rests.sort_values(["salt", "doc_id", "start"], kind="stable").reset_index(drop=True)
+    """Pieces of one shard's rests, with the shard's own window numbers and, as rest, the place of the rest in the table.
+
+    Rests are ordered by salt, key (something that tells documents apart) and start.
+    """
+    order = rests.sort_values(["salt", "key", "start"], kind="stable").index.to_numpy()
+    rests = rests.loc[order].reset_index(drop=True)
     packer, windows = SumOfSquares(window), {}
     for n, size in enumerate(rests["length"].tolist()):
         at, level = packer.place(size)
@@ -222,11 +231,11 @@ def pack_rests(rests: pd.DataFrame, window: int) -> pd.DataFrame:
     fill_up(windows, window)
     rows = [(n, a, size, at, offset) for at, parts in windows.items() for n, a, size, offset in parts]
     at = pd.DataFrame(rows, columns=["n", "a", "length", "window", "offset"])
-    out = rests.loc[at["n"], ["doc_id", "start", "ids_crc32", "doc_tokens"]].reset_index(drop=True)
+    out = rests.loc[at["n"], ["start", "ids_crc32", "doc_tokens"]].reset_index(drop=True)
     out["start"] += at["a"]
     raw, whole = rests["ids"].tolist(), rests["length"].tolist()
     out["ids_crc32"] = [c if size == whole[n] else zlib.crc32(raw[n][4 * a : 4 * (a + size)]) for c, (n, a, size, _, _) in zip(out["ids_crc32"], rows, strict=True)]
-    return out.assign(length=at["length"], window=at["window"], offset=at["offset"])
+    return out.assign(length=at["length"], window=at["window"], offset=at["offset"], rest=order[at["n"]])
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -245,11 +254,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, shard_r
     # full windows take even numbers by task, packed ones odd numbers by shard
     own = pieces.where(full).select(*columns, (2 * F.col("salt")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, done = int(pdf["shard"].iloc[0]), pack_rests(pdf, window)
+    def pack(table: pa.Table) -> pa.Table:
+        shard, doc_id = table["shard"][0].as_py(), table["doc_id"]
+        rests = table.select(["start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]).to_pandas()
+        # ids stay in Arrow: beside a null, pandas would make them floating
+        rests["key"] = pc.fill_null(doc_id, -1).to_numpy()
+        done = pack_rests(rests, window)
         done["sequence_id"] = 2 * ((shard << 24) + done["window"]) + 1
-        return done[[*columns, "sequence_id", "offset"]].astype({"doc_id": "Int64"})
+        return pa.table([doc_id.take(pa.array(done["rest"])), *(pa.array(done[c], pa.int64()) for c in placed)], names=["doc_id", *placed])
 
+    placed = [*columns[1:], "sequence_id", "offset"]
     rest = pieces.where(~full).withColumn("shard", F.pmod(F.col("salt"), F.lit(shards)))
-    packed = rest.groupBy("shard").applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    packed = rest.groupBy("shard").applyInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return own.unionByName(packed)

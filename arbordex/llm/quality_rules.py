@@ -18,6 +18,7 @@ from unicodedata import category
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,18 +220,18 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words:
     ordered = plan_cascade(docs, rules, sample_rows, min_words, max_repeat_percent)
     fails = base_fails(min_words, max_repeat_percent)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for text in pdf["text"]:
+            for text in batch.column("text").to_pylist():
                 d = Features(text)
                 failed = fails(d)
                 kept = not failed and not any(r.rejects(d) for r in ordered)
                 out.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, kept))
-            cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-            res = pd.DataFrame(out, columns=cols)
-            res.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object))
-            yield res
+            figures = list(zip(*out, strict=True)) or [()] * 7
+            # ids never leave Arrow: beside a null, pandas would make them floating
+            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in figures[:5]), *(pa.array(c, pa.bool_()) for c in figures[5:])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(judge, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, schema)

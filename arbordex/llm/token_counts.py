@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,11 +133,12 @@ class RankMerger:
             if not bad:
                 return total
             # of neighbouring bad cuts all go at once; stretches grow, so this ends
-            for cut in bad:
-                before = cuts[cuts.index(cut) - 1]
-                parts.pop(before, None)
-                parts.pop(cut, None)
-                cuts.remove(cut)
+            gone = set(bad)
+            for before, cut in zip(cuts, cuts[1:], strict=False):
+                if cut in gone:
+                    parts.pop(before, None)
+                    parts.pop(cut, None)
+            cuts = [c for c in cuts if c not in gone]
 
 
 @lru_cache(2)
@@ -210,15 +211,16 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     no blank. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(vocabulary)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             counts: list[int] = []
             for part in blocks(texts, BLOCK_CHARS):
                 counts += counter.count(texts[part])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": pdf["n_bytes"], "n_tokens": counts, "over_limit": [c > limit for c in counts]})
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -546,3 +546,29 @@ def test_line_dedup(docs, odd, none):
 
 def test_queries_are_registered():
     assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+LARGE_IDS = [(1 << 53) + 1, None, (1 << 53) + 3, -(1 << 62) - 1, None]
+
+
+def test_ids_beside_nulls_stay_whole(spark):
+    """One batch with nulls and ids that doubles cannot hold."""
+    docs = spark.createDataFrame([(d, f"some words of text {n} " * 30, "en", "a", 1) for n, d in enumerate(LARGE_IDS)], SCHEMA).coalesce(1)
+    turns = spark.createDataFrame([(d, n, "assistant", f"turn {n}") for n, d in enumerate(LARGE_IDS)], "conv_id long, turn long, role string, text string").coalesce(1)
+    want = by_id((d,) for d in LARGE_IDS)
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), window=64)
+    labels = spark.createDataFrame([((1 << 53) + 1, 1)], "doc_id long, quality int")
+    found = {
+        "op1": quality_rules.quality_cascade(docs),
+        "op2": token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json")),
+        "op3": secret_scan.scan_versions(docs),
+        "op5": chat_format.digest(chat_format.format_conversations(turns)).withColumnRenamed("conv_id", "doc_id"),
+        "op6": source_mixing.mix_sources(docs),
+        "op7": simhash_dedup.near_duplicates(docs),
+        "op8": quality_classifier.classify(docs, labels),
+        "op9": pieces.where("start = 0"),
+        "op10": line_dedup.dedup_lines(docs),
+    }
+    for name, rows in found.items():
+        assert by_id(map(tuple, rows.select("doc_id").collect())) == want, name
+    assert sum(r["length"] for r in pieces.collect() if r["doc_id"] is None) == sum(r["doc_tokens"] for r in pieces.where("start = 0 and doc_id is null").collect())
