@@ -253,7 +253,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which each component keeps one: that with the least doc_id (and then row key)."""
+    """The rows of docs of which each component keeps one: that with the least doc_id (and then row key).
+
+    Null, empty and blank texts have fingerprint zero and are one component with what else is near it.
+    Rows without doc_id come after those with one. Of rows equal in doc_id and text one stays, whatever
+    their other columns hold. All columns, whatever their names, come along as they are; an empty table
+    gives an empty result.
+    """
     prints = document_fingerprints(docs)
     # plain columns: rows that were shuffled by them for the join need no other shuffle for what follows
     key = ["__sim_a", "__sim_b"]

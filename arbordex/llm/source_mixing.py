@@ -150,7 +150,11 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = WEIGHTS, most: float = 2.0, seed: int = 7) -> DataFrame:
     """The mix itself: rows of docs, once per epoch, the document at each source's cut shortened.
 
-    Only documents with words can be part of it. n_chars, where present, follows the text.
+    Only documents with words can be part of it, so null, empty and blank texts are left out. A null
+    source is a source of its own, rows without doc_id are documents like others, and repeated rows are
+    separate rows with equal keys. Texts of any length are taken whole but for the one at the cut. Columns
+    beyond doc_id, source and text, whatever their names, come along as they are; n_chars, where present,
+    follows the text. An empty table gives an empty result.
     """
     cuts = source_cuts(keyed_sizes(docs.select("doc_id", "source", "text"), seed), share=share, weights=weights, most=most)
     own = docs.select("doc_id", "source", row_key(seed).alias("key"), word_count().alias("size"), F.struct(*docs.columns).alias("doc"))

@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 import public_tokenizers  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from test_operators import LONG, ODD, SCHEMA, check_pieces, pairs  # noqa: E402
 
 from arbordex.llm import quality_classifier  # noqa: E402
@@ -74,3 +75,17 @@ def test_stages_on_odd_and_on_no_rows(spark, sf_dir):
     assert Counter((d, brute.sha(t)) for d, t in pairs(kept)) == Counter((d, h) for d, _, _, h in brute.line_dedup(pairs(table)))
     one = corpus_pipeline.near_duplicates(spark, table, sf_dir)
     assert one.count() == brute.simhash_components(pairs(table))[1]
+
+
+def test_columns_of_the_input_survive_each_stage(spark, sf_dir):
+    """Columns that have the names of what the stages compute."""
+    names = ["held_out", "score", "predicted", "n_lines", "n_dropped", "kept_text", "fp", "key", "size", "taken", "doc", "row", "component_id", "__own0", "a.b"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150)
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() > 0, name
+        for c in names:
+            assert out.where(F.col(f"`{c}`") != F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string"))).isEmpty(), (name, c)
+    out = corpus_pipeline.packed(spark, docs, sf_dir)
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() >= 1
