@@ -1,10 +1,11 @@
 """Five stages from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on everything that its predecessor kept, and returns
-a DataFrame; all but the last return the columns of documents. Nulls in any column, empty and very
-long texts, repeated rows and columns beyond those of documents are what they are to the operator
-that the stage calls (see there); an empty table gives an empty result at each stage. run() writes each stage's rows as
-Parquet into the shared folder and reads them again for the next.
+a DataFrame; all but the last return the columns of documents, and columns beyond those, whatever their
+names, come through as they are. Nulls in any column, empty and very long texts and repeated rows are
+what they are to the operator that the stage calls (see there); an empty table gives an empty result at
+each stage. run() writes each stage's rows as Parquet into the shared folder and reads them again for
+the next.
 """
 
 from __future__ import annotations
@@ -17,27 +18,36 @@ from arbordex.llm import line_dedup, packing, quality_classifier, simhash_dedup,
 from arbordex.llm._shared import materialize
 
 
+def _apart(docs: DataFrame, *read: str) -> DataFrame:
+    """docs with names of our own for all columns but doc_id, text and those read, so that none is what an operator calls its results."""
+    return docs.toDF(*[c if c in ("doc_id", "text", *read) else f"__own{n}" for n, c in enumerate(docs.columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_classifier.classify(docs, labels).where("predicted = 1").select(*docs.columns)
+    own = _apart(docs)
+    return quality_classifier.classify(own, labels).where("predicted = 1").select(*own.columns).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share."""
-    kept = line_dedup.dedup_lines(docs)
-    kept = kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    own = _apart(docs, "n_chars")
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    kept = line_dedup.dedup_lines(own)
+    return kept.select(*[new.get(c, F.col(c)).alias(c) for c in own.columns]).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash_dedup.keep_one_of_each(docs)
+    return simhash_dedup.keep_one_of_each(_apart(docs)).toDF(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources; documents of repeated sources come once per epoch."""
-    return source_mixing.mixed_documents(docs)
+    return source_mixing.mixed_documents(_apart(docs, "source", "n_chars")).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
