@@ -35,14 +35,24 @@ def _if_other(spelling: Column, plain: str) -> Column:
     return F.when(spelling != F.col(plain), spelling)
 
 
+def spell_entries(entries: DataFrame) -> DataFrame:
+    """entries (with name and folded) and their canonical spellings."""
+    name = F.col("name")
+    return entries.withColumn("nfc_name", _if_other(nfc(name), "name")).withColumn("nfc_folded", _if_other(nfc_folded(name), "folded"))
+
+
+def spell_paths(closed: DataFrame) -> DataFrame:
+    """Directories (with path) and their path's other spellings."""
+    path = F.col("path")
+    return closed.withColumn("folded", fold(path)).withColumn("nfc", _if_other(nfc(path), "path")).withColumn("nfc_folded", _if_other(nfc_folded(path), "folded"))
+
+
 def build(raw: DataFrame, strict: bool = False) -> Catalogue:
     """Fold the names, close the directories, inherit visibility, spell canonically; written once, searched often."""
     raw = materialize(raw.withColumn("folded", fold(F.col("name"))), "raw")
     closed = tree.close_directories(raw, strict)
-    path, name = F.col("path"), F.col("name")
-    paths = closed.withColumn("folded", fold(path)).withColumn("nfc", _if_other(nfc(path), "path")).withColumn("nfc_folded", _if_other(nfc_folded(path), "folded"))
-    entries = tree.with_excluded(raw, closed).withColumn("nfc_name", _if_other(nfc(name), "name")).withColumn("nfc_folded", _if_other(nfc_folded(name), "folded"))
-    return Catalogue(materialize(entries, "entries"), materialize(paths, "paths"))
+    entries = spell_entries(tree.with_excluded(raw, closed))
+    return Catalogue(materialize(entries, "entries"), materialize(spell_paths(closed), "paths"))
 
 
 def filtered(catalogue: Catalogue, plan: Plan) -> DataFrame:

@@ -26,7 +26,7 @@ def directories(entries: DataFrame) -> DataFrame:
 
 
 def _double(state: DataFrame) -> DataFrame:
-    above = state.select(F.col("volume").alias("a_volume"), F.col("frn").alias("a_frn"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("excluded").alias("a_excluded"))
+    above = state.select(F.col("volume").alias("a_volume"), F.col("frn").alias("a_frn"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("excluded").alias("a_excluded"), F.col("chain").alias("a_chain"))
     joined = state.join(above, (F.col("volume") == F.col("a_volume")) & (F.col("up") == F.col("a_frn")), "left")
     found = F.col("a_frn").isNotNull()
     return joined.select(
@@ -36,13 +36,22 @@ def _double(state: DataFrame) -> DataFrame:
         F.when(found, F.concat_ws("\\", "a_path", "path")).otherwise(F.col("path")).alias("path"),
         (F.col("excluded") | F.coalesce("a_excluded", F.lit(False))).alias("excluded"),
         (F.col("orphan") | (F.col("up").isNotNull() & ~found)).alias("orphan"),
+        F.when(found, F.concat("a_chain", "chain")).otherwise(F.col("chain")).alias("chain"),
     )
 
 
-def _close(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(closed, looping): directories that reach a root, and those whose ancestors never end."""
-    state = dirs.select("volume", "frn", F.col("parent_frn").alias("up"), F.col("name").alias("path"), F.col("own_excluded").alias("excluded"), F.lit(False).alias("orphan"))
-    rounds = 1 + math.ceil(math.log2(max(2, dirs.count())))
+def link(frn: Column) -> Column:
+    """A directory's part of the chains of all below it: of one length, so that a chain's prefixes are ancestors."""
+    return F.concat(F.lpad(F.hex(frn), 16, "0"), F.lit("/"))
+
+
+#: Characters of a link.
+LINK = 17
+
+
+def close_states(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(closed, looping) of rows (volume, frn, up, path, excluded, orphan, chain) whose up is another row's frn, or null at the top."""
+    rounds = 1 + math.ceil(math.log2(max(2, state.count())))
     for _ in range(rounds):
         state = materialize(_double(state), "tree")
         if state.where("up is not null and not orphan").isEmpty():
@@ -50,8 +59,13 @@ def _close(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state.where("up is null and not orphan"), state.where("up is not null and not orphan")
 
 
+def _close(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(closed, looping): directories that reach a root, and those whose ancestors never end."""
+    return close_states(dirs.select("volume", "frn", F.col("parent_frn").alias("up"), F.col("name").alias("path"), F.col("own_excluded").alias("excluded"), F.lit(False).alias("orphan"), link(F.col("frn")).alias("chain")))
+
+
 def close_directories(entries: DataFrame, strict: bool = False) -> DataFrame:
-    """volume, frn, path, excluded of every live directory.
+    """volume, frn, path, excluded, chain (the links of its ancestors and its own) of every live directory.
 
     excluded: hidden or system itself, or below such a directory. Directories without a way to the
     root (their parent is missing or no directory) and those in a cycle hang at their volume's root;
@@ -79,7 +93,7 @@ def close_directories(entries: DataFrame, strict: bool = False) -> DataFrame:
 def _checked(closed: DataFrame, strict: bool) -> DataFrame:
     if strict and not closed.where(F.octet_length("path") > MAX_PATH_BYTES).isEmpty():
         raise TopologyError("a path is too long")
-    return closed.select("volume", "frn", "path", "excluded")
+    return closed.select("volume", "frn", "path", "excluded", "chain")
 
 
 def resolve_parents(entries: DataFrame) -> DataFrame:

@@ -111,6 +111,10 @@ class Plan:
     def needs_canonical(self) -> bool:
         return any(m.canonical for g in self.groups for m in g)
 
+    @property
+    def matches_all(self) -> bool:
+        return any(all(m.kind == "true" and not m.negated for m in g) for g in self.groups)
+
     def condition(self) -> Column:
         """True for the rows that any group matches; a group without terms matches all."""
         each = [reduce(Column.__and__, [m.condition() for m in g]) if g else F.lit(True) for g in self.groups]

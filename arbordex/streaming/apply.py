@@ -8,7 +8,8 @@ everything below moves with them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,24 @@ _LINK_REASONS = ("FILE_CREATE", "RENAME_NEW_NAME", "HARD_LINK_CHANGE")
 _STAT_REASONS = ("DATA_OVERWRITE", "DATA_EXTEND", "DATA_TRUNCATION", "BASIC_INFO_CHANGE")
 TALLY = ("created_or_renamed", "deleted", "stat_updated", "ignored", "stat_failures", "index_rejections", "hard_link_refresh_failures")
 
+MOVED = ("content", "stat", "topology")
+_CONTENT, _STAT = ("parent_frn", "name", "hidden", "system", "reparse", "tombstone"), ("size", "mtime_secs")
+
 
 @dataclass(frozen=True)
 class Applied:
-    """entries after the batch, one row of figures, and whether the volume must be scanned anew."""
+    """entries after the batch, one row of figures, and whether the volume must be scanned anew.
+
+    changes: the live rows that the batch changed, removed or made, as they were (side "before") and as
+    they are ("after"); moved: how many rows changed in what searches see by name and visibility (content),
+    in sizes and times (stat), and how many of the former are directories (topology).
+    """
 
     entries: DataFrame
     stats: dict[str, int]
     rescan_required: bool
+    changes: DataFrame | None = None
+    moved: dict[str, int] = field(default_factory=lambda: dict.fromkeys(MOVED, 0))
 
 
 def _any(reasons: Column, *wanted: str) -> Column:
@@ -110,13 +121,14 @@ def _rejected(entries: DataFrame, rows: DataFrame) -> DataFrame:
         bad = found
 
 
-def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None = None, links: DataFrame | None = None, last_id: int | None = None) -> Applied:
+def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None = None, links: DataFrame | None = None, last_id: int | None = None, loops: bool = True) -> Applied:
     """entries (the snapshot columns) after one batch of records (usn, frn, parent_frn, reason, attributes, name).
 
     stats and links hold what metadata look-ups gave. An object whose link set is needed and missing
     rejects the whole batch; one whose parent is no directory is left out, and both ask for a new scan.
     entries may be a part of the catalogue that holds all rows of the records concerned and all
-    directories; last_id is then the largest entry_id of the whole.
+    directories; last_id is then the largest entry_id of the whole. loops: whether to look for directories
+    that come to stand below themselves; a stored catalogue's own step finds them cheaper.
     """
     spark = entries.sparkSession
     stats = stats if stats is not None else spark.createDataFrame([], STATS)
@@ -156,11 +168,14 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
         return F.when(F.coalesce(test, F.lit(False)), value).otherwise(F.col(column)).alias(column)
 
     # evaluated on the columns before the change, in one projection
-    kept = joined.select(
-        "volume", "volume_ord", "entry_id", "frn", when(moves, F.col("last.parent_frn"), "parent_frn"), when(moves, F.col("last.name"), "name"), "is_dir",
-        when(acts, F.col("c_hidden"), "hidden"), when(acts, F.col("c_system"), "system"), when(acts, F.col("c_reparse"), "reparse"),
-        (F.col("tombstone") | dies).alias("tombstone"), when(restat, F.col("facts.size"), "size"), when(restat, F.col("facts.mtime_secs"), "mtime_secs"), dies.alias("died"),
-    )
+    then = {
+        "parent_frn": when(moves, F.col("last.parent_frn"), "parent_frn"), "name": when(moves, F.col("last.name"), "name"),
+        "hidden": when(acts, F.col("c_hidden"), "hidden"), "system": when(acts, F.col("c_system"), "system"), "reparse": when(acts, F.col("c_reparse"), "reparse"),
+        "tombstone": (F.col("tombstone") | dies).alias("tombstone"), "size": when(restat, F.col("facts.size"), "size"), "mtime_secs": when(restat, F.col("facts.mtime_secs"), "mtime_secs"),
+    }
+    content, stat = (reduce(Column.__or__, [~then[c].eqNullSafe(F.col(c)) for c in cs]) for cs in (_CONTENT, _STAT))
+    was = F.when(content | stat, F.struct(*[F.col(c) for c in (*_CONTENT, *_STAT)])).alias("was")
+    kept = joined.select(*[then.get(c, F.col(c)) for c in names()], dies.alias("died"), content.alias("content"), stat.alias("stat"), was)
     kept = materialize(kept, "kept")
     standing = live(kept).select("frn", "parent_frn", "name")
     new = _wanted_links(rows.where("action in ('links', 'upsert')")).drop("is_dir").join(standing, ["frn", "parent_frn", "name"], "left_anti")
@@ -173,6 +188,11 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     fresh = new.withColumn("__k", F.lit(1)).join(F.broadcast(ends.withColumn("__k", F.lit(1))), "__k").withColumn("entry_id", F.coalesce("last_id", F.lit(0)) + F.col("place") + 1).withColumn("tombstone", F.lit(False))
     fresh = materialize(fresh.select(*names()), "fresh")
     after = kept.select(*names()).unionByName(fresh)
+    changed = kept.where("was is not null")
+    before = changed.select(*[F.col(f"was.{c}").alias(c) if c in (*_CONTENT, *_STAT) else F.col(c) for c in names()])
+    changes = live(before).withColumn("side", F.lit("before")).unionByName(live(changed.select(*names()).unionByName(fresh)).withColumn("side", F.lit("after")))
+    told = changed.select("content", "stat", "is_dir").unionByName(fresh.select(F.lit(True).alias("content"), F.lit(False).alias("stat"), "is_dir"))
+    moved = told.agg(F.count_if("content"), F.count_if("stat"), F.count_if(F.col("content") & F.col("is_dir"))).first()
 
     counts = rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fetched").isNull()).alias("blind"), F.count_if(F.col("n_links") == 0).alias("absent")).collect()
     by = {r["action"]: r for r in counts}
@@ -185,16 +205,16 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     tally["stat_failures"] = get("stat", "blind") + get("upsert", "blind") + get("links", "blind")
     tally["ignored"] = get("ignore", "n") + get("delete", "absent") + n_bad
     tally["index_rejections"] = n_bad
-    loops = False
-    if "move_dir" in by:
+    looping = False
+    if "move_dir" in by and loops:
         try:
             tree.close_directories(after, strict=True)
         except TopologyError:
-            loops = True
-    if loops:  # a directory below itself: nothing of the batch is kept
+            looping = True
+    if looping:  # a directory below itself: nothing of the batch is kept
         tally = dict.fromkeys(TALLY, 0) | {"index_rejections": n_bad + 1, "ignored": n_bad + 1}
         return Applied(entries, tally, True)
-    return Applied(after, tally, n_bad > 0)
+    return Applied(after, tally, n_bad > 0, changes, dict(zip(MOVED, moved, strict=True)))
 
 
 def compact(entries: DataFrame) -> DataFrame:
