@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import limits
-from .errors import Cancelled, InvalidArgument, QuerySyntaxError, RescanRequired, StaleResult, VolumeUnavailable
-from .functions.scalars import has_attribute
+from .errors import Cancelled, InvalidArgument, QuerySyntaxError, RescanRequired, StaleResult, TopologyError, VolumeUnavailable
 from .metrics import Metrics
+from .functions.fold import fold
 from .operators import search, statistics, tree
+from .operators.pages import Hits
 from .operators.search import Catalogue
+from .operators.stored import StoredCatalogue
 from .plans.compiler import Options, Plan, compile_query
 from .plans.implication import subsumes
 from .sources.snapshots import Meta, SnapshotStore
@@ -44,15 +46,20 @@ class Volume:
 
 @dataclass
 class Result:
-    """An ordered result, pinned to the generations that it was made from."""
+    """An ordered result, pinned to the generations and the stored catalogue that it was made from."""
 
     id: int
     plan: Plan
-    rows: DataFrame
+    found: Hits
     hits: int
     generations: dict[str, tuple[int, int, int, int]]
+    stored: StoredCatalogue
     trace: dict = field(default_factory=dict)
-    tables: list[str] = field(default_factory=list)
+
+    @property
+    def rows(self) -> DataFrame:
+        """All rows with pos; pages do not need them."""
+        return self.found.positions()
 
 
 class Engine:
@@ -62,8 +69,8 @@ class Engine:
         self.spark, self.volumes, self.events, self.metrics = spark, {}, EventQueue(), Metrics()
         self._results: OrderedDict[int, Result] = OrderedDict()
         self._ids = itertools.count(1)
-        self._catalogue: Catalogue | None = None
-        self._catalogue_tables: list[str] = []
+        self._stored: StoredCatalogue | None = None
+        self._folders: set[str] = set()
         self._emitted = 0
         self._searches = itertools.count(1)
         self._running: dict[str, int] = {}
@@ -97,7 +104,7 @@ class Engine:
                 raise
             self._emit("volume_ready", label)
             volume.state = next_state(volume.state, "volume_ready")
-        self._catalogue = None
+        self._stored = None
 
     def _install(self, volume: Volume, entries: DataFrame) -> None:
         rows = entries.withColumn("volume", F.lit(volume.label)).withColumn("volume_ord", F.lit(volume.ord))
@@ -118,33 +125,38 @@ class Engine:
         volume.structural += structural
         for kind in kinds:
             setattr(volume, kind, getattr(volume, kind) + 1)
-        self._catalogue = None
+        self._stored = None
         self._emit("index_changed", label)
 
     def apply(self, label: str, records: DataFrame, stats: DataFrame | None = None, links: DataFrame | None = None) -> dict[str, int]:
         """Apply a batch of change records to a volume; RescanRequired leaves the volume as it was and rescanning."""
-        volume = self._volume(label)
+        volume, looping = self._volume(label), False
         with owned() as made:
-            done = apply_batch(volume.entries, records, stats, links)
-            if not done.rescan_required:
-                names = done.stats["created_or_renamed"] + done.stats["deleted"] > 0
-                # a record of a directory may move it or change what is below it
-                topology = names and not records.where(has_attribute(F.col("attributes"), "DIRECTORY")).isEmpty()
-                kinds = [k for k, moved in (("content", names), ("stat", done.stats["stat_updated"] > 0), ("topology", topology)) if moved]
-                if kinds:
-                    self.replace(label, done.entries, kinds=tuple(kinds))
+            # a stored catalogue finds loops below the directories that move, else all directories are closed
+            done = apply_batch(volume.entries, records, stats, links, loops=self._stored is None)
+            kinds = tuple(k for k, n in done.moved.items() if n)
+            stored = self._stored
+            if kinds and stored is not None:
+                try:
+                    stored = stored.changed(done.changes.withColumn("volume", F.lit(volume.label)).withColumn("volume_ord", F.lit(volume.ord)))
+                except TopologyError:
+                    looping = True
+            if kinds and not looping and not done.rescan_required:
+                self.replace(label, done.entries, kinds=kinds)
+                self._stored = stored
+                self._keep(stored)
         drop_now(self.spark, [t for t in made if t not in volume.tables])
         self.metrics.counters["batches"] += 1
-        if done.rescan_required:
+        if done.rescan_required or looping:
             self.rescan(label)
-            raise RescanRequired(f"{label} {done.stats}")
+            raise RescanRequired(f"{label} {'a directory below itself' if looping else done.stats}")
         return done.stats
 
     def rescan(self, label: str) -> None:
         """A volume that can no longer be followed: searches leave it out until rescanned()."""
         volume = self._volume(label)
         volume.state = next_state(volume.state, "rescan_started")
-        self._catalogue = None
+        self._stored = None
         self.metrics.counters["rescans"] += 1
         self._emit("rescan_started", label)
 
@@ -183,22 +195,37 @@ class Engine:
         return {v.label: v.state for v in self.volumes.values()}
 
     def index_stats(self) -> DataFrame:
-        return statistics.index_statistics(self.catalogue().entries)
+        return statistics.index_statistics(self._ready().withColumn("folded", fold(F.col("name"))))
 
     def metrics_snapshot(self) -> dict:
         return self.metrics.snapshot(self.spark)
 
+    def _ready(self) -> DataFrame:
+        ready = [v.entries for v in self.volumes.values() if v.state == "ready"]
+        if not ready:
+            raise VolumeUnavailable("no volume is ready")
+        return reduce(DataFrame.unionByName, ready)
+
+    def stored(self) -> StoredCatalogue:
+        """All ready volumes together, in their orders: built after an attachment or a new scan, then kept by batches."""
+        if self._stored is None:
+            self._stored = StoredCatalogue.build(self._ready())
+        self._keep(self._stored)
+        return self._stored
+
     def catalogue(self) -> Catalogue:
-        """All ready volumes together; built at the first search after a change."""
-        if self._catalogue is None:
-            ready = [v.entries for v in self.volumes.values() if v.state == "ready"]
-            if not ready:
-                raise VolumeUnavailable("no volume is ready")
-            drop_now(self.spark, self._catalogue_tables)
-            with owned() as made:
-                self._catalogue = search.build(reduce(DataFrame.unionByName, ready))
-            self._catalogue_tables = made
-        return self._catalogue
+        return self.stored().catalogue
+
+    def _keep(self, *more: StoredCatalogue | None) -> None:
+        """Delete the folders that neither the catalogue nor a live result reads any more."""
+        held = {id(c): c for c in (self._stored, *more, *(r.stored for r in self._results.values())) if c is not None}
+        live = set().union(*(c.folders() for c in held.values())) if held else set()
+        dead = self._folders - live
+        # a catalogue's folder goes as a whole where none of its parts is read
+        top = lambda f: f.rsplit("/", 3)[0]
+        kept = {top(f) for f in live}
+        drop_now(self.spark, sorted({top(f) if top(f) not in kept else f for f in dead}))
+        self._folders = live
 
     def _generations(self) -> dict[str, tuple[int, int, int, int]]:
         return {v.label: (v.content, v.structural, v.stat, v.topology) for v in self.volumes.values() if v.state == "ready"}
@@ -219,23 +246,18 @@ class Engine:
         except QuerySyntaxError:
             self.metrics.counters["syntax_errors"] += 1
             raise
-        catalogue, now = self.catalogue(), self._generations()
+        stored, now = self.stored(), self._generations()
         base = next((r for r in reversed(self._results.values()) if r.generations == now and subsumes(r.plan, plan)), None)
-        source = Catalogue(base.rows.drop("pos"), catalogue.paths) if base else catalogue
-        own, tables = f"{tag}-{turn}", []
+        own = f"{tag}-{turn}"
         if tag:
             self.spark.addTag(own)
         try:
             self._check_turn(tag, turn)
-            with owned() as made:
-                tables = made
-                rows = search.positions(search.filtered(source, plan), options)
-            self._check_turn(tag, turn)
-            hits = rows.count()
+            found = stored.orders.hits(plan, within=base.found if base else None)
+            hits = found.n
             self._check_turn(tag, turn)
         except Exception as e:
             if tag and self._running.get(tag) != turn:
-                drop_now(self.spark, tables)
                 self.metrics.counters["cancelled"] += 1
                 raise Cancelled(tag) from e
             self._emit("engine_error", "")
@@ -243,13 +265,14 @@ class Engine:
         finally:
             if tag:
                 self.spark.removeTag(own)
-        same = bool(basis and basis.generations == now and basis.hits == hits and search.unchanged(basis.rows, rows))
+        same = bool(basis and basis.generations == now and basis.hits == hits and search.unchanged(basis.rows, found.positions()))
         micros = int(1e6 * (time.perf_counter() - began))
-        result = Result(next(self._ids), plan, rows, hits, now, {"hits": hits, "micros": micros, "refined": base is not None, "unchanged": same}, tables)
+        result = Result(next(self._ids), plan, found, hits, now, stored, {"hits": hits, "micros": micros, "refined": base is not None, "unchanged": same})
         self._results[result.id] = result
         while len(self._results) > limits.MAX_LIVE_RESULTS:
-            drop_now(self.spark, self._results.popitem(last=False)[1].tables)
+            self._results.popitem(last=False)
             self.metrics.counters["evicted_results"] += 1
+        self._keep()
         self.metrics.query(text, hits, micros, base is not None, same)
         return result
 
@@ -279,16 +302,15 @@ class Engine:
         now = self._generations()
         if any(now.get(k, (0, -1, 0, 0))[1] != g[1] for k, g in result.generations.items()):
             raise StaleResult("rebuilt")
-        rows = result.rows.where(F.col("pos").between(offset, offset + min(n, limits.MAX_PAGE_ROWS) - 1))
         if now != result.generations:
-            alive = statistics.live(self.catalogue().entries).select("volume_ord", "entry_id")
+            rows = result.found.numbered(offset, min(n, limits.MAX_PAGE_ROWS))
+            alive = self.catalogue().entries.select("volume_ord", "entry_id")
             if not rows.join(alive, ["volume_ord", "entry_id"], "left_anti").isEmpty():
                 self.metrics.counters["stale_results"] += 1
                 raise StaleResult("a row is gone")
-        return search.page(result.rows, self.catalogue().paths, offset, n).orderBy("pos")
+        return search.projected(result.found.numbered(offset, min(n, limits.MAX_PAGE_ROWS)), self.catalogue().paths).orderBy("pos")
 
     def free(self, result_id: int) -> None:
-        """Forget a result and delete its table."""
-        result = self._results.pop(result_id, None)
-        if result:
-            drop_now(self.spark, result.tables)
+        """Forget a result; what it alone reads is deleted."""
+        if self._results.pop(result_id, None):
+            self._keep()

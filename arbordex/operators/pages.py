@@ -57,6 +57,19 @@ class Hits:
         placed = rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long") - 1 + before)
         return placed.where(F.col("pos") >= offset)
 
+    def positions(self) -> DataFrame:
+        """All rows with pos: each part is sorted by itself, and the counts tell what comes before it."""
+        at, before = 0, []
+        for p in self.ranges.turned(self.desc):
+            if here := self.counts.get(p.number):
+                before.append((p.number, at))
+                at += here
+        held = self.ranges.read([p for p in self.ranges.parts if self.counts.get(p.number)]).withColumn("tombstone", F.lit(False))
+        rows = search.filtered(Catalogue(held, self.paths), self.plan)
+        offsets = rows.sparkSession.createDataFrame(before, "__part long, __before long")  # a row for each part
+        place = F.row_number().over(Window.partitionBy("__part").orderBy(*self.ranges.order.columns(self.desc)))
+        return rows.join(F.broadcast(offsets), "__part").withColumn("pos", F.col("__before") + place - 1).drop("__part", "__before")
+
     def page(self, offset: int, n: int = limits.MAX_PAGE_ROWS) -> DataFrame:
         """The boundary rows of a page; n is held at the page limit, past the end is empty."""
         return search.projected(self.numbered(offset, min(n, limits.MAX_PAGE_ROWS)), self.paths)
@@ -65,13 +78,13 @@ class Hits:
 class StoredOrders:
     """The live rows of a catalogue in the orders that searches ask for; each order is made at its first use."""
 
-    def __init__(self, catalogue: Catalogue, part_rows: int = PART_ROWS, made: dict[str, Ranges] | None = None):
-        self.catalogue, self.part_rows, self.made = catalogue, part_rows, made or {}
+    def __init__(self, catalogue: Catalogue, part_rows: int = PART_ROWS, made: dict[str, Ranges] | None = None, under: str | None = None):
+        self.catalogue, self.part_rows, self.made, self.under = catalogue, part_rows, made or {}, under
 
     def ranges(self, sort: str) -> Ranges:
         if sort not in self.made:
             rows = live(self.catalogue.entries).drop("tombstone")
-            self.made[sort] = Ranges.build(rows, Order(KEYS[sort], part_rows=self.part_rows), f"by-{sort}")
+            self.made[sort] = Ranges.build(rows, Order(KEYS[sort], part_rows=self.part_rows), f"by-{sort}", self.under)
         return self.made[sort]
 
     def hits(self, text: str | Plan, options: Options = Options(), within: Hits | None = None) -> Hits:
@@ -91,4 +104,4 @@ class StoredOrders:
     def changed(self, removed: DataFrame, added: DataFrame, catalogue: Catalogue) -> StoredOrders:
         """The orders after a change: rows of the catalogue that are gone or were different, and rows that are new or differ."""
         made = {sort: ranges.merge(removed, added) for sort, ranges in self.made.items()}
-        return StoredOrders(catalogue, self.part_rows, made)
+        return StoredOrders(catalogue, self.part_rows, made, self.under)

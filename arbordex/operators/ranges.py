@@ -119,10 +119,10 @@ class Ranges:
         self.next = 1 + max((p.number for p in parts), default=-1)
 
     @classmethod
-    def build(cls, rows: DataFrame, order: Order, label: str = "order") -> Ranges:
-        """The first version; its folder goes when the application ends."""
+    def build(cls, rows: DataFrame, order: Order, label: str = "order", under: str | None = None) -> Ranges:
+        """The first version, in a folder under another, or in one of its own that goes when the application ends."""
         spark = rows.sparkSession
-        path = drop_at_end(spark, temporary_path(spark, label))
+        path = f"{under}/{label}" if under else drop_at_end(spark, temporary_path(spark, label))
         empty = cls(spark, path, order, rows.schema, [])
         dealt, parts = _dealt(rows, order, 0)
         return cls(spark, path, order, rows.schema, empty._written(dealt, parts))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import TopologyError
 from ..functions.fold import fold
-from ..workspace import drop_now, materialize, owned
+from ..workspace import drop_at_end, drop_now, materialize, owned, temporary_path
 from . import search, tree
 from .pages import KEYS, StoredOrders
 from .ranges import PART_ROWS, Order, Part, Ranges
@@ -115,18 +115,22 @@ class StoredCatalogue:
 
     @classmethod
     def build(cls, raw: DataFrame, strict: bool = False, part_rows: int = PART_ROWS) -> StoredCatalogue:
-        """From entries of the snapshot columns; what it makes on the way is deleted."""
+        """From entries of the snapshot columns; what it makes on the way is deleted.
+
+        All versions lie under one folder, which goes when the application ends.
+        """
+        under = drop_at_end(raw.sparkSession, temporary_path(raw.sparkSession, "stored"))
         with owned() as made:
             built = search.build(raw, strict)
-            dirs = Ranges.build(_labels(live(built.entries).where("is_dir"), built.paths), Order("chain", ("volume_ord", "frn"), "not excluded", part_rows), "directories")
-            by_name = Ranges.build(live(built.entries).drop("tombstone"), Order(KEYS["name"], part_rows=part_rows), "by-name")
+            dirs = Ranges.build(_labels(live(built.entries).where("is_dir"), built.paths), Order("chain", ("volume_ord", "frn"), "not excluded", part_rows), "directories", under)
+            by_name = Ranges.build(live(built.entries).drop("tombstone"), Order(KEYS["name"], part_rows=part_rows), "by-name", under)
         drop_now(raw.sparkSession, made)
-        return cls._of(dirs, {"name": by_name}, part_rows)
+        return cls._of(dirs, {"name": by_name}, part_rows, under)
 
     @classmethod
-    def _of(cls, dirs: Ranges, made: dict[str, Ranges], part_rows: int) -> StoredCatalogue:
+    def _of(cls, dirs: Ranges, made: dict[str, Ranges], part_rows: int, under: str) -> StoredCatalogue:
         entries = made["name"].rows.drop("__part").withColumn("tombstone", F.lit(False))
-        return cls(dirs, StoredOrders(Catalogue(entries, dirs.rows.drop("__part")), part_rows, made))
+        return cls(dirs, StoredOrders(Catalogue(entries, dirs.rows.drop("__part")), part_rows, made, under))
 
     @cached_property
     def catalogue(self) -> Catalogue:
@@ -170,4 +174,4 @@ class StoredCatalogue:
             fresh = fresh.unionByName(turned.select(*columns))
         gone, fresh = materialize(gone, "gone"), materialize(fresh, "fresh")
         made = {sort: ranges.merge(gone, fresh) for sort, ranges in self.orders.made.items()}
-        return StoredCatalogue._of(dirs, made, self.orders.part_rows)
+        return StoredCatalogue._of(dirs, made, self.orders.part_rows, self.orders.under)

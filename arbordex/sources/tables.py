@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import make_frn
 from ..operators import search, tree
+from ..operators.pages import StoredOrders
 from ..operators.ranks import number
 from ..operators.search import Catalogue
 
@@ -137,3 +138,14 @@ def catalogue(spark: SparkSession, sf_dir: str, volumes: tuple[str, ...] = ("C:"
     if key not in _built:
         _built[key] = build(entries(spark, sf_dir, volumes))
     return _built[key]
+
+
+_orders: dict[tuple, StoredOrders] = {}
+
+
+def orders(spark: SparkSession, sf_dir: str, volumes: tuple[str, ...] = ("C:", "D:", "E:")) -> StoredOrders:
+    """The orders of that catalogue; each is stored at its first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, volumes)
+    if key not in _orders:
+        _orders[key] = StoredOrders(catalogue(spark, sf_dir, volumes))
+    return _orders[key]
