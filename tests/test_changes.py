@@ -190,3 +190,55 @@ def test_decisions():
     d = decisions.Debounce(0.2)
     assert [d.passes(t) for t in (0, 0.1, 0.2, 0.3, 0.45)] == [True, False, True, False, True]
     assert decisions.next_state("scanning", "volume_ready") == "ready" and decisions.next_state("ready", "rescan_started") == "rescanning" and decisions.next_state("ready", "volume_failed") == "failed"
+
+
+def test_engine_installs_every_changed_row(spark):
+    """Flags that change without looked-up sizes, of files and directories; batches that change nothing move no generation."""
+    from arbordex.engine import Engine
+
+    hidden, is_dir = ATTRIBUTES["HIDDEN"], ATTRIBUTES["DIRECTORY"]
+
+    def record(usn, of, parent, attributes, name, reason="BASIC_INFO_CHANGE"):
+        return spark.createDataFrame([(usn, f(of), f(parent), REASONS[reason], attributes, name)], "usn long, frn long, parent_frn long, reason long, attributes long, name string")
+
+    for searched in (True, False):  # with a stored catalogue to keep, and without one
+        e = Engine(spark)
+        e.attach({"C:": frame(spark, [root(), entry("docs", 10, 5, True), entry("plan.txt", 11, 10), entry("plan_b.txt", 12, 10), entry("other plan", 13, 5)])})
+
+        def names(text="plan"):
+            return [r["name"] for r in e.search(text).rows.orderBy("pos").collect()]
+
+        if searched:
+            assert names() == ["other plan", "plan.txt", "plan_b.txt"]
+        start = e._generations()["C:"]
+        e.apply("C:", record(1, 10, 5, is_dir | hidden, "docs"))
+        assert names() == ["other plan"]
+        assert e._generations()["C:"] == (start[0] + 1, start[1], start[2], start[3] + 1)
+        e.apply("C:", record(2, 10, 5, is_dir | hidden, "docs"))
+        assert e._generations()["C:"] == (start[0] + 1, start[1], start[2], start[3] + 1)
+        e.apply("C:", record(3, 10, 5, is_dir, "docs"))
+        e.apply("C:", record(4, 11, 10, hidden, "plan.txt"))
+        assert names() == ["other plan", "plan_b.txt"]
+        e.apply("C:", record(5, 12, 10, 0, "plan_b.txt", "DATA_EXTEND"), spark.createDataFrame([(f(12), 99, 7)], "frn long, size long, mtime_secs long"))
+        assert names("size:99 plan") == ["plan_b.txt"]
+        e.apply("C:", record(6, 10, 5, is_dir, "papers", "RENAME_NEW_NAME"))
+        assert [r["parent_path"] for r in e.page(e.search("plan_b").id, 0).collect()] == ["C:\\papers\\"]
+        with pytest.raises(Exception, match="itself"):
+            e.search("x")
+            e.apply("C:", record(7, 10, 10, is_dir, "papers", "RENAME_NEW_NAME"))
+
+
+def test_a_batch_keeps_the_parts_that_it_does_not_touch(spark):
+    """Pages of a result from before the batch go on, and what nobody reads is deleted."""
+    from arbordex.engine import Engine
+
+    e = Engine(spark)
+    e.attach({"C:": frame(spark, [root(), *[entry(f"name {n:03}", 100 + n, 5, size=n) for n in range(60)]])})
+    old = e.search("name")
+    e.apply("C:", spark.createDataFrame([(1, f(130), f(5), REASONS["RENAME_NEW_NAME"], 0, "zebra")], "usn long, frn long, parent_frn long, reason long, attributes long, name string"))
+    assert [r["name"] for r in e.page(old.id, 0, 2).collect()] == ["name 000", "name 001"]
+    assert [r["name"] for r in e.page(e.search("z").id, 0).collect()] == ["zebra"]
+    folders = old.stored.folders()
+    for r in list(e._results):
+        e.free(r)
+    assert e._folders == e.stored().folders() and not folders <= e._folders
