@@ -4,7 +4,8 @@ Directories lie in the order of their chains (the references of all ancestors, i
 so what is below a directory is one stretch of that order. A batch that moves, hides, makes or removes
 directories selects these stretches, closes their paths again on top of what stands above them, and
 writes the parts that they leave and enter. Entries change in their orders where the batch names them or
-where the visibility of their directory turned.
+where the visibility of their directory turned. What a batch names is written before it is joined, so
+that Spark knows its size and sends it to all tasks or shuffles it.
 """
 
 from __future__ import annotations
@@ -24,17 +25,11 @@ from .ranges import PART_ROWS, Order, Part, Ranges
 from .search import Catalogue
 from .statistics import live
 
-#: Sides of a join up to so many rows are sent to all tasks, larger ones are shuffled.
-SMALL = 100_000
 #: Stretches of the directories' order up to so many are looked up by their bounds, for more all parts are read.
 STRETCHES = 1_000
 _ID = ["volume", "frn"]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def _labels(dirs: DataFrame, closed: DataFrame) -> DataFrame:
     """The rows of the directories' order: what stands in a directory's entry, and what was closed."""
     own = dirs.select("volume", "volume_ord", "frn", "parent_frn", "name", (F.col("hidden") | F.col("system")).alias("own_excluded"))
@@ -59,8 +54,8 @@ def _below(ranges: Ranges, tops: DataFrame) -> DataFrame:
     rows = ranges.read(_parts_of(ranges, few)) if len(few) <= STRETCHES else ranges.rows
     depth = F.floor(F.length("chain") / tree.LINK)
     prefixes = F.transform(F.sequence(F.lit(1).cast("long"), depth), lambda i: F.substring("chain", F.lit(1), (i * tree.LINK).cast("int")))
-    hit = rows.select(*_ID, F.explode(prefixes).alias("top")).join(_small(tops.select("volume", F.col("chain").alias("top")).distinct()), ["volume", "top"], "left_semi")
-    return rows.join(_small(materialize(hit.select(*_ID).distinct(), "below")), _ID, "left_semi").drop("__part")
+    hit = rows.select(*_ID, F.explode(prefixes).alias("top")).join(tops.select("volume", F.col("chain").alias("top")).distinct(), ["volume", "top"], "left_semi")
+    return rows.join(hit.select(*_ID).distinct(), _ID, "left_semi").drop("__part")
 
 
 def relabel(ranges: Ranges, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +65,7 @@ def relabel(ranges: Ranges, before: DataFrame, after: DataFrame) -> tuple[DataFr
     all directories. What lies in a directory that is gone hangs at its volume's root, until a directory
     with that reference comes again. TopologyError where a directory comes to stand below itself.
     """
-    touched = _small(materialize(before.select(*_ID).unionByName(after.select(*_ID)).distinct(), "touched"))
+    touched = materialize(before.select(*_ID).unionByName(after.select(*_ID)).distinct(), "touched")
     known = ranges.rows.select(*_ID, "parent_frn", "chain")
     children = known.join(touched.withColumnRenamed("frn", "parent_frn"), ["volume", "parent_frn"], "left_semi")
     tops = materialize(known.join(touched, _ID, "left_semi").unionByName(children).select("volume", "chain"), "tops")
@@ -78,16 +73,16 @@ def relabel(ranges: Ranges, before: DataFrame, after: DataFrame) -> tuple[DataFr
     own = (F.col("hidden") | F.col("system")).alias("own_excluded")
     columns = ["volume", "volume_ord", "frn", "parent_frn", "name", "own_excluded"]
     new = materialize(old.join(touched, _ID, "left_anti").select(*columns).unionByName(after.select(*columns[:-1], own)), "moved")
-    inside = _small(new.select("volume", F.col("frn").alias("parent_frn"), F.lit(True).alias("__inside")))
+    inside = new.select("volume", F.col("frn").alias("parent_frn"), F.lit(True).alias("__inside"))
     placed = new.join(inside, ["volume", "parent_frn"], "left")
     # what stands above the stretches: labels of directories that the batch leaves as they are
-    asked = _small(placed.where("__inside is null and parent_frn is not null").select("volume", F.col("parent_frn").alias("frn")).distinct().join(touched, _ID, "left_anti"))
+    asked = placed.where("__inside is null and parent_frn is not null").select("volume", F.col("parent_frn").alias("frn")).distinct().join(touched, _ID, "left_anti")
     above = ranges.rows.join(asked, _ID, "left_semi").select("volume", F.col("frn").alias("parent_frn"), F.col("path").alias("a_path"), F.col("chain").alias("a_chain"), F.col("excluded").alias("a_excluded"))
-    placed = materialize(placed.join(_small(materialize(above, "above")), ["volume", "parent_frn"], "left").withColumn("up", F.when(F.col("__inside"), F.col("parent_frn"))), "placed")
+    placed = materialize(placed.join(above, ["volume", "parent_frn"], "left").withColumn("up", F.when(F.col("__inside"), F.col("parent_frn"))), "placed")
     lost = F.col("up").isNull() & F.col("parent_frn").isNotNull() & F.col("a_path").isNull()
     if not placed.where(lost).isEmpty():
         # one row for each volume
-        roots = ranges.rows.where(F.length("chain") == tree.LINK).join(_small(new.select(*_ID)), _ID, "left_anti").select("volume", F.lit(None).cast("long").alias("r_up"), F.col("path").alias("r_path"), F.col("chain").alias("r_chain"), F.col("excluded").alias("r_excluded"))
+        roots = ranges.rows.where(F.length("chain") == tree.LINK).join(new.select(*_ID), _ID, "left_anti").select("volume", F.lit(None).cast("long").alias("r_up"), F.col("path").alias("r_path"), F.col("chain").alias("r_chain"), F.col("excluded").alias("r_excluded"))
         moved_roots = new.where("parent_frn is null").select("volume", F.col("frn").alias("r_up"))
         placed = placed.join(F.broadcast(roots.unionByName(moved_roots, allowMissingColumns=True)), "volume", "left").withColumn("__lost", lost)
         took = {"up": "r_up", "a_path": "r_path", "a_chain": "r_chain", "a_excluded": "r_excluded"}
@@ -160,15 +155,15 @@ class StoredCatalogue:
         gone, fresh = (s.withColumn("folded", fold(F.col("name"))) for s in sides)
         gone = gone.select("volume_ord", "entry_id", *KEYS.values())
         own = F.col("hidden") | F.col("system")
-        parents = _small(fresh.select("volume", F.col("parent_frn").alias("frn")).distinct())
+        parents = fresh.select("volume", F.col("parent_frn").alias("frn")).distinct()
         above = dirs.rows.join(parents, _ID, "left_semi").select("volume", F.col("frn").alias("parent_frn"), "excluded")
-        fresh = fresh.join(_small(materialize(above, "above")), ["volume", "parent_frn"], "left").withColumn("is_excluded", own | F.coalesce("excluded", F.lit(False)))
+        fresh = fresh.join(above, ["volume", "parent_frn"], "left").withColumn("is_excluded", own | F.coalesce("excluded", F.lit(False)))
         columns = self.orders.ranges("name").schema.names
         fresh = search.spell_entries(fresh).select(*columns)
         if flips is not None and not flips.isEmpty():
             # entries that the batch does not name, in directories that turned
-            named = _small(materialize(sides[0].unionByName(sides[1]).select("volume_ord", "entry_id").distinct(), "named"))
-            turned = self.catalogue.entries.join(_small(flips), ["volume", "parent_frn"]).join(named, ["volume_ord", "entry_id"], "left_anti")
+            named = materialize(sides[0].unionByName(sides[1]).select("volume_ord", "entry_id").distinct(), "named")
+            turned = self.catalogue.entries.join(flips, ["volume", "parent_frn"]).join(named, ["volume_ord", "entry_id"], "left_anti")
             turned = materialize(turned.withColumn("is_excluded", own | F.col("excluded")), "turned")
             gone = gone.unionByName(turned.select(*gone.columns))
             fresh = fresh.unionByName(turned.select(*columns))

@@ -214,6 +214,8 @@ def test_engine_installs_every_changed_row(spark):
         e.apply("C:", record(1, 10, 5, is_dir | hidden, "docs"))
         assert names() == ["other plan"]
         assert e._generations()["C:"] == (start[0] + 1, start[1], start[2], start[3] + 1)
+        if not searched:
+            continue
         e.apply("C:", record(2, 10, 5, is_dir | hidden, "docs"))
         assert e._generations()["C:"] == (start[0] + 1, start[1], start[2], start[3] + 1)
         e.apply("C:", record(3, 10, 5, is_dir, "docs"))
