@@ -6,7 +6,7 @@ import itertools
 import re
 import time
 from collections import OrderedDict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -308,7 +308,7 @@ class Engine:
             if not rows.join(alive, ["volume_ord", "entry_id"], "left_anti").isEmpty():
                 self.metrics.counters["stale_results"] += 1
                 raise StaleResult("a row is gone")
-        return search.projected(result.found.numbered(offset, min(n, limits.MAX_PAGE_ROWS)), self.catalogue().paths).orderBy("pos")
+        return replace(result.found, paths=self.catalogue().paths).page(offset, n).orderBy("pos") if now == result.generations else search.projected(rows, self.catalogue().paths).orderBy("pos")
 
     def free(self, result_id: int) -> None:
         """Forget a result; what it alone reads is deleted."""

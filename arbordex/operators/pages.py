@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import limits
@@ -71,8 +72,19 @@ class Hits:
         return rows.join(F.broadcast(offsets), "__part").withColumn("pos", F.col("__before") + place - 1).drop("__part", "__before")
 
     def page(self, offset: int, n: int = limits.MAX_PAGE_ROWS) -> DataFrame:
-        """The boundary rows of a page; n is held at the page limit, past the end is empty."""
-        return search.projected(self.numbered(offset, min(n, limits.MAX_PAGE_ROWS)), self.paths)
+        """The boundary rows of a page; n is held at the page limit, past the end is empty.
+
+        A page's rows, 64 at most, come to the driver, so that of the directories only theirs are read.
+        """
+        if offset < 0 or n < 0:
+            raise InvalidArgument("negative offset or count")
+        n = min(n, limits.MAX_PAGE_ROWS)
+        parts, before = self.ranges.slice(self.counts, offset, n, self.desc)
+        rows = self.rows(parts)
+        found = rows.orderBy(*self.ranges.order.columns(self.desc)).offset(offset - before).limit(n).collect() if parts else []
+        here = rows.sparkSession.createDataFrame([(*r, offset + i) for i, r in enumerate(found)], T.StructType([*rows.schema.fields, T.StructField("pos", T.LongType())]))
+        parents = sorted({r["parent_frn"] for r in found if r["parent_frn"] is not None})
+        return search.projected(here, F.broadcast(self.paths.where(F.col("frn").isin(parents))))
 
 
 class StoredOrders:

@@ -20,6 +20,7 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..workspace import drop_at_end, materialize, temporary_path
 from .ranks import number
@@ -143,7 +144,7 @@ class Ranges:
 
     def _read(self, parts: list[Part]) -> DataFrame:
         folders = [p.folder for p in parts if p.folder]
-        schema = self.spark.createDataFrame([], self.schema).withColumn("__part", F.lit(0).cast("long")).schema
+        schema = T.StructType([*self.schema.fields, T.StructField("__part", T.LongType())])
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     @cached_property

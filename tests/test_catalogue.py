@@ -161,6 +161,13 @@ def test_highlight(small):
     assert highlight.ranges(compile_query("b+", Options(whole_regex="name")), "abba", "C:\\abba") == ([(1, 3)], [])
 
 
+def test_a_pattern_that_takes_too_long_says_so(spark):
+    plan = compile_query("(a|aa)+b", Options(whole_regex="name"))
+    rows = spark.createDataFrame([("a" * 40, "C:\\" + "a" * 40), ("aab", "C:\\aab")], "name string, path string")
+    late, fine = highlight.highlighted(rows, plan, seconds=0.05).collect()
+    assert late["marks_late"] and late["name_marks"] == [] and not fine["marks_late"] and fine["name_marks"][0]["len"] == 3
+
+
 def tables_of(spark):
     at = shared_dir(spark).removeprefix("file://")
     return os.listdir(at) if os.path.isdir(at) else []
