@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import number
+from .ranks import number, running_sums
 
 GIB4 = (1 << 32) - 1
 
@@ -25,14 +27,15 @@ def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row; each value is that at place floor((n - 1) * share) of the sorted column, without interpolation.
+    """One row; each value is that at place floor((n - 1) * share) of the sorted column, without interpolation; 0 of no rows.
 
-    Only the counts per distinct value are ordered, so the window is as long as there are lengths.
+    The counts of the distinct values are summed over ranges of values, so no task sees more than its
+    range, whatever the number of distinct values is. Nulls stand before all values and are none of them.
     """
     counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.select("v", upto.alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    picks = [F.coalesce(F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * F.lit(p)), F.col("v"))), F.lit(0)).cast("long").alias(name) for name, p in shares.items()]
+    ranked = running_sums(counts, [F.col("v")], before=F.col("c"))
+    n = ranked.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    picks = [F.coalesce(F.min(F.when(F.col("before") + F.col("c") > math.floor((n - 1) * p), F.col("v"))), F.lit(0)).cast("long").alias(name) for name, p in shares.items()]
     return ranked.agg(*picks, F.coalesce(F.max("v"), F.lit(0)).cast("long").alias("max"))
 
 
