@@ -1,11 +1,11 @@
 """DuckDB SQL for the operators that SQL can express.
 
-Not here: op2 and op9 (tokenizers), op7 (XXH64 and components), op8 (a trained model).
+Not here: op2, op9 and op11 (tokenizers), op6 (hash keys), op7 (XXH64 and components), op8 (a trained model).
 """
 
 from __future__ import annotations
 
-from .secret_scan import BASE_RULES, EXTRA_RULES, SecretRule
+from .secret_scan import EXTRA_RULES
 
 _WS = r"\x20\x09-\x0D"
 _LETTERS = r"\p{L}\p{M}"
@@ -31,13 +31,21 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
-def _spans(rule: SecretRule, order: int) -> str:
-    pattern = rule.pattern.replace("'", "''")
-    group = f"regexp_extract_all(t, '{pattern}', {rule.group})"
-    return f"""SELECT r, {order} AS o, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits, {group} AS parts FROM d WHERE regexp_matches(t, '{pattern}')"""
+#: The base kinds as the contract gives them, apart from the operator's own patterns: kind, pattern, group, least length.
+_BASE = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+]
 
 
-_KINDS = "\nUNION ALL ".join(_spans(rule, n) for n, rule in enumerate((*BASE_RULES, *EXTRA_RULES)))
+def _spans(kind: str, pattern: str, group: int, least: int, order: int) -> str:
+    pattern = pattern.replace("'", "''")
+    parts = f"regexp_extract_all(t, '{pattern}', {group})"
+    return f"""SELECT r, {order} AS o, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits, {parts} AS parts FROM d WHERE regexp_matches(t, '{pattern}')"""
+
+
+_KINDS = "\nUNION ALL ".join(_spans(*rule, n) for n, rule in enumerate([*_BASE, *((r.kind, r.pattern, r.group, r.least) for r in EXTRA_RULES)]))
 OP3 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({_KINDS}),
