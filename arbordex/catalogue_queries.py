@@ -600,6 +600,19 @@ def _compact(spark, sf_dir):
     return apply.compact(_batch(spark, sf_dir).entries).where("not is_dir").select("entry_id", "name")
 
 
+@register("st_compact_store", f"WITH {sql.JOURNAL.replace('ORDER BY first_usn', 'ORDER BY k % 2, first_usn')}, n AS (SELECT count(*) + 1 AS n_rows FROM done WHERE NOT tombstone) SELECT entry_id, name, size, n_rows, 3 AS version FROM done, n WHERE NOT tombstone")
+def _compact_store(spark, sf_dir):
+    """The journal in two batches of two writers into a store whose buckets shed their dead rows as they are rewritten; ids stay."""
+    store = SnapshotStore(spark, temporary_path(spark, "store"), dead_share=0.0, least_rows=0)
+    store.save(_before(spark, sf_dir), 7, 0)
+    drop_at_end(spark, store.path)
+    records, half = _events(spark, sf_dir), F.col("k") % 2 == 0
+    for n, part in enumerate((half, ~half)):
+        meta = apply.apply_to_store(store, records.where(part).drop("k"), _looked_up(spark, sf_dir), None, 0, writer=f"w{n}")
+    rows = store.load(meta, sound=False).where("not is_dir").select("entry_id", "name", "size", "tombstone")
+    return rows.select("entry_id", "name", "size", F.lit(meta.n_rows).cast("long").alias("n_rows"), F.lit(meta.version).alias("version"))
+
+
 def _buffers(spark, sf_dir, n: int = 1, torn: bool = False) -> DataFrame:
     """Events as binary buffers of n records at most; torn ones have a tail that is no record behind every fourth."""
     rows = _events(spark, sf_dir).drop("k")
@@ -637,7 +650,7 @@ def _open(spark, sf_dir):
 def _follow(spark, sf_dir):
     """The binary journal through a stream; its second start finds nothing new and changes nothing."""
     at = temporary_path(spark, "tail")
-    store = SnapshotStore(spark, f"{at}/store")
+    store = SnapshotStore(spark, f"{at}/store", dead_share=None)
     store.save(_before(spark, sf_dir), 7, 0)
     _buffers(spark, sf_dir, 256).withColumn("condition", F.lit(None).cast("string")).write.parquet(f"{at}/in")
     for _ in range(2):
@@ -777,7 +790,7 @@ def _snapshot_load(spark, sf_dir):
 def _stream(spark, sf_dir):
     """The journal through a stream; its second start finds nothing new and changes nothing."""
     at = temporary_path(spark, "stream")
-    store = SnapshotStore(spark, f"{at}/store")
+    store = SnapshotStore(spark, f"{at}/store", dead_share=None)
     store.save(_before(spark, sf_dir), 1, 0)
     batch = _events(spark, sf_dir).drop("k")
     batch.write.parquet(f"{at}/in")

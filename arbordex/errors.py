@@ -29,6 +29,12 @@ class SnapshotInvalid(CatalogueError):
     code = 6
 
 
+class CommitConflict(CatalogueError):
+    """Another writer changed what this change was made from; make it again from the last version."""
+
+    code = 9
+
+
 class Cancelled(CatalogueError):
     code = 8
 

@@ -1,28 +1,35 @@
-"""Versioned snapshots of a catalogue's entries.
+"""Versioned snapshots of a catalogue's entries, with more than one writer.
 
 Rows lie in buckets by their object's record number. A version's manifest names, for each bucket, the
-version that wrote it, with its row count and a hash of its rows; a one-row Parquet of its own commits
-the version with the journal's identity and cursor. A change writes the buckets it touches, and the
-others stay where they are. Readers pin a version; one that was not committed does not exist for them.
-Folders that none of the last versions names are deleted.
+folder that holds it, with its row count and a hash of its rows. A small file named by the version
+commits it, with the journal's identity and cursor: it is made whole or not at all, and never over
+another one, so of two writers of one version the second learns that it is the second. Its rows lie in
+a folder of its own; if the versions that came between touch other buckets, it goes behind them, else
+it fails with CommitConflict and is to be made again from what stands now. A change writes the buckets
+it touches, and the others stay where they are. Readers pin a version; one that was not committed does
+not exist for them. Commits, manifests and buckets that only older versions than the last ones have are
+deleted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import time
+import uuid
+from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SnapshotInvalid
+from ..errors import CommitConflict, SnapshotInvalid
 from ..functions.scalars import record
 from ..operators import checks
 
-FORMAT = "ARBORDEX01"
+FORMAT = "ARBORDEX02"
 COLUMNS = "volume string, volume_ord int, entry_id long, frn long, parent_frn long, name string, is_dir boolean, hidden boolean, system boolean, reparse boolean, tombstone boolean, size long, mtime_secs long"
-_META = "version long, format string, journal_id long, next_usn long, batch_id long, n_rows long, checksum long, last_id long, buckets long"
-_MANIFEST = "bucket int, written long, n_rows long, checksum long, last_id long"
+_MANIFEST = "bucket int, folder string, n_rows long, checksum long, last_id long, dead long"
 
 
 @dataclass(frozen=True)
@@ -37,6 +44,15 @@ class Meta:
     #: the largest entry_id that was ever given out
     last_id: int = 0
     buckets: int = 1
+    #: of each writer, the last batch that is in the store
+    batches: dict[str, int] = field(default_factory=dict)
+    #: the last version that made, removed or moved directories
+    topology: int = 0
+    #: the manifest's folder
+    manifest: str = ""
+
+    def last_batch(self, writer: str) -> int:
+        return self.batches.get(writer, -1)
 
 
 def names() -> list[str]:
@@ -53,76 +69,193 @@ def _sums() -> list[Column]:
 
 
 class SnapshotStore:
-    """Versions under path; buckets is for a new store (some 100 MB each), keep the number of versions that stay."""
+    """Versions under path; buckets is for a new store (some 100 MB each), keep the number of versions that stay.
+
+    dead_share: a bucket that a change rewrites loses its tombstones when more than this share of its rows
+    are such, and it has at least its part of least_rows; None keeps them all. Ids stay as they are.
+
+    The folder's file system must rename without replacing (HDFS) or link (a local or mounted disk).
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, keep: int = 8):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, keep: int = 8, dead_share: float | None = 0.125, least_rows: int = 100_000):
         self.spark, self.path, self.buckets, self.keep = spark, path, buckets, keep
+        self.dead_share, self.least_rows = dead_share, least_rows
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _exists(self, path: str) -> bool:
-        fs, at = self._fs(path)
-        return fs.exists(at)
+    def _delete(self, *paths: str) -> None:
+        for path in paths:
+            fs, at = self._fs(f"{self.path}/{path}")
+            fs.delete(at, True)
+
+    def _commits(self) -> list[int]:
+        fs, at = self._fs(f"{self.path}/commits")
+        if not fs.exists(at):
+            return []
+        found = (s.getPath().getName() for s in fs.listStatus(at))
+        return sorted(int(n) for n in found if n.isdigit())
+
+    def _publish(self, version: int, text: str) -> bool:
+        """The version's commit with this text, visible at once and whole; False where another writer has made it."""
+        fs, at = self._fs(f"{self.path}/commits/{version:020}")
+        _, draft = self._fs(f"{self.path}/commits/.draft-{uuid.uuid4().hex}")
+        if fs.exists(at):
+            return False
+        out = fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if fs.getUri().getScheme() != "file":
+                return fs.rename(draft, at) and not fs.exists(draft)
+            # a local rename replaces, a link does not
+            file = self.spark._jvm.java.io.File
+            self.spark._jvm.java.nio.file.Files.createLink(file(at.toUri().getPath()).toPath(), file(draft.toUri().getPath()).toPath())
+            return True
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(draft, False)
+
+    def _meta(self, version: int) -> Meta | None:
+        fs, at = self._fs(f"{self.path}/commits/{version:020}")
+        try:
+            stream = fs.open(at)
+        except Py4JJavaError as e:
+            if "NotFound" in e.java_exception.getClass().getName():
+                return None
+            raise
+        try:
+            return Meta(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
 
     def latest(self) -> Meta | None:
         """The last committed version; None for a first run."""
-        if not self._exists(f"{self.path}/meta"):
-            return None
-        row = self.spark.read.schema(_META).parquet(f"{self.path}/meta").orderBy(F.col("version").desc()).first()
-        return Meta(**row.asDict()) if row else None
+        while found := self._commits():
+            # one that is gone by now has newer ones behind it
+            if meta := self._meta(found[-1]):
+                return meta
+        return None
 
-    def save(self, entries: DataFrame, journal_id: int, next_usn: int, batch_id: int = -1, only: list[int] | None = None) -> Meta:
-        """Rows first, then the row that commits them; the cursor moves with the rows or not at all.
+    def save(self, entries: DataFrame, journal_id: int, next_usn: int, batch_id: int = -1, only: list[int] | None = None, base: Meta | None = None, writer: str = "", topology: bool = True) -> Meta:
+        """Rows first, then the file that commits them; the cursor moves with the rows or not at all.
 
-        With only, entries are all rows of these buckets, and the other buckets stay as they are.
+        With only, entries are all rows of these buckets, and the other buckets stay as they are. base is
+        the version that entries were made from, the last one if it is not given; topology tells whether
+        directories were made, removed or moved. Versions since base that had nothing to do with these
+        rows stay, this one goes behind them; for others the error is CommitConflict.
         """
-        before = self.latest()
-        version = before.version + 1 if before else 1
-        n_buckets = before.buckets if before else self.buckets
-        at = f"{self.path}/v={version}"
+        base = base or self.latest()
+        n_buckets = base.buckets if base else self.buckets
+        token = uuid.uuid4().hex[:12]
+        folder, listed = f"v={base.version + 1 if base else 1}/{token}", None
         placed = entries.select(*names(), bucket_of(F.col("frn"), n_buckets).alias("bucket"))
         if only is not None:
             placed = placed.where(F.col("bucket").isin(only))
-        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
-        back = self.spark.read.schema(COLUMNS + ", bucket int").parquet(at)
+        placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        back = self.spark.read.schema(COLUMNS + ", bucket int").parquet(f"{self.path}/{folder}")
+        figures = back.groupBy("bucket").agg(*_sums(), F.max("entry_id").alias("last_id"), F.count_if("tombstone").alias("dead"))
         # one row for each bucket
-        parts = [(r["bucket"], version, r["n_rows"], r["checksum"], r["last_id"]) for r in back.groupBy("bucket").agg(*_sums(), F.max("entry_id").alias("last_id")).collect()]
-        if only is not None and before:
-            parts += [tuple(p) for p in self._manifest(before.version) if p["bucket"] not in set(only)]
-        self.spark.createDataFrame(parts, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/m={version}")
-        total = 0
-        for p in parts:
-            total ^= p[3]
-        last = max([p[4] or 0 for p in parts] + [before.last_id if before else 0])
-        meta = Meta(version, FORMAT, journal_id, next_usn, batch_id, sum(p[2] for p in parts), total, last, n_buckets)
-        row = self.spark.createDataFrame([tuple(vars(meta).values())], _META).coalesce(1)
-        row.write.mode("append").parquet(f"{self.path}/meta")
+        own = [(r["bucket"], folder, r["n_rows"], r["checksum"], r["last_id"], r["dead"]) for r in figures.collect()]
+        own_last = max([p[4] or 0 for p in own], default=0)
+        try:
+            while True:
+                head = self.latest()
+                if base and head and head.version != base.version:
+                    self._require_apart(base, head, only, own_last > base.last_id, batch_id, writer, topology)
+                elif head and not base:
+                    raise CommitConflict(f"version {head.version} was made meanwhile")
+                version = head.version + 1 if head else 1
+                parts = list(own)
+                if only is not None and head:
+                    parts += [tuple(p) for p in self._manifest(head) if p["bucket"] not in set(only)]
+                listed = f"m={version}/{token}"
+                self.spark.createDataFrame(parts, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{listed}")
+                total = 0
+                for p in parts:
+                    total ^= p[3]
+                last, cursor, batches, turned = own_last, next_usn, {writer: batch_id}, version
+                if head:
+                    last = max(own_last, head.last_id)
+                if head and only is not None:  # a change; whole rows begin anew
+                    batches = {**head.batches, writer: max(batch_id, head.last_batch(writer))}
+                    turned = version if topology else head.topology
+                    cursor = max(next_usn, head.next_usn) if head.version != base.version else next_usn
+                meta = Meta(version, FORMAT, journal_id, cursor, batch_id, sum(p[2] for p in parts), total, last, n_buckets, batches, turned, listed)
+                if self._publish(version, json.dumps(asdict(meta))):
+                    break
+                self._delete(listed)
+        except (CommitConflict, SnapshotInvalid):
+            self._delete(folder, *([listed] if listed else []))
+            raise
         self._drop_old(version)
         return meta
 
-    def _manifest(self, version: int) -> list:
+    def _require_apart(self, base: Meta, head: Meta, only: list[int] | None, gave_ids: bool, batch_id: int, writer: str, topology: bool) -> None:
+        """CommitConflict unless a change of these buckets, made from base, is also right behind head."""
+        if only is None:
+            raise CommitConflict(f"version {head.version} was made meanwhile")
+        if 0 <= batch_id <= head.last_batch(writer):
+            raise CommitConflict(f"batch {batch_id} is in version {head.version}")
+        if topology or head.topology > base.version:
+            raise CommitConflict("directories changed meanwhile")
+        if gave_ids and head.last_id > base.last_id:
+            raise CommitConflict("ids were given out meanwhile")
+        try:
+            was = {p["bucket"]: p["folder"] for p in self._manifest(base)}
+        except SnapshotInvalid as e:
+            raise CommitConflict(f"version {base.version} is too old") from e
+        now = {p["bucket"]: p["folder"] for p in self._manifest(head)}
+        both = [b for b in only if was.get(b) != now.get(b)]
+        if both:
+            raise CommitConflict(f"buckets {both} changed meanwhile")
+
+    def _manifest(self, meta: Meta | int) -> list:
+        meta = self._meta(meta) if isinstance(meta, int) else meta
+        if meta is None:
+            raise SnapshotInvalid("the version is gone")
         try:
-            return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/m={version}").collect()
+            return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/{meta.manifest}").collect()
         except AnalysisException as e:
-            raise SnapshotInvalid(f"version {version} is gone") from e
+            raise SnapshotInvalid(f"version {meta.version} is gone") from e
 
     def _drop_old(self, version: int) -> None:
-        """Delete the manifest that leaves the kept range, and the buckets that no kept version names."""
-        gone = version - self.keep
-        if gone < 1 or not self._exists(f"{self.path}/m={gone}"):
-            return
-        old = {(p["bucket"], p["written"]) for p in self._manifest(gone)}
-        # a bucket that the next version left is in no later one
-        old -= {(p["bucket"], p["written"]) for p in self._manifest(gone + 1)}
-        for path in [f"v={written}/bucket={b}" for b, written in old] + [f"m={gone}"]:
-            fs, at = self._fs(f"{self.path}/{path}")
-            fs.delete(at, True)
+        """Delete the versions that leave the kept range, the first ones first, and the buckets that no kept version names."""
+        for gone in [v for v in self._commits() if v <= version - self.keep]:
+            try:
+                old = {(p["bucket"], p["folder"]) for p in self._manifest(gone)}
+                # a bucket that the next version left is in no later one
+                old -= {(p["bucket"], p["folder"]) for p in self._manifest(gone + 1)}
+            except SnapshotInvalid:  # another writer deletes it too, or one ended while it did
+                old = set()
+            self._delete(*(f"{folder}/bucket={b}" for b, folder in old), f"m={gone}", f"commits/{gone:020}")
+
+    def vacuum(self, older_than_s: float = 86_400.0) -> list[str]:
+        """Delete what writers left that ended before their commit, if nothing in it is younger; returns the folders.
+
+        older_than_s must be above the longest time of a writer from its first row to its commit.
+        """
+        kept = [m for v in self._commits() if (m := self._meta(v))]
+        used = {p["folder"] for m in kept for p in self._manifest(m)} | {m.manifest for m in kept}
+        now, done = time.time() * 1000, []
+        fs, root = self._fs(self.path)
+        for outer in fs.listStatus(root):
+            if not outer.isDirectory() or outer.getPath().getName()[:2] not in ("v=", "m="):
+                continue
+            for inner in fs.listStatus(outer.getPath()):
+                name = f"{outer.getPath().getName()}/{inner.getPath().getName()}"
+                if name not in used and now - inner.getModificationTime() > older_than_s * 1000:
+                    self._delete(name)
+                    done.append(name)
+        return sorted(done)
 
     def read(self, version: int, only: list[int] | None = None) -> DataFrame:
         """The rows of a version, or of some of its buckets."""
-        paths = [f"{self.path}/v={p['written']}/bucket={p['bucket']}" for p in self._manifest(version) if only is None or p["bucket"] in set(only)]
+        paths = [f"{self.path}/{p['folder']}/bucket={p['bucket']}" for p in self._manifest(version) if only is None or p["bucket"] in set(only)]
         if not paths:
             return self.spark.createDataFrame([], COLUMNS)
         try:

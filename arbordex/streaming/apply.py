@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import RescanRequired, TopologyError
+from ..errors import CommitConflict, RescanRequired, SnapshotInvalid, TopologyError
 from ..functions.scalars import REASONS, has_attribute, record
 from ..operators import tree
 from ..operators.ranks import number
@@ -231,38 +231,82 @@ def compaction_due(n_rows: int, tombstones: int, dead_name_bytes: int = 0, appen
     return sparse or dead_name_bytes > 32 << 20 or appended_names > (n_rows - tombstones) // 4
 
 
-def apply_to_store(store: SnapshotStore, records: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, next_usn: int | None = None) -> Meta:
-    """Apply a micro-batch to the store's last version; a batch that is already in it changes nothing.
+def swept(entries: DataFrame, store: SnapshotStore, buckets: int) -> DataFrame:
+    """entries without the tombstones of buckets of which too many rows are such, by the store's dead_share; ids stay."""
+    if store.dead_share is None:
+        return entries
+    at = bucket_of(F.col("frn"), buckets)
+    figures = entries.groupBy(at.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if("tombstone").alias("dead"))
+    due = figures.where((F.col("dead") > store.dead_share * F.col("n")) & (F.col("n") * buckets >= store.least_rows))
+    due = [r["bucket"] for r in due.collect()]  # at most one for each bucket
+    return entries.where(~(F.col("tombstone") & at.isin(due))) if due else entries
+
+
+def _part(store: SnapshotStore, meta: Meta, records: DataFrame, links: DataFrame | None, touched: list[int]) -> DataFrame:
+    """What a batch needs of a version: the buckets of its objects, and of the others the directories that it names as parents.
+
+    Only where a directory that stands may move are all directories needed, to see whether it comes below itself.
+    """
+    own = store.read(meta.version, touched)
+    others = store.read(meta.version, [b for b in range(meta.buckets) if b not in set(touched)]).where("is_dir")
+    naming = _any(F.col("reason"), "FILE_CREATE", "RENAME_NEW_NAME") & has_attribute(F.col("attributes"), "DIRECTORY")
+    moving = live(own).where("is_dir").join(records.where(naming).select("frn"), "frn", "left_semi")
+    if not moving.isEmpty():
+        return own.unionByName(others)
+    named = records.select("parent_frn")
+    if links is not None:
+        wanted = links.join(records.select("frn"), "frn", "left_semi")
+        named = named.unionByName(wanted.select("parent_frn"))
+    return own.unionByName(others.join(named.select(F.col("parent_frn").alias("frn")), "frn", "left_semi").select(*names()))
+
+
+#: how often a batch is made again behind another writer's version
+TRIES = 8
+
+
+def apply_to_store(store: SnapshotStore, records: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, next_usn: int | None = None, writer: str = "") -> Meta:
+    """Apply a micro-batch to the store's last version; a batch of this writer that is already in it changes nothing.
 
     The buckets of the batch's objects are read and written whole, of the others only directories
-    are read. next_usn is where the journal goes on; without it, behind the last record.
+    are read. next_usn is where the journal goes on; without it, behind the last record. Where another
+    writer was faster, the batch is made again from its version. Writers of one store name themselves.
+    """
+    for left in reversed(range(TRIES)):
+        meta = store.latest()
+        if meta.last_batch(writer) >= batch_id:
+            return meta
+        # at most a row for each bucket
+        touched = [r[0] for r in records.select(bucket_of(F.col("frn"), meta.buckets)).distinct().collect()]
+        if not touched:
+            return meta
+        rejected = None
+        with owned() as made:
+            try:
+                done = apply_batch(_part(store, meta, records, links, touched), records, stats, links, meta.last_id)
+                if done.rescan_required:
+                    rejected = done.stats
+                else:
+                    cursor = next_usn if next_usn is not None else records.agg(F.max("usn")).first()[0] + 1
+                    return store.save(swept(done.entries, store, meta.buckets), meta.journal_id, cursor, batch_id, touched, meta, writer, done.moved["topology"] > 0)
+            except (CommitConflict, SnapshotInvalid):
+                if not left or store.latest() == meta:
+                    raise
+            finally:
+                drop_now(store.spark, made)
+        if rejected is not None:
+            raise RescanRequired(f"batch {batch_id} needs a new scan: {rejected}")
+    raise CommitConflict(f"batch {batch_id} was overtaken {TRIES} times")
+
+
+def start(records: DataFrame, store: SnapshotStore, checkpoint: str, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", **trigger):
+    """A streaming query that keeps the store current; the stream's checkpoint and the store's batch number make replays harmless.
+
+    Streams into one store need a writer's name each.
     """
-    meta = store.latest()
-    if meta.batch_id >= batch_id:
-        return meta
-    # at most a row for each bucket
-    touched = [r[0] for r in records.select(bucket_of(F.col("frn"), meta.buckets)).distinct().collect()]
-    if not touched:
-        return meta
-    others = [b for b in range(meta.buckets) if b not in set(touched)]
-    part = store.read(meta.version, touched).unionByName(store.read(meta.version, others).where("is_dir"))
-    with owned() as made:
-        done = apply_batch(part, records, stats, links, meta.last_id)
-        if not done.rescan_required:
-            cursor = next_usn if next_usn is not None else records.agg(F.max("usn")).first()[0] + 1
-            meta = store.save(done.entries, meta.journal_id, cursor, batch_id, touched)
-    drop_now(store.spark, made)
-    if done.rescan_required:
-        raise RescanRequired(f"batch {batch_id} needs a new scan: {done.stats}")
-    return meta
-
-
-def start(records: DataFrame, store: SnapshotStore, checkpoint: str, stats: DataFrame | None = None, links: DataFrame | None = None, **trigger):
-    """A streaming query that keeps the store current; the stream's checkpoint and the store's batch number make replays harmless."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         with owned() as made:
-            apply_to_store(store, materialize(batch, "batch"), stats, links, batch_id)
+            apply_to_store(store, materialize(batch, "batch"), stats, links, batch_id, writer=writer)
         drop_now(store.spark, made)
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -50,7 +50,7 @@ def judged(reads: DataFrame) -> DataFrame:
     return rows.withColumn("decision", tail_decisions(F.col("truncated"), gone, F.col("condition").isNotNull() & ~gone))
 
 
-def apply_reads(store: SnapshotStore, reads: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int) -> Meta:
+def apply_reads(store: SnapshotStore, reads: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, writer: str = "") -> Meta:
     """Apply a micro-batch of reads from the store's cursor on; records before it are in the store already.
 
     The cursor moves to the furthest cursor of the buffers, also where they hold no records.
@@ -58,7 +58,7 @@ def apply_reads(store: SnapshotStore, reads: DataFrame, stats: DataFrame | None,
     meta = store.latest()
     if meta is None:
         raise RescanRequired("scan: first run")
-    if meta.batch_id >= batch_id:
+    if meta.last_batch(writer) >= batch_id:
         return meta
     with owned() as made:
         rows = materialize(judged(reads), "reads")
@@ -66,9 +66,9 @@ def apply_reads(store: SnapshotStore, reads: DataFrame, stats: DataFrame | None,
         if "fail" not in said and "rescan" not in said and "apply" in said:
             cursor = max(said["apply"]["cursor"], meta.next_usn)
             fresh = rows.where(F.col("usn") >= meta.next_usn).select("usn", "frn", "parent_frn", "reason", "attributes", "name")
-            done = apply_to_store(store, fresh, stats, links, batch_id, cursor)
-            if done.batch_id != batch_id and cursor > meta.next_usn:  # nothing to apply, but the journal went on
-                done = store.save(store.read(meta.version, []), meta.journal_id, cursor, batch_id, [])
+            done = apply_to_store(store, fresh, stats, links, batch_id, cursor, writer)
+            if done.last_batch(writer) < batch_id and cursor > meta.next_usn:  # nothing to apply, but the journal went on
+                done = store.save(store.read(meta.version, []), meta.journal_id, cursor, batch_id, [], done, writer, topology=False)
             meta = done
     drop_now(store.spark, made)
     if "fail" in said:
@@ -78,7 +78,7 @@ def apply_reads(store: SnapshotStore, reads: DataFrame, stats: DataFrame | None,
     return meta
 
 
-def follow(reads: DataFrame, store: SnapshotStore, checkpoint: str, view: JournalView | None, stats: DataFrame | None = None, links: DataFrame | None = None, **trigger):
+def follow(reads: DataFrame, store: SnapshotStore, checkpoint: str, view: JournalView | None, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", **trigger):
     """A streaming query from a stream of reads (READS) into the store.
 
     RescanRequired at once if the store's checkpoint does not suit the journal; the query ends with that
@@ -89,6 +89,6 @@ def follow(reads: DataFrame, store: SnapshotStore, checkpoint: str, view: Journa
         raise RescanRequired(opened.decision)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_reads(store, batch, stats, links, batch_id)
+        apply_reads(store, batch, stats, links, batch_id, writer)
 
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

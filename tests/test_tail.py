@@ -58,7 +58,8 @@ def test_buckets_equal_the_whole(spark, tmp_path):
         assert rows_of(store.load()) == rows_of(whole) and meta.next_usn == 10 * n + 9
     assert {p for p in os.listdir(f"{tmp_path}/s") if p.startswith("m=")} == {"m=3", "m=4"}
     # a change writes few of the buckets
-    assert len([p for p in os.listdir(f"{tmp_path}/s/v=4") if p.startswith("bucket=")]) <= 3
+    (writer,) = os.listdir(f"{tmp_path}/s/v=4")
+    assert 1 <= len([p for p in os.listdir(f"{tmp_path}/s/v=4/{writer}") if p.startswith("bucket=")]) <= 3
     # a buffer without records moves the cursor alone; records before the cursor are known
     again = tail.apply_reads(store, reads(spark, [(3, journal.encode(40, batch), None)]), None, None, 3)
     assert again.next_usn == 40 and rows_of(store.load()) == rows_of(whole)
