@@ -19,7 +19,7 @@ from .plans.compiler import Options, compile_query, validate
 from .plans.focus import focused
 from .plans.implication import subsumes
 from .plans import regexes
-from .sources import journal, records, tables
+from .sources import journal, journal_source, records, tables
 from .sources.snapshots import SnapshotStore, names
 from .streaming import apply, decisions, tail
 from .streaming.debounce import debounced
@@ -660,6 +660,30 @@ def _follow(spark, sf_dir):
     return store.load(sound=False).where("not is_dir").select("entry_id", "name", "tombstone", "size")
 
 
+@register("src_usn_source", f"WITH {sql.JOURNAL} SELECT entry_id, name, tombstone, size, (SELECT max(event_id) + 1 FROM events) AS next_usn FROM done")
+def _source(spark, sf_dir):
+    """The journal as files through a source of its own, from the store's cursor; a second start finds nothing new."""
+    at = drop_at_end(spark, temporary_path(spark, "source"))
+    store = SnapshotStore(spark, f"{at}/store", dead_share=None)
+    store.save(_before(spark, sf_dir), 7, 0)
+
+    def put(batches):
+        for pdf in batches:
+            for b in pdf.itertuples():
+                journal_source.write_buffer(f"{at}/journal", b.buffer_id, b.after, b.payload)
+            yield pdf[["buffer_id"]]
+
+    # each buffer goes up to the next one, the last one to the journal's end
+    written = _buffers(spark, sf_dir, 256)
+    end = tables.read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
+    cursors = journal.records(written).groupBy("buffer_id").agg(F.max("next_usn").alias("after"))
+    written.join(cursors, "buffer_id").mapInPandas(put, "buffer_id long").write.format("noop").mode("overwrite").save()
+    journal_source.write_status(f"{at}/journal", 7, 0, end)
+    for _ in range(2):
+        tail.ended(tail.follow_journal(store, f"{at}/journal", f"{at}/checkpoint", _looked_up(spark, sf_dir)))
+    return store.load(sound=False).where("not is_dir").select("entry_id", "name", "tombstone", "size", F.lit(store.latest().next_usn).cast("long").alias("next_usn"))
+
+
 @register("src_metadata", f"WITH {sql.JOURNAL} SELECT 281474976710656 + 1000 + k AS frn, CASE WHEN k % 3 = 0 THEN 'present' ELSE 'failed' END AS stat_state, CASE k % 4 WHEN 0 THEN 'present' WHEN 1 THEN 'gone' ELSE 'failed' END AS link_state FROM red")
 def _metadata(spark, sf_dir):
     """Sizes known for every third object; link sets that are present, gone, failed, or were not looked up."""

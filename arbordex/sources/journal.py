@@ -65,18 +65,23 @@ def encode(next_usn: int, records: list[tuple]) -> bytes:
     return b"".join(parts)
 
 
+def buffer_rows(buffer_id: int, payload: bytes | None) -> list[tuple]:
+    """A buffer's rows of RECORDS; one with null usn for a buffer without records. Lone surrogates are replaced."""
+    cursor, found, bad = decode(bytes(payload or b""))
+    rows = []
+    for r in found or [(None,) * 6]:
+        name = r[5].encode("utf-8", "replace").decode() if r[5] is not None else None
+        rows.append((buffer_id, cursor, *r[:5], name, bad))
+    return rows
+
+
 def records(buffers: DataFrame) -> DataFrame:
     """Rows of decoded records from (buffer_id, payload); a buffer without records gives one row with null usn."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in RECORDS.split(", ")]
         for pdf in batches:
-            rows = []
-            for buffer_id, payload in zip(pdf["buffer_id"], pdf["payload"], strict=True):
-                cursor, found, bad = decode(bytes(payload or b""))
-                for r in found or [(None,) * 6]:
-                    name = r[5].encode("utf-8", "replace").decode() if r[5] is not None else None
-                    rows.append((buffer_id, cursor, *r[:5], name, bad))
+            rows = [r for one in zip(pdf["buffer_id"], pdf["payload"], strict=True) for r in buffer_rows(*one)]
             yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("usn", "frn", "parent_frn", "reason", "attributes")})
 
     return buffers.select("buffer_id", "payload").mapInPandas(run, RECORDS)

@@ -8,13 +8,15 @@ journal that is gone, is thrown away whole.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RescanRequired, VolumeUnavailable
-from ..sources import journal
+from ..sources import journal, journal_source
 from ..sources.snapshots import Meta, SnapshotStore
 from ..workspace import drop_now, materialize, owned
 from .apply import apply_to_store
@@ -55,13 +57,18 @@ def apply_reads(store: SnapshotStore, reads: DataFrame, stats: DataFrame | None,
 
     The cursor moves to the furthest cursor of the buffers, also where they hold no records.
     """
+    return apply_judged(store, judged(reads), stats, links, batch_id, writer)
+
+
+def apply_judged(store: SnapshotStore, rows: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, writer: str = "") -> Meta:
+    """apply_reads for records that are decoded and have a decision."""
     meta = store.latest()
     if meta is None:
         raise RescanRequired("scan: first run")
     if meta.last_batch(writer) >= batch_id:
         return meta
     with owned() as made:
-        rows = materialize(judged(reads), "reads")
+        rows = materialize(rows, "reads")
         said = {r["decision"]: r for r in rows.groupBy("decision").agg(F.max("next_usn").alias("cursor"), F.max("condition").alias("condition")).collect()}
         if "fail" not in said and "rescan" not in said and "apply" in said:
             cursor = max(said["apply"]["cursor"], meta.next_usn)
@@ -92,3 +99,36 @@ def follow(reads: DataFrame, store: SnapshotStore, checkpoint: str, view: Journa
         apply_reads(store, batch, stats, links, batch_id, writer)
 
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def follow_journal(store: SnapshotStore, path: str, checkpoint: str, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", **trigger):
+    """A streaming query from a journal's folder (sources/journal_source.py) into the store, from the store's cursor on.
+
+    A restart goes on at the checkpoint's cursor, or without one at the store's. RescanRequired at once if
+    the store does not suit the journal, and from ended() when the journal is gone or a buffer malformed.
+    """
+    spark, now = store.spark, journal_source.status(path)
+    opened = open_at(store.latest(), JournalView(now["journal_id"], now["first_usn"], now["next_usn"]) if now else None)
+    if opened.decision != "restore":
+        raise RescanRequired(opened.decision)
+    spark.dataSource.register(journal_source.JournalSource)
+    options = {"path": path, "journalId": now["journal_id"], "startUsn": opened.cursor}
+    rows = spark.readStream.format(journal_source.NAME).options(**options).load().withColumn("condition", F.lit(None).cast("string"))
+    rows = rows.withColumn("decision", tail_decisions(F.col("truncated"), F.lit(False), F.lit(False)))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        apply_judged(store, batch, stats, links, batch_id, writer)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ended(query, timeout: float | None = None) -> bool | None:
+    """query.awaitTermination; a source whose journal is gone, or a batch that needs a new scan, is RescanRequired here."""
+    try:
+        return query.awaitTermination(timeout)
+    except StreamingQueryException as e:
+        # the error came from another process, as text
+        found = re.search(r"(?:JournalGone|RescanRequired): (?:journal gone: )?([^\n]*)", str(e))
+        if found:
+            raise RescanRequired(found[1].strip()) from e
+        raise
