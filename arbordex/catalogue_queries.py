@@ -20,6 +20,7 @@ from .plans.focus import focused
 from .plans.implication import subsumes
 from .plans import regexes
 from .sources import journal, journal_source, records, tables
+from .sources.metadata import MetadataTables
 from .sources.snapshots import SnapshotStore, names
 from .streaming import apply, decisions, tail
 from .streaming.debounce import debounced
@@ -693,6 +694,25 @@ def _metadata(spark, sf_dir):
     return apply.decide(_before(spark, sf_dir), records.drop("k"), _looked_up(spark, sf_dir), links).select("frn", "stat_state", "link_state")
 
 
+_LATE = sql.JOURNAL.replace("k % 3 = 0 THEN k * 100", "k % 3 < 2 THEN k * 100").replace("ORDER BY first_usn", "ORDER BY k % 2, first_usn")
+
+
+@register("src_metadata_retry", f"WITH {_LATE}, w AS (SELECT count(*) AS n_waiting FROM act WHERE action IN ('upsert', 'stat') AND got IS NULL) SELECT entry_id, name, tombstone, size, mtime_secs, n_waiting FROM done, w")
+def _metadata_retry(spark, sf_dir):
+    """Look-ups that failed in a first batch and are there before a second one, which has other objects: their sizes come with it."""
+    at = drop_at_end(spark, temporary_path(spark, "retry"))
+    store, lookups = SnapshotStore(spark, f"{at}/store", dead_share=None), MetadataTables(spark, f"{at}/lookups")
+    store.save(_before(spark, sf_dir), 7, 0)
+    records = _events(spark, sf_dir)
+    facts = records.select("k", "frn").distinct().select("k", "frn", (F.col("k") * 100).alias("size"), F.lit(10**9).cast("long").alias("mtime_secs"))
+    for n in range(2):
+        lookups.put(n, facts.where(F.col("k") % 3 == n))
+        meta = apply.apply_to_store(store, records.where(F.col("k") % 2 == n).drop("k"), None, None, n, lookups=lookups)
+    waiting = store.waiting(meta).select("frn").distinct().count()
+    rows = store.load(meta, sound=False).where("not is_dir")
+    return rows.select("entry_id", "name", "tombstone", "size", "mtime_secs", F.lit(waiting).cast("long").alias("n_waiting"))
+
+
 @register("st_restore_decide", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'scan: first run' WHEN event_id % 7 = 1 THEN 'scan: snapshot unusable' WHEN event_id % 7 = 2 THEN 'scan: journal query failed' WHEN event_id % 7 = 3 OR event_id < 500 THEN 'scan: checkpoint stale' ELSE 'restore' END AS decision FROM events")
 def _restore(spark, sf_dir):
     """A checkpoint at each event, some of them missing, of another format or journal, or before the journal's first record."""

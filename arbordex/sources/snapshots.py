@@ -29,6 +29,8 @@ from ..operators import checks
 
 FORMAT = "ARBORDEX02"
 COLUMNS = "volume string, volume_ord int, entry_id long, frn long, parent_frn long, name string, is_dir boolean, hidden boolean, system boolean, reparse boolean, tombstone boolean, size long, mtime_secs long"
+#: records whose look-ups failed: kind is stat (a size) or links (a link set, all records of the object), since the first such batch
+WAITING = "usn long, frn long, parent_frn long, reason long, attributes long, name string, kind string, since long"
 _MANIFEST = "bucket int, folder string, n_rows long, checksum long, last_id long, dead long"
 
 
@@ -50,6 +52,8 @@ class Meta:
     topology: int = 0
     #: the manifest's folder
     manifest: str = ""
+    #: of each writer, the folders of the records that wait for a look-up
+    waiting: dict[str, list[str]] = field(default_factory=dict)
 
     def last_batch(self, writer: str) -> int:
         return self.batches.get(writer, -1)
@@ -68,6 +72,10 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(F.xxhash64(*names())), F.lit(0)).alias("checksum")]
 
 
+def _shelves(meta: Meta) -> set[str]:
+    return {w for folders in meta.waiting.values() for w in folders}
+
+
 class SnapshotStore:
     """Versions under path; buckets is for a new store (some 100 MB each), keep the number of versions that stay.
 
@@ -141,13 +149,14 @@ class SnapshotStore:
                 return meta
         return None
 
-    def save(self, entries: DataFrame, journal_id: int, next_usn: int, batch_id: int = -1, only: list[int] | None = None, base: Meta | None = None, writer: str = "", topology: bool = True) -> Meta:
+    def save(self, entries: DataFrame, journal_id: int, next_usn: int, batch_id: int = -1, only: list[int] | None = None, base: Meta | None = None, writer: str = "", topology: bool = True, waiting: tuple[list[str], DataFrame | None] | None = None) -> Meta:
         """Rows first, then the file that commits them; the cursor moves with the rows or not at all.
 
         With only, entries are all rows of these buckets, and the other buckets stay as they are. base is
         the version that entries were made from, the last one if it is not given; topology tells whether
         directories were made, removed or moved. Versions since base that had nothing to do with these
-        rows stay, this one goes behind them; for others the error is CommitConflict.
+        rows stay, this one goes behind them; for others the error is CommitConflict. waiting: the folders of
+        the writer's waiting records that stay and the rows (WAITING) to put beside them; without it all stay.
         """
         base = base or self.latest()
         n_buckets = base.buckets if base else self.buckets
@@ -162,6 +171,12 @@ class SnapshotStore:
         # one row for each bucket
         own = [(r["bucket"], folder, r["n_rows"], r["checksum"], r["last_id"], r["dead"]) for r in figures.collect()]
         own_last = max([p[4] or 0 for p in own], default=0)
+        waits = None
+        if waiting is not None:
+            waits = list(waiting[0])
+            if waiting[1] is not None:
+                waits.append(f"w={base.version + 1 if base else 1}/{token}")
+                waiting[1].write.parquet(f"{self.path}/{waits[-1]}")
         try:
             while True:
                 head = self.latest()
@@ -178,19 +193,20 @@ class SnapshotStore:
                 total = 0
                 for p in parts:
                     total ^= p[3]
-                last, cursor, batches, turned = own_last, next_usn, {writer: batch_id}, version
+                last, cursor, batches, turned, shelves = own_last, next_usn, {writer: batch_id}, version, {}
                 if head:
                     last = max(own_last, head.last_id)
                 if head and only is not None:  # a change; whole rows begin anew
                     batches = {**head.batches, writer: max(batch_id, head.last_batch(writer))}
+                    shelves = head.waiting if waits is None else {**head.waiting, writer: waits}
                     turned = version if topology else head.topology
                     cursor = max(next_usn, head.next_usn) if head.version != base.version else next_usn
-                meta = Meta(version, FORMAT, journal_id, cursor, batch_id, sum(p[2] for p in parts), total, last, n_buckets, batches, turned, listed)
+                meta = Meta(version, FORMAT, journal_id, cursor, batch_id, sum(p[2] for p in parts), total, last, n_buckets, batches, turned, listed, shelves)
                 if self._publish(version, json.dumps(asdict(meta))):
                     break
                 self._delete(listed)
         except (CommitConflict, SnapshotInvalid):
-            self._delete(folder, *([listed] if listed else []))
+            self._delete(folder, *([listed] if listed else []), *([waits[-1]] if waits and waiting[1] is not None else []))
             raise
         self._drop_old(version)
         return meta
@@ -232,6 +248,9 @@ class SnapshotStore:
                 old -= {(p["bucket"], p["folder"]) for p in self._manifest(gone + 1)}
             except SnapshotInvalid:  # another writer deletes it too, or one ended while it did
                 old = set()
+            left, after = self._meta(gone), self._meta(gone + 1)
+            if left and after:
+                self._delete(*(_shelves(left) - _shelves(after)))
             self._delete(*(f"{folder}/bucket={b}" for b, folder in old), f"m={gone}", f"commits/{gone:020}")
 
     def vacuum(self, older_than_s: float = 86_400.0) -> list[str]:
@@ -240,11 +259,11 @@ class SnapshotStore:
         older_than_s must be above the longest time of a writer from its first row to its commit.
         """
         kept = [m for v in self._commits() if (m := self._meta(v))]
-        used = {p["folder"] for m in kept for p in self._manifest(m)} | {m.manifest for m in kept}
+        used = {p["folder"] for m in kept for p in self._manifest(m)} | {m.manifest for m in kept} | {w for m in kept for w in _shelves(m)}
         now, done = time.time() * 1000, []
         fs, root = self._fs(self.path)
         for outer in fs.listStatus(root):
-            if not outer.isDirectory() or outer.getPath().getName()[:2] not in ("v=", "m="):
+            if not outer.isDirectory() or outer.getPath().getName()[:2] not in ("v=", "m=", "w="):
                 continue
             for inner in fs.listStatus(outer.getPath()):
                 name = f"{outer.getPath().getName()}/{inner.getPath().getName()}"
@@ -263,6 +282,16 @@ class SnapshotStore:
         except AnalysisException as e:
             raise SnapshotInvalid(f"a bucket of version {version} is gone") from e
 
+    def waiting(self, meta: Meta, writer: str = "") -> DataFrame:
+        """The records of a writer that wait for a look-up."""
+        paths = [f"{self.path}/{w}" for w in meta.waiting.get(writer, [])]
+        if not paths:
+            return self.spark.createDataFrame([], WAITING)
+        try:
+            return self.spark.read.schema(WAITING).parquet(*paths)
+        except AnalysisException as e:
+            raise SnapshotInvalid(f"waiting records of version {meta.version} are gone") from e
+
     def load(self, meta: Meta | None = None, sound: bool = True) -> DataFrame:
         """The rows of a version, checked against its row count, hash and, if asked, the catalogue's rules."""
         meta = meta or self.latest()

@@ -19,12 +19,10 @@ from ..functions.scalars import REASONS, has_attribute, record
 from ..operators import tree
 from ..operators.ranks import number
 from ..operators.statistics import live
-from ..sources.snapshots import COLUMNS, Meta, SnapshotStore, bucket_of, names
+from ..sources.metadata import LINKS, STATS, MetadataTables
+from ..sources.snapshots import COLUMNS, WAITING, Meta, SnapshotStore, bucket_of, names
 from ..workspace import drop_now, materialize, owned
 
-STATS = "frn long, size long, mtime_secs long"
-#: state: present, gone or failed; a missing row is a failed look-up
-LINKS = "frn long, parent_frn long, name string, state string"
 _LINK_REASONS = ("FILE_CREATE", "RENAME_NEW_NAME", "HARD_LINK_CHANGE")
 _STAT_REASONS = ("DATA_OVERWRITE", "DATA_EXTEND", "DATA_TRUNCATION", "BASIC_INFO_CHANGE")
 TALLY = ("created_or_renamed", "deleted", "stat_updated", "ignored", "stat_failures", "index_rejections", "hard_link_refresh_failures")
@@ -39,7 +37,8 @@ class Applied:
 
     changes: the live rows that the batch changed, removed or made, as they were (side "before") and as
     they are ("after"); moved: how many rows changed in what searches see by name and visibility (content),
-    in sizes and times (stat), and how many of the former are directories (topology).
+    in sizes and times (stat), and how many of the former are directories (topology). late: objects (frn)
+    whose look-ups failed, with the kind (stat, links).
     """
 
     entries: DataFrame
@@ -47,6 +46,7 @@ class Applied:
     rescan_required: bool
     changes: DataFrame | None = None
     moved: dict[str, int] = field(default_factory=lambda: dict.fromkeys(MOVED, 0))
+    late: DataFrame | None = None
 
 
 def _any(reasons: Column, *wanted: str) -> Column:
@@ -121,14 +121,15 @@ def _rejected(entries: DataFrame, rows: DataFrame) -> DataFrame:
         bad = found
 
 
-def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None = None, links: DataFrame | None = None, last_id: int | None = None, loops: bool = True) -> Applied:
+def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None = None, links: DataFrame | None = None, last_id: int | None = None, loops: bool = True, hold: bool = False) -> Applied:
     """entries (the snapshot columns) after one batch of records (usn, frn, parent_frn, reason, attributes, name).
 
     stats and links hold what metadata look-ups gave. An object whose link set is needed and missing
     rejects the whole batch; one whose parent is no directory is left out, and both ask for a new scan.
     entries may be a part of the catalogue that holds all rows of the records concerned and all
     directories; last_id is then the largest entry_id of the whole. loops: whether to look for directories
-    that come to stand below themselves; a stored catalogue's own step finds them cheaper.
+    that come to stand below themselves; a stored catalogue's own step finds them cheaper. hold: files whose link
+    set is missing are left as they are instead, for the batch's caller to bring them again.
     """
     spark = entries.sparkSession
     stats = stats if stats is not None else spark.createDataFrame([], STATS)
@@ -136,10 +137,14 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     entries = entries.select(*names())
     rows = materialize(decide(entries, records, stats, links), "decided")
     tally = dict.fromkeys(TALLY, 0)
-    failing = rows.where("fails").count()
+    held = rows.where("fails and not is_dir").count() if hold else 0
+    failing = rows.where("fails").count() - held
     if failing:
         tally |= {"hard_link_refresh_failures": failing, "ignored": failing}
         return Applied(entries, tally, True)
+    late = rows.where("fails or fetched is null and action in ('stat', 'upsert', 'links')").select("frn", F.when(F.col("fails"), "links").otherwise("stat").alias("kind"))
+    if held:
+        rows = rows.where("not fails")
     bad = _rejected(entries, rows)
     n_bad = bad.count()
     rows = rows.join(bad, "frn", "left_anti")
@@ -204,7 +209,7 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     tally["stat_updated"] = get("stat", "n") - get("stat", "blind")
     tally["stat_failures"] = get("stat", "blind") + get("upsert", "blind") + get("links", "blind")
     tally["ignored"] = get("ignore", "n") + get("delete", "absent") + n_bad
-    tally["index_rejections"] = n_bad
+    tally["index_rejections"], tally["hard_link_refresh_failures"] = n_bad, held
     looping = False
     if "move_dir" in by and loops:
         try:
@@ -214,7 +219,7 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     if looping:  # a directory below itself: nothing of the batch is kept
         tally = dict.fromkeys(TALLY, 0) | {"index_rejections": n_bad + 1, "ignored": n_bad + 1}
         return Applied(entries, tally, True)
-    return Applied(after, tally, n_bad > 0, changes, dict(zip(MOVED, moved, strict=True)))
+    return Applied(after, tally, n_bad > 0, changes, dict(zip(MOVED, moved, strict=True)), late)
 
 
 def compact(entries: DataFrame) -> DataFrame:
@@ -264,49 +269,117 @@ def _part(store: SnapshotStore, meta: Meta, records: DataFrame, links: DataFrame
 TRIES = 8
 
 
-def apply_to_store(store: SnapshotStore, records: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, next_usn: int | None = None, writer: str = "") -> Meta:
+#: for how many batches a link set may be missing before the volume is to be scanned anew
+PATIENCE = 1000
+#: a writer's waiting records lie in at most so many folders
+SHELVES = 16
+_RECORD = "usn", "frn", "parent_frn", "reason", "attributes", "name"
+
+
+def _asked(waiting: DataFrame, records: DataFrame, lookups: MetadataTables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(waiting, stats, links): the records that wait with due, whether they go into this batch, and what is known of all objects.
+
+    Due is what a look-up knows by now, and what the batch itself has an object of.
+    """
+    stats, links = lookups.look_up(records.select("frn").unionByName(waiting.select("frn")))
+    known = stats.select("frn", F.lit("stat").alias("kind")).unionByName(links.where("state <> 'failed'").select("frn", F.lit("links").alias("kind")))
+    met = records.select(record(F.col("frn")).alias("record")).distinct().withColumn("met", F.lit(True))
+    rows = waiting.join(known.distinct().withColumn("known", F.lit(True)), ["frn", "kind"], "left").withColumn("record", record(F.col("frn"))).join(met, "record", "left")
+    due = F.coalesce("known", F.lit(False)) | F.coalesce("met", F.lit(False))
+    return rows.select(*_RECORD, "kind", "since", due.alias("due")), stats, links
+
+
+def _left_over(done: Applied, records: DataFrame, due: DataFrame, batch_id: int) -> DataFrame:
+    """What waits after a batch: one record for a size, all of its records for an object whose links are missing.
+
+    Objects that the batch took away wait no longer. records are the batch's with those that were due.
+    """
+    late = done.late.join(live(done.entries).select("frn").distinct().withColumn("stands", F.lit(True)), "frn", "left").where("stands or kind = 'links'").select("frn", "kind")
+    late = late.join(due.groupBy("frn").agg(F.min("since").alias("since")), "frn", "left").withColumn("since", F.coalesce("since", F.lit(batch_id).cast("long")))
+    sizes = records.groupBy("frn").agg(F.max_by(F.struct("usn", "parent_frn", "attributes", "name"), "usn").alias("last")).join(late.where("kind = 'stat'"), "frn")
+    sizes = sizes.select("last.usn", "frn", "last.parent_frn", F.lit(REASONS["BASIC_INFO_CHANGE"]).cast("long").alias("reason"), "last.attributes", "last.name", "kind", "since")
+    return sizes.unionByName(records.join(late.where("kind = 'links'"), "frn").select(*_RECORD, "kind", "since"))
+
+
+def _shelve(store: SnapshotStore, meta: Meta, writer: str, rest: DataFrame, n_due: int, fresh: DataFrame) -> tuple[list[str], DataFrame | None]:
+    """Which folders of waiting records stay and what is written: new rows alone, or all where some are done or folders are many."""
+    folders = meta.waiting.get(writer, [])
+    if n_due or len(folders) >= SHELVES:
+        fresh = fresh.unionByName(rest)
+        folders = []
+    return folders, None if fresh.isEmpty() else fresh
+
+
+def apply_to_store(store: SnapshotStore, records: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int | None, next_usn: int | None = None, writer: str = "", lookups: MetadataTables | None = None, patience: int = PATIENCE) -> Meta:
     """Apply a micro-batch to the store's last version; a batch of this writer that is already in it changes nothing.
 
     The buckets of the batch's objects are read and written whole, of the others only directories
     are read. next_usn is where the journal goes on; without it, behind the last record. Where another
     writer was faster, the batch is made again from its version. Writers of one store name themselves.
+
+    With lookups, which take the place of stats and links, nothing that a look-up did not give is lost: the
+    object's record waits with the version that the batch makes, and comes again in the first batch for which
+    the look-up is there. A file whose link set is needed stays as it was until then, while the batch's other
+    objects go on; RescanRequired only if it waits for more than patience batches.
     """
     for left in reversed(range(TRIES)):
         meta = store.latest()
-        if meta.last_batch(writer) >= batch_id:
-            return meta
-        # at most a row for each bucket
-        touched = [r[0] for r in records.select(bucket_of(F.col("frn"), meta.buckets)).distinct().collect()]
-        if not touched:
+        if batch_id is not None and meta.last_batch(writer) >= batch_id:
             return meta
-        rejected = None
+        number_ = meta.last_batch(writer) if batch_id is None else batch_id
+        rejected, waiting = None, None
         with owned() as made:
             try:
-                done = apply_batch(_part(store, meta, records, links, touched), records, stats, links, meta.last_id)
+                batch, known = records, (stats, links)
+                if lookups is not None:
+                    asked, *known = _asked(store.waiting(meta, writer), records, lookups)
+                    asked, known = materialize(asked, "asked"), [materialize(k, "known") for k in known]
+                    due, rest = asked.where("due").drop("due"), asked.where("not due").drop("due")
+                    batch = materialize(records.select(*_RECORD).unionByName(due.select(*_RECORD)), "batch")
+                # at most a row for each bucket
+                touched = [r[0] for r in batch.select(bucket_of(F.col("frn"), meta.buckets)).distinct().collect()]
+                if not touched:
+                    return meta
+                done = apply_batch(_part(store, meta, batch, known[1], touched), batch, *known, meta.last_id, hold=lookups is not None)
+                if lookups is not None and done.late is not None:
+                    fresh = materialize(_left_over(done, batch, due, number_), "late")
+                    overdue = fresh.unionByName(rest).where((F.col("kind") == "links") & (F.col("since") + patience < number_))
+                    if not overdue.isEmpty():
+                        rejected = {"hard_link_refresh_failures": overdue.select("frn").distinct().count()}
+                    waiting = _shelve(store, meta, writer, rest, due.count(), fresh)
                 if done.rescan_required:
                     rejected = done.stats
-                else:
-                    cursor = next_usn if next_usn is not None else records.agg(F.max("usn")).first()[0] + 1
-                    return store.save(swept(done.entries, store, meta.buckets), meta.journal_id, cursor, batch_id, touched, meta, writer, done.moved["topology"] > 0)
+                if rejected is None:
+                    cursor = next_usn
+                    if cursor is None:
+                        cursor = batch.agg(F.max("usn")).first()[0] + 1
+                        cursor = max(cursor, meta.next_usn) if lookups is not None else cursor
+                    return store.save(swept(done.entries, store, meta.buckets), meta.journal_id, cursor, number_, touched, meta, writer, done.moved["topology"] > 0, waiting)
             except (CommitConflict, SnapshotInvalid):
                 if not left or store.latest() == meta:
                     raise
             finally:
                 drop_now(store.spark, made)
         if rejected is not None:
-            raise RescanRequired(f"batch {batch_id} needs a new scan: {rejected}")
+            raise RescanRequired(f"batch {number_} needs a new scan: {rejected}")
     raise CommitConflict(f"batch {batch_id} was overtaken {TRIES} times")
 
 
-def start(records: DataFrame, store: SnapshotStore, checkpoint: str, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", **trigger):
+def heal(store: SnapshotStore, lookups: MetadataTables, writer: str = "", patience: int = PATIENCE) -> Meta:
+    """Apply what waits and is known by now, without a batch of the journal."""
+    none = store.spark.createDataFrame([], ", ".join(c for c in WAITING.split(", ")[: len(_RECORD)]))
+    return apply_to_store(store, none, None, None, None, store.latest().next_usn, writer, lookups, patience)
+
+
+def start(records: DataFrame, store: SnapshotStore, checkpoint: str, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", lookups: MetadataTables | None = None, **trigger):
     """A streaming query that keeps the store current; the stream's checkpoint and the store's batch number make replays harmless.
 
-    Streams into one store need a writer's name each.
+    Streams into one store need a writer's name each. lookups are read anew for each batch (see apply_to_store).
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         with owned() as made:
-            apply_to_store(store, materialize(batch, "batch"), stats, links, batch_id, writer=writer)
+            apply_to_store(store, materialize(batch, "batch"), stats, links, batch_id, writer=writer, lookups=lookups)
         drop_now(store.spark, made)
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

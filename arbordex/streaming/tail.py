@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import RescanRequired, VolumeUnavailable
 from ..sources import journal, journal_source
+from ..sources.metadata import MetadataTables
 from ..sources.snapshots import Meta, SnapshotStore
 from ..workspace import drop_now, materialize, owned
 from .apply import apply_to_store
@@ -52,15 +53,15 @@ def judged(reads: DataFrame) -> DataFrame:
     return rows.withColumn("decision", tail_decisions(F.col("truncated"), gone, F.col("condition").isNotNull() & ~gone))
 
 
-def apply_reads(store: SnapshotStore, reads: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, writer: str = "") -> Meta:
+def apply_reads(store: SnapshotStore, reads: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, writer: str = "", lookups: MetadataTables | None = None) -> Meta:
     """Apply a micro-batch of reads from the store's cursor on; records before it are in the store already.
 
     The cursor moves to the furthest cursor of the buffers, also where they hold no records.
     """
-    return apply_judged(store, judged(reads), stats, links, batch_id, writer)
+    return apply_judged(store, judged(reads), stats, links, batch_id, writer, lookups)
 
 
-def apply_judged(store: SnapshotStore, rows: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, writer: str = "") -> Meta:
+def apply_judged(store: SnapshotStore, rows: DataFrame, stats: DataFrame | None, links: DataFrame | None, batch_id: int, writer: str = "", lookups: MetadataTables | None = None) -> Meta:
     """apply_reads for records that are decoded and have a decision."""
     meta = store.latest()
     if meta is None:
@@ -73,7 +74,7 @@ def apply_judged(store: SnapshotStore, rows: DataFrame, stats: DataFrame | None,
         if "fail" not in said and "rescan" not in said and "apply" in said:
             cursor = max(said["apply"]["cursor"], meta.next_usn)
             fresh = rows.where(F.col("usn") >= meta.next_usn).select("usn", "frn", "parent_frn", "reason", "attributes", "name")
-            done = apply_to_store(store, fresh, stats, links, batch_id, cursor, writer)
+            done = apply_to_store(store, fresh, stats, links, batch_id, cursor, writer, lookups)
             if done.last_batch(writer) < batch_id and cursor > meta.next_usn:  # nothing to apply, but the journal went on
                 done = store.save(store.read(meta.version, []), meta.journal_id, cursor, batch_id, [], done, writer, topology=False)
             meta = done
@@ -85,7 +86,7 @@ def apply_judged(store: SnapshotStore, rows: DataFrame, stats: DataFrame | None,
     return meta
 
 
-def follow(reads: DataFrame, store: SnapshotStore, checkpoint: str, view: JournalView | None, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", **trigger):
+def follow(reads: DataFrame, store: SnapshotStore, checkpoint: str, view: JournalView | None, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", lookups: MetadataTables | None = None, **trigger):
     """A streaming query from a stream of reads (READS) into the store.
 
     RescanRequired at once if the store's checkpoint does not suit the journal; the query ends with that
@@ -96,12 +97,12 @@ def follow(reads: DataFrame, store: SnapshotStore, checkpoint: str, view: Journa
         raise RescanRequired(opened.decision)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_reads(store, batch, stats, links, batch_id, writer)
+        apply_reads(store, batch, stats, links, batch_id, writer, lookups)
 
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def follow_journal(store: SnapshotStore, path: str, checkpoint: str, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", **trigger):
+def follow_journal(store: SnapshotStore, path: str, checkpoint: str, stats: DataFrame | None = None, links: DataFrame | None = None, writer: str = "", lookups: MetadataTables | None = None, **trigger):
     """A streaming query from a journal's folder (sources/journal_source.py) into the store, from the store's cursor on.
 
     A restart goes on at the checkpoint's cursor, or without one at the store's. RescanRequired at once if
@@ -117,7 +118,7 @@ def follow_journal(store: SnapshotStore, path: str, checkpoint: str, stats: Data
     rows = rows.withColumn("decision", tail_decisions(F.col("truncated"), F.lit(False), F.lit(False)))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_judged(store, batch, stats, links, batch_id, writer)
+        apply_judged(store, batch, stats, links, batch_id, writer, lookups)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
