@@ -1,8 +1,12 @@
-"""Debouncing of whole event tables, in blocks of bounded size that carry the last time let through."""
+"""Debouncing of whole event tables, in blocks of bounded size that carry the last time let through.
+
+A block is a step function from the last time let through before it to the one after it. Neighbouring
+functions are composed in a tree of tasks; what each block is entered with comes down the same tree.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -12,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranks import number
+from ..workspace import materialize
 
 #: Rows of a block, whatever group they are of; a task of the two passes holds one block at a time.
 BLOCK = 8192
+#: Neighbouring functions that a task of the tree composes.
+FAN = 16
 
 
 def _segments(table: pa.Table, keys: list[str]) -> list[tuple[tuple, np.ndarray, int]]:
@@ -33,29 +40,93 @@ def _following(times: np.ndarray, interval: int) -> list[int]:
     return np.searchsorted(times, times + interval).tolist()
 
 
-def _transitions(times: np.ndarray, interval: int) -> tuple[list[int], list[int]]:
-    """(starts, exits): where the first event to pass is not later than a start, the last one passes at that start's exit.
+@dataclass(frozen=True)
+class _Span:
+    """What a stretch of rows does to the last time let through.
+
+    one: all rows are of one group; then the first event to pass, where it is not later than a start, leads
+    to that start's exit, and what no start reaches stays as it was. begin is the group's first time there.
+    left is the last time let through when nothing was before; with several groups it is so in any case.
+    """
+
+    first: tuple
+    last: tuple
+    one: bool
+    begin: int | None
+    starts: np.ndarray
+    exits: np.ndarray
+    left: int | None
+
+    def leave(self, last: int | None, interval: int) -> int | None:
+        if last is None or not self.one:
+            return self.left
+        at = int(np.searchsorted(self.starts, last + interval))
+        return int(self.exits[at]) if at < len(self.starts) else last
+
+
+_NO_TIMES = np.empty(0, np.int64)
+
+
+def _steps(starts: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring starts with one exit are one; the last of them stands for all."""
+    kept = np.append(exits[1:] != exits[:-1], True) if len(exits) else np.empty(0, bool)
+    return starts[kept], exits[kept]
+
+
+def _span(first: tuple, last: tuple, one: bool, times: np.ndarray, interval: int) -> _Span:
+    """The span of rows whose last group has these times.
 
     What passed before is not after times[0], so the first to pass is at times[0] + interval at most.
     """
     n = len(times)
     if not n:
-        return [], []
+        return _Span(first, last, one, None, _NO_TIMES, _NO_TIMES, None)
     after = _following(times, interval)
     exits = times.tolist()
     for j in range(n - 1, -1, -1):
         if after[j] < n:
             exits[j] = exits[after[j]]
-    starts = times[: after[0] + 1].tolist()
-    # neighbouring starts with one exit are one; the last of them stands for all
-    kept = [j for j in range(len(starts)) if j + 1 == len(starts) or exits[j] != exits[j + 1]]
-    return [starts[j] for j in kept], [exits[j] for j in kept]
+    if not one:
+        return _Span(first, last, one, None, _NO_TIMES, _NO_TIMES, exits[0])
+    steps = _steps(times[: after[0] + 1].astype(np.int64), np.array(exits[: after[0] + 1], np.int64))
+    return _Span(first, last, one, int(times[0]), *steps, exits[0])
+
+
+def _compose(a: _Span, b: _Span, interval: int) -> _Span:
+    """The span of a and then b. It has at most a step for each distinct time of an interval from its begin on."""
+    same = a.last == b.first
+    if not (same and a.one and b.one):
+        return _Span(a.first, b.last, False, None, _NO_TIMES, _NO_TIMES, b.leave(a.left if same else None, interval))
+    if not len(a.starts) or not len(b.starts):
+        full = a if len(a.starts) else b
+        return _Span(a.first, b.last, True, full.begin, full.starts, full.exits, full.left)
+    at = np.searchsorted(b.starts, a.exits + interval)
+    exits = np.where(at < len(b.starts), b.exits[np.minimum(at, len(b.starts) - 1)], a.exits)
+    # what passes a by: from behind its last start to the last place that the first to pass may have
+    rest = slice(int(np.searchsorted(b.starts, a.starts[-1], "right")), int(np.searchsorted(b.starts, a.begin + interval)) + 1)
+    if a.starts[-1] >= a.begin + interval:
+        rest = slice(0, 0)
+    steps = _steps(np.append(a.starts, b.starts[rest]), np.append(exits, b.exits[rest]))
+    return _Span(a.first, b.last, True, a.begin, *steps, b.leave(a.left, interval))
 
 
-def _leave(starts: list[int], exits: list[int], last: int | None, interval: int) -> int | None:
-    """The last time let through after a segment, from that before it."""
-    at = 0 if last is None else bisect_left(starts, last + interval)
-    return exits[at] if at < len(starts) else last
+_LISTED = pa.list_(pa.int64())
+_FIGURES = {"one": ("boolean", pa.bool_()), "begin": ("long", pa.int64()), "starts": ("array<long>", _LISTED), "exits": ("array<long>", _LISTED), "left": ("long", pa.int64())}
+
+
+def _table(unit: int, span: _Span, edges: dict) -> pa.Table:
+    """A span as a row; edges are its keys as they were read."""
+    figures = {c: pa.array([getattr(span, c)], t) for c, (_, t) in _FIGURES.items()}
+    return pa.table({"unit": pa.array([unit], pa.int64()), **figures, **edges})
+
+
+def _spans(table: pa.Table, keys: list[str]) -> list[_Span]:
+    columns = {c: table[c].to_pylist() for c in _FIGURES}
+    edges = [[table[f"{edge}_{k}"].to_pylist() for k in keys] for edge in ("first", "last")]
+    return [
+        _Span(*(tuple(c[i] for c in edge) for edge in edges), columns["one"][i], columns["begin"][i], *(np.array(columns[c][i], np.int64) for c in ("starts", "exits")), columns["left"][i])
+        for i in range(table.num_rows)
+    ]
 
 
 def debounced(events: DataFrame, time: str, order: list[str], interval: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -65,41 +136,64 @@ def debounced(events: DataFrame, time: str, order: list[str], interval: int, key
     without a time stand last in their group, have a null in passes and hold nothing back.
 
     Rows are sorted by ranges and cut into blocks of BLOCK rows, so that neither a large group nor
-    one alone makes a task larger. A first pass tells for each block how the time that it is entered
-    with becomes the one that it is left with; the driver chains these short lists, one per block;
-    a second pass marks the rows.
+    one alone makes a task larger. Each block becomes a function (_Span), FAN of them one, and so on up to
+    one task; then each is told what it is entered with, down to the blocks, and a last pass marks the rows.
+    The driver sees the number of blocks alone. A task of the tree holds FAN functions, each with at most a
+    step for each distinct time within one interval, so with interval + 1 steps at most.
     """
     keys = list(keys)
     rows = number(events.withColumn("__time", F.col(time).cast("long")), [*map(F.col, keys), F.col("__time").asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in order)])
     rows = rows.withColumn("__block", F.floor(F.col("pos") / BLOCK))
 
-    def summary(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        parts = _segments(table, keys)
-        starts, exits = _transitions(parts[0][1], interval)
-        left = _leave(*_transitions(parts[-1][1], interval), None, interval)
-        figures = table["__block"][0].as_py(), len(parts) == 1, starts, exits, left
-        out = {c: pa.array([v], t) for (c, t), v in zip(arrow.items(), figures, strict=True)}
-        for k in keys:
-            out |= {f"first_{k}": table[k].slice(0, 1), f"last_{k}": table[k].slice(table.num_rows - 1)}
-        return pa.table(out)
-
-    types = {"block": "long", "one": "boolean", "starts": "array<long>", "exits": "array<long>", "left": "long"}
-    listed = pa.list_(pa.int64())
-    arrow = dict(zip(types, (pa.int64(), pa.bool_(), listed, listed, pa.int64()), strict=True))
-    schema = T.StructType([T.StructField(c, T.DataType.fromDDL(t)) for c, t in types.items()])
+    schema = T.StructType([T.StructField("unit", T.LongType()), *(T.StructField(c, T.DataType.fromDDL(t)) for c, (t, _) in _FIGURES.items())])
     for k in keys:
         for edge in ("first", "last"):
             schema.add(f"{edge}_{k}", rows.schema[k].dataType)
 
+    def summary(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        parts = _segments(table, keys)
+        span = _span(parts[0][0], parts[-1][0], len(parts) == 1, parts[-1][1], interval)
+        edges = {f"{edge}_{k}": table[k].slice(at, 1) for k in keys for edge, at in (("first", 0), ("last", table.num_rows - 1))}
+        return _table(table["__block"][0].as_py(), span, edges)
+
+    def join_up(table: pa.Table) -> pa.Table:
+        table = table.sort_by("unit")
+        span, *others = _spans(table, keys)
+        for other in others:
+            span = _compose(span, other, interval)
+        edges = {f"{edge}_{k}": table[f"{edge}_{k}"].slice(at, 1) for k in keys for edge, at in (("first", 0), ("last", table.num_rows - 1))}
+        return _table(table["__up"][0].as_py(), span, edges)
+
+    def hand_down(table: pa.Table) -> pa.Table:
+        table = table.sort_by("unit")
+        # what the first one is entered with is of the group before it, or of its own
+        last, key, entered = table["__last"][0].as_py(), tuple(table[f"__key_{k}"][0].as_py() for k in keys), []
+        for span in _spans(table, keys):
+            last = last if key == span.first else None
+            entered.append(last)
+            last, key = span.leave(last, interval), span.last
+        out = {"unit": table["unit"], "__last": pa.array(entered, pa.int64())}
+        return pa.table(out | {f"__key_{k}": table[f"first_{k}"] for k in keys})
+
+    def above(level: DataFrame) -> DataFrame:
+        return level.withColumn("__up", F.floor(F.col("unit") / FAN))
+
     slim = rows.select("__block", "pos", "__time", *keys)
-    entered, key, last = [], None, None
-    for r in sorted(slim.groupBy("__block").applyInArrow(summary, schema).collect(), key=lambda r: r["block"]):
-        if key != [r[f"first_{k}"] for k in keys]:
-            last = None
-        entered.append((r["block"], last))
-        last = _leave(r["starts"], r["exits"], last, interval) if r["one"] else r["left"]
-        key = [r[f"last_{k}"] for k in keys]
+    levels = [materialize(slim.groupBy("__block").applyInArrow(summary, schema), "spans")]
+    n = levels[0].count()
+    while n > FAN:
+        levels.append(materialize(above(levels[-1]).groupBy("__up").applyInArrow(join_up, schema), "spans"))
+        n = -(-n // FAN)
+
+    told = T.StructType([T.StructField("unit", T.LongType()), T.StructField("__last", T.LongType()), *(T.StructField(f"__key_{k}", rows.schema[k].dataType) for k in keys)])
+    entered = None
+    for level in reversed(levels):
+        if entered is None:  # nothing is before the first one; its own keys stand for those before it
+            given = above(level).withColumn("__last", F.lit(None).cast("long")).select("*", *(F.col(f"first_{k}").alias(f"__key_{k}") for k in keys))
+        else:
+            given = above(level).join(entered.withColumnRenamed("unit", "__up"), "__up")
+        entered = materialize(given.groupBy("__up").applyInArrow(hand_down, told), "entered")
 
     def mark(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
@@ -115,6 +209,6 @@ def debounced(events: DataFrame, time: str, order: list[str], interval: int, key
             last = None
         return table.drop_columns(["__block", "__time", "__last"]).append_column("passes", pa.array(passes, pa.bool_()))
 
-    before = rows.sparkSession.createDataFrame(entered, "__block long, __last long")
+    before = entered.select(F.col("unit").alias("__block"), "__last")
     out = T.StructType([*(f for f in rows.schema if f.name not in ("__block", "__time")), T.StructField("passes", T.BooleanType())])
-    return rows.join(F.broadcast(before), "__block").groupBy("__block").applyInArrow(mark, out)
+    return rows.join(before, "__block").groupBy("__block").applyInArrow(mark, out)

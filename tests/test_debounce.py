@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from arbordex import registry
@@ -38,6 +39,7 @@ def test_all_events(spark, sf_dir):
 def test_groups_over_blocks(spark, monkeypatch, block, gap):
     """One hot group over many blocks, small ones within a block, equal and missing times, a null key."""
     monkeypatch.setattr(debounce, "BLOCK", block)
+    monkeypatch.setattr(debounce, "FAN", 3)
     rng = random.Random(block * gap)
     rows, ms = [], 0
     for n in range(150):
@@ -53,3 +55,42 @@ def test_groups_over_blocks(spark, monkeypatch, block, gap):
 
 def test_empty(spark):
     assert debounce.debounced(spark.createDataFrame([], "ms long, id long"), "ms", ["id"], 200).count() == 0
+
+
+def test_composed_spans():
+    """Any bracketing of neighbouring spans does what the gate does row by row, and has few steps."""
+    rng = random.Random(6)
+    for trial in range(300):
+        interval, n = rng.choice((1, 7, 50, 400)), rng.randrange(1, 40)
+        rows = sorted((rng.choice("ab") if trial % 3 == 0 else "a", rng.randrange(rng.choice((5, 60, 900)))) for _ in range(n))
+        cuts = sorted(rng.sample(range(1, n), min(n - 1, rng.randrange(6))))
+        spans = []
+        for lo, hi in zip([0, *cuts], [*cuts, n], strict=True):
+            part = rows[lo:hi]
+            times = np.array([t for k, t in part if k == part[-1][0]], np.int64)
+            spans.append(debounce._span((part[0][0],), (part[-1][0],), part[0][0] == part[-1][0], times, interval))
+        while len(spans) > 1:
+            at = rng.randrange(len(spans) - 1)
+            spans[at : at + 2] = [debounce._compose(*spans[at : at + 2], interval)]
+        first = rows[0][1]
+        for last in (None, *range(first - interval - 2, first + 1)):
+            key, now = rows[0][0], last
+            for k, t in rows:
+                if k != key:
+                    key, now = k, None
+                if now is None or t - now >= interval:
+                    now = t
+            assert spans[0].leave(last, interval) == now
+        assert len(spans[0].starts) <= interval + 1
+
+
+def test_dense_burst_over_many_blocks(spark, monkeypatch):
+    """All events of many blocks within a few intervals, each time its own; before and behind them thin ones."""
+    monkeypatch.setattr(debounce, "BLOCK", 16)
+    monkeypatch.setattr(debounce, "FAN", 4)
+    rng = random.Random(2)
+    times = [0, 150, 380, *range(1000, 3500), 9000, 9100, 9200] + [rng.randrange(1000, 3000) for _ in range(500)]
+    rows = [(None, ms, n) for n, ms in enumerate(times)]
+    events = spark.createDataFrame([(ms, n) for _, ms, n in rows], "ms long, id long")
+    got = debounce.debounced(events, "ms", ["id"], 900).collect()
+    assert {r["id"]: r["passes"] for r in got} == brute(rows, 900)
