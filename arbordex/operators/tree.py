@@ -7,8 +7,6 @@ directory's path once.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +23,24 @@ def directories(entries: DataFrame) -> DataFrame:
     return entries.where("is_dir and not tombstone").select("volume", "frn", "parent_frn", "name", own)
 
 
+#: Rows that have not come to the top of their volume, nor to a parent that is missing.
+_UNDER_WAY = "up is not null and not orphan"
+
+
 def _double(state: DataFrame) -> DataFrame:
     above = state.select(F.col("volume").alias("a_volume"), F.col("frn").alias("a_frn"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("excluded").alias("a_excluded"), F.col("chain").alias("a_chain"))
-    joined = state.join(above, (F.col("volume") == F.col("a_volume")) & (F.col("up") == F.col("a_frn")), "left")
+    joined = state.where(_UNDER_WAY).join(above, (F.col("volume") == F.col("a_volume")) & (F.col("up") == F.col("a_frn")), "left")
     found = F.col("a_frn").isNotNull()
-    return joined.select(
+    moved = joined.select(
         "volume",
         "frn",
         F.when(found, F.col("a_up")).otherwise(F.col("up")).alias("up"),
         F.when(found, F.concat_ws("\\", "a_path", "path")).otherwise(F.col("path")).alias("path"),
         (F.col("excluded") | F.coalesce("a_excluded", F.lit(False))).alias("excluded"),
-        (F.col("orphan") | (F.col("up").isNotNull() & ~found)).alias("orphan"),
+        (F.col("up").isNotNull() & ~found).alias("orphan"),
         F.when(found, F.concat("a_chain", "chain")).otherwise(F.col("chain")).alias("chain"),
     )
+    return state.where(f"not ({_UNDER_WAY})").select(*moved.columns).unionByName(moved)
 
 
 def link(frn: Column) -> Column:
@@ -50,13 +53,35 @@ LINK = 17
 
 
 def close_states(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(closed, looping) of rows (volume, frn, up, path, excluded, orphan, chain) whose up is another row's frn, or null at the top."""
-    rounds = 1 + math.ceil(math.log2(max(2, state.count())))
-    for _ in range(rounds):
+    """(closed, looping) of rows (volume, frn, up, path, excluded, orphan, chain) whose up is another row's frn, or null at the top.
+
+    Each round ends the directories that are up to twice as far below their end. If it ends none, no other
+    is that far from an end, and those that are left have none: their paths, which double with each round,
+    grow no further.
+    """
+    left = None
+    while True:
         state = materialize(_double(state), "tree")
-        if state.where("up is not null and not orphan").isEmpty():
-            break
-    return state.where("up is null and not orphan"), state.where("up is not null and not orphan")
+        before, left = left, state.where(_UNDER_WAY).select("volume", "frn").distinct().count()
+        if left == 0 or left == before:
+            return state.where("up is null and not orphan"), state.where(_UNDER_WAY)
+
+
+def _on_cycles(looping: DataFrame) -> DataFrame:
+    """volume, frn of the directories on the cycles to which looping rows (volume, frn, up) lead.
+
+    Each round doubles the steps from a row to its up. When two rounds give as many distinct ups, those steps
+    map the set of ups onto itself, so it holds what lies on cycles alone.
+    """
+    steps = looping.select("volume", "frn", "up")
+    n = None
+    while True:
+        ups = materialize(steps.select("volume", F.col("up").alias("frn")).distinct(), "ups")
+        before, n = n, ups.count()
+        if n == before:
+            return ups
+        above = steps.select("volume", F.col("frn").alias("up"), F.col("up").alias("a_up"))
+        steps = materialize(steps.join(above, ["volume", "up"]).select("volume", "frn", F.col("a_up").alias("up")).distinct(), "steps")
 
 
 def _close(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,10 +106,11 @@ def close_directories(entries: DataFrame, strict: bool = False) -> DataFrame:
         return _checked(closed, strict)
     if strict:
         raise TopologyError(f"{n_lost} directories without a parent, {n_loops} in or below a cycle")
-    # after that many doublings the ancestor of a looping directory lies on the cycle itself
-    cut = lost.select("volume", "frn").unionByName(looping.select("volume", F.col("up").alias("frn"))).distinct()
+    cut = lost.select("volume", "frn")
+    if n_loops:
+        cut = cut.unionByName(_on_cycles(dirs.join(looping.select("volume", "frn"), ["volume", "frn"], "left_semi").select("volume", "frn", F.col("parent_frn").alias("up"))))
     roots = dirs.where("parent_frn is null").select("volume", F.col("frn").alias("root_frn"))
-    cut = cut.join(roots, "volume").select(F.col("volume").alias("c_volume"), F.col("frn").alias("c_frn"), "root_frn")
+    cut = cut.distinct().join(roots, "volume").select(F.col("volume").alias("c_volume"), F.col("frn").alias("c_frn"), "root_frn")
     repaired = dirs.join(cut, (F.col("volume") == F.col("c_volume")) & (F.col("frn") == F.col("c_frn")), "left")
     repaired = repaired.withColumn("parent_frn", F.coalesce("root_frn", "parent_frn")).drop("c_volume", "c_frn", "root_frn")
     return _checked(_close(materialize(repaired, "dirs"))[0], strict)

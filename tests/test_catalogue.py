@@ -6,6 +6,7 @@ import os
 
 import pytest
 from helpers import entry, f, frame, root, sample
+from pyspark.sql import functions as F
 
 from arbordex.errors import QuerySyntaxError, StaleResult, TopologyError, VolumeUnavailable
 from arbordex.functions import highlight
@@ -112,6 +113,21 @@ def test_cycles_hang_at_the_root(spark):
         tree.resolve_parents(rows)
 
 
+def test_cycles_do_not_double_paths(spark):
+    """A short cycle beside many directories: as many rounds as the deepest tree needs, and paths no longer than that."""
+    wide = [entry(f"w{i}", 1000 + i, 5, True) for i in range(300)]
+    tail = [entry(f"t{i}", 20 + i, 19 + i if i else 11, True) for i in range(9)]
+    rows = frame(spark, [root(), entry("a", 10, 11, True), entry("b", 11, 10, True), *tail, *wide])
+    state = tree.directories(rows).selectExpr("volume", "frn", "parent_frn as up", "name as path", "own_excluded as excluded", "false as orphan").withColumn("chain", tree.link(F.col("frn")))
+    closed, looping = tree.close_states(state)
+    assert closed.count() == 301 and looping.count() == 11
+    assert looping.selectExpr("max(length(chain))").first()[0] <= 8 * tree.LINK
+    # what hangs below the cycle at any depth keeps its place
+    paths = {r["frn"]: r["path"] for r in tree.close_directories(rows).collect()}
+    below = {f(20 + i): "C:\\b\\" + "\\".join(f"t{j}" for j in range(i + 1)) for i in range(9)}
+    assert paths == {f(5): "C:", f(10): "C:\\a", f(11): "C:\\b", **below, **{f(1000 + i): f"C:\\w{i}" for i in range(300)}}
+
+
 def test_parents(spark):
     rows = frame(spark, [root(), entry("d", 10, 5, True), entry("x", 11, 10), entry("orphan", 12, 99, True), entry("of orphan", 13, 12), entry("under file", 14, 11)])
     assert sorted(r["name"] for r in tree.resolve_parents(rows).collect()) == ["C:", "d", "x"]
