@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -619,15 +619,12 @@ def _buffers(spark, sf_dir, n: int = 1, torn: bool = False) -> DataFrame:
     rows = _events(spark, sf_dir).drop("k")
 
     def pack(batches):
-        for pdf in batches:
-            out = []
-            for at in range(0, len(pdf), n):
-                part = [(r.usn, r.frn, r.parent_frn, r.reason, r.attributes, r.name) for r in pdf[at : at + n].itertuples()]
-                tail = b"x" * 7 if torn and part[-1][0] % 4 == 3 else b""
-                out.append((part[0][0], journal.encode(part[-1][0] + 1, part) + tail))
-            yield pd.DataFrame(out, columns=["buffer_id", "payload"])
+        for batch in batches:
+            found = list(journal.packed(zip(*(c.to_pylist() for c in batch.columns), strict=True), n, torn))
+            ids, payloads = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], names=["buffer_id", "payload"])
 
-    return rows.mapInPandas(pack, "buffer_id long, payload binary")
+    return rows.mapInArrow(pack, "buffer_id long, payload binary")
 
 
 @register("src_usn_parse", "SELECT event_id AS usn, 'f_' || (event_id // 3) || '_' || (event_id % 5) || '.txt' AS name, event_id % 4 = 3 AS truncated FROM events")
@@ -669,16 +666,16 @@ def _source(spark, sf_dir):
     store.save(_before(spark, sf_dir), 7, 0)
 
     def put(batches):
-        for pdf in batches:
-            for b in pdf.itertuples():
-                journal_source.write_buffer(f"{at}/journal", b.buffer_id, b.after, b.payload)
-            yield pdf[["buffer_id"]]
+        for batch in batches:
+            for first, after, payload in zip(batch["buffer_id"], batch["after"], batch["payload"], strict=True):
+                journal_source.write_buffer(f"{at}/journal", first.as_py(), after.as_py(), payload.as_py())
+            yield batch.select(["buffer_id"])
 
     # each buffer goes up to the next one, the last one to the journal's end
     written = _buffers(spark, sf_dir, 256)
     end = tables.read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
     cursors = journal.records(written).groupBy("buffer_id").agg(F.max("next_usn").alias("after"))
-    written.join(cursors, "buffer_id").mapInPandas(put, "buffer_id long").write.format("noop").mode("overwrite").save()
+    written.join(cursors, "buffer_id").mapInArrow(put, "buffer_id long").write.format("noop").mode("overwrite").save()
     journal_source.write_status(f"{at}/journal", 7, 0, end)
     for _ in range(2):
         tail.ended(tail.follow_journal(store, f"{at}/journal", f"{at}/checkpoint", _looked_up(spark, sf_dir)))

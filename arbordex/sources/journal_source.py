@@ -23,12 +23,10 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..errors import RescanRequired
-from .journal import RECORDS, buffer_rows
+from .journal import RECORDS, batch_of, buffer_rows
 
 NAME = "arbordex_journal"
 _FILE = re.compile(r"(\d{20})-(\d{20})\.usn")
-_TYPES = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-_SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in RECORDS.split(", ")])
 
 
 class JournalGone(RescanRequired):
@@ -123,8 +121,7 @@ class JournalReader(DataSourceStreamReader):
                     payload = f.read()
             except FileNotFoundError:
                 raise JournalGone("journal gone: entry deleted") from None
-            rows = [r for r in buffer_rows(first, payload) if r[2] is None or r[2] >= partition.cursor]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)] if rows else [pa.array([], t) for t in _SCHEMA.types], schema=_SCHEMA)
+            yield batch_of([r for r in buffer_rows(first, payload) if r[2] is None or r[2] >= partition.cursor])
 
 
 class JournalSource(DataSource):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import random
 import threading
+import time
 
+import pyarrow as pa
 import pytest
 from helpers import entry, f, frame, root
 
@@ -129,3 +131,36 @@ def test_latest_search_wins(spark, monkeypatch):
     go.set()
     thread.join(60)
     assert len(seen) == 1 and engine.metrics.counters["cancelled"] == 1
+
+
+def test_packing_costs_what_encoding_does():
+    """Buffers of one record each, as fast as records are encoded, but for a small factor."""
+    rows = [(i, f(i), f(5), 256, 0, f"f_{i}.txt") for i in range(20_000)]
+    began = time.process_time()
+    plain = [journal.encode(r[0] + 1, [r]) for r in rows]
+    middle = time.process_time()
+    found = list(journal.packed(rows, 1))
+    assert [p for _, p in found] == plain and time.process_time() - middle < 20 * (middle - began)
+    cut = list(journal.packed([(i, f(i), f(5), 256, 0, "x") for i in (3, 4, 5, 6, 9, 10)], 3, torn=True))
+    assert [(i, [r[0] for r in journal.decode(p)[1]], journal.decode(p)[0], journal.decode(p)[2]) for i, p in cut] == [(3, [3, 4, 5], 6, False), (6, [6], 7, False), (9, [9, 10], 11, False)]
+    assert [journal.decode(p)[2] for _, p in journal.packed(rows[:8], 1, torn=True)] == [False, False, False, True] * 2
+
+
+class Captured:
+    """In a DataFrame's place: keeps the function that tasks are to run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+
+def test_decoding_hands_on_bounded_batches():
+    """However many buffers come at once, a task holds the records of few of them."""
+    rows = [(i, f(i), f(5), 256, 0, f"f_{i}.txt") for i in range(40_000)]
+    ids, payloads = zip(*journal.packed(rows, 256), strict=True)
+    journal.records(at := Captured())
+    out = list(at.run([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(payloads)], names=["buffer_id", "payload"])]))
+    assert max(b.num_rows for b in out) < journal.BATCH_ROWS + 256
+    assert [u for b in out for u in b["usn"].to_pylist()] == list(range(40_000))
