@@ -120,6 +120,11 @@ def name_ids(entries: DataFrame) -> DataFrame:
 
 
 def first_links(entries: DataFrame) -> DataFrame:
-    """One row for each (volume, frn, parent_frn, name): that with the least entry_id."""
-    keep = F.row_number().over(Window.partitionBy("volume", "frn", "parent_frn", "name").orderBy("entry_id"))
-    return entries.withColumn("__n", keep).where("__n = 1").drop("__n")
+    """One row for each (volume, frn, parent_frn, name): that with the least entry_id.
+
+    Rows are dealt out by the link first: else each task sorts what it has made of its input, whatever that
+    is, before the sort that counts.
+    """
+    link = "volume", "frn", "parent_frn", "name"
+    keep = F.row_number().over(Window.partitionBy(*link).orderBy("entry_id"))
+    return entries.repartition(*link).withColumn("__n", keep).where("__n = 1").drop("__n")

@@ -240,3 +240,12 @@ def test_refined_equals_fresh(spark, small):
         for text in steps:
             got = e.search(text)
             assert [r["name"] for r in got.rows.orderBy("pos").collect()] == found(small, text)
+
+
+def test_first_links_sort_once(spark, capsys):
+    """Links are sorted behind the exchange alone, where a task has its share of them."""
+    rows = frame(spark, [root(), *[entry("x", 10, 5, entry_id=i) for i in (7, 3, 9)]])
+    statistics.first_links(rows).explain()
+    plan = capsys.readouterr().out
+    assert "Sort" in plan and "Sort" not in plan.partition("Exchange")[2]
+    assert sorted(r["entry_id"] for r in statistics.first_links(rows).collect()) == [3, 5]
