@@ -49,6 +49,14 @@ class Applied:
     late: DataFrame | None = None
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """rows that go with the batch or the entries: no join sends them through the driver.
+
+    Spark guesses the size of a few columns from the whole file's, and would broadcast millions of rows.
+    """
+    return rows.hint("merge")
+
+
 def _any(reasons: Column, *wanted: str) -> Column:
     mask = 0
     for name in wanted:
@@ -73,8 +81,8 @@ def decide(entries: DataFrame, records: DataFrame, stats: DataFrame, links: Data
     sets = links.groupBy("frn").agg(F.max("state").alias("state"), F.collect_set(F.when(F.col("state") == "present", F.struct("parent_frn", "name"))).alias("desired"))
     batch = reduce_records(records)
     touched = batch.select(record(F.col("frn")).alias("record")).distinct()
-    used = now.select(record(F.col("frn")).alias("record")).distinct().join(touched, "record", "left_semi").withColumn("record_used", F.lit(True))
-    rows = batch.withColumn("record", record(F.col("frn"))).join(objects, "frn", "left").join(sets, "frn", "left").join(stats.withColumn("fetched", F.struct("size", "mtime_secs")).select("frn", "fetched"), "frn", "left").join(used, "record", "left")
+    used = now.select(record(F.col("frn")).alias("record")).distinct().join(_large(touched), "record", "left_semi").withColumn("record_used", F.lit(True))
+    rows = batch.withColumn("record", record(F.col("frn"))).join(_large(objects), "frn", "left").join(_large(sets), "frn", "left").join(_large(stats.withColumn("fetched", F.struct("size", "mtime_secs")).select("frn", "fetched")), "frn", "left").join(_large(used), "record", "left")
     r, is_dir = F.col("reasons"), has_attribute(F.col("last.attributes"), "DIRECTORY")
     rows = rows.withColumn("is_dir", is_dir).withColumn("n_links", F.coalesce("n_links", F.lit(0))).withColumn("was_dir", F.coalesce("was_dir", F.lit(False)))
     linking = _any(r, *_LINK_REASONS) & ~is_dir
@@ -147,7 +155,7 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
         rows = rows.where("not fails")
     bad = _rejected(entries, rows)
     n_bad = bad.count()
-    rows = rows.join(bad, "frn", "left_anti")
+    rows = rows.join(_large(bad), "frn", "left_anti")
 
     attributes = F.col("last.attributes")
     facts = F.coalesce("fetched", "carried", F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_secs")))
@@ -157,7 +165,7 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
         has_attribute(attributes, "HIDDEN").alias("c_hidden"), has_attribute(attributes, "SYSTEM").alias("c_system"), has_attribute(attributes, "REPARSE_POINT").alias("c_reparse"),
     )
     made = change.where("action in ('links', 'upsert')").select(record(F.col("c_frn")).alias("m_record"), F.col("c_frn").alias("m_frn"))
-    joined = entries.join(change, F.col("frn") == F.col("c_frn"), "left").join(made, (record(F.col("frn")) == F.col("m_record")) & (F.col("frn") != F.col("m_frn")), "left")
+    joined = entries.join(_large(change), F.col("frn") == F.col("c_frn"), "left").join(_large(made), (record(F.col("frn")) == F.col("m_record")) & (F.col("frn") != F.col("m_frn")), "left")
     link = F.struct("parent_frn", "name")
     new_link = F.struct(F.col("last.parent_frn").alias("parent_frn"), F.col("last.name").alias("name"))
     a = F.col("action")
@@ -183,8 +191,8 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     kept = joined.select(*[then.get(c, F.col(c)) for c in names()], dies.alias("died"), content.alias("content"), stat.alias("stat"), was)
     kept = materialize(kept, "kept")
     standing = live(kept).select("frn", "parent_frn", "name")
-    new = _wanted_links(rows.where("action in ('links', 'upsert')")).drop("is_dir").join(standing, ["frn", "parent_frn", "name"], "left_anti")
-    new = new.join(change, F.col("frn") == F.col("c_frn"))
+    new = _wanted_links(rows.where("action in ('links', 'upsert')")).drop("is_dir").join(_large(standing), ["frn", "parent_frn", "name"], "left_anti")
+    new = new.join(_large(change), F.col("frn") == F.col("c_frn"))
     highest = F.max("entry_id") if last_id is None else F.greatest(F.max("entry_id"), F.lit(last_id))
     ends = kept.agg(highest.alias("last_id"), F.first("volume").alias("volume"), F.first("volume_ord").alias("volume_ord"))
     new = new.select("frn", "parent_frn", "name", F.col("c_dir").alias("is_dir"), F.col("c_hidden").alias("hidden"), F.col("c_system").alias("system"), F.col("c_reparse").alias("reparse"), F.col("facts.size").alias("size"), F.col("facts.mtime_secs").alias("mtime_secs"), F.col("c_first").alias("new_first"))
@@ -201,8 +209,8 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
 
     counts = rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fetched").isNull()).alias("blind"), F.count_if(F.col("n_links") == 0).alias("absent")).collect()
     by = {r["action"]: r for r in counts}
-    died = kept.where("died").join(change.where("action in ('delete', 'links')").select(F.col("c_frn").alias("frn")), "frn", "left_semi").count()
-    linked = fresh.join(change.where("action = 'links'").select(F.col("c_frn").alias("frn")), "frn", "left_semi").count()
+    died = kept.where("died").join(_large(change.where("action in ('delete', 'links')").select(F.col("c_frn").alias("frn"))), "frn", "left_semi").count()
+    linked = fresh.join(_large(change.where("action = 'links'").select(F.col("c_frn").alias("frn"))), "frn", "left_semi").count()
     get = lambda k, f: by[k][f] if k in by else 0
     tally["created_or_renamed"] = get("upsert", "n") + get("move_dir", "n") + linked
     tally["deleted"] = died

@@ -244,3 +244,11 @@ def test_a_batch_keeps_the_parts_that_it_does_not_touch(spark):
     for r in list(e._results):
         e.free(r)
     assert e._folders == e.stored().folders() and not folders <= e._folders
+
+
+def test_batches_are_not_broadcast(spark, capsys):
+    """Neither the objects of a batch nor the entries go through the driver, however small Spark takes them for."""
+    rows = apply.decide(base(spark), spark.createDataFrame([rec(1, f(10), f(5), "FILE_CREATE", "new")], RECORDS), spark.createDataFrame([], apply.STATS), spark.createDataFrame([], apply.LINKS))
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
