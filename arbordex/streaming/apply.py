@@ -115,7 +115,7 @@ def _wanted_links(rows: DataFrame) -> DataFrame:
 def _rejected(entries: DataFrame, rows: DataFrame) -> DataFrame:
     """Objects whose new parent is no live directory, neither before nor made by the batch."""
     gone = rows.where("action = 'delete'").select("frn")
-    before = live(entries).where("is_dir").select("frn").join(gone, "frn", "left_anti")
+    before = live(entries).where("is_dir").select("frn").join(_large(gone), "frn", "left_anti")
     wanted = _wanted_links(rows)
     bad = None
     while True:
