@@ -34,10 +34,13 @@ class MetadataTables:
                 placed = rows.where("frn is not null").select(*_names(columns), F.lit(seen).cast("long").alias("seen"), bucket_of(F.col("frn"), self.buckets).alias("bucket"))
                 placed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{kind}")
 
-    def _read(self, kind: str, columns: str, touched: list[int]) -> DataFrame:
+    def _folders(self, kind: str, touched: list[int]) -> list[str]:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = folder(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [p for b in touched if fs.exists(folder(p := f"{self.path}/{kind}/bucket={b}"))]
+        return [p for b in touched if fs.exists(folder(p := f"{self.path}/{kind}/bucket={b}"))]
+
+    def _read(self, kind: str, columns: str, touched: list[int]) -> DataFrame:
+        found = self._folders(kind, touched)
         schema = f"{columns}, seen long"
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
@@ -47,6 +50,8 @@ class MetadataTables:
         touched = [r[0] for r in keys.where("frn is not null").select(bucket_of(F.col("frn"), self.buckets)).distinct().collect()]  # at most a row for each bucket
         stats = self._read("stats", STATS, touched).join(keys, "frn", "left_semi")
         stats = stats.groupBy("frn").agg(F.max(F.struct("seen", "size", "mtime_secs")).alias("s")).select("frn", "s.size", "s.mtime_secs")
+        if not self._folders("links", touched):
+            return stats, self.spark.createDataFrame([], LINKS)
         links = self._read("links", LINKS, touched).join(keys, "frn", "left_semi")
         last = links.groupBy("frn").agg(F.max("seen").alias("seen"))
         return stats, links.join(last, ["frn", "seen"]).select(*_names(LINKS)).distinct()

@@ -38,7 +38,7 @@ class Applied:
     changes: the live rows that the batch changed, removed or made, as they were (side "before") and as
     they are ("after"); moved: how many rows changed in what searches see by name and visibility (content),
     in sizes and times (stat), and how many of the former are directories (topology). late: objects (frn)
-    whose look-ups failed, with the kind (stat, links).
+    whose look-ups failed, with the kind (stat, links) and their last record (last_usn, last).
     """
 
     entries: DataFrame
@@ -65,10 +65,10 @@ def _any(reasons: Column, *wanted: str) -> Column:
 
 
 def reduce_records(records: DataFrame) -> DataFrame:
-    """One row per frn: reasons, last (parent_frn, name, attributes), old (parent_frn, name), first_usn."""
+    """One row per frn: reasons, last (parent_frn, name, attributes), old (parent_frn, name), first_usn, last_usn."""
     last = F.max_by(F.struct("parent_frn", "name", "attributes"), "usn")
     old = F.min_by(F.when(_any(F.col("reason"), "RENAME_OLD_NAME"), F.struct("parent_frn", "name")), F.when(_any(F.col("reason"), "RENAME_OLD_NAME"), F.col("usn")))
-    return records.groupBy("frn").agg(F.bit_or("reason").alias("reasons"), last.alias("last"), old.alias("old"), F.min("usn").alias("first_usn"))
+    return records.groupBy("frn").agg(F.bit_or("reason").alias("reasons"), last.alias("last"), old.alias("old"), F.min("usn").alias("first_usn"), F.max("usn").alias("last_usn"))
 
 
 def decide(entries: DataFrame, records: DataFrame, stats: DataFrame, links: DataFrame) -> DataFrame:
@@ -80,9 +80,10 @@ def decide(entries: DataFrame, records: DataFrame, stats: DataFrame, links: Data
     objects = now.groupBy("frn").agg(F.count(F.lit(1)).alias("n_links"), F.bool_or("is_dir").alias("was_dir"), F.min_by(F.struct("size", "mtime_secs"), "entry_id").alias("carried"), F.collect_set(F.struct("parent_frn", "name")).alias("link_set"))
     sets = links.groupBy("frn").agg(F.max("state").alias("state"), F.collect_set(F.when(F.col("state") == "present", F.struct("parent_frn", "name"))).alias("desired"))
     batch = reduce_records(records)
-    touched = batch.select(record(F.col("frn")).alias("record")).distinct()
-    used = now.select(record(F.col("frn")).alias("record")).distinct().join(_large(touched), "record", "left_semi").withColumn("record_used", F.lit(True))
-    rows = batch.withColumn("record", record(F.col("frn"))).join(_large(objects), "frn", "left").join(_large(sets), "frn", "left").join(_large(stats.withColumn("fetched", F.struct("size", "mtime_secs")).select("frn", "fetched")), "frn", "left").join(_large(used), "record", "left")
+    # record numbers meet as keys alone, so that the rows stay where their object is; a semi join would go below the distinct
+    touched = records.select("frn", record(F.col("frn")).alias("record")).distinct()
+    used = touched.join(_large(now.select(record(F.col("frn")).alias("record")).distinct()), "record").select("frn", F.lit(True).alias("record_used"))
+    rows = batch.join(_large(objects), "frn", "left").join(_large(sets), "frn", "left").join(_large(stats.withColumn("fetched", F.struct("size", "mtime_secs")).select("frn", "fetched")), "frn", "left").join(_large(used), "frn", "left")
     r, is_dir = F.col("reasons"), has_attribute(F.col("last.attributes"), "DIRECTORY")
     rows = rows.withColumn("is_dir", is_dir).withColumn("n_links", F.coalesce("n_links", F.lit(0))).withColumn("was_dir", F.coalesce("was_dir", F.lit(False)))
     linking = _any(r, *_LINK_REASONS) & ~is_dir
@@ -145,12 +146,13 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     entries = entries.select(*names())
     rows = materialize(decide(entries, records, stats, links), "decided")
     tally = dict.fromkeys(TALLY, 0)
-    held = rows.where("fails and not is_dir").count() if hold else 0
-    failing = rows.where("fails").count() - held
+    failing, held = rows.where("fails").agg(F.count(F.lit(1)), F.count_if(~F.col("is_dir"))).first()
+    held = held if hold else 0
+    failing -= held
     if failing:
         tally |= {"hard_link_refresh_failures": failing, "ignored": failing}
         return Applied(entries, tally, True)
-    late = rows.where("fails or fetched is null and action in ('stat', 'upsert', 'links')").select("frn", F.when(F.col("fails"), "links").otherwise("stat").alias("kind"))
+    late = rows.where("fails or fetched is null and action in ('stat', 'upsert', 'links')").select("frn", F.when(F.col("fails"), "links").otherwise("stat").alias("kind"), "last_usn", "last")
     if held:
         rows = rows.where("not fails")
     bad = _rejected(entries, rows)
@@ -164,14 +166,17 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
         F.when(F.col("action") == "links", F.col("desired")).alias("desired"), F.col("is_dir").alias("c_dir"), facts.alias("facts"), "reasons",
         has_attribute(attributes, "HIDDEN").alias("c_hidden"), has_attribute(attributes, "SYSTEM").alias("c_system"), has_attribute(attributes, "REPARSE_POINT").alias("c_reparse"),
     )
-    made = change.where("action in ('links', 'upsert')").select(record(F.col("c_frn")).alias("m_record"), F.col("c_frn").alias("m_frn"))
-    joined = entries.join(_large(change), F.col("frn") == F.col("c_frn"), "left").join(_large(made), (record(F.col("frn")) == F.col("m_record")) & (F.col("frn") != F.col("m_frn")), "left")
+    # objects whose record number goes to another one that the batch makes
+    made = change.where("action in ('links', 'upsert')").select(record(F.col("c_frn")).alias("record"), F.col("c_frn").alias("m_frn"))
+    keys = live(entries).select("frn", record(F.col("frn")).alias("record"))
+    replaced_by = keys.join(_large(made), "record").where("frn <> m_frn").select(F.col("frn").alias("r_frn")).distinct()
+    joined = entries.join(_large(change), F.col("frn") == F.col("c_frn"), "left").join(_large(replaced_by), F.col("frn") == F.col("r_frn"), "left")
     link = F.struct("parent_frn", "name")
     new_link = F.struct(F.col("last.parent_frn").alias("parent_frn"), F.col("last.name").alias("name"))
     a = F.col("action")
     renamed = _any(F.col("reasons"), "RENAME_NEW_NAME") & ~F.col("c_dir")
     replaced = (a == "upsert") & (link != new_link) & (F.col("c_dir") | renamed & F.when(F.col("old_stands"), link == F.col("old")).otherwise(F.col("n_links") == 1))
-    dies = (a == "delete") | ((a == "links") & ~F.array_contains("desired", link)) | replaced | F.col("m_frn").isNotNull()
+    dies = (a == "delete") | ((a == "links") & ~F.array_contains("desired", link)) | replaced | F.col("r_frn").isNotNull()
     dies = ~F.col("tombstone") & F.coalesce(dies, F.lit(False))
     acts = ~F.col("tombstone") & ~dies & a.isin("links", "upsert", "move_dir", "stat")
     restat = acts & (a != "move_dir") & F.when(a == "stat", F.col("fetched").isNotNull()).otherwise(F.lit(True))
@@ -188,7 +193,7 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     }
     content, stat = (reduce(Column.__or__, [~then[c].eqNullSafe(F.col(c)) for c in cs]) for cs in (_CONTENT, _STAT))
     was = F.when(content | stat, F.struct(*[F.col(c) for c in (*_CONTENT, *_STAT)])).alias("was")
-    kept = joined.select(*[then.get(c, F.col(c)) for c in names()], dies.alias("died"), content.alias("content"), stat.alias("stat"), was)
+    kept = joined.select(*[then.get(c, F.col(c)) for c in names()], (dies & F.coalesce(a.isin("delete", "links"), F.lit(False))).alias("died"), content.alias("content"), stat.alias("stat"), was)
     kept = materialize(kept, "kept")
     standing = live(kept).select("frn", "parent_frn", "name")
     new = _wanted_links(rows.where("action in ('links', 'upsert')")).drop("is_dir").join(_large(standing), ["frn", "parent_frn", "name"], "left_anti")
@@ -204,13 +209,12 @@ def apply_batch(entries: DataFrame, records: DataFrame, stats: DataFrame | None
     changed = kept.where("was is not null")
     before = changed.select(*[F.col(f"was.{c}").alias(c) if c in (*_CONTENT, *_STAT) else F.col(c) for c in names()])
     changes = live(before).withColumn("side", F.lit("before")).unionByName(live(changed.select(*names()).unionByName(fresh)).withColumn("side", F.lit("after")))
-    told = changed.select("content", "stat", "is_dir").unionByName(fresh.select(F.lit(True).alias("content"), F.lit(False).alias("stat"), "is_dir"))
-    moved = told.agg(F.count_if("content"), F.count_if("stat"), F.count_if(F.col("content") & F.col("is_dir"))).first()
+    told = changed.select("content", "stat", "is_dir", "died").unionByName(fresh.select(F.lit(True).alias("content"), F.lit(False).alias("stat"), "is_dir", F.lit(False).alias("died")))
+    *moved, died = told.agg(F.count_if("content"), F.count_if("stat"), F.count_if(F.col("content") & F.col("is_dir")), F.count_if("died")).first()
 
     counts = rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fetched").isNull()).alias("blind"), F.count_if(F.col("n_links") == 0).alias("absent")).collect()
     by = {r["action"]: r for r in counts}
-    died = kept.where("died").join(_large(change.where("action in ('delete', 'links')").select(F.col("c_frn").alias("frn"))), "frn", "left_semi").count()
-    linked = fresh.join(_large(change.where("action = 'links'").select(F.col("c_frn").alias("frn"))), "frn", "left_semi").count()
+    linked = fresh.join(_large(change.where("action = 'links'").select(F.col("c_frn").alias("frn"))), "frn", "left_semi").count() if "links" in by else 0
     get = lambda k, f: by[k][f] if k in by else 0
     tally["created_or_renamed"] = get("upsert", "n") + get("move_dir", "n") + linked
     tally["deleted"] = died
@@ -261,6 +265,8 @@ def _part(store: SnapshotStore, meta: Meta, records: DataFrame, links: DataFrame
     Only where a directory that stands may move are all directories needed, to see whether it comes below itself.
     """
     own = store.read(meta.version, touched)
+    if len(set(touched)) == meta.buckets:
+        return own
     others = store.read(meta.version, [b for b in range(meta.buckets) if b not in set(touched)]).where("is_dir")
     naming = _any(F.col("reason"), "FILE_CREATE", "RENAME_NEW_NAME") & has_attribute(F.col("attributes"), "DIRECTORY")
     moving = live(own).where("is_dir").join(records.where(naming).select("frn"), "frn", "left_semi")
@@ -268,9 +274,9 @@ def _part(store: SnapshotStore, meta: Meta, records: DataFrame, links: DataFrame
         return own.unionByName(others)
     named = records.select("parent_frn")
     if links is not None:
-        wanted = links.join(records.select("frn"), "frn", "left_semi")
+        wanted = links.join(_large(records.select("frn").distinct()), "frn", "left_semi")
         named = named.unionByName(wanted.select("parent_frn"))
-    return own.unionByName(others.join(named.select(F.col("parent_frn").alias("frn")), "frn", "left_semi").select(*names()))
+    return own.unionByName(materialize(others.join(named.select(F.col("parent_frn").alias("frn")).distinct(), "frn", "left_semi").select(*names()), "parents"))
 
 
 #: how often a batch is made again behind another writer's version
@@ -284,29 +290,38 @@ SHELVES = 16
 _RECORD = "usn", "frn", "parent_frn", "reason", "attributes", "name"
 
 
-def _asked(waiting: DataFrame, records: DataFrame, lookups: MetadataTables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(waiting, stats, links): the records that wait with due, whether they go into this batch, and what is known of all objects.
+def _asked(waiting: DataFrame | None, records: DataFrame, lookups: MetadataTables) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(waiting, stats, links), written: the records that wait with due, whether they go into this batch, and what is known of all objects.
 
-    Due is what a look-up knows by now, and what the batch itself has an object of.
+    Due is what a look-up knows by now, and what the batch itself has an object of. Nothing waits where waiting is None.
     """
-    stats, links = lookups.look_up(records.select("frn").unionByName(waiting.select("frn")))
-    known = stats.select("frn", F.lit("stat").alias("kind")).unionByName(links.where("state <> 'failed'").select("frn", F.lit("links").alias("kind")))
+    keys = records.select("frn")
+    stats, links = (materialize(k, "known") for k in lookups.look_up(keys if waiting is None else keys.unionByName(waiting.select("frn"))))
+    if waiting is None:
+        return None, stats, links
+    known = stats.select("frn", F.lit("stat").alias("kind")).unionByName(links.where("state <> 'failed'").select("frn", F.lit("links").alias("kind")).distinct())
     met = records.select(record(F.col("frn")).alias("record")).distinct().withColumn("met", F.lit(True))
-    rows = waiting.join(known.distinct().withColumn("known", F.lit(True)), ["frn", "kind"], "left").withColumn("record", record(F.col("frn"))).join(met, "record", "left")
+    rows = waiting.join(_large(known.withColumn("known", F.lit(True))), ["frn", "kind"], "left").withColumn("record", record(F.col("frn"))).join(_large(met), "record", "left")
     due = F.coalesce("known", F.lit(False)) | F.coalesce("met", F.lit(False))
-    return rows.select(*_RECORD, "kind", "since", due.alias("due")), stats, links
+    return materialize(rows.select(*_RECORD, "kind", "since", due.alias("due")), "asked"), stats, links
 
 
-def _left_over(done: Applied, records: DataFrame, due: DataFrame, batch_id: int) -> DataFrame:
+def _left_over(done: Applied, records: DataFrame, due: DataFrame | None, batch_id: int) -> DataFrame:
     """What waits after a batch: one record for a size, all of its records for an object whose links are missing.
 
-    Objects that the batch took away wait no longer. records are the batch's with those that were due.
+    Objects that the batch took away wait no longer. records are the batch's with those that were due (None: none were).
     """
-    late = done.late.join(live(done.entries).select("frn").distinct().withColumn("stands", F.lit(True)), "frn", "left").where("stands or kind = 'links'").select("frn", "kind")
-    late = late.join(due.groupBy("frn").agg(F.min("since").alias("since")), "frn", "left").withColumn("since", F.coalesce("since", F.lit(batch_id).cast("long")))
-    sizes = records.groupBy("frn").agg(F.max_by(F.struct("usn", "parent_frn", "attributes", "name"), "usn").alias("last")).join(late.where("kind = 'stat'"), "frn")
-    sizes = sizes.select("last.usn", "frn", "last.parent_frn", F.lit(REASONS["BASIC_INFO_CHANGE"]).cast("long").alias("reason"), "last.attributes", "last.name", "kind", "since")
-    return sizes.unionByName(records.join(late.where("kind = 'links'"), "frn").select(*_RECORD, "kind", "since"))
+    standing = live(done.entries).select("frn").distinct().withColumn("stands", F.lit(True))
+    late = done.late.join(_large(standing), "frn", "left").where("stands or kind = 'links'")
+    since = F.lit(batch_id).cast("long")
+    if due is not None:
+        late = late.join(_large(due.groupBy("frn").agg(F.min("since").alias("since"))), "frn", "left")
+        since = F.coalesce("since", since)
+    late = late.select("frn", "kind", since.alias("since"), "last_usn", "last")
+    sizes = late.where("kind = 'stat'").select(F.col("last_usn").alias("usn"), "frn", "last.parent_frn", F.lit(REASONS["BASIC_INFO_CHANGE"]).cast("long").alias("reason"), "last.attributes", "last.name", "kind", "since")
+    if not done.stats["hard_link_refresh_failures"]:
+        return sizes
+    return sizes.unionByName(records.join(_large(late.where("kind = 'links'").select("frn", "kind", "since")), "frn").select(*_RECORD, "kind", "since"))
 
 
 def _shelve(store: SnapshotStore, meta: Meta, writer: str, rest: DataFrame, n_due: int, fresh: DataFrame) -> tuple[list[str], DataFrame | None]:
@@ -340,21 +355,23 @@ def apply_to_store(store: SnapshotStore, records: DataFrame, stats: DataFrame |
             try:
                 batch, known = records, (stats, links)
                 if lookups is not None:
-                    asked, *known = _asked(store.waiting(meta, writer), records, lookups)
-                    asked, known = materialize(asked, "asked"), [materialize(k, "known") for k in known]
-                    due, rest = asked.where("due").drop("due"), asked.where("not due").drop("due")
-                    batch = materialize(records.select(*_RECORD).unionByName(due.select(*_RECORD)), "batch")
+                    asked, *known = _asked(store.waiting(meta, writer) if meta.waiting.get(writer) else None, records, lookups)
+                    batch, due, n_due, rest = records.select(*_RECORD), None, 0, store.spark.createDataFrame([], WAITING)
+                    if asked is not None:
+                        due, rest = asked.where("due").drop("due"), asked.where("not due").drop("due")
+                        n_due, batch = due.count(), batch.unionByName(due.select(*_RECORD))
+                    batch = materialize(batch, "batch")
                 # at most a row for each bucket
                 touched = [r[0] for r in batch.select(bucket_of(F.col("frn"), meta.buckets)).distinct().collect()]
                 if not touched:
                     return meta
                 done = apply_batch(_part(store, meta, batch, known[1], touched), batch, *known, meta.last_id, hold=lookups is not None)
                 if lookups is not None and done.late is not None:
-                    fresh = materialize(_left_over(done, batch, due, number_), "late")
+                    fresh = materialize(_left_over(done, batch, due if n_due else None, number_), "late")
                     overdue = fresh.unionByName(rest).where((F.col("kind") == "links") & (F.col("since") + patience < number_))
                     if not overdue.isEmpty():
                         rejected = {"hard_link_refresh_failures": overdue.select("frn").distinct().count()}
-                    waiting = _shelve(store, meta, writer, rest, due.count(), fresh)
+                    waiting = _shelve(store, meta, writer, rest, n_due, fresh)
                 if done.rescan_required:
                     rejected = done.stats
                 if rejected is None:

@@ -252,3 +252,10 @@ def test_batches_are_not_broadcast(spark, capsys):
     rows.explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_record_number_given_out_twice_in_a_batch(spark):
+    """The object that stood under it is dead once, not once for each one that follows."""
+    rows = spark.createDataFrame([rec(1, f(60, 2), f(5), "FILE_CREATE", "b"), rec(2, f(60, 3), f(5), "FILE_CREATE", "c")], RECORDS)
+    done = apply.apply_batch(frame(spark, [root(), entry("a", 60, 5)]), rows)
+    assert sorted((r["name"], r["tombstone"]) for r in done.entries.where("not is_dir").collect()) == [("a", True), ("b", False), ("c", False)]

@@ -147,3 +147,17 @@ def test_late_look_ups_end_where_early_ones_do(spark, tmp_path):
     apply.heal(late, tables)
     got, want = (sorted(tuple(r) for r in s.load().where("not tombstone").select(*shape).collect()) for s in (late, early))
     assert got == want and waits(late) == []
+
+
+def test_a_batch_reads_and_joins_nothing_twice(spark, made):
+    """Where nothing waits and a batch's objects lie in all buckets, neither waiting records nor other buckets' directories are joined."""
+    store, tables = made
+    tables.put(0, sizes(spark, (50, 5)))
+    spark.sparkContext.setJobGroup("retry", "")
+    try:
+        apply.apply_to_store(store, batch(spark, *[rec(k, 50 + k, "DATA_EXTEND", f"n{k}") for k in range(20)]), None, None, 0, lookups=tables)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("retry")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # 100 jobs when both were
+    assert len(jobs) < 85 and len(waits(store)) == 5
